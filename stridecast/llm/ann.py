@@ -52,9 +52,9 @@ class InvertedFiles:
         return last * (last + 1) - saved
 
     def search(self, query_id: int, query: np.ndarray, perm: np.ndarray, k: int, share: float) -> tuple[np.ndarray, np.ndarray]:
-        """The share of rows nearest by footrule (ties to smaller ids) are scored exactly; the k best of them."""
+        """The share of rows nearest by footrule (50 k at least, ties to smaller ids) are scored exactly; the k best of them."""
         n = len(self.ids)
-        take = min(n, max(8 * k, int(np.ceil(share * n))))
+        take = min(n, max(50 * k, int(np.ceil(share * n))))
         rank = self.footrule(perm).astype(np.int64) * n + np.arange(n)
         near = np.argpartition(rank, take - 1)[:take] if take < n else np.arange(n)
         near = near[self.ids[near] != query_id]
@@ -63,7 +63,7 @@ class InvertedFiles:
         return self.ids[near[best]], scores[best]
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, n_pivots: int = 128, prefix: int = 32, share: float = 0.2, block: int = BLOCK, queries: int = QUERIES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, n_pivots: int = 128, prefix: int = 48, share: float = 0.2, block: int = BLOCK, queries: int = QUERIES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query, the rows whose id is divisible by `every`.
 
     Pivots are the vectors of n_pivots ids, chosen by a hash of the id; every row is indexed. Rows are dealt by a hash of the
