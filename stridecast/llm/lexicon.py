@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import os
 import tempfile
 
@@ -102,15 +101,12 @@ class Lexicon:
 
     @classmethod
     def mapped(cls, raw: bytes) -> Lexicon:
-        """Memory-mapped from this machine's scratch folder, where its workers share one file named by its content.
-        The file is only a copy of what was sent: a new executor writes it again."""
-        path = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.sha256(raw).hexdigest()[:24]}")
-        if not os.path.exists(path):
-            handle, own = tempfile.mkstemp(dir=tempfile.gettempdir())
-            with os.fdopen(handle, "wb") as f:
-                f.write(raw)
-            os.replace(own, path)
-        return cls(np.memmap(path, np.uint8, "r"))
+        """Memory-mapped from a scratch file of this worker; the file has no name any more once it is mapped, so that
+        nothing stays behind, and it is only a copy of what was sent: a new worker maps its own."""
+        with tempfile.TemporaryFile() as f:
+            f.write(raw)
+            f.flush()
+            return cls(np.memmap(f, np.uint8, "r"))
 
     def find(self, words: list[bytes], longest: int = 32) -> np.ndarray:
         """The place of each word, -1 for those it lacks (and for any over longest, which it never holds); all words
