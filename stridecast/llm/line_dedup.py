@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stridecast.llm.common import keyed_texts
-
 #: The white space that is stripped, and the letters that are lower-cased.
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -18,17 +16,19 @@ def line_key(line: Column) -> Column:
     return F.when(F.octet_length(bare) == F.char_length(bare), F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 3, min_length: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 3, min_length: int = 20, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """Drop lines whose key of at least min_length code points is in min_docs documents or more, except in the largest id.
 
-    Returns doc_id, text, n_lines, n_dropped. A null or empty text is one empty line. Rows that share an id are
-    one document when documents are counted, and each keeps its own lines. Rows without an id take no
-    part in the counts and keep all their lines. Keys are compared by 128 bits of hash.
+    Returns doc_id, text, n_lines, n_dropped; with carry instead the columns of docs, the text being what is left. A null or
+    empty text is one empty line. Rows that share an id are one document when documents are counted, and each
+    keeps its own lines. Rows without an id take no part in the counts and keep all their lines. Keys are compared
+    by 128 bits of hash.
 
     Only hashes are exploded and dealt; text moves once, to meet the positions dropped from it. A hash that many
     documents hold is summed before the shuffle, and the join by hash may be split by Spark where it is skewed.
     """
-    texts = keyed_texts(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
+    whole = F.struct(*(docs[c] for c in docs.columns)) if carry else F.lit(None).cast("string")
+    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), whole.alias("row"))
     texts = texts.withColumn("row_hash", F.xxhash64("text"))
     lines = (
         texts.filter(F.col("doc_id").isNotNull() & (F.length("text") >= min_length))
@@ -58,6 +58,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_length: int = 20, id_col
 
     # a lambda's variable holds the lines, so that the text is split once and not for each line
     left = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.get(F.transform(F.array(parts), rest), F.lit(0)))
+    if carry:
+        return joined.select(*(left.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))
     return joined.select(
         "doc_id",
         left.alias("text"),

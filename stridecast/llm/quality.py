@@ -105,3 +105,18 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
 
     scored = keyed_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def keep_good(docs: DataFrame, model: QualityModel, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose whole text scores `least` or more, all columns as they were. No shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        import pyarrow as pa
+
+        score = sent.value.scorer()
+        for batch in batches:
+            yield batch.filter(pa.array([score((t or "").encode()) >= least for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
