@@ -22,7 +22,7 @@ def shapley(rows: DataFrame, background: DataFrame, key: str, features: list[str
     for s in range(samples):
         order = list(range(len(features)))
         rng.shuffle(order)
-        orders.append((s, s % max(1, n), order))
+        orders.append((s, s // 2 % max(1, n), order))
     # antithetic: every second permutation is the reverse of the one before, over the same background row
     orders = [(s, orders[s - 1][1], orders[s - 1][2][::-1]) if s % 2 else orders[s] for s in range(samples)]
     spark = rows.sparkSession

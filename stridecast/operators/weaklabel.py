@@ -50,6 +50,10 @@ def votes(texts: DataFrame, text: str, rules: list[Rule] = RULES) -> DataFrame:
     return texts.withColumn("votes", F.array(*(r.vote(F.col(text)) for r in rules)))
 
 
+def _other_than(own: Column):
+    return lambda x: (x != ABSTAIN) & (x != own)
+
+
 def rule_summary(voted: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """rule, polarity, coverage, overlap, conflict, from one pass over the votes."""
     v = F.col("votes")
@@ -58,7 +62,7 @@ def rule_summary(voted: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     for i, r in enumerate(rules):
         own = F.get(v, F.lit(i))
         on = own != ABSTAIN
-        against = F.exists(v, lambda x, own=own: (x != ABSTAIN) & (x != own))
+        against = F.exists(v, _other_than(own))
         share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
         parts.append(F.struct(F.lit(r.name).alias("rule"), F.sort_array(F.collect_set(F.when(on, own))).alias("polarity"), share(on).alias("coverage"), share(on & (active > 1)).alias("overlap"), share(on & against).alias("conflict")))
     return voted.agg(F.array(*parts).alias("r")).select(F.inline("r"))
@@ -73,11 +77,12 @@ def hard_label(scores: Column, tolerance: float = 1e-9) -> Column:
 
 def majority(voted: DataFrame, classes: int = 3) -> DataFrame:
     """voted with label: the class of most votes; a tie or no vote abstains."""
-    counts = F.array(*(F.size(F.filter("votes", lambda x, k=k: x == k)).cast("double") for k in range(classes)))
+    count = lambda k: F.size(F.filter("votes", lambda x: x == k)).cast("double")
+    counts = F.array(*(count(k) for k in range(classes)))
     return voted.withColumn("label", hard_label(counts))
 
 
-def label_model(voted: DataFrame, classes: int = 3, rounds: int = 25, smoothing: float = 0.1) -> DataFrame:
+def label_model(voted: DataFrame, classes: int = 3, rounds: int = 15, smoothing: float = 0.1, tolerance: float = 1e-3) -> DataFrame:
     """voted with probs (array, null where all rules abstain) and label, by EM over rules that err independently.
 
     Rows are collapsed to distinct vote patterns with their counts, which are cached; each round is one job over the
@@ -111,7 +116,10 @@ def label_model(voted: DataFrame, classes: int = 3, rounds: int = 25, smoothing:
         row = scored.agg(*sums).first()
         total = sum(row[f"c{c}"] for c in range(classes))
         prior = [(row[f"c{c}"] + smoothing) / (total + classes * smoothing) for c in range(classes)]
+        before = accuracy
         accuracy = [min(0.999, max(0.001, ((row[f"r{i}"] or 0) + 0.7 * smoothing) / ((row[f"v{i}"] or 0) + smoothing))) for i in range(k)]
+        if max(abs(x - y) for x, y in zip(before, accuracy)) < tolerance:
+            break
     patterns.unpersist()
     some = F.exists("votes", lambda x: x != ABSTAIN)
     return voted.withColumn("probs", F.when(some, posterior())).withColumn("label", F.when(some, hard_label(F.col("probs"))).otherwise(ABSTAIN))

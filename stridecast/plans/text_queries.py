@@ -89,7 +89,7 @@ def page_links(spark, sf_dir):
     return a.table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r'<a[^>]*href="([^"]*)"'), F.lit(1))).alias("place", "href"))
 
 
-@query(r"""SELECT page_id, coalesce(trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)), '') AS title, CAST(coalesce(TRY_CAST(nullif(regexp_extract(url, '[?&]start=(\d+)', 1), '') AS INTEGER), 0) AS INTEGER) AS current_start,
+@query(r"""SELECT page_id, replace(replace(replace(coalesce(trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)), ''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title, CAST(coalesce(TRY_CAST(nullif(regexp_extract(url, '[?&]start=(\d+)', 1), '') AS INTEGER), 0) AS INTEGER) AS current_start,
 CAST(coalesce(list_max(list_transform(regexp_extract_all(html, '[?&]start=(\d+)', 1), lambda x: TRY_CAST(x AS INTEGER))) + 25, 0) AS INTEGER) AS apparent_total FROM pages""")
 def page_facts(spark, sf_dir):
     pages = a.table(spark, sf_dir, "pages")

@@ -6,6 +6,7 @@ from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stridecast.functions.scalars import first_date, on_topic, severity_by_keyword
 
@@ -62,7 +63,7 @@ def tables(pages: DataFrame, html: str = "html") -> DataFrame:
     with a null text, has no row.
     """
     others = [c for c in pages.columns if c != html]
-    schema = pages.select(*others).schema.add("table_id", "string").add("table_classes", "string").add("table_rows", f"array<{ROW}>")
+    schema = T.StructType([*pages.select(*others).schema, *T.StructType.fromDDL(f"table_id string, table_classes string, table_rows array<{ROW}>")])
 
     def run(batches):
         import pandas as pd
