@@ -33,6 +33,30 @@ def unpack(raw: bytes, *dtypes) -> list[np.ndarray]:
     return out
 
 
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of the GRAM bytes from each place on; there must be as many."""
+    n = len(data)
+    raw = data.tobytes() + bytes(32)
+    words = np.empty(n, np.uint64)
+    for k in range(8):
+        words[k::8] = np.frombuffer(raw, "<u8", (n - k + 7) // 8, k)
+    last = n - GRAM + 1
+    h = words[:last] * MIX[0]
+    h += words[8 : last + 8] * MIX[1]
+    h += words[GRAM - 8 :][:last] * MIX[2]
+    h ^= h >> np.uint64(29)
+    h *= MIX[3]
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def group_of(ids, n: int):
+    """The group of a document, by its id; the same for a column and for numpy."""
+    if isinstance(ids, np.ndarray):
+        return (ids ^ (ids >> 17) ^ (ids >> 34)) % n
+    return F.pmod(ids.bitwiseXOR(F.shiftright(ids, 17)).bitwiseXOR(F.shiftright(ids, 34)), F.lit(n)).cast("int")
+
+
 def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, windows, anchor) of the runs of windows of `length` bytes that share an anchor.
 
@@ -45,18 +69,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray
     if n < length:
         none = np.zeros(0, np.int64)
         return none, none, none, none.astype(np.uint64)
-    raw = data.tobytes() + bytes(32)
-    words = np.empty(n, np.uint64)
-    for k in range(8):
-        words[k::8] = np.frombuffer(raw, "<u8", (n - k + 7) // 8, k)
-    last = n - GRAM + 1
-    h = words[:last] * MIX[0]
-    h += words[8 : last + 8] * MIX[1]
-    tail = words[GRAM - 8 :][:last]
-    h += tail * MIX[2]
-    h ^= h >> np.uint64(29)
-    h *= MIX[3]
-    h ^= h >> np.uint64(32)
+    h = gram_hashes(data)
     wide, span = length - GRAM + 1, 1
     while span * 2 <= wide:
         h = np.minimum(h[:-span], h[span:])
@@ -140,9 +153,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, buckets: int | None = None
     n = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) + 1
     texts = keyed_texts(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
     without_id = texts.filter(F.col("doc_id").isNull())
-    i = F.col("doc_id")
-    group = F.pmod(i.bitwiseXOR(F.shiftright(i, 17)).bitwiseXOR(F.shiftright(i, 34)), F.lit(n)).cast("int")
-    texts = texts.filter(i.isNotNull()).select(group.alias("g"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    texts = texts.filter(F.col("doc_id").isNotNull()).select(group_of(F.col("doc_id"), n).alias("g"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
 
     known = texts.select("g", "doc_id", "text_hash", F.xxhash64(F.lit("whole"), "text").alias("h2"), F.octet_length("text").alias("size")).filter(F.col("size") >= length)
     first = known.groupBy("text_hash", "h2", "size").agg(F.min("doc_id").alias("first_id"))
@@ -153,7 +164,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, buckets: int | None = None
         import pyarrow as pa
 
         for batch in slices(batches, 2 << 20):
-            g, ids = np.asarray(batch.column(2)), np.asarray(batch.column(0)).astype(np.int64)
+            ids = np.asarray(batch.column(0)).astype(np.int64)
             row, _, _, anchor = runs(*text_buffers(batch.column(1)), length)
             anchor = _low(anchor)
             out = []
@@ -161,27 +172,26 @@ def remove_repeats(docs: DataFrame, length: int = 50, buckets: int | None = None
                 low = int(ids[row[at]].min())
                 far = ids[row[at]] - low
                 narrow = far.max() < 1 << 32
-                out.append((b, pack(np.array([low]), anchor[at].astype(np.uint32), (anchor[at] >> np.uint64(32)).astype(np.uint16), far.astype(np.uint32 if narrow else np.int64), g[row[at]].astype(np.int32)), narrow))
+                out.append((b, pack(np.array([low]), anchor[at].astype(np.uint32), (anchor[at] >> np.uint64(32)).astype(np.uint16), far.astype(np.uint32 if narrow else np.int64)), narrow))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out])], ["b", "blob", "narrow"])
 
     def reply(key, table):
         import pyarrow as pa
 
-        keys, ids, groups = [], [], []
+        keys, ids = [], []
         for blob, narrow in zip(table["blob"].to_pylist(), table["narrow"].to_pylist()):
-            low, lo, hi, far, g = unpack(blob, np.int64, np.uint32, np.uint16, np.uint32 if narrow else np.int64, np.int32)
+            low, lo, hi, far = unpack(blob, np.int64, np.uint32, np.uint16, np.uint32 if narrow else np.int64)
             keys.append(lo.astype(np.uint64) | hi.astype(np.uint64) << np.uint64(32))
             ids.append(far.astype(np.int64) + low[0])
-            groups.append(g)
-        keys, ids, groups = map(np.concatenate, (keys, ids, groups))
+        keys, ids = np.concatenate(keys), np.concatenate(ids)
         order = np.argsort(keys, kind="stable")
-        keys, ids, groups = keys[order], ids[order], groups[order]
+        keys, ids = keys[order], ids[order]
         at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         shared = np.minimum.reduceat(ids, at) != np.maximum.reduceat(ids, at)
         mask = np.repeat(shared, np.diff(np.append(at, len(keys))))
-        keys, groups = keys[mask], groups[mask]
-        out = [(g, pack(np.unique(keys[p]))) for g, p in _dealt(groups.astype(np.int64), n)]
+        keys, groups = keys[mask], group_of(ids[mask], n)
+        out = [(g, pack(np.unique(keys[p]))) for g, p in _dealt(groups, n)]
         return pa.table([pa.array([x[0] for x in out], pa.int32()), pa.nulls(len(out), pa.int64()), pa.nulls(len(out), pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["g", "doc_id", "text_hash", "blob"])
 
     def cut(texts, told):
@@ -216,7 +226,6 @@ def remove_repeats(docs: DataFrame, length: int = 50, buckets: int | None = None
         return pa.table([pa.array([x[0] for x in out], pa.int32()), pa.nulls(len(out), pa.int64()), pa.nulls(len(out), pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["g", "doc_id", "text_hash", "blob"])
 
     def finish(texts, told):
-        import hashlib  # noqa: F401
         import pyarrow as pa
 
         ids, hashes, data, offsets = _text_rows(texts)
@@ -224,12 +233,12 @@ def remove_repeats(docs: DataFrame, length: int = 50, buckets: int | None = None
         total = int(offsets[-1] - offsets[0]) if len(ids) else 0
         base = offsets[:-1] - (offsets[0] if len(ids) else 0)
         data = data[offsets[0] : offsets[-1]] if len(ids) else data
+        blobs = [unpack(x, np.uint32, np.uint32, np.uint32) for x in told["blob"].to_pylist() if x is not None]
         step = np.zeros(total + 1, np.int32)
-        for blob in told["blob"].to_pylist():
-            if blob is not None:
-                row, start, end = unpack(blob, np.uint32, np.uint32, np.uint32)
-                step += np.bincount(base[row] + start, minlength=total + 1).astype(np.int32)
-                step -= np.bincount(base[row] + end, minlength=total + 1).astype(np.int32)
+        if blobs:
+            row, start, end = map(np.concatenate, zip(*blobs))
+            step += np.bincount(base[row] + start, minlength=total + 1).astype(np.int32)
+            step -= np.bincount(base[row] + end, minlength=total + 1).astype(np.int32)
         gone = _whole(told)
         for k, x in enumerate(zip(ids.tolist(), hashes.tolist())):
             if x in gone:
@@ -248,7 +257,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, buckets: int | None = None
         return pa.table([pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), binary], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     told = "g int, doc_id long, text_hash long, blob binary"
-    posted = texts.select("doc_id", "text", "g").mapInArrow(post, "b int, blob binary, narrow boolean")
+    posted = texts.select("doc_id", "text").mapInArrow(post, "b int, blob binary, narrow boolean")
     shared = posted.groupBy("b").applyInArrow(reply, told)
     segments = texts.groupBy("g").cogroup(shared.unionByName(later).groupBy("g")).applyInArrow(cut, "b int, blob binary")
     spans = segments.groupBy("b").applyInArrow(judge, told)
@@ -267,7 +276,7 @@ def _whole(told) -> set[tuple[int, int]]:
     return {(d, h) for d, h in zip(told["doc_id"].to_pylist(), told["text_hash"].to_pylist()) if d is not None}
 
 
-SEGMENT = (np.int64, np.uint64, np.uint64, np.uint64, np.uint16, np.uint8, np.uint32, np.uint32, np.uint32, np.int64)
+SEGMENT = (np.int64, np.uint16, np.uint8, np.uint32, np.uint32, np.uint32, np.int64)
 
 
 def _hash_segments(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -295,50 +304,106 @@ def _segments(g: int, ids, data, offsets, row, start, size, anchor, length: int)
     new[1:] = (h[order[1:]] != h[order[:-1]]).any(1) | (anchor[order[1:]] != anchor[order[:-1]])
     first = np.flatnonzero(new)
     kept = order[first]
-    return pack(np.array([g]), anchor[kept], h[kept, 0], h[kept, 1], lengths[kept].astype(np.uint16), ragged(data, at[kept], lengths[kept]), np.diff(np.append(first, len(order))).astype(np.uint32), row[order].astype(np.uint32), start[order].astype(np.uint32), ids[row[order]])
+    return pack(np.array([g]), lengths[kept].astype(np.uint16), ragged(data, at[kept], lengths[kept]), np.diff(np.append(first, len(order))).astype(np.uint32), row[order].astype(np.uint32), start[order].astype(np.uint32), ids[row[order]])
+
+
+def _anchors(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, its first place, whether it occurs again) of each segment."""
+    h = gram_hashes(np.append(flat, np.zeros(MOST + length, np.uint8)))
+    low = h[: len(flat)]
+    anchor = np.minimum.reduceat(np.append(low, low[-1:]), np.stack((starts, starts + length - GRAM + 1), 1).ravel())[::2]
+    n = lengths - GRAM + 1
+    hit = np.flatnonzero(ragged(h, starts, n) == np.repeat(anchor, n))
+    ends = np.cumsum(n)
+    owner = np.searchsorted(ends, hit, side="right")
+    first = np.searchsorted(owner, np.arange(len(starts)))
+    return anchor, hit[first] - (ends - n), np.bincount(owner, minlength=len(starts)) > 1
+
+
+def promising(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, anchor: np.ndarray, place: np.ndarray, again: np.ndarray, length: int, step: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) window of each distinct segment that another one may hold too; last < first if there is none.
+
+    Equal windows have their anchor at the same place, so what is left and right of it within them is equal too. A window
+    stays if the context on either side, in steps of `step` bytes, occurs with another segment of the anchor. Where an
+    anchor occurs twice in a segment, all windows of its group stay.
+    """
+    room = length - GRAM
+    odd = np.uint64(0x9E3779B97F4A7C15)
+    inverse = np.uint64(pow(int(odd), -1, 1 << 64))
+    powers = np.cumprod(np.full(len(flat), odd, np.uint64))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * powers)))
+    back = np.cumprod(np.full(len(flat) + 1, inverse, np.uint64))
+    at = starts + place
+    reach = []
+    for side in (-1, 1):
+        most = np.zeros(len(starts), np.int64)
+        for n in range(step, room + 1, step):
+            ok = np.flatnonzero(place >= n if side < 0 else place + GRAM + n <= lengths)
+            low = at[ok] - n if side < 0 else at[ok] + GRAM
+            key = (sums[low + n] - sums[low]) * back[low]
+            key ^= key >> np.uint64(29)
+            key = key * MIX[3] + anchor[ok]
+            order = np.argsort(key, kind="stable")
+            same = key[order[1:]] == key[order[:-1]]
+            shared = np.zeros(len(ok), bool)
+            shared[order[1:]] = same
+            shared[order[:-1]] |= same
+            most[ok[shared]] = n
+        reach.append(most)
+    windows = lengths - length + 1
+    first = np.maximum(0, place - reach[0] - step + 1)
+    last = np.minimum(windows - 1, place - room + step - 1 + reach[1])
+    whole = np.isin(anchor, anchor[again])
+    return np.where(whole, 0, first), np.where(whole, windows - 1, last)
 
 
 def _judge(blobs: list[bytes], length: int) -> list[tuple[int, bytes]]:
     """Distinct segments over all blobs are sorted by suffixes; then each blob's occurrences are judged in turn."""
     parts = [unpack(b, *SEGMENT) for b in blobs]
-    anchor, h1, h2, lengths = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3, 4))
-    lengths = lengths.astype(np.int64)
-    flat = np.concatenate([p[5] for p in parts])
+    lengths = np.concatenate([p[1] for p in parts]).astype(np.int64)
+    flat = np.concatenate([p[2] for p in parts])
     starts = np.cumsum(lengths) - lengths
-    least = np.concatenate([np.minimum.reduceat(p[9], np.cumsum(p[6], dtype=np.int64) - p[6]) for p in parts])
-    order = np.lexsort((h2, h1, anchor))
+    h = _hash_segments(flat, starts, lengths)
+    least = np.concatenate([np.minimum.reduceat(p[6], np.cumsum(p[3], dtype=np.int64) - p[3]) for p in parts])
+    order = np.lexsort((h[:, 1], h[:, 0]))
     new = np.ones(len(order), bool)
-    new[1:] = (h1[order[1:]] != h1[order[:-1]]) | (h2[order[1:]] != h2[order[:-1]]) | (anchor[order[1:]] != anchor[order[:-1]])
+    new[1:] = (h[order[1:]] != h[order[:-1]]).any(1)
     first = np.flatnonzero(new)
     kind = np.empty(len(order), np.int64)
     kind[order] = np.cumsum(new) - 1
     kept = order[first]
     least = np.minimum.reduceat(least[order], first)
-    lengths, starts, anchor = lengths[kept], starts[kept], anchor[kept]
+    lengths, old = lengths[kept], starts[kept]
+    flat = ragged(flat, old, lengths)
+    starts = np.cumsum(lengths) - lengths
     windows = lengths - length + 1
     ends = np.cumsum(windows)
-    smallest = np.empty(int(ends[-1]), np.int64)
-    # collections of whole anchors, in order
-    size = np.cumsum(lengths)
-    heads = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+    smallest = np.repeat(least, windows)
+    # what may be shared, in collections of whole anchors
+    anchor, place, again = _anchors(flat, starts, lengths, length)
+    low, high = promising(flat, starts, lengths, anchor, place, again, length)
+    some = np.flatnonzero(low <= high)
+    some = some[np.argsort(anchor[some], kind="stable")]
+    size = np.cumsum(high[some] - low[some] + length)
+    heads = np.flatnonzero(np.concatenate(([True], anchor[some[1:]] != anchor[some[:-1]]))) if len(some) else some
     at = 0
-    while at < len(kept):
-        to = np.searchsorted(size, (size[at - 1] if at else 0) + COLLECTION, side="right")
-        k = np.searchsorted(heads, max(to, at + 1), side="right") - 1
-        to = int(heads[k]) if heads[k] > at else int(heads[k + 1]) if k + 1 < len(heads) else len(kept)
-        to = len(kept) if size[-1] - (size[at - 1] if at else 0) <= COLLECTION else to
-        local = lengths[at:to]
+    while at < len(some):
+        done = size[at - 1] if at else 0
+        k = np.searchsorted(heads, max(at + 1, np.searchsorted(size, done + COLLECTION, side="right")), side="right") - 1
+        to = len(some) if size[-1] - done <= COLLECTION else int(heads[k]) if heads[k] > at else int(heads[k + 1]) if k + 1 < len(heads) else len(some)
+        part = some[at:to]
+        local = high[part] - low[part] + length
         with tempfile.TemporaryDirectory() as folder:
-            smallest[ends[at] - windows[at] : ends[to - 1]] = least_of_equal(ragged(flat, starts[at:to], local), np.cumsum(local) - local, local, least[at:to], length, folder)
+            found = least_of_equal(ragged(flat, starts[part] + low[part], local), np.cumsum(local) - local, local, least[part], length, folder)
+        n = local - length + 1
+        smallest[ragged(np.arange(len(smallest)), ends[part] - windows[part] + low[part], n)] = found
         at = to
     out, seen = [], 0
-    for p in parts:
-        n = len(p[1])
-        mine = np.repeat(kind[seen : seen + n], p[6])
-        seen += n
+    for g, sizes, _, repeats, rows, begins, ids in parts:
+        mine = np.repeat(kind[seen : seen + len(sizes)], repeats)
+        seen += len(sizes)
         count = windows[mine]
-        first_window = ends[mine] - count
-        lost = ragged(smallest, first_window, count) < np.repeat(p[9], count)
+        lost = ragged(smallest, ends[mine] - count, count) < np.repeat(ids, count)
         occurrence = np.repeat(np.arange(len(mine)), count)
         offset = ragged(np.arange(MOST), np.zeros(len(mine), np.int64), count)
         edge = np.flatnonzero(np.concatenate(([True], (lost[1:] != lost[:-1]) | (occurrence[1:] != occurrence[:-1]))))
@@ -347,6 +412,6 @@ def _judge(blobs: list[bytes], length: int) -> list[tuple[int, bytes]]:
         edge, size_of = edge[hit], size_of[hit]
         if len(edge):
             who = occurrence[edge]
-            begin = p[8][who] + offset[edge]
-            out.append((int(p[0][0]), pack(p[7][who], begin.astype(np.uint32), (begin + size_of + length - 1).astype(np.uint32))))
+            begin = begins[who] + offset[edge]
+            out.append((int(g[0]), pack(rows[who], begin.astype(np.uint32), (begin + size_of + length - 1).astype(np.uint32))))
     return out
