@@ -26,6 +26,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
+def broadcast_if_small(ids: DataFrame, most_rows: int = 500_000) -> DataFrame:
+    """Ids (8 bytes a row) to join large rows with: written, counted, and broadcast up to most_rows; beyond, Spark shuffles."""
+    ensure_checkpoint_dir(ids.sparkSession)
+    ids = ids.checkpoint()
+    return F.broadcast(ids) if ids.count() <= most_rows else ids
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows kept away from every fit: crc32 of the id as text leaves 1 when divided by 3."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

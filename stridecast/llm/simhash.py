@@ -5,10 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stridecast.llm.common import ensure_checkpoint_dir, keyed_texts, slices
+from stridecast.llm.common import broadcast_if_small, ensure_checkpoint_dir, keyed_texts, slices
 from stridecast.llm.components import connected_components
 
 SEED = 42
@@ -18,24 +18,32 @@ SEGMENTS = 16
 PAIRED = 24
 
 
-def text_fingerprint(text: str, words: int = 3) -> int:
-    """Over half the XXH64 of the shingles have the bit. Only A-Z are lower-cased; words are cut at ASCII white space."""
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """The XXH64 of the word shingles, repeats included. Only A-Z are lower-cased; words are cut at ASCII white space."""
     import xxhash
 
     parts = text.encode().lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     raw = b" ".join(parts)
     lengths = np.array([len(p) for p in parts])
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths).tolist()
     ends = ends[words - 1 :].tolist() if len(parts) >= words else [len(raw)]
     view, one = memoryview(raw), xxhash.xxh64_intdigest
-    h = np.array([one(view[s:e], SEED) for s, e in zip(starts, ends)], np.uint64)
+    return np.array([one(view[s:e], SEED) for s, e in zip(starts, ends)], np.uint64)
+
+
+def majority_bits(h: np.ndarray) -> np.uint64:
+    """A bit is 1 if it is in over half the hashes."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 15):
         counts += np.unpackbits(h[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)[0])
+    return np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)[0]
+
+
+def text_fingerprint(text: str, words: int = 3) -> int:
+    return int(majority_bits(shingle_hashes(text, words)))
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,10 +127,107 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, id_col: str
     return marked.join(by_fp, F.col("fp") == F.col("node_fp")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, words: int = 5, bits: int = 2) -> DataFrame:
-    """The documents with one row of each near-duplicate group: that of the smallest id; columns as they were.
+#: Of the long fingerprints: 64-bit words, chains cut from it, bits of a chain.
+LONG_WORDS, CHAINS, CHAIN_BITS = 4, 72, 20
+
+
+def long_fingerprints(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, bits (array of LONG_WORDS longs), chains (array of longs) of each text that has a word.
+
+    Every word of bits is the SimHash of the shingles under another mixing of their hashes. A chain is CHAIN_BITS consecutive
+    bits of the ring of all bits in one of several fixed orders, with the chain's number above them.
+    """
+    total = 64 * LONG_WORDS
+    per_ring = total // CHAIN_BITS
+    rng = np.random.default_rng(SEED)
+    rings = np.concatenate([rng.permutation(total)[: per_ring * CHAIN_BITS] for _ in range(-(-CHAINS // per_ring))])[: CHAINS * CHAIN_BITS]
+    odd = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64) for k in range(LONG_WORDS)], np.uint64)
+    weight, number = 1 << np.arange(CHAIN_BITS), np.arange(CHAINS) << CHAIN_BITS
+
+    def mixed(h: np.ndarray, k: int) -> np.ndarray:
+        x = h * odd[k]
+        x ^= x >> np.uint64(31)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ x >> np.uint64(29)
 
-    Of rows that share that id, all stay; rows without an id stay too.
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches):
+            ids, bits, chains = [], [], []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                h = shingle_hashes(t, words)
+                if len(h):
+                    own = np.array([majority_bits(mixed(h, k)) for k in range(LONG_WORDS)])
+                    ring = np.unpackbits(own.view(np.uint8), bitorder="little")[rings].reshape(CHAINS, CHAIN_BITS)
+                    ids.append(i)
+                    bits.append(own.view(np.int64))
+                    chains.append(ring @ weight | number)
+            if ids:
+                array = lambda rows: pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * len(rows[0]), pa.int32()), pa.array(np.concatenate(rows), pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), array(bits), array(chains)], ["doc_id", "bits", "chains"])
+
+    texts = keyed_texts(docs).filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    return texts.mapInArrow(run, "doc_id long, bits array<long>, chains array<long>")
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, most_bits: int = 56) -> DataFrame:
+    """doc_id, component_id: documents linked by a Jaccard similarity of their word shingles of `similarity` or more.
+
+    Similarity of 0.8 shows as about 39 +- 6 differing bits of 256, too many for chains that must match whole in every case. So
+    72 chains of 20 bits are tried: with 39 bits differing one at least matches with probability 0.96, with 26 (similarity
+    0.9) with more than 0.999. Along a matched chain, documents in order of their ids are compared with the
+    chain's first and the next two by all 256 bits, in steps whose differences must stay within budgets that grow
+    with the bits compared (the pigeonring rule, from the chain on). Links that are left are checked by the exact
+    similarity of the shingles. Equal fingerprints are one node. A chain that very many documents share costs each of them
+    three comparisons; they are linked through their many other chains.
+    Texts without a word, null texts and null ids are alone. Rows that repeat an id count as one document.
+    """
+    ensure_checkpoint_dir(docs.sparkSession)
+    marked = long_fingerprints(docs, words).checkpoint()
+    nodes = marked.groupBy("bits").agg(F.min("doc_id").alias("node"), F.first("chains").alias("chains"))
+    posted = nodes.select("node", "bits", F.explode("chains").alias("chain"))
+    along = Window.partitionBy("chain").orderBy("node")
+    me = F.struct("node", "bits")
+    others = F.array(*(F.lead(me, k).over(along) for k in (1, 2)), F.when(F.row_number().over(along) > 3, F.first(me).over(along)))
+    differ = lambda x, k: F.bit_count(F.get(F.col("bits"), F.lit(k)).bitwiseXOR(F.get(x["bits"], F.lit(k))))
+    slack = most_bits // 4  # what a part may have over its proportional share
+
+    def close(x: Column) -> Column:
+        ok, so_far = x.isNotNull(), F.lit(0)
+        for k in range(LONG_WORDS):
+            so_far = so_far + differ(x, k)
+            ok = ok & (so_far <= (most_bits if k == LONG_WORDS - 1 else (k + 1) * most_bits // LONG_WORDS + slack))
+        return ok
+
+    near = posted.withColumn("others", others).select("node", F.transform(F.filter("others", close), lambda x: x["node"]).alias("others"))
+    near = near.filter(F.size("others") > 0).groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set("others"))).alias("others"))
+    links = near.select("node", F.explode("others").alias("other")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct().checkpoint()
+
+    def sets(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches):
+            rows = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tolist() for r in rows], pa.list_(pa.int64()))], ["doc_id", "shingles"])
+
+    asked = links.select(F.col("a").alias("doc_id")).union(links.select(F.col("b").alias("doc_id"))).distinct()
+    texts = keyed_texts(docs).filter(F.col("text").isNotNull()).join(broadcast_if_small(asked), "doc_id", "left_semi")
+    # of rows that repeat an id, the first by its text is meant
+    shingles = texts.mapInArrow(sets, "doc_id long, shingles array<long>").groupBy("doc_id").agg(F.max("shingles").alias("shingles")).checkpoint()
+    pairs = links.join(shingles.withColumnsRenamed({"doc_id": "a", "shingles": "sa"}), "a").join(shingles.withColumnsRenamed({"doc_id": "b", "shingles": "sb"}), "b")
+    both = F.size(F.array_intersect("sa", "sb"))
+    kept = pairs.filter(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    groups = connected_components(kept)
+    member = marked.select("doc_id", "bits").join(nodes.select("bits", "node"), "bits").select("doc_id", "node")
+    named = member.join(groups.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
+    return named.groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component_id"))
+
+
+def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents with one of each group of near copies, that of the smallest id; columns as they were.
+
+    Of rows that share that id, all stay; rows without an id, without a text or without a word stay too.
     """
-    found = near_duplicates(docs, words, bits).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("later_id")).distinct()
-    return docs.join(found, docs["doc_id"] == F.col("later_id"), "left_anti")
+    later = similar_documents(docs, words, similarity).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("later_id"))
+    return docs.join(broadcast_if_small(later), docs["doc_id"] == F.col("later_id"), "left_anti")
