@@ -41,20 +41,40 @@ def without(rows: DataFrame, excluded: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(excluded.select(*keys), keys, "left_anti")
 
 
+def _grams(c: Column, n: int) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n))))
+
+
+def containing(inner: DataFrame, outer: DataFrame, n: int = 3) -> DataFrame:
+    """Pairs of rows of inner (_in, ...) and outer (_out, ...) such that _out contains _in; the other columns must differ.
+
+    Outer texts are posted under their n-character parts. An inner text is looked up under its part that is posted least
+    often, so a common part doesn't decide the work; only texts shorter than a part are compared with all.
+    """
+    posts = outer.filter(F.length("_out") >= n).withColumn("_gram", F.explode(_grams(F.col("_out"), n)))
+    counts = posts.groupBy("_gram").agg(F.count("*").alias("_count"))
+    asked = inner.filter(F.length("_in") >= n).select("_in").distinct().withColumn("_gram", F.explode(_grams(F.col("_in"), n))).join(counts, "_gram", "left")
+    rarest = asked.groupBy("_in").agg(F.min_by("_gram", F.struct(F.coalesce("_count", F.lit(0)), "_gram")).alias("_gram"))
+    found = inner.join(rarest, "_in").join(posts, "_gram").filter(F.contains("_out", F.col("_in"))).drop("_gram")
+    short = inner.filter(F.length("_in").between(1, n - 1)).join(outer, F.contains("_out", F.col("_in")))
+    return found.unionByName(short)
+
+
 def resolve_names(names: DataFrame, directory: DataFrame, name: str, key: str, full_name: str, rank: str) -> DataFrame:
     """name, key, tier of each distinct name: 1 equal when lower-cased; 2 one contains the other, the first by rank;
     3 the only entry with the last name in it and the same first letter; else null and 0.
 
-    The first tier is an equi-join. The later tiers compare only the names left over with the directory: names are
-    posted by word, so that a pair is looked at when it shares a word (tier 3) or a word's part (tier 2, where the
-    directory side is Spark's to broadcast if small).
+    The first tier is an equi-join. The later tiers take only the names left over: containment is looked up by the
+    rarest three characters (see containing), the last by the first letter and then the last name.
     """
     asked = names.select(F.col(name)).filter(F.col(name).isNotNull()).distinct().withColumn("_k", name_key(F.col(name)))
     known = directory.filter(F.col(full_name).isNotNull()).select(F.col(key), F.col(rank).alias("_rank"), name_key(F.col(full_name)).alias("_full"))
     exact = asked.join(known.groupBy("_full").agg(F.min_by(key, "_rank").alias("_key1")), F.col("_k") == F.col("_full"), "left").drop("_full")
     rest = exact.filter(F.col("_key1").isNull() & (F.col("_k") != "")).select(name, "_k")
-    inside = rest.join(known, F.contains("_full", F.col("_k")) | F.contains(F.col("_k"), F.col("_full")))
-    second = inside.groupBy(name).agg(F.min_by(key, "_rank").alias("_key2"))
+    asking, listed = rest.select(name, F.col("_k").alias("_in")), known.filter(F.col("_full") != "").select(key, "_rank", F.col("_full").alias("_out"))
+    within = containing(asking, listed).select(name, key, "_rank")
+    around = containing(listed.withColumnRenamed("_out", "_in"), asking.withColumnRenamed("_in", "_out")).select(name, key, "_rank")
+    second = within.union(around).groupBy(name).agg(F.min_by(key, "_rank").alias("_key2"))
     left = rest.join(second.select(name), name, "left_anti").withColumn("_last", F.element_at(F.split("_k", r"\s+"), -1)).withColumn("_first", F.substring("_k", 1, 1))
     third = left.join(known.withColumn("_first", F.substring("_full", 1, 1)), "_first").filter(F.contains("_full", F.col("_last")))
     third = third.groupBy(name).agg(F.count("*").alias("_n"), F.min(key).alias("_key3")).filter("_n = 1").drop("_n")

@@ -71,3 +71,13 @@ def importance(attributions: DataFrame, feature: str, value: str, categories: di
 def union_aligned(first: DataFrame, *others: DataFrame) -> DataFrame:
     """Union by name, columns that one lacks null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), others, first)
+
+
+def sorted_rows(rows: DataFrame, *keys: str) -> DataFrame:
+    """In order of the keys, nulls last; for output only."""
+    return rows.orderBy(*(F.asc_nulls_last(k) for k in keys))
+
+
+def first_rows(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """The first n rows by the keys, for trial runs."""
+    return sorted_rows(rows, *keys).limit(n)

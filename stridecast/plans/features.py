@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stridecast.functions.scalars import days_into_season
 from stridecast.operators.cohort import match_controls
 from stridecast.operators.entities import without
-from stridecast.operators.pit import asof_join, observation_spine, static_join
+from stridecast.operators.pit import asof_join, observation_spine, ratio_snapshot, replace_columns, static_join
 from stridecast.operators.profile import union_aligned
 
 
@@ -38,3 +38,10 @@ def case_control_matrix(cases: DataFrame, roster: DataFrame, entity: str, day: s
     controls = drawn.select("_case", "_c").join(dates, "_case").select(F.col("_c").alias(entity), F.col("_case").alias("case_id"), F.lit(0).alias("event"), (F.col("_day") if same_day else june).alias("observation_date"))
     rows = union_aligned(own, controls)
     return static_join(rows.withColumn("time_elapsed_days", days_into_season(F.col("observation_date"))), attributes, entity)
+
+
+def refresh_loads(matrix: DataFrame, loads: DataFrame, entity: str, observed: str, day: str, load: str, event: str) -> DataFrame:
+    """The matrix with its load columns computed anew for each (entity, observation)."""
+    keys = [entity, observed]
+    once = matrix.groupBy(*keys).agg(F.max(event).alias(event))
+    return replace_columns(matrix, ratio_snapshot(once, loads, entity, observed, day, load, event).drop(event), keys)

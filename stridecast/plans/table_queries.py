@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stridecast.functions import scalars as sc
 from stridecast.operators import cohort, entities, prep, profile
 from stridecast.plans import adapters as a
-from stridecast.plans.features import case_control_matrix
+from stridecast.plans.features import case_control_matrix, refresh_loads
 from stridecast.plans.registry import query
 from stridecast.plans.time_queries import DENSE, PRIMARY, SEASON, USERS
 from stridecast.sources import tables as src
@@ -306,3 +306,23 @@ def pca(spark, sf_dir):
     rows = a.table(spark, sf_dir, "embeddings").select("vec_id", *(F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(11)))
     out, _ = prep.principal_components(rows, [f"f{i}" for i in range(11)])
     return out.select("vec_id", *(F.round(f"ps_dim_{i}", 6).alias(f"ps_dim_{i}") for i in range(8)))
+
+
+@query("SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 7 > 0 THEN CAST(o_orderdate AS DATE) END AS day FROM orders", dates=("day",))
+def sorted_rows(spark, sf_dir):
+    rows = a.orders_dated(spark, sf_dir).select("o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 7 > 0, F.col("day")).alias("day"))
+    return profile.sorted_rows(rows, "o_custkey", "day", "o_orderkey")
+
+
+@query("SELECT c_custkey, c_name FROM customer ORDER BY c_name, c_custkey LIMIT 25")
+def trial_rows(spark, sf_dir):
+    return profile.first_rows(a.table(spark, sf_dir, "customer").select("c_custkey", "c_name"), 25, "c_name", "c_custkey")
+
+
+@query(f"""WITH {DENSE}, m AS (SELECT s_suppkey AS player_id, DATE '2000-12-20' AS observed, 1 AS event FROM supplier)
+SELECT m.player_id, m.observed, event, CAST(m.observed - max(game_date) AS INTEGER) AS days_since_last, CAST(count(*) FILTER (WHERE game_date >= m.observed - 7) AS INTEGER) AS events_last_7
+FROM m LEFT JOIN d ON m.player_id = d.player_id AND game_date <= m.observed AND {SEASON.format("game_date")} > {SEASON.format("m.observed")} - 3 GROUP BY m.player_id, m.observed, event""", dates=("observed",))
+def refreshed_matrix(spark, sf_dir):
+    stale = a.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("player_id"), F.lit("2000-12-20").cast("date").alias("observed"), F.lit(1).alias("event"), F.lit(-1).alias("days_since_last"))
+    fresh = refresh_loads(stale, a.dense_loads(spark, sf_dir), "player_id", "observed", "game_date", "load", "event")
+    return fresh.select("player_id", "observed", "event", "days_since_last", "events_last_7")

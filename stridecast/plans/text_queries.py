@@ -141,3 +141,15 @@ def json_frames(spark, sf_dir):
     users = days.groupBy("user_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("d", "r")))).alias("json"))
     r = F.col("record")
     return src.flatten_frames(users, "json").select("user_id", F.col("frame").cast("date").alias("day"), r["kind"].alias("kind"), r["id"].cast("long").alias("id"))
+
+
+# Sentences that the medical rules vote on.
+_SAID = ["he ruptured his achilles", "torn achilles, out for the season", "Achilles soreness", "tightness in his achilles", "tendinosis again", "achilles: did not play", "cleared for full practice", "activated from the IL", "no achilles issue", "achilles is fine", "load management", "cleared, achilles"]
+
+
+@query(f"WITH t AS (SELECT p_partkey, lower({_SAID!r}[CAST(p_partkey % {len(_SAID)} AS INTEGER) + 1] || ' ' || p_name) AS s FROM part) SELECT p_partkey, {', '.join(f'{_vote(r)} AS {r.name}' for r in weaklabel.RULES)} FROM t")
+def medical_votes(spark, sf_dir):
+    said = F.get(F.array(*(F.lit(x) for x in _SAID)), (F.col("p_partkey") % len(_SAID)).cast("int"))
+    rows = a.table(spark, sf_dir, "part").select("p_partkey", F.concat(said, F.lit(" "), "p_name").alias("text"))
+    voted = weaklabel.votes(rows, "text")
+    return voted.select("p_partkey", *(F.get("votes", F.lit(i)).alias(r.name) for i, r in enumerate(weaklabel.RULES)))
