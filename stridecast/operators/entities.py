@@ -69,15 +69,14 @@ def resolve_names(names: DataFrame, directory: DataFrame, name: str, key: str, f
     """
     asked = names.select(F.col(name)).filter(F.col(name).isNotNull()).distinct().withColumn("_k", name_key(F.col(name)))
     known = directory.filter(F.col(full_name).isNotNull()).select(F.col(key), F.col(rank).alias("_rank"), name_key(F.col(full_name)).alias("_full"))
-    exact = asked.join(known.groupBy("_full").agg(F.min_by(key, "_rank").alias("_key1")), F.col("_k") == F.col("_full"), "left").drop("_full")
-    rest = exact.filter(F.col("_key1").isNull() & (F.col("_k") != "")).select(name, "_k")
-    asking, listed = rest.select(name, F.col("_k").alias("_in")), known.filter(F.col("_full") != "").select(key, "_rank", F.col("_full").alias("_out"))
-    within = containing(asking, listed).select(name, key, "_rank")
-    around = containing(listed.withColumnRenamed("_out", "_in"), asking.withColumnRenamed("_in", "_out")).select(name, key, "_rank")
-    second = within.union(around).groupBy(name).agg(F.min_by(key, "_rank").alias("_key2"))
-    left = rest.join(second.select(name), name, "left_anti").withColumn("_last", F.element_at(F.split("_k", r"\s+"), -1)).withColumn("_first", F.substring("_k", 1, 1))
-    third = left.join(known.withColumn("_first", F.substring("_full", 1, 1)), "_first").filter(F.contains("_full", F.col("_last")))
-    third = third.groupBy(name).agg(F.count("*").alias("_n"), F.min(key).alias("_key3")).filter("_n = 1").drop("_n")
-    out = exact.join(second, name, "left").join(third, name, "left")
-    tier = F.when(F.col("_key1").isNotNull(), 1).when(F.col("_key2").isNotNull(), 2).when(F.col("_key3").isNotNull(), 3).otherwise(0)
-    return out.select(name, F.coalesce("_key1", "_key2", "_key3").alias(key), tier.alias("tier"))
+    full = known.filter(F.col("_full") != "").select("_full", F.struct("_rank", key).alias("_hit"))
+    exact = asked.join(full, F.col("_k") == F.col("_full")).select(name, F.lit(1).alias("_tier"), "_hit")
+    rest = asked.filter(F.col("_k") != "").join(full.select(F.col("_full").alias("_k")).distinct(), "_k", "left_anti")
+    asking, listed = rest.select(name, F.col("_k").alias("_in")), full.withColumnRenamed("_full", "_out")
+    within = containing(asking, listed).select(name, F.lit(2).alias("_tier"), "_hit")
+    around = containing(listed.withColumnRenamed("_out", "_in"), asking.withColumnRenamed("_in", "_out")).select(name, F.lit(2).alias("_tier"), "_hit")
+    initial = rest.withColumn("_last", F.element_at(F.split("_k", r"\s+"), -1)).withColumn("_first", F.substring("_k", 1, 1))
+    alike = initial.join(full.withColumn("_first", F.substring("_full", 1, 1)), "_first").filter(F.contains("_full", F.col("_last")))
+    alone = alike.groupBy(name).agg(F.count("*").alias("_n"), F.min("_hit").alias("_hit")).filter("_n = 1").select(name, F.lit(3).alias("_tier"), "_hit")
+    best = exact.union(within).union(around).union(alone).groupBy(name).agg(F.min(F.struct("_tier", "_hit")).alias("_best"))
+    return asked.join(best, name, "left").select(name, F.col("_best._hit")[key].alias(key), F.coalesce(F.col("_best._tier"), F.lit(0)).alias("tier"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The acute and chronic days of each scale.
@@ -29,23 +29,24 @@ def fill_gaps(rows: DataFrame, entity: str, day: str, load: str) -> DataFrame:
     return joined.select(entity, day, F.coalesce(load, F.lit(0.0)).alias(load), *filled, F.col("_real").isNull().alias("_gap_fill"))
 
 
-def ewma(load: Column, index: Column, keys: list[str], days: int) -> Column:
-    """The adjusted exponentially weighted mean of span 2 * days - 1, days without a row weighing as zeros.
+def add_ewma(rows: DataFrame, name: str, load: str, index: str, keys: list[str], days: int) -> DataFrame:
+    """rows with the adjusted exponentially weighted mean of span 2 * days - 1, days without a row weighing as zeros.
 
-    index: days since the entity's first row. Weights are (1 - 1 / days) to the age. Zeros add nothing to the weighted
+    index: days since the key's first row. Weights are (1 - 1 / days) to the age. Zeros add nothing to the weighted
     sum, and the weights of all days so far are a geometric series, so no row is made for a gap. Running sums are
     kept in blocks of so many days that rescaled weights stay finite; what lies two blocks back is below 1e-250.
+    Both windows read one order (key, block, day), so a mean costs one sort within the partitions of the key.
     """
     if days == 1:
-        return load.cast("double")
+        return rows.withColumn(name, F.col(load).cast("double"))
     w = 1 - 1 / days
     length = int(250 / -math.log10(w))
-    block, place = F.floor(index / length).cast("int"), (index % length).cast("double")
-    scaled = load * F.pow(F.lit(w), -place)
-    own = F.sum(scaled).over(Window.partitionBy(*keys, block).orderBy(index).rangeBetween(Window.unboundedPreceding, 0))
-    before = F.sum(scaled).over(Window.partitionBy(*keys).orderBy(block).rangeBetween(-1, -1))
-    total = own * F.pow(F.lit(w), place) + F.coalesce(before, F.lit(0.0)) * F.pow(F.lit(w), place + length)
-    return total * (1 - w) / (1 - F.pow(F.lit(w), index + 1))
+    place = (F.col(index) % length).cast("double")
+    rows = rows.withColumn("_block", F.floor(F.col(index) / length).cast("int")).withColumn("_scaled", F.col(load) * F.pow(F.lit(w), -place))
+    rows = rows.withColumn("_own", F.sum("_scaled").over(Window.partitionBy(*keys, "_block").orderBy(index).rangeBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_before", F.sum("_scaled").over(Window.partitionBy(*keys).orderBy("_block").rangeBetween(-1, -1)))
+    total = F.col("_own") * F.pow(F.lit(w), place) + F.coalesce("_before", F.lit(0.0)) * F.pow(F.lit(w), place + length)
+    return rows.withColumn(name, total * (1 - w) / (1 - F.pow(F.lit(w), F.col(index) + 1))).drop("_block", "_scaled", "_own", "_before")
 
 
 def load_ratios(rows: DataFrame, keys: list[str], day: str, load: str, scales: dict[str, tuple[int, int]] = SCALES, calendar: bool = True) -> DataFrame:
@@ -57,7 +58,8 @@ def load_ratios(rows: DataFrame, keys: list[str], day: str, load: str, scales: d
     first = F.datediff(F.col(day), F.min(day).over(over)) if calendar else F.row_number().over(over.orderBy(day)) - 1
     out = rows.withColumn("_index", first)
     for name, (acute, chronic) in scales.items():
-        out = out.withColumn(f"ewma_acute_{name}", ewma(F.col(load), F.col("_index"), keys, acute)).withColumn(f"ewma_chronic_{name}", ewma(F.col(load), F.col("_index"), keys, chronic))
+        out = add_ewma(out, f"ewma_acute_{name}", load, "_index", keys, acute)
+        out = add_ewma(out, f"ewma_chronic_{name}", load, "_index", keys, chronic)
         out = out.withColumn(f"acwr_{name}", F.when(F.col(f"ewma_chronic_{name}") >= FLOOR, F.col(f"ewma_acute_{name}") / F.col(f"ewma_chronic_{name}")))
     return out.drop("_index")
 
