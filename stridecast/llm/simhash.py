@@ -128,7 +128,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, id_col: str
 
 
 #: Of the long fingerprints: 64-bit words, chains cut from it, bits of a chain.
-LONG_WORDS, CHAINS, CHAIN_BITS = 4, 72, 20
+LONG_WORDS, CHAINS, CHAIN_BITS = 4, 96, 20
 
 
 def long_fingerprints(docs: DataFrame, words: int) -> DataFrame:
@@ -171,11 +171,11 @@ def long_fingerprints(docs: DataFrame, words: int) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, bits array<long>, chains array<long>")
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, most_bits: int = 56) -> DataFrame:
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, most_bits: int = 64) -> DataFrame:
     """doc_id, component_id: documents linked by a Jaccard similarity of their word shingles of `similarity` or more.
 
     Similarity of 0.8 shows as about 39 +- 6 differing bits of 256, too many for chains that must match whole in every case. So
-    72 chains of 20 bits are tried: with 39 bits differing one at least matches with probability 0.96, with 26 (similarity
+    96 chains of 20 bits are tried: with 39 bits differing one at least matches with probability 0.98, with 26 (similarity
     0.9) with more than 0.999. Along a matched chain, documents in order of their ids are compared with the
     chain's first and the next two by all 256 bits, in steps whose differences must stay within budgets that grow
     with the bits compared (the pigeonring rule, from the chain on). Links that are left are checked by the exact
