@@ -1,7 +1,10 @@
-"""SimHash near-dedup: 64-bit fingerprints of word shingles, linked at few differing bits, found by pigeonring chains."""
+"""SimHash near-dedup: 64-bit fingerprints of word shingles, linked at few differing bits, found by pigeonring chains; and
+near copies by the exact similarity of their sets of shingles."""
 
 from __future__ import annotations
 
+import hashlib
+import math
 from functools import reduce
 
 import numpy as np
@@ -127,101 +130,145 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, id_col: str
     return marked.join(by_fp, F.col("fp") == F.col("node_fp")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Of the long fingerprints: 64-bit words, chains cut from it, bits of a chain.
-LONG_WORDS, CHAINS, CHAIN_BITS = 4, 96, 20
+#: One of so many documents tells which shingles are common, and so many of these are known at most. They only set the order
+#: in which shingles are looked at; no result depends on it.
+SAMPLED, COMMON = 16, 200_000
+#: Members of a shingle's group meet in blocks of so many, one pair of blocks a key.
+BLOCK = 256
 
 
-def long_fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, bits (array of LONG_WORDS longs), chains (array of longs) of each text that has a word.
+def shingle_set(text: str, words: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, words))
 
-    Every word of bits is the SimHash of the shingles under another mixing of their hashes. A chain is CHAIN_BITS consecutive
-    bits of the ring of all bits in one of several fixed orders, with the chain's number above them.
+
+def set_key(shingles: np.ndarray) -> bytes:
+    """128 bits that tell sets of shingles apart."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
+def _with_words(docs: DataFrame) -> DataFrame:
+    return keyed_texts(docs).filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+
+
+def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of the sampled documents hold, ascending, and in how many of them."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches):
+            found = np.concatenate([shingle_set(t, words) for t in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["shingle"])
+
+    sampled = _with_words(docs).filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0)
+    counted = sampled.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
+    rows = counted.orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
+    shingles, counts = rows.column(0).to_numpy().view(np.uint64), rows.column(1).to_numpy()
+    order = np.argsort(shingles)
+    return shingles[order], counts[order]
+
+
+def shingle_prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """doc_id, set_key, size and prefix (array of longs) of the set of shingles of each text that has a word.
+
+    In an order common to all documents, rare shingles first, the prefix is as long as it must be for two sets of the
+    similarity or more to have a shingle of both prefixes in common, whatever the order.
     """
-    total = 64 * LONG_WORDS
-    per_ring = total // CHAIN_BITS
-    rng = np.random.default_rng(SEED)
-    rings = np.concatenate([rng.permutation(total)[: per_ring * CHAIN_BITS] for _ in range(-(-CHAINS // per_ring))])[: CHAINS * CHAIN_BITS]
-    odd = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64) for k in range(LONG_WORDS)], np.uint64)
-    weight, number = 1 << np.arange(CHAIN_BITS), np.arange(CHAINS) << CHAIN_BITS
-
-    def mixed(h: np.ndarray, k: int) -> np.ndarray:
-        x = h * odd[k]
-        x ^= x >> np.uint64(31)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        return x ^ x >> np.uint64(29)
+    common, counts = common_shingles(docs, words)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in slices(batches):
-            ids, bits, chains = [], [], []
+            ids, keys, sizes, prefixes = [], [], [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h = shingle_hashes(t, words)
-                if len(h):
-                    own = np.array([majority_bits(mixed(h, k)) for k in range(LONG_WORDS)])
-                    ring = np.unpackbits(own.view(np.uint8), bitorder="little")[rings].reshape(CHAINS, CHAIN_BITS)
+                found = shingle_set(t, words)
+                n = len(found)
+                if n:
                     ids.append(i)
-                    bits.append(own.view(np.int64))
-                    chains.append(ring @ weight | number)
+                    keys.append(set_key(found))
+                    sizes.append(n)
+                    if len(common):
+                        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+                        found = found[np.argsort(np.where(common[at] == found, counts[at], 0), kind="stable")]
+                    prefixes.append(found[: n - math.ceil(similarity * n - 1e-9) + 1].view(np.int64))
             if ids:
-                array = lambda rows: pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * len(rows[0]), pa.int32()), pa.array(np.concatenate(rows), pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), array(bits), array(chains)], ["doc_id", "bits", "chains"])
-
-    texts = keyed_texts(docs).filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    return texts.mapInArrow(run, "doc_id long, bits array<long>, chains array<long>")
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])])
+                prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes), pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), prefix], ["doc_id", "set_key", "size", "prefix"])
 
+    return _with_words(docs).mapInArrow(run, "doc_id long, set_key binary, size int, prefix array<long>")
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, most_bits: int = 64) -> DataFrame:
-    """doc_id, component_id: documents linked by a Jaccard similarity of their word shingles of `similarity` or more.
 
-    Similarity of 0.8 shows as about 39 +- 6 differing bits of 256, too many for chains that must match whole in every case. So
-    96 chains of 20 bits are tried: with 39 bits differing one at least matches with probability 0.98, with 26 (similarity
-    0.9) with more than 0.999. Along a matched chain, documents in order of their ids are compared with the
-    chain's first and the next two by all 256 bits, in steps whose differences must stay within budgets that grow
-    with the bits compared (the pigeonring rule, from the chain on). Links that are left are checked by the exact
-    similarity of the shingles. Equal fingerprints are one node. A chain that very many documents share costs each of them
-    three comparisons; they are linked through their many other chains.
-    Texts without a word, null texts and null ids are alone. Rows that repeat an id count as one document.
-    """
-    ensure_checkpoint_dir(docs.sparkSession)
-    marked = long_fingerprints(docs, words).checkpoint()
-    nodes = marked.groupBy("bits").agg(F.min("doc_id").alias("node"), F.first("chains").alias("chains"))
-    posted = nodes.select("node", "bits", F.explode("chains").alias("chain"))
-    along = Window.partitionBy("chain").orderBy("node")
-    me = F.struct("node", "bits")
-    others = F.array(*(F.lead(me, k).over(along) for k in (1, 2)), F.when(F.row_number().over(along) > 3, F.first(me).over(along)))
-    differ = lambda x, k: F.bit_count(F.get(F.col("bits"), F.lit(k)).bitwiseXOR(F.get(x["bits"], F.lit(k))))
-    slack = most_bits // 4  # what a part may have over its proportional share
-
-    def close(x: Column) -> Column:
-        ok, so_far = x.isNotNull(), F.lit(0)
-        for k in range(LONG_WORDS):
-            so_far = so_far + differ(x, k)
-            ok = ok & (so_far <= (most_bits if k == LONG_WORDS - 1 else (k + 1) * most_bits // LONG_WORDS + slack))
-        return ok
-
-    near = posted.withColumn("others", others).select("node", F.transform(F.filter("others", close), lambda x: x["node"]).alias("others"))
-    near = near.filter(F.size("others") > 0).groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set("others"))).alias("others"))
-    links = near.select("node", F.explode("others").alias("other")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct().checkpoint()
+def _alike(docs: DataFrame, links: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The links a, b whose sets of shingles have the similarity. Of rows that repeat an id the largest set_key is meant."""
 
     def sets(batches):
         import pyarrow as pa
 
         for batch in slices(batches):
-            rows = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tolist() for r in rows], pa.list_(pa.int64()))], ["doc_id", "shingles"])
+            rows = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
+            shingles = pa.array([r.view(np.int64).tolist() for r in rows], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_key(r) if len(r) else None for r in rows], pa.binary()), shingles], ["doc_id", "set_key", "shingles"])
 
     asked = links.select(F.col("a").alias("doc_id")).union(links.select(F.col("b").alias("doc_id"))).distinct()
-    texts = keyed_texts(docs).filter(F.col("text").isNotNull()).join(broadcast_if_small(asked), "doc_id", "left_semi")
-    # of rows that repeat an id, the first by its text is meant
-    shingles = texts.mapInArrow(sets, "doc_id long, shingles array<long>").groupBy("doc_id").agg(F.max("shingles").alias("shingles")).checkpoint()
+    texts = _with_words(docs).join(broadcast_if_small(asked), "doc_id", "left_semi")
+    meant = texts.mapInArrow(sets, "doc_id long, set_key binary, shingles array<long>").groupBy("doc_id").agg(F.max(F.struct("set_key", "shingles")).alias("meant"))
+    shingles = meant.select("doc_id", F.col("meant.shingles").alias("shingles")).checkpoint()
     pairs = links.join(shingles.withColumnsRenamed({"doc_id": "a", "shingles": "sa"}), "a").join(shingles.withColumnsRenamed({"doc_id": "b", "shingles": "sb"}), "b")
     both = F.size(F.array_intersect("sa", "sb"))
-    kept = pairs.filter(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
-    groups = connected_components(kept)
-    member = marked.select("doc_id", "bits").join(nodes.select("bits", "node"), "bits").select("doc_id", "node")
-    named = member.join(groups.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
-    return named.groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component_id"))
+    return pairs.filter(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, component_id: documents linked by a Jaccard similarity of their word shingles of `similarity` or more. Exact.
+
+    Equal sets of shingles are one node. Two nodes of the similarity share a shingle of both prefixes (shingle_prefixes), so
+    nodes are posted under the shingles of theirs. The first round compares each member of a shingle's group with the next one and
+    the first, which is all pairs of up to three members. The second compares all pairs of the larger groups but those that
+    the first round's components hold already, in pairs of blocks; so a large group of copies costs no pairs
+    among its members. Both rounds drop pairs whose sizes and positions rule the similarity out, and check the rest by
+    the whole sets.
+    Texts without a word, null texts and null ids are alone. Rows that repeat an id count as one document.
+    """
+    ensure_checkpoint_dir(docs.sparkSession)
+    marked = shingle_prefixes(docs, words, similarity).checkpoint()
+    meant = marked.groupBy("doc_id").agg(F.max("set_key").alias("set_key"), F.count("*").alias("rows"))
+    nodes = meant.groupBy("set_key").agg(F.min("doc_id").alias("node"))
+    member = meant.join(nodes, "set_key").select("doc_id", "set_key", "node", "rows").checkpoint()
+    # only rows of repeated ids are shuffled with their prefixes
+    repeated = member.filter("rows > 1 and doc_id = node").select("doc_id", "set_key")
+    own = marked.join(broadcast_if_small(member.filter("rows > 1 or doc_id != node").select("doc_id")), "doc_id", "left_anti")
+    own = own.union(marked.join(broadcast_if_small(repeated), ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id"]).select(own.columns))
+    posted = own.select(F.col("doc_id").alias("node"), "size", F.posexplode("prefix").alias("pos", "shingle"))
+    along = Window.partitionBy("shingle").orderBy("node")
+    met = posted.withColumn("n", F.count("*").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).filter("n > 1").checkpoint()
+
+    def possible(x: Column, y: Column) -> Column:
+        # of two sets whose first common shingle is at these positions
+        return F.least(x["size"] - x["pos"], y["size"] - y["pos"]) >= similarity / (1 + similarity) * (x["size"] + y["size"]) - 1e-9
+
+    me = F.struct("node", "size", "pos")
+    others = F.array(F.lead(me).over(along), F.when(F.row_number().over(along) > 2, F.first(me).over(along)))
+    first = met.select(me.alias("x"), others.alias("others")).select("x", F.explode("others").alias("y")).filter(possible(F.col("x"), F.col("y")))
+    first = first.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().checkpoint()
+    groups = connected_components(_alike(docs, first, words, similarity))
+
+    linked = groups.withColumnRenamed("node", "linked")
+    larger = met.filter("n > 3").join(linked, F.col("node") == F.col("linked"), "left").select("shingle", "n", "node", F.struct("node", "size", "pos", F.coalesce("component", "node").alias("component")).alias("x"))
+    mixed = larger.groupBy("shingle").agg(F.min("x.component").alias("low"), F.max("x.component").alias("high")).filter("low < high").select("shingle")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    larger = larger.join(mixed, "shingle").select("shingle", "x", blocks.alias("blocks"), F.pmod(F.xxhash64("node", "shingle"), blocks).cast("int").alias("block"))
+    left = larger.select("shingle", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), "x")
+    right = larger.select("shingle", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.col("x").alias("y"))
+    apart = (F.col("x.component") != F.col("y.component")) & ((F.col("i") < F.col("j")) | (F.col("x.node") < F.col("y.node")))
+    second = left.join(right, ["shingle", "i", "j"]).filter(apart & possible(F.col("x"), F.col("y")))
+    second = second.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti").checkpoint()
+    if not second.isEmpty():
+        joined = groups.select(F.col("component").alias("a"), F.col("node").alias("b"))
+        groups = connected_components(joined.union(_alike(docs, second, words, similarity)))
+    named = member.select("doc_id", "node").join(groups.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
+    return named.select("doc_id", F.coalesce("component", "node").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

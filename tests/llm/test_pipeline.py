@@ -72,3 +72,35 @@ def test_similar_documents_against_brute_force(spark):
     assert sum(got[i] != i for i in joined) >= 0.95 * len(joined)
     assert all(want[got[i]] == want[i] for i in got)  # never wrongly joined
     assert np.mean([got[i] == want[i] for i in got]) > 0.99
+
+
+def texts_frame(spark, texts):
+    return spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+
+
+def test_no_pair_of_the_similarity_is_missed(spark):
+    rng = np.random.default_rng(3)
+    texts = {}
+    for k in range(500):
+        words = [f"w{x}" for x in rng.integers(0, 10**9, 204)]
+        texts[k] = " ".join(words)
+        words[100:118] = [f"v{x}" for x in rng.integers(0, 10**9, 18)]  # 22 of 200 shingles: similarity 178 / 222
+        texts[1000 + k] = " ".join(words)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(texts_frame(spark, texts)).collect()}
+    assert got == {i: i % 1000 for i in texts}
+
+
+def test_partners_do_not_depend_on_id_order(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    base = [f"w{x}" for x in range(30)]
+    texts = {}
+    for i in rng.permutation(400).tolist():
+        words = base[: 12 + i % 18]
+        for at in rng.integers(0, len(words), rng.integers(0, 3)):
+            words[at] = f"v{rng.integers(0, 3)}"
+        texts[i] = " ".join(words)
+    want = near_groups(texts)
+    assert len(set(want.values())) > 50
+    for block in (256, 8):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        assert {r.doc_id: r.component_id for r in simhash.similar_documents(texts_frame(spark, texts)).collect()} == want
