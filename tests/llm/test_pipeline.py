@@ -104,3 +104,12 @@ def test_partners_do_not_depend_on_id_order(spark, monkeypatch):
     for block in (256, 8):
         monkeypatch.setattr(simhash, "BLOCK", block)
         assert {r.doc_id: r.component_id for r in simhash.similar_documents(texts_frame(spark, texts)).collect()} == want
+
+
+def test_equal_fingerprints_of_different_sets_stay(spark):
+    words = lambda c, n: " ".join(f"{c}{x}" for x in range(n))
+    shared = words("s", 21)
+    texts = {k: " ".join([shared] * 50 + [words(c, 104)]) for k, c in ((1, "a"), (2, "b"))}
+    texts[3] = texts[1] + " " + texts[1]  # the set of 1 but for few
+    assert near_groups(texts) == {1: 1, 2: 2, 3: 1}
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(texts_frame(spark, texts)).collect()} == {1: 1, 2: 2, 3: 1}
