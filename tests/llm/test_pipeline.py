@@ -113,3 +113,15 @@ def test_equal_fingerprints_of_different_sets_stay(spark):
     texts[3] = texts[1] + " " + texts[1]  # the set of 1 but for few
     assert near_groups(texts) == {1: 1, 2: 2, 3: 1}
     assert {r.doc_id: r.component_id for r in simhash.similar_documents(texts_frame(spark, texts)).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_repeats_do_not_hide_a_copy(spark):
+    rng = np.random.default_rng(5)
+    texts = {}
+    for k in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 10**9, 304)]
+        texts[k] = " ".join(words)
+        texts[1000 + k] = " ".join(words + words[100:130] * 14)
+    assert near_groups(texts) == {i: i % 1000 for i in texts}
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(texts_frame(spark, texts)).collect()}
+    assert got == {i: i % 1000 for i in texts}
