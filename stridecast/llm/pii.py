@@ -19,12 +19,22 @@ FIRST, LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31)
 EMAIL = re.compile(r"(?<![A-Za-z0-9._%+\-])([A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}|[^\W\d_][\w.%+\-]{0,63})@((?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24})(?![A-Za-z0-9\-])")
 NUMBERS = re.compile(
     r"(?<![\w.])(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?!\.?\d|\w)"
-    r"|(?<![\w.\-/])(?P<date>\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4})(?![\w/\-])"
+    r"|(?<![\w.\-/])(?P<date>\d{4}-\d{2}-\d{2}(?=T\d)|(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{4}/\d{1,2}/\d{1,2}|\d{4}\.\d{1,2}\.\d{1,2}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/\-]|\.\d))"
     r"|(?<![\w\-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w\-])"
-    r"|(?<!\w)(?P<phone>\+\d{1,3} ?\(\d{3}\) ?\d{3}-\d{4}|\+\d{1,3}[ \-]\d{3}[ \-]\d{3}[ \-]\d{4}|\(\d{3}\) \d{3}-\d{4})(?!\w)"
+    r"|(?<!\w)(?P<phone>\+\d{1,3} ?\(\d{3}\) ?\d{3}-\d{4}|\+\d{1,3}[ \-]\d{3}[ \-]\d{3}[ \-]\d{4}|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\+\d{8,15}|\+\d{1,3}(?:[ .\-]?\(\d{1,4}\))?(?:[ .\-]\d{1,8}){1,5}(?![\-/]\d))(?!\w)"
     r"|(?<![\w\-])(?P<card>\d(?:[ \-]?\d){12,18})(?![\w\-])"
+    r"|(?<![\w.\-+/])(?P<plain>(?:1(?P<sep>[ .\-]))?[2-9]\d{2}(?P<sep2>[ .\-])\d{3}(?P=sep2)\d{4}|[2-9]\d{9})(?![\w\-/]|\.\d)"
 )
-SECRET = re.compile(r"""(?P<name>\b(?:token|secret|password|passwd|api[_-]?key)\b\s*[=:]\s*)(?P<quote>["'])(?P<secret>[A-Za-z0-9_\-+/=]{8,256})(?P=quote)""", re.IGNORECASE)
+FULL = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+#: Of English month names; the same spelling is kept, so "may" and "sept", which tell no other month's, keep their month.
+SHORT = tuple(m[:3] for m in FULL)
+_NAMES = "(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept(?:ember)?|sep|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+NAMED = re.compile(
+    rf"(?<![\w.\-/])(?:(?P<d1>\d{{1,2}})(?P<o1>st|nd|rd|th)?(?P<g1>\.? |-| of )(?P<m1>{_NAMES})(?P<h1>\.?,? |-)(?P<y1>\d{{4}})"
+    rf"|(?P<m2>{_NAMES})(?P<g2>\.? )(?P<d2>\d{{1,2}})(?P<o2>st|nd|rd|th)?(?P<h2>,? )(?P<y2>\d{{4}}))(?![\w/\-])",
+    re.IGNORECASE,
+)
+SECRET = re.compile(r"""(?P<name>\b(?:token|secret|password|passwd|api[_-]?key)\b\s*[=:]\s*)(?:(?P<quote>["'])(?P<secret>[A-Za-z0-9_\-+/=]{8,256})(?P=quote)|(?P<open>(?:[A-Za-z0-9_\-+/=]|[.!#$%^*~](?=[A-Za-z0-9])){8,256}))""", re.IGNORECASE)
 
 
 class Feistel:
@@ -118,9 +128,23 @@ def replace_number(kind: str, found: str, net: Feistel, back: bool = False) -> s
         if not ok(int(digits)):
             return None
         return _refill(found, f"{net.within(int(digits), 0, 10**9 - 1, 'ssn', back, ok):09d}")
+    if kind == "plain":
+        # without a sign of a phone, the area code must be one; a bare run of digits needs an exchange too
+        bare = found.isdigit()
+        code = lambda v: v // 100 > 1 and v % 100 != 11
+        ok = lambda v: v // 10**9 > 1 and (not bare or code(v // 10**7) and code(v // 10**4 % 1000))
+        value = int(digits[-10:])
+        return _refill(found, f"{digits[:-10]}{net.within(value, 0, 10**10 - 1, 'plain', back, ok):010d}") if ok(value) else None
     if kind == "phone":
-        national = digits[-10:]
-        return _refill(found, digits[:-10] + net.string(national, DIGITS, "phone", back))
+        # the country's code stays: digits before the first separator, or all but ten of a run
+        groups = re.findall(r"\d+", found)
+        while len("".join(groups)) > 15:  # other numbers that follow
+            groups.pop()
+        used = "".join(groups)
+        if len(used) < 8:
+            return None
+        kept = 0 if found[0] != "+" else len(groups[0]) if len(groups) > 1 else max(1, len(used) - 10)
+        return _refill(found, used[:kept] + net.string(used[kept:], DIGITS, "phone", back) + digits[len(used) :])
     if not luhn(digits):
         return None
     body = net.string(digits[:-1], DIGITS, "card", back)
@@ -135,6 +159,8 @@ def _date(found: str, net: Feistel, back: bool) -> str | None:
             return None
         return value if FIRST <= value <= LAST else None
 
+    if "." in found or found[4:5] == "/":
+        return _in_format(re.split(r"[./]", found), found, made, net, back)
     if "-" in found:
         value = made(*map(int, found.split("-")))
         return value and datetime.date.fromordinal(net.within(value, FIRST, LAST, "date", back)).isoformat()
@@ -148,6 +174,55 @@ def _date(found: str, net: Feistel, back: bool) -> str | None:
     return None
 
 
+def _in_format(parts: list[str], found: str, made, net: Feistel, back: bool) -> str | None:
+    """A date of parts year, month, day or day, month, year; a part of one digit stays one, of two two."""
+    order = parts if len(parts[0]) == 4 else parts[::-1]
+    value = made(*map(int, order))
+    if value is None:
+        return None
+    widths = [len(x) for x in order[1:]]
+
+    def fits(v: int) -> bool:
+        new = datetime.date.fromordinal(v)
+        return all(w == 2 or x < 10 for w, x in zip(widths, (new.month, new.day)))
+
+    new = datetime.date.fromordinal(net.within(value, FIRST, LAST, f"{found[len(parts[0])]}{widths}", back, fits))
+    said = [str(new.year), f"{new.month:0{widths[0]}d}", f"{new.day:0{widths[1]}d}"]
+    return found[len(parts[0])].join(said if order is parts else said[::-1])
+
+
+def _suffix(day: int) -> str:
+    return "th" if day in (11, 12, 13) else {1: "st", 2: "nd", 3: "rd"}.get(day % 10, "th")
+
+
+def named_date(m: re.Match, net: Feistel, back: bool = False) -> str | None:
+    """The pseudonym of a date with a month's name; spelling, capitals, day's width and separators stay."""
+    k = "1" if m["d1"] else "2"
+    name, day, ordinal, year = m["m" + k], m["d" + k], m["o" + k], int(m["y" + k])
+    low, month = name.lower(), SHORT.index(name[:3].lower()) + 1
+    try:
+        value = datetime.date(year, month, int(day)).toordinal()
+    except ValueError:
+        return None
+    cases = (str.lower, str.upper, str.capitalize)
+    case = next((c for c in cases if c(name) == name), None)
+    if case is None or not FIRST <= value <= LAST or ordinal and ordinal.lower() != _suffix(int(day)) or ordinal and ordinal not in (ordinal.lower(), ordinal.upper()):
+        return None
+    own = low in ("may", "sept")
+
+    def fits(v: int) -> bool:
+        new = datetime.date.fromordinal(v)
+        return (new.month == month if own else new.month != 5) and (len(day) == 2 or new.day < 10)
+
+    new = datetime.date.fromordinal(net.within(value, FIRST, LAST, f"named{low if own else ''}{len(day)}", back, fits))
+    spelled = low if own else (SHORT if len(low) == 3 else FULL)[new.month - 1]
+    number = f"{new.day:0{len(day)}d}"
+    if ordinal:
+        number += _suffix(new.day).upper() if ordinal.isupper() else _suffix(new.day)
+    g, h = m["g" + k], m["h" + k]
+    return f"{number}{g}{case(spelled)}{h}{new.year}" if k == "1" else f"{case(spelled)}{g}{number}{h}{new.year}"
+
+
 def pseudonymise_text(text: str, net: Feistel, back: bool = False) -> tuple[str, dict[str, int]]:
     """The text with pseudonyms, and how many of each kind; with back the originals of pseudonyms."""
     counts = dict.fromkeys(KINDS, 0)
@@ -157,21 +232,32 @@ def pseudonymise_text(text: str, net: Feistel, back: bool = False) -> tuple[str,
         return f"{net.symbols(m[1], 'email', (DIGITS, LOWER, UPPER), back)}@{m[2]}"
 
     def secret(m: re.Match) -> str:
+        bare = m["secret"] is None
+        value = m["open"] if bare else m["secret"]
+        # words of prose follow such names too, so a value without quotes needs a letter and a digit
+        real = lambda v: not bare or any(c.isdigit() for c in v) and any(c.isalpha() for c in v)
+        if not real(value):
+            return m[0]
         counts["secret"] += 1
-        value = m["secret"]
+        quote = m["quote"] or ""
         sets = (HEX,) if set(value) <= set(HEX) else (DIGITS, LOWER, UPPER)
         # a value of hexadecimal digits stays one; any other must not become one, or it couldn't be undone
         while True:
             value = net.symbols(value, "secret", sets, back)
-            if sets == (HEX,) or not set(value) <= set(HEX):
-                return f"{m['name']}{m['quote']}{value}{m['quote']}"
+            if real(value) and (sets == (HEX,) or not set(value) <= set(HEX)):
+                return f"{m['name']}{quote}{value}{quote}"
+
+    def named(m: re.Match) -> str:
+        new = named_date(m, net, back)
+        counts["date"] += new is not None
+        return m[0] if new is None else new
 
     def number(m: re.Match) -> str:
-        kind = m.lastgroup
+        kind = "plain" if m["plain"] else m.lastgroup
         new = replace_number(kind, m[0], net, back)
         if new is None:
             return m[0]
-        counts[kind] += 1
+        counts["phone" if kind == "plain" else kind] += 1
         return new
 
     # parts that are replaced once are kept from the rules that follow
@@ -180,6 +266,7 @@ def pseudonymise_text(text: str, net: Feistel, back: bool = False) -> tuple[str,
     spans = [(m.start(), m.end(), m, email) for m in EMAIL.finditer(text)] if "@" in text else []
     if "=" in text or ":" in text:
         spans += [(m.start(), m.end(), m, secret) for m in SECRET.finditer(text)]
+    spans += [(m.start(), m.end(), m, named) for m in NAMED.finditer(text)]
     spans += [(m.start(), m.end(), m, number) for m in NUMBERS.finditer(text)]
     for start, end, m, made in sorted(spans, key=lambda s: (s[0], -s[1])):
         if start < at:

@@ -359,6 +359,31 @@ def test_pii(spark, odd):
     assert pii.pseudonymise(odd, b"k").count() == odd.count()
 
 
+def test_pii_forms():
+    net = pii.Feistel(b"k")
+    forms = {
+        "phone": ["555-123-4567", "555.123.4567", "555 123 4567", "1-555-123-4567", "(555) 123-4567", "2125550123", "+44 20 7946 0958", "+33 1 23 45 67 89", "+442079460958", "+1 555 123 4567"],
+        "date": ["2024-03-12T10:00:00", "12.03.2024", "2024.03.12", "2024/03/12", "2024/3/7", "March 12, 2024", "12 March 2024", "12-Mar-2024", "May 3, 2024", "12th of MARCH 2024", "Sept. 5, 2021", "Mar 2nd 2020"],
+        "secret": ["token=abc123def456", "password: hunter2secret", "api_key = AKIA12345678XYZ", "secret: 'q1w2e3r4t5'", "token: eyJ0.eyJzdWIi1.Sfl-Kx"],
+    }
+    for kind, texts in forms.items():
+        for value in texts:
+            text = f"before {value} after, {value}."
+            out, counts = pii.pseudonymise_text(text, net)
+            assert {k: n for k, n in counts.items() if n} == {kind: 2}, value
+            assert value not in out and len(set(out.split())) <= len(set(text.split())), value
+            assert pii.pseudonymise_text(out, net, back=True)[0] == text, (value, out)
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        y, m, d = rng.integers(1900, 2100), rng.integers(1, 13), rng.integers(1, 29)
+        area = rng.integers(200, 1000)
+        text = f"{pii.FULL[m - 1].title()} {d}, {y}; {d:02d} {pii.SHORT[m - 1]} {y}; {d}.{m}.{y}; {y}/{m:02d}/{d:02d}; {area}-{d:03d}-{y}; token=ab{d:02d}{y}ff"
+        out, counts = pii.pseudonymise_text(text, net)
+        assert sum(counts.values()) == 6 and pii.pseudonymise_text(out, net, back=True)[0] == text, (text, out)
+    plain = "version 1.2.3, order 1234567890, password: required, 155-123-4567, 30.02.2024, Mar 32, 2024, may 2024, 12.03.20245"
+    assert pii.pseudonymise_text(plain, net)[0] == plain
+
+
 # 9 nearest neighbours
 
 
