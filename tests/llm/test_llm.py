@@ -396,9 +396,10 @@ def test_ann(spark):
     good = {i: np.array(v) for i, v in rows if i is not None and i < 9000}
     ids = np.array(sorted(good))
     m = np.stack([good[i] for i in ids])
-    for block in (1 << 14, 300):
+    # one task a file; files and visitors that are split; too few probes for k rows, so that the rest is compared in blocks
+    for options in ({}, {"part": 40, "visitors": 7}, {"n_pivots": 600, "posted": 1, "prefix": 1, "part": 500, "visitors": 30}):
         got = {}
-        for r in ann.nearest(df, block=block, queries=50).collect():
+        for r in ann.nearest(df, **options).collect():
             got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
         assert set(got) == {i for i in good if i % 20 == 0}
         hits = 0
@@ -408,7 +409,7 @@ def test_ann(spark):
             best = ids[ok][np.lexsort((ids[ok], -scores[ok]))[:20]].tolist()
             assert sorted(found) == list(range(1, 21))
             hits += len({v for v, _ in found.values()} & set(best))
-            if q == 40:  # a vector with many copies: the smaller ids win ties
+            if q == 40 or q >= 5000:  # a vector with many copies: the smaller ids win ties
                 assert [found[k][0] for k in range(1, 21)] == best
         assert hits / (20 * len(got)) >= 0.9
     assert ann.nearest(df.limit(0)).count() == 0
@@ -416,16 +417,49 @@ def test_ann(spark):
     assert [r.query_id for r in few] == [0] * 4
 
 
-def test_recall_on_the_given_table(spark):
-    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    rows = df.collect()
-    m, ids = np.array([r.embedding for r in rows], float), np.array([r.vec_id for r in rows])
+def recall_of(found, ids, m, asked):
     got = {}
-    for r in ann.nearest(df).collect():
+    for r in found.collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     hits = 0
-    for q in ids[ids % 20 == 0]:
+    for q in asked:
         scores = (m * m[ids == q][0]).sum(1)
-        scores[ids == q] = -9
-        hits += len(got[q] & set(ids[np.lexsort((ids, -scores))[:20]]))
-    assert hits / (20 * len(got)) >= 0.9
+        scores[ids == q] = -np.inf
+        hits += len(got[q] & set(ids[np.lexsort((ids, -scores))[:20]].tolist()))
+    return hits / (20 * len(asked))
+
+
+def test_recall_at_two_sizes(spark, tmp_path):
+    """The same rule on the given table and on 50,000 rows without any structure, the hardest case there is."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = df.collect()
+    m, ids = np.array([r.embedding for r in rows], float), np.array([r.vec_id for r in rows])
+    assert recall_of(ann.nearest(df), ids, m, ids[ids % 20 == 0]) >= 0.9
+    m = np.random.default_rng(1).normal(size=(50_000, 64)).astype(np.float32)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    pq.write_table(pa.table([pa.array(range(50_000), pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), 64).cast(pa.list_(pa.float32()))], names=["vec_id", "embedding"]), tmp_path / "v.parquet", row_group_size=8000)
+    found = ann.nearest(spark.read.parquet(str(tmp_path / "v.parquet")))
+    assert recall_of(found, np.arange(50_000), m.astype(float), range(0, 50_000, 500)) >= 0.9
+
+
+def test_calibration_against_brute_force():
+    rng = np.random.default_rng(2)
+    perms = np.array([rng.permutation(12)[:6] for _ in range(40)])
+    ids = np.arange(40)
+    files = ann.InvertedFiles(ids, rng.normal(size=(40, 3)), perms)
+
+    def footrule(a, b):
+        at = lambda x, p: x.index(p) if p in x else 6
+        return sum(abs(at(a, p) - at(b, p)) for p in set(a) | set(b))
+
+    query = perms[0].tolist()
+    for least in (0, 12, 18):
+        here = query[0]  # the first list: no row is left to an earlier one
+        got, _ = files.search(np.ones(3), perms[0], here, 6, 40, least)
+        near = {i for i in ids if 42 - footrule(query, perms[i].tolist()) >= 2 * least}
+        assert near <= set(got.tolist())
+    plan = ann.calibrate(perms[:5], perms[5:25], np.repeat(np.arange(5), 4), 2, 0.8)
+    assert plan.recall >= 0.8 and 1 <= plan.probes <= 6 and plan.posted > 2  # two files a row can't reach as many
