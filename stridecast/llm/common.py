@@ -27,12 +27,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def broadcast_if_small(ids: DataFrame, most_rows: int = 500_000) -> DataFrame:
-    """Ids (8 bytes a row) to join large rows with: written, counted, and broadcast up to most_rows; beyond, Spark shuffles."""
+    """Ids (8 bytes a row) to join large rows with: written, counted, and broadcast up to most_rows; beyond, Spark shuffles.
+
+    The number only chooses the plan of the join: the rows that come out are the same on either side of it."""
     ensure_checkpoint_dir(ids.sparkSession)
     ids = ids.checkpoint()
     return F.broadcast(ids) if ids.count() <= most_rows else ids
 
 
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id isn't among ids (one column of longs), columns as they were; rows without an id stay.
+    The column of ids gets a name that docs doesn't have, whatever its own are."""
+    name = max(docs.columns, key=len) + "_gone"
+    gone = broadcast_if_small(ids.toDF(name))
+    return docs.join(gone, docs[id_col].cast("long") == F.col(name), "left_anti")
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows kept away from every fit: crc32 of the id as text leaves 1 when divided by 3."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

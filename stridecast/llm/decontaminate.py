@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridecast.llm.common import broadcast_if_small, keyed_texts, ragged, slices
+from stridecast.llm.common import keyed_texts, ragged, slices, without_ids
 
 #: Seeds that are expected by chance, from the words' shares, at most so often in the whole corpus count as rare.
 RARE = 1.0
@@ -222,7 +222,6 @@ def _pass(texts: DataFrame, items: Items, n: int, least: float, schema: str) ->
     return texts.mapInArrow(search, schema)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that hold no test item, columns as they were. Rows without an id stay."""
-    bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(broadcast_if_small(bad), docs["doc_id"] == F.col("bad_id"), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The documents that hold no test item, columns as they were. Rows without an id stay; null and empty texts too."""
+    return without_ids(docs, contaminated(docs, benchmark, id_col=id_col, **options).select("doc_id").distinct(), id_col)

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stridecast.llm.common import broadcast_if_small, ensure_checkpoint_dir, keyed_texts, slices
+from stridecast.llm.common import broadcast_if_small, ensure_checkpoint_dir, keyed_texts, slices, without_ids
 from stridecast.llm.components import connected_components
 
 SEED = 42
@@ -133,8 +133,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, id_col: str
 #: One of so many documents tells which shingles are common, and so many of these are known at most. They only set the order
 #: in which shingles are looked at; no result depends on it.
 SAMPLED, COMMON = 16, 200_000
-#: Members of a shingle's group meet in blocks of so many, one pair of blocks a key.
-BLOCK = 256
+#: Members of a shingle's group meet in blocks of so many, one pair of blocks a key; and groups that the sampled documents
+#: show to be larger than RUN are dealt to runs of about so many.
+BLOCK, RUN = 256, 1024
 
 
 def shingle_set(text: str, words: int) -> np.ndarray:
@@ -168,11 +169,25 @@ def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
     return shingles[order], counts[order]
 
 
+def sketch_of(shingles: np.ndarray) -> np.ndarray:
+    """How many shingles have each value of their low bits, up to 255; about four a value."""
+    bits = max(3, math.ceil(math.log2(max(1, len(shingles)) / 4)))
+    return np.minimum(np.bincount((shingles & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
+
+
+def least_difference(x: np.ndarray, y: np.ndarray) -> int:
+    """Two sets differ in at least so many shingles, by their sketches; the longer one is folded to the other's length."""
+    n = min(len(x), len(y))
+    fold = lambda s: np.minimum(s.reshape(-1, n).sum(0, dtype=np.int64), 255)
+    return int(np.abs(fold(x) - fold(y)).sum())
+
+
 def shingle_prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """doc_id, set_key, size and prefix (array of longs) of the set of shingles of each text that has a word.
+    """doc_id, set_key, size, sketch and prefix (shingle, runs) of the set of shingles of each text that has a word.
 
     In an order common to all documents, rare shingles first, the prefix is as long as it must be for two sets of the
-    similarity or more to have a shingle of both prefixes in common, whatever the order.
+    similarity or more to have a shingle of both prefixes in common, whatever the order. runs: of a shingle's group, 1 but for
+    the largest.
     """
     common, counts = common_shingles(docs, words)
 
@@ -180,7 +195,7 @@ def shingle_prefixes(docs: DataFrame, words: int, similarity: float) -> DataFram
         import pyarrow as pa
 
         for batch in slices(batches):
-            ids, keys, sizes, prefixes = [], [], [], []
+            ids, keys, sizes, sketches, prefixes, runs = [], [], [], [], [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = shingle_set(t, words)
                 n = len(found)
@@ -188,16 +203,38 @@ def shingle_prefixes(docs: DataFrame, words: int, similarity: float) -> DataFram
                     ids.append(i)
                     keys.append(set_key(found))
                     sizes.append(n)
+                    sketches.append(sketch_of(found).tobytes())
+                    often = np.zeros(n, np.int64)
                     if len(common):
                         at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-                        found = found[np.argsort(np.where(common[at] == found, counts[at], 0), kind="stable")]
-                    prefixes.append(found[: n - math.ceil(similarity * n - 1e-9) + 1].view(np.int64))
+                        often = np.where(common[at] == found, counts[at], 0)
+                    first = np.argsort(often, kind="stable")[: n - math.ceil(similarity * n - 1e-9) + 1]
+                    prefixes.append(found[first].view(np.int64))
+                    runs.append(often[first] * SAMPLED // RUN + 1)
             if ids:
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])])
-                prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes), pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), prefix], ["doc_id", "set_key", "size", "prefix"])
+                pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(prefixes), pa.int64()), pa.array(np.concatenate(runs), pa.int32())], ["shingle", "runs"])
+                prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), prefix], ["doc_id", "set_key", "size", "sketch", "prefix"])
+
+    return _with_words(docs).mapInArrow(run, "doc_id long, set_key binary, size int, sketch binary, prefix array<struct<shingle:long,runs:int>>")
+
+
+def _close(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The links a, b but for those whose sketches rule the similarity out; few of the sets' bytes move for that."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            a, b, n, x, y = batch.columns
+            allowed = n.to_numpy() * (1 - similarity) / (1 + similarity) + 1e-9
+            ok = [least_difference(np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)) <= most for p, q, most in zip(x.to_pylist(), y.to_pylist(), allowed.tolist())]
+            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return _with_words(docs).mapInArrow(run, "doc_id long, set_key binary, size int, prefix array<long>")
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("size").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    both = links.join(side("a"), "a").join(side("b"), "b").select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "sa", "sb")
+    return both.mapInArrow(run, "a long, b long").checkpoint()
 
 
 def _alike(docs: DataFrame, links: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -225,10 +262,11 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
 
     Equal sets of shingles are one node. Two nodes of the similarity share a shingle of both prefixes (shingle_prefixes), so
     nodes are posted under the shingles of theirs. The first round compares each member of a shingle's group with the next one and
-    the first, which is all pairs of up to three members. The second compares all pairs of the larger groups but those that
-    the first round's components hold already, in pairs of blocks; so a large group of copies costs no pairs
-    among its members. Both rounds drop pairs whose sizes and positions rule the similarity out, and check the rest by
-    the whole sets.
+    the first, which is all pairs of up to three members; a large group is dealt to runs for that. The second compares all
+    pairs of the larger groups but those that the first round's components hold already: the members outside a group's
+    largest component with all others, in pairs of blocks; so a large group of copies costs no pairs among its
+    members. Both rounds drop pairs whose sizes and positions, then sketches, rule the similarity out, and check the rest
+    by the whole sets.
     Texts without a word, null texts and null ids are alone. Rows that repeat an id count as one document.
     """
     ensure_checkpoint_dir(docs.sparkSession)
@@ -240,9 +278,11 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     repeated = member.filter("rows > 1 and doc_id = node").select("doc_id", "set_key")
     own = marked.join(broadcast_if_small(member.filter("rows > 1 or doc_id != node").select("doc_id")), "doc_id", "left_anti")
     own = own.union(marked.join(broadcast_if_small(repeated), ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id"]).select(own.columns))
-    posted = own.select(F.col("doc_id").alias("node"), "size", F.posexplode("prefix").alias("pos", "shingle"))
-    along = Window.partitionBy("shingle").orderBy("node")
-    met = posted.withColumn("n", F.count("*").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).filter("n > 1").checkpoint()
+    own = own.withColumnRenamed("doc_id", "node")
+    sets = own.select("node", "size", "sketch")
+    posted = own.select("node", "size", F.posexplode("prefix").alias("pos", "post")).select("node", "size", "pos", "post.shingle", "post.runs")
+    along = Window.partitionBy("shingle", F.pmod(F.xxhash64("node", "shingle"), F.col("runs"))).orderBy("node")
+    met = posted.withColumn("n", F.count("*").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).filter("n > 1 or runs > 1").checkpoint()
 
     def possible(x: Column, y: Column) -> Column:
         # of two sets whose first common shingle is at these positions
@@ -252,18 +292,23 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     others = F.array(F.lead(me).over(along), F.when(F.row_number().over(along) > 2, F.first(me).over(along)))
     first = met.select(me.alias("x"), others.alias("others")).select("x", F.explode("others").alias("y")).filter(possible(F.col("x"), F.col("y")))
     first = first.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().checkpoint()
-    groups = connected_components(_alike(docs, first, words, similarity))
+    groups = connected_components(_alike(docs, _close(first, sets, similarity), words, similarity))
 
     linked = groups.withColumnRenamed("node", "linked")
-    larger = met.filter("n > 3").join(linked, F.col("node") == F.col("linked"), "left").select("shingle", "n", "node", F.struct("node", "size", "pos", F.coalesce("component", "node").alias("component")).alias("x"))
-    mixed = larger.groupBy("shingle").agg(F.min("x.component").alias("low"), F.max("x.component").alias("high")).filter("low < high").select("shingle")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    larger = larger.join(mixed, "shingle").select("shingle", "x", blocks.alias("blocks"), F.pmod(F.xxhash64("node", "shingle"), blocks).cast("int").alias("block"))
-    left = larger.select("shingle", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), "x")
-    right = larger.select("shingle", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.col("x").alias("y"))
-    apart = (F.col("x.component") != F.col("y.component")) & ((F.col("i") < F.col("j")) | (F.col("x.node") < F.col("y.node")))
-    second = left.join(right, ["shingle", "i", "j"]).filter(apart & possible(F.col("x"), F.col("y")))
+    larger = met.filter("n > 3 or runs > 1").join(linked, F.col("node") == F.col("linked"), "left").select("shingle", F.struct("node", "size", "pos", F.coalesce("component", "node").alias("component")).alias("x"))
+    parts = larger.groupBy("shingle", "x.component").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("shingle").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("largest")).filter("parts > 1")
+    mixed = mixed.select("shingle", F.col("largest.component").alias("main"), F.ceil((F.col("n") - F.col("largest.n")) / BLOCK).cast("int").alias("asking"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    larger = larger.join(mixed, "shingle")
+    block = lambda n: F.pmod(F.xxhash64("x.node", "shingle"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outside = larger.filter("x.component != main").select("shingle", block("asking").alias("i"), each("blocks").alias("j"), "x")
+    everyone = larger.select("shingle", each("asking").alias("i"), block("blocks").alias("j"), F.col("x").alias("y"), "main")
+    # a pair of two that are both outside the main component is made from the smaller id only
+    apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("main")) | (F.col("x.node") < F.col("y.node")))
+    second = outside.join(everyone, ["shingle", "i", "j"]).filter(apart & possible(F.col("x"), F.col("y")))
     second = second.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti").checkpoint()
+    second = _close(second, sets, similarity)
     if not second.isEmpty():
         joined = groups.select(F.col("component").alias("a"), F.col("node").alias("b"))
         groups = connected_components(joined.union(_alike(docs, second, words, similarity)))
@@ -276,5 +321,5 @@ def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Data
 
     Of rows that share that id, all stay; rows without an id, without a text or without a word stay too.
     """
-    later = similar_documents(docs, words, similarity).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("later_id"))
-    return docs.join(broadcast_if_small(later), docs["doc_id"] == F.col("later_id"), "left_anti")
+    later = similar_documents(docs, words, similarity).filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
+    return without_ids(docs, later)

@@ -108,6 +108,8 @@ def test_decontamination(spark):
         got = decontaminate.contaminated(df, tests, most_bytes=block).collect()
         assert {(x.doc_id, x.item_id) for x in got} == want and len(got) == len(want)
     assert {x.doc_id for x in decontaminate.drop_contaminated(df, tests).collect()} == {2, 4, 5, 7, None}
+    renamed = df.withColumnsRenamed({"doc_id": "k", "text": "body"}).withColumn("bad_id", F.lit(2)).withColumn("doc_id", F.lit("x"))
+    assert {x.k for x in decontaminate.drop_contaminated(renamed, tests, id_col="k", text_col="body").collect()} == {2, 4, 5, 7, None}
     assert decontaminate.contaminated(df.limit(0), tests).count() == 0
     assert decontaminate.contaminated(df, tests.limit(0)).count() == 0
 

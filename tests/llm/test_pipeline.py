@@ -48,11 +48,46 @@ def test_pipeline(spark, sf_dir):
     kept = {i: t for i, t in kept.items() if not any(x in words(t) for x in items)}
     library = Tokenizer.from_file(queries.tokenizer_path())
     got = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, sf_dir).collect()}
-    # a near copy is found with a probability that grows with the similarity, so a rare one may be left
-    assert set(kept) <= set(got) and len(set(got) - set(kept)) <= 2
+    assert set(got) == set(kept)
     assert all(got[i] == library.encode(t, add_special_tokens=False).ids for i, t in kept.items())
 
 
+ODD = "doc_id long, text string, lang string, source string, n_chars long, later_id long, bad_id long, node long, item_id long, score double, row string, key int"
+
+
+def test_each_stage_on_odd_rows(spark, sf_dir):
+    """Nulls in every column, empty and very long texts, repeated rows, an id twice, extra columns with clashing names."""
+    words = " ".join(f"w{i}" for i in range(40))
+    texts = [(1, None), (None, words), (2, ""), (2, ""), (3, words), (4, words), (4, "an other text of this id"), (5, "long " * 200_000), (6, " \n\n"), (-7, words + " tail")]
+    docs = spark.createDataFrame([(i, t, None, None, None, 1, None, 3, 4, 0.5, "r", 0) for i, t in texts], ODD)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns and {f.dataType.typeName() for f in out.schema} == {f.dataType.typeName() for f in docs.schema}, name
+        kept = [(r.doc_id, r.text) for r in out.collect()]
+        if name == "quality":
+            assert len(kept) <= len(texts) and set(kept) <= set(texts)
+        elif name == "line_dedup":  # the line of 3, 4 and the null id: two documents, so it stays
+            assert sorted(kept, key=repr) == sorted(((i, t or "") for i, t in texts), key=repr)
+        elif name == "near_dedup":  # 3 is a copy of -7; of the two rows of 4 the one with the larger key counts, which isn't
+            assert sorted(kept, key=repr) == sorted([x for x in texts if x[0] != 3], key=repr)
+        else:
+            assert sorted(kept, key=repr) == sorted(texts, key=repr)
+    encoded = corpus_pipeline.token_ids(spark, docs, sf_dir)
+    assert encoded.columns == ["doc_id", "ids", "n_tokens"] and encoded.count() == len(texts)
+    assert encoded.filter("doc_id in (1, 2)").agg({"n_tokens": "max"}).first()[0] == 0
+
+
+def test_sketches_never_overstate(spark):
+    rng = np.random.default_rng(6)
+    for n in (1, 9, 40, 400, 3000):
+        for share in (0.0, 0.3, 0.85, 1.0):
+            pool = rng.integers(0, 1 << 63, 3 * n, dtype=np.uint64)
+            a, b = pool[:n], np.concatenate((pool[: int(share * n)], pool[n : n + max(1, int(1.2 * n * (1 - share)))]))
+            assert simhash.least_difference(simhash.sketch_of(a), simhash.sketch_of(b)) <= len(set(a.tolist()) ^ set(b.tolist()))
+    same = np.full(2000, 5, np.uint64)  # counts over 255
+    assert simhash.least_difference(simhash.sketch_of(same), simhash.sketch_of(np.append(same, same))) == 0
+
+
 def test_stages_on_odd_tables(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
@@ -69,9 +104,7 @@ def test_similar_documents_against_brute_force(spark):
     texts = {r.doc_id: r.text for r in docs.collect()}
     want, got = near_groups(texts), {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
     joined = [i for i in texts if want[i] != i]
-    assert sum(got[i] != i for i in joined) >= 0.95 * len(joined)
-    assert all(want[got[i]] == want[i] for i in got)  # never wrongly joined
-    assert np.mean([got[i] == want[i] for i in got]) > 0.99
+    assert joined and got == want
 
 
 def texts_frame(spark, texts):
@@ -101,8 +134,9 @@ def test_partners_do_not_depend_on_id_order(spark, monkeypatch):
         texts[i] = " ".join(words)
     want = near_groups(texts)
     assert len(set(want.values())) > 50
-    for block in (256, 8):
+    for block, run in ((256, 1024), (8, 4)):
         monkeypatch.setattr(simhash, "BLOCK", block)
+        monkeypatch.setattr(simhash, "RUN", run)
         assert {r.doc_id: r.component_id for r in simhash.similar_documents(texts_frame(spark, texts)).collect()} == want
 
 
