@@ -9,24 +9,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def shapley(rows: DataFrame, background: DataFrame, key: str, features: list[str], score: Callable[[DataFrame], DataFrame], samples: int = 8, seed: int = 42) -> DataFrame:
+def shapley(rows: DataFrame, background: DataFrame, key: str, features: list[str], score: Callable[[DataFrame], DataFrame], samples: int = 16, seed: int = 42, most_background: int = 1000) -> DataFrame:
     """key, feature, phi: the mean over sampled permutations and background rows of what a feature adds to the score.
 
-    score takes a DataFrame of the features and returns it with a column score. background must be a bounded sample
-    (it is numbered on the driver's behalf and broadcast by Spark if small). For each row, permutation and background row
-    features are switched from the background's to the row's in the permutation's order; the differences add up to
+    score takes a DataFrame of the features and returns it with a column score. background is a sample of most_background rows at
+    most (more raise an error), so what is broadcast is bounded. For each row, permutation and background row features are switched
+    from the background's to the row's in the permutation's order. Each background row is used equally often, with each of its
+    permutations and its reverse: samples is raised to a multiple of twice their number, so that the differences add up to
     score(row) - mean score(background). Work is rows x samples x (features + 1), scored in one job.
     """
-    rng, n = random.Random(seed), background.count()
+    n = background.limit(most_background + 1).count()
+    if not 0 < n <= most_background:
+        raise ValueError(f"the background must have 1 to {most_background} rows")
+    rng, samples = random.Random(seed), 2 * n * -(-samples // (2 * n))
     orders = []
-    for s in range(samples):
+    for s in range(0, samples, 2):
         order = list(range(len(features)))
         rng.shuffle(order)
-        orders.append((s, s // 2 % max(1, n), order))
-    # antithetic: every second permutation is the reverse of the one before, over the same background row
-    orders = [(s, orders[s - 1][1], orders[s - 1][2][::-1]) if s % 2 else orders[s] for s in range(samples)]
-    spark = rows.sparkSession
-    plan = spark.createDataFrame(orders, "s int, b long, perm array<int>")
+        orders += [(s, s // 2 % n, order), (s + 1, s // 2 % n, order[::-1])]
+    plan = rows.sparkSession.createDataFrame(orders, "s int, b long, perm array<int>")
     numbered = background.select(F.struct(*(F.col(f).cast("double").alias(f) for f in features)).alias("_back"), F.row_number().over(_order(features)).alias("_b"))
     drawn = F.broadcast(plan.join(numbered, F.col("b") == F.col("_b") - 1).select("s", "perm", "_back"))
     own = rows.select(key, F.struct(*(F.col(f).cast("double").alias(f) for f in features)).alias("_own"))

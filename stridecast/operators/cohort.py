@@ -2,22 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEED = 42
 
 
+def _drawn(seed: int, c: str) -> Column:
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(c).cast("string")))
+
+
 def match_controls(cases: DataFrame, candidates: DataFrame, strata: list[str], case: str, candidate: str, per_case: int = 3, seed: int = SEED) -> DataFrame:
-    """case, candidate, draw: for each case per_case candidates of its strata, in an order drawn by a hash of both ids.
+    """case, strata, candidate, draw: for each case per_case candidates of its strata, or all where there are fewer.
+
+    A stratum's candidates stand in an order drawn by a hash of the id; a case takes those that follow a place drawn by a hash
+    of its own, around the end. A candidate may serve several cases. Candidates must not be cases (see entities.without).
+    The draw is the same however the data is partitioned.
 
-    A candidate may serve several cases. Candidates must not be cases (see entities.without). The draw is the same
-    however the data is partitioned. The best of each task are taken before the shuffle by case (Spark's window limit).
+    No case meets the candidates that it doesn't take: candidates get their places from counts by the hash's first
+    digits, so no task sorts a stratum; cases then join by stratum and place. Counts are one row a stratum and prefix.
     """
-    drawn = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(case).cast("string"), F.col(candidate).cast("string")))
-    pairs = cases.select(case, *strata).distinct().join(candidates.select(candidate, *strata).distinct(), strata)
-    order = Window.partitionBy(case).orderBy(drawn, candidate)
-    return pairs.withColumn("draw", F.row_number().over(order)).filter(F.col("draw") <= per_case)
+    pool = candidates.select(candidate, *strata).distinct().withColumn("_h", _drawn(seed, candidate)).withColumn("_p", F.substring("_h", 1, 3))
+    counts = pool.groupBy(*strata, "_p").agg(F.count("*").alias("_k"))
+    by = Window.partitionBy(*strata)
+    before = F.coalesce(F.sum("_k").over(by.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*strata, "_p", before.alias("_before"), F.sum("_k").over(by).alias("_n"))
+    within = F.row_number().over(Window.partitionBy(*strata, "_p").orderBy("_h", candidate)) - 1
+    placed = pool.withColumn("_place", within).join(counts.drop("_n"), [*strata, "_p"]).select(*strata, candidate, (F.col("_before") + F.col("_place")).alias("_place"))
+    first = F.conv(F.substring(_drawn(seed, case), 1, 8), 16, 10).cast("long")
+    asked = cases.select(case, *strata).distinct().join(counts.select(*strata, "_n").distinct(), strata)
+    asked = asked.select("*", F.explode(F.sequence(F.lit(0), F.least(F.lit(per_case), F.col("_n")).cast("int") - 1)).alias("_j"))
+    asked = asked.select(case, *strata, (F.col("_j") + 1).alias("draw"), F.pmod(first + F.col("_j"), F.col("_n")).alias("_place"))
+    return asked.join(placed, [*strata, "_place"]).drop("_place")
 
 
 def match_tiers(cases: DataFrame, pairs: DataFrame, case: str, per_case: int = 3) -> DataFrame:

@@ -45,27 +45,31 @@ def _grams(c: Column, n: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n))))
 
 
-def containing(inner: DataFrame, outer: DataFrame, n: int = 3) -> DataFrame:
-    """Pairs of rows of inner (_in, ...) and outer (_out, ...) such that _out contains _in; the other columns must differ.
+def containing(inner: DataFrame, outer: DataFrame, n: int = 3, by: list[str] = []) -> DataFrame:
+    """Pairs of rows of inner (_in, ...) and outer (_out, ...) such that _out contains _in, and the columns `by` are equal;
+    the other columns must differ. Empty texts are in none.
 
-    Outer texts are posted under their n-character parts. An inner text is looked up under its part that is posted least
-    often, so a common part doesn't decide the work; only texts shorter than a part are compared with all.
+    Outer texts are posted under their n-character parts (and `by`). An inner text is looked up under its part that is posted
+    least often, so a common part doesn't decide the work; a text shorter than n under itself, among the parts as short.
+    No text is compared with all.
     """
     posts = outer.filter(F.length("_out") >= n).withColumn("_gram", F.explode(_grams(F.col("_out"), n)))
-    counts = posts.groupBy("_gram").agg(F.count("*").alias("_count"))
-    asked = inner.filter(F.length("_in") >= n).select("_in").distinct().withColumn("_gram", F.explode(_grams(F.col("_in"), n))).join(counts, "_gram", "left")
-    rarest = asked.groupBy("_in").agg(F.min_by("_gram", F.struct(F.coalesce("_count", F.lit(0)), "_gram")).alias("_gram"))
-    found = inner.join(rarest, "_in").join(posts, "_gram").filter(F.contains("_out", F.col("_in"))).drop("_gram")
-    short = inner.filter(F.length("_in").between(1, n - 1)).join(outer, F.contains("_out", F.col("_in")))
-    return found.unionByName(short)
+    counts = posts.groupBy(*by, "_gram").agg(F.count("*").alias("_count"))
+    asked = inner.filter(F.length("_in") >= n).select(*by, "_in").distinct().withColumn("_gram", F.explode(_grams(F.col("_in"), n))).join(counts, [*by, "_gram"], "left")
+    rarest = asked.groupBy(*by, "_in").agg(F.min_by("_gram", F.struct(F.coalesce("_count", F.lit(0)), "_gram")).alias("_gram"))
+    found = inner.join(rarest, [*by, "_in"]).join(posts, [*by, "_gram"]).filter(F.contains("_out", F.col("_in"))).drop("_gram")
+    for k in range(1, n):
+        short = inner.filter(F.length("_in") == k).withColumn("_gram", F.col("_in"))
+        found = found.unionByName(short.join(outer.filter(F.length("_out") >= k).withColumn("_gram", F.explode(_grams(F.col("_out"), k))), [*by, "_gram"]).drop("_gram"))
+    return found
 
 
 def resolve_names(names: DataFrame, directory: DataFrame, name: str, key: str, full_name: str, rank: str) -> DataFrame:
     """name, key, tier of each distinct name: 1 equal when lower-cased; 2 one contains the other, the first by rank;
     3 the only entry with the last name in it and the same first letter; else null and 0.
 
-    The first tier is an equi-join. The later tiers take only the names left over: containment is looked up by the
-    rarest three characters (see containing), the last by the first letter and then the last name.
+    The first tier is an equi-join. The later tiers take only the names left over, and look up containment by the rarest three
+    characters (see containing): of the name or the entry for the second, of the last name with the first letter for the third.
     """
     asked = names.select(F.col(name)).filter(F.col(name).isNotNull()).distinct().withColumn("_k", name_key(F.col(name)))
     known = directory.filter(F.col(full_name).isNotNull()).select(F.col(key), F.col(rank).alias("_rank"), name_key(F.col(full_name)).alias("_full"))
@@ -75,8 +79,8 @@ def resolve_names(names: DataFrame, directory: DataFrame, name: str, key: str, f
     asking, listed = rest.select(name, F.col("_k").alias("_in")), full.withColumnRenamed("_full", "_out")
     within = containing(asking, listed).select(name, F.lit(2).alias("_tier"), "_hit")
     around = containing(listed.withColumnRenamed("_out", "_in"), asking.withColumnRenamed("_in", "_out")).select(name, F.lit(2).alias("_tier"), "_hit")
-    initial = rest.withColumn("_last", F.element_at(F.split("_k", r"\s+"), -1)).withColumn("_first", F.substring("_k", 1, 1))
-    alike = initial.join(full.withColumn("_first", F.substring("_full", 1, 1)), "_first").filter(F.contains("_full", F.col("_last")))
+    last = rest.select(name, F.element_at(F.split("_k", r"\s+"), -1).alias("_in"), F.substring("_k", 1, 1).alias("_first"))
+    alike = containing(last, listed.withColumn("_first", F.substring("_out", 1, 1)), by=["_first"])
     alone = alike.groupBy(name).agg(F.count("*").alias("_n"), F.min("_hit").alias("_hit")).filter("_n = 1").select(name, F.lit(3).alias("_tier"), "_hit")
     best = exact.union(within).union(around).union(alone).groupBy(name).agg(F.min(F.struct("_tier", "_hit")).alias("_best"))
     return asked.join(best, name, "left").select(name, F.col("_best._hit")[key].alias(key), F.coalesce(F.col("_best._tier"), F.lit(0)).alias("tier"))

@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridecast.functions.curves import horizon_risk, over_causes, sum_of
+from stridecast.operators.profile import quantiles
+
+
+#: Ranges that risks are cut into.
+RANGES = 64
 
 
 def own_time_risk(pmf: Column, cause: int, last: Column) -> Column:
@@ -21,7 +26,7 @@ def concordance(rows: DataFrame, cause: int = 1) -> DataFrame:
 
     No pair is made: risks are rounded to 12 digits; each case is a query to every later bin, where running counts
     of members by risk give how many are less and equal. Work grows with rows times bins. Counts are summed by
-    (bin, risk) before the window over a bin.
+    (bin, risk), and by ranges of the risk: a window holds one range of a bin, or one row a range.
     """
     last = rows.agg(F.max("t").alias("m"), F.max(F.size(F.get("pmf", F.lit(0)))).alias("bins")).withColumn("h", F.least("m", F.col("bins") - 1))
     scored = rows.crossJoin(F.broadcast(last)).select("t", "e", F.round(own_time_risk(F.col("pmf"), cause, F.col("h")), 12).alias("risk"), F.col("m"))
@@ -29,9 +34,15 @@ def concordance(rows: DataFrame, cause: int = 1) -> DataFrame:
     cases = scored.filter((F.col("e") == cause) & (F.col("t") < F.col("m"))).groupBy("t", "risk", "m").agg(F.count("*").alias("queries"))
     asked = cases.select(F.explode(F.sequence(F.col("t") + 1, F.col("m"))).alias("b"), "risk", F.lit(0).cast("long").alias("members"), "queries")
     both = members.select("b", "risk", "members", "queries").unionByName(asked).groupBy("b", "risk").agg(F.sum("members").alias("members"), F.sum("queries").alias("queries"))
-    below = F.coalesce(F.sum("members").over(Window.partitionBy("b").orderBy("risk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    whole = F.sum("members").over(Window.partitionBy("b"))
-    counted = both.select((F.col("queries") * whole).alias("pairs"), (F.col("queries") * (below + F.col("members") / 2)).alias("good"))
+    # risks are cut into ranges of about equal numbers; sums by range, then the order within a range
+    cuts = scored.agg(F.percentile_approx("risk", [k / RANGES for k in range(1, RANGES)], 10_000).alias("cuts"))
+    both = both.crossJoin(F.broadcast(cuts)).withColumn("range", F.size(F.filter("cuts", lambda x: x < F.col("risk")))).drop("cuts")
+    before = F.sum("n").over(Window.partitionBy("b").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = both.groupBy("b", "range").agg(F.sum("members").alias("n"))
+    ranges = ranges.select("b", "range", F.coalesce(before, F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy("b")).alias("whole"))
+    inside = F.sum("members").over(Window.partitionBy("b", "range").orderBy("risk").rowsBetween(Window.unboundedPreceding, -1))
+    below = F.col("before") + F.coalesce("inside", F.lit(0))
+    counted = both.withColumn("inside", inside).join(ranges, ["b", "range"]).select((F.col("queries") * F.col("whole")).alias("pairs"), (F.col("queries") * (below + F.col("members") / 2)).alias("good"))
     n, good = F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0.0))
     return counted.agg(n.alias("n_pairs"), good.alias("concordant"), F.when(n > 0, good / n).otherwise(0.5).alias("c_index"))
 
@@ -132,10 +143,10 @@ def calibration(rows: DataFrame, cause: int = 1, n_bins: int = 10) -> DataFrame:
     percentiles (left open, the outer edges widened by 1e-6). Rates are shares of all observed events; empty without any."""
     last = F.least(F.col("t"), F.size(F.get("pmf", F.lit(0))) - 1)
     scored = rows.select((F.col("e") == cause).cast("int").alias("hit"), own_time_risk(F.col("pmf"), cause, last).alias("risk"))
-    edges = scored.agg(F.percentile("risk", F.array(*(F.lit(i / n_bins) for i in range(n_bins + 1)))).alias("edges"), F.sum("hit").alias("all"))
+    inner = quantiles(scored.select(F.lit("risk").alias("feature"), F.col("risk").alias("value")), [i / n_bins for i in range(1, n_bins)])
+    edges = inner.agg(F.collect_list("value").alias("edges")).crossJoin(scored.agg(F.sum("hit").alias("all")))
     joined = scored.crossJoin(F.broadcast(edges)).filter(F.col("all") > 0)
-    inner = F.slice("edges", 2, n_bins - 1)
-    place = F.size(F.filter(inner, lambda x: F.col("risk") > x))
+    place = F.size(F.filter("edges", lambda x: F.col("risk") > x))
     counted = joined.groupBy(place.alias("bin"), "all").agg(F.count("*").alias("n"), F.sum("hit").alias("observed"), F.sum("risk").alias("expected"))
     return counted.select("bin", "n", "observed", "expected", (F.col("observed") / F.col("all")).alias("observed_rate"), (F.col("expected") / F.col("all")).alias("expected_rate"))
 

@@ -29,13 +29,9 @@ def asof_join(spine: DataFrame, features: DataFrame, entity: str, observed: str,
 
 
 def static_join(spine: DataFrame, profiles: DataFrame, key: str) -> DataFrame:
-    """Attributes that don't change, by a key that must be unique; Spark broadcasts the profiles if they are small.
-
-    A key that isn't unique would multiply rows, so its first profile by value is taken.
-    """
-    others = [c for c in profiles.columns if c != key]
-    unique = profiles.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*others)).alias("_p")).select(key, "_p.*")
-    return spine.join(unique, key, "left")
+    """Attributes that don't change, by key; spine rows without a profile keep nulls. A key with several profiles gives a row
+    for each, so give profiles once a key (entities.first_row) where that isn't meant. Spark broadcasts small profiles."""
+    return spine.join(profiles.filter(F.col(key).isNotNull()), key, "left")
 
 
 def replace_columns(base: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:

@@ -35,11 +35,22 @@ def scale(rows: DataFrame, scaler: dict[str, tuple[float, float]]) -> DataFrame:
 
 
 def stratified_holdout(rows: DataFrame, key: str, label: str, share: float = 0.15, seed: int = 42) -> DataFrame:
-    """rows with holdout: the share of each label that comes first in an order drawn by a hash of the key."""
+    """rows with holdout: the share of each label that comes first in an order drawn by a hash of the key.
+
+    Counts by the hash's first four digits tell the digits at which a label's share ends; only rows with those digits are ranked,
+    so no task sorts a label. A null label is one too.
+    """
     drawn = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
-    over = Window.partitionBy(label)
-    place = F.row_number().over(over.orderBy(drawn, key))
-    return rows.withColumn("holdout", place <= F.floor(F.count("*").over(over) * share + 0.5))
+    marked = rows.withColumn("_h", drawn).withColumn("_p", F.substring("_h", 1, 4)).withColumn("_l", F.coalesce(F.col(label).cast("string"), F.lit("_null")))
+    counts = marked.groupBy("_l", "_p").agg(F.count("*").alias("_k"))
+    by = Window.partitionBy("_l")
+    before = F.coalesce(F.sum("_k").over(by.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = counts.select("_l", F.col("_p").alias("_at"), (F.floor(F.sum("_k").over(by) * share + 0.5) - before).alias("_left"), "_k")
+    ends = ends.filter((F.col("_left") > 0) & (F.col("_left") <= F.col("_k"))).select("_l", "_at", "_left")
+    known = marked.join(F.broadcast(ends) if ends.count() <= 10_000 else ends, "_l", "left")
+    sure = known.filter(F.col("_at").isNull() | (F.col("_p") != F.col("_at"))).withColumn("holdout", F.coalesce(F.col("_p") < F.col("_at"), F.lit(False)))
+    edge = known.filter(F.col("_p") == F.col("_at")).withColumn("holdout", F.row_number().over(Window.partitionBy("_l").orderBy("_h", key)) <= F.col("_left"))
+    return sure.unionByName(edge).select(*rows.columns, "holdout")
 
 
 def category_shares(rows: DataFrame, keys: list[str], category: str, amount: str, categories: list[str] = PLAY_TYPES, prefix: str = "pt_") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,12 +19,41 @@ def per_year(events: DataFrame, day: str) -> DataFrame:
     return events.filter(F.col(day).isNotNull()).groupBy(F.year(day).alias("year")).agg(F.count("*").alias("n"))
 
 
+def quantiles(values: DataFrame, shares: list[float]) -> DataFrame:
+    """feature, i (of the share), value, n: exact quantiles of (feature, value) with linear interpolation; nulls left out.
+
+    A sketch gives each feature bounds around each share; one pass counts the values below the lower bound, and the few between the
+    bounds are ranked: at most about one in 5,000, so no task holds a column. The sketch is off by one in 100,000 ranks at most, a
+    twentieth of what the bounds leave. Bounds and counts are a row a feature and share.
+    """
+    values = values.filter(F.col("value").isNotNull())
+    sizes = values.groupBy("feature").agg(F.count("*").alias("n"))
+    least = sizes.agg(F.min("n")).first()[0]
+    if least is None:
+        return values.select("feature", F.lit(0).alias("i"), F.col("value").cast("double").alias("value"), F.lit(0).cast("long").alias("n"))
+    room = 1e-4 + 2 / least
+    sides = [min(1.0, max(0.0, s + d)) for s in shares for d in (-room, room)]
+    bounds = values.groupBy("feature").agg(F.percentile_approx("value", sides, 100_000).alias("b"), F.count("*").alias("n"))
+    place = F.array(*(F.struct(F.lit(i).alias("i"), F.get("b", F.lit(2 * i)).alias("low"), F.get("b", F.lit(2 * i + 1)).alias("high"), (F.lit(float(s)) * (F.col("n") - 1)).alias("at")) for i, s in enumerate(shares)))
+    bounds = F.broadcast(bounds.select("feature", "n", F.inline(place)))
+    met = values.join(bounds, "feature").filter(F.col("value") <= F.col("high"))
+    keys = ["feature", "i", "n", "at"]
+    inside = F.when(F.col("value") >= F.col("low"), F.col("value"))
+    # everything below the bounds is one row, of a null value, which sorts first
+    counts = met.groupBy(*keys, inside.alias("v")).agg(F.count("*").alias("k"))
+    upto = F.sum("k").over(Window.partitionBy(*keys).orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumn("upto", upto).filter(F.col("v").isNotNull())
+    pick = lambda r: F.min(F.when(F.col("upto") > r, F.col("v")))
+    found = ranked.groupBy(*keys).agg(pick(F.floor("at")).alias("a"), pick(F.ceil("at")).alias("b"))
+    return found.select("feature", "i", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))).alias("value"), "n")
+
+
 def describe(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """A row a column: n, mean, sd, least, q1, median, q3, greatest; exact, one pass over stacked columns."""
+    """A row a column: n, mean, sd, least, q1, median, q3, greatest; exact (see quantiles), over stacked columns."""
     stacked = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns))).alias("s")).select("s.*").filter(F.col("value").isNotNull())
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = stacked.groupBy("feature").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("least"), q.alias("_q"), F.max("value").alias("greatest"))
-    return out.select("feature", "n", "mean", "sd", "least", *(F.col("_q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))), "greatest")
+    out = stacked.groupBy("feature").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("least"), F.max("value").alias("greatest"))
+    wide = quantiles(stacked, [0.25, 0.5, 0.75]).groupBy("feature").agg(*(F.max(F.when(F.col("i") == i, F.col("value"))).alias(n) for i, n in enumerate(("q1", "median", "q3"))))
+    return out.join(wide, "feature").select("feature", "n", "mean", "sd", "least", "q1", "median", "q3", "greatest")
 
 
 def histogram(rows: DataFrame, column: str, bins: int = 50, threshold: float | None = None) -> DataFrame:
@@ -50,9 +79,9 @@ def split_counts(rows: DataFrame, split: str, entity: str, event: Column) -> Dat
 
 
 def percentiles(rows: DataFrame, column: str, shares: list[float]) -> DataFrame:
-    """share, value: exact, with linear interpolation."""
-    found = rows.agg(F.percentile(column, F.array(*(F.lit(s) for s in shares))).alias("v"))
-    return found.select(F.posexplode("v").alias("i", "value")).select(F.get(F.array(*(F.lit(s) for s in shares)), F.col("i")).alias("share"), "value")
+    """share, value: exact, with linear interpolation (see quantiles)."""
+    found = quantiles(rows.select(F.lit(column).alias("feature"), F.col(column).cast("double").alias("value")), shares)
+    return found.select(F.get(F.array(*(F.lit(s) for s in shares)), F.col("i")).alias("share"), "value")
 
 
 def top_values(rows: DataFrame, column: str, k: int = 10) -> DataFrame:

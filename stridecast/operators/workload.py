@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The acute and chronic days of each scale.
@@ -29,39 +29,38 @@ def fill_gaps(rows: DataFrame, entity: str, day: str, load: str) -> DataFrame:
     return joined.select(entity, day, F.coalesce(load, F.lit(0.0)).alias(load), *filled, F.col("_real").isNull().alias("_gap_fill"))
 
 
-def add_ewma(rows: DataFrame, name: str, load: str, index: str, keys: list[str], days: int) -> DataFrame:
-    """rows with the adjusted exponentially weighted mean of span 2 * days - 1, days without a row weighing as zeros.
-
-    index: days since the key's first row. Weights are (1 - 1 / days) to the age. Zeros add nothing to the weighted
-    sum, and the weights of all days so far are a geometric series, so no row is made for a gap. Running sums are
-    kept in blocks of so many days that rescaled weights stay finite; what lies two blocks back is below 1e-250.
-    Both windows read one order (key, block, day), so a mean costs one sort within the partitions of the key.
-    """
-    if days == 1:
-        return rows.withColumn(name, F.col(load).cast("double"))
-    w = 1 - 1 / days
-    length = int(250 / -math.log10(w))
-    place = (F.col(index) % length).cast("double")
-    rows = rows.withColumn("_block", F.floor(F.col(index) / length).cast("int")).withColumn("_scaled", F.col(load) * F.pow(F.lit(w), -place))
-    rows = rows.withColumn("_own", F.sum("_scaled").over(Window.partitionBy(*keys, "_block").orderBy(index).rangeBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("_before", F.sum("_scaled").over(Window.partitionBy(*keys).orderBy("_block").rangeBetween(-1, -1)))
-    total = F.col("_own") * F.pow(F.lit(w), place) + F.coalesce("_before", F.lit(0.0)) * F.pow(F.lit(w), place + length)
-    return rows.withColumn(name, total * (1 - w) / (1 - F.pow(F.lit(w), F.col(index) + 1))).drop("_block", "_scaled", "_own", "_before")
-
-
 def load_ratios(rows: DataFrame, keys: list[str], day: str, load: str, scales: dict[str, tuple[int, int]] = SCALES, calendar: bool = True) -> DataFrame:
     """rows with ewma_acute_S, ewma_chronic_S and acwr_S for each scale S; null where the chronic mean is below the floor.
 
-    rows: one row a key and day. Without calendar, ages count rows and not days. All columns share one partitioning.
+    A mean is the adjusted exponentially weighted mean of span 2 * days - 1, days without a row weighing as zeros: weights are
+    (1 - 1 / days) to the age. rows: one row a key and day. Without calendar, ages count rows and not days. Zeros add nothing to
+    the weighted sum, and the weights of all days so far are a geometric series, so no row is made for a gap. Running sums are
+    kept in blocks of so many days that rescaled weights stay finite; of earlier blocks as many count as can matter (down
+    to 1e-40 of a load). All means share one partitioning by the keys and two orders: by block and day, and by block.
     """
     over = Window.partitionBy(*keys)
     first = F.datediff(F.col(day), F.min(day).over(over)) if calendar else F.row_number().over(over.orderBy(day)) - 1
+    days = sorted({d for pair in scales.values() for d in pair if d > 1})
+    digits = {d: -math.log10(1 - 1 / d) for d in days}  # that a day's weight loses
+    length = int(250 / max(digits.values(), default=1))
+    place = (F.col("_index") % length).cast("double")
     out = rows.withColumn("_index", first)
-    for name, (acute, chronic) in scales.items():
-        out = add_ewma(out, f"ewma_acute_{name}", load, "_index", keys, acute)
-        out = add_ewma(out, f"ewma_chronic_{name}", load, "_index", keys, chronic)
-        out = out.withColumn(f"acwr_{name}", F.when(F.col(f"ewma_chronic_{name}") >= FLOOR, F.col(f"ewma_acute_{name}") / F.col(f"ewma_chronic_{name}")))
-    return out.drop("_index")
+    out = out.select("*", F.floor(F.col("_index") / length).cast("int").alias("_block"), *((F.col(load) * F.pow(F.lit(1 - 1 / d), -place)).alias(f"_scaled_{d}") for d in days))
+    within = Window.partitionBy(*keys, "_block").orderBy("_index").rangeBetween(Window.unboundedPreceding, 0)
+    out = out.select("*", *(F.sum(f"_scaled_{d}").over(within).alias(f"_own_{d}") for d in days))
+    earlier = {d: range(1, 1 + math.ceil(40 / (digits[d] * length))) for d in days}
+    by_block = Window.partitionBy(*keys).orderBy("_block")
+    out = out.select("*", *(F.sum(f"_scaled_{d}").over(by_block.rangeBetween(-b, -b)).alias(f"_before_{d}_{b}") for d in days for b in earlier[d]))
+
+    def mean(d: int) -> Column:
+        if d == 1:
+            return F.col(load).cast("double")
+        w = F.lit(1 - 1 / d)
+        total = sum((F.coalesce(f"_before_{d}_{b}", F.lit(0.0)) * F.pow(w, place + b * length) for b in earlier[d]), F.col(f"_own_{d}") * F.pow(w, place))
+        return total * (1 - w) / (1 - F.pow(w, F.col("_index") + 1))
+
+    means = out.select(*rows.columns, *(mean(d).alias(f"ewma_{n}_{s}") for s, pair in scales.items() for n, d in zip(("acute", "chronic"), pair)))
+    return means.withColumns({f"acwr_{s}": F.when(F.col(f"ewma_chronic_{s}") >= FLOOR, F.col(f"ewma_acute_{s}") / F.col(f"ewma_chronic_{s}")) for s in scales})
 
 
 def add_spikes(rows: DataFrame, threshold: float = 1.5, scales: dict[str, tuple[int, int]] = SCALES) -> DataFrame:
@@ -80,11 +79,17 @@ def rolling(rows: DataFrame, keys: list[str], day: str, load: str, windows: tupl
     return out
 
 
-def recency(history: DataFrame, keys: list[str], observed: str, day: str) -> DataFrame:
-    """For each key and observation date: days since the last event, and events in the closed weeks before it.
+def recency(observed: DataFrame, events: DataFrame, keys: list[str], at: str, day: str) -> DataFrame:
+    """keys, at, days_since_last, events_last_7, events_last_14 of each observed row: days since the key's last event on or
+    before it (null without one), and events in the closed weeks before it. events: one row a key and day.
 
-    history: (keys, observed, day) with day null where there is no history; days after the observation don't count.
+    Both sides are dealt once by the keys and merged in one order: no observation meets an event as a pair.
     """
-    past = F.when(F.col(day) <= F.col(observed), F.col(day))
-    within = lambda n: F.sum(F.when((F.col(day) <= F.col(observed)) & (F.col(day) >= F.date_sub(F.col(observed), n)), 1).otherwise(0))
-    return history.groupBy(*keys, observed).agg(F.datediff(F.col(observed), F.max(past)).alias("days_since_last"), within(7).alias("events_last_7"), within(14).alias("events_last_14"))
+    left = observed.select(*keys, F.col(at).alias("_d"), F.lit(None).cast("date").alias("_day"))
+    right = events.filter(F.col(day).isNotNull()).select(*keys, F.col(day).alias("_d"), F.col(day).alias("_day"))
+    order = Window.partitionBy(*keys).orderBy(F.unix_date("_d"))
+    upto = order.rangeBetween(Window.unboundedPreceding, 0)
+    count = lambda n: F.count("_day").over(order.rangeBetween(-n, 0))
+    both = left.withColumn("_asks", F.lit(True)).unionByName(right.withColumn("_asks", F.lit(False)))
+    seen = both.select(*keys, "_d", "_asks", F.max("_day").over(upto).alias("_last"), count(7).alias("events_last_7"), count(14).alias("events_last_14"))
+    return seen.filter("_asks").select(*keys, F.col("_d").alias(at), F.datediff("_d", "_last").alias("days_since_last"), "events_last_7", "events_last_14")

@@ -75,7 +75,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def survival_rows(spark: SparkSession, sf_dir: str, bins: int = 12) -> DataFrame:
-    """vec_id, f0 .. f5, t, e for fitting hazards."""
+    """vec_id, f0 .. f7 (sums of eight components each), t, e for fitting hazards."""
     rows = table(spark, sf_dir, "embeddings")
-    features = [F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(6)]
+    features = [sum((F.get("embedding", F.lit(8 * i + j)).cast("double") for j in range(1, 8)), F.get("embedding", F.lit(8 * i)).cast("double")).alias(f"f{i}") for i in range(8)]
     return rows.select("vec_id", *features, (F.col("vec_id") * 7 % bins).cast("int").alias("t"), (F.col("label") % 3).cast("int").alias("e"))

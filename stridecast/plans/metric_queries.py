@@ -78,11 +78,16 @@ def calibration(spark, sf_dir):
     return metrics.calibration(a.predictions(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("expected", "observed_rate", "expected_rate")})
 
 
-@query()
+# the lower incomplete gamma function by its series, for 9 degrees of freedom
+@query(f"""WITH {PMF}, r AS (SELECT vec_id, CASE WHEN e = 1 THEN 1 ELSE 0 END AS hit, sum(p) AS risk FROM p WHERE cause = 1 AND bin <= t GROUP BY ALL),
+q AS (SELECT quantile_cont(risk, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM r),
+b AS (SELECT len(list_filter(q, lambda x: risk > x)) AS bin, sum(hit) AS o, sum(risk) AS x FROM r, q GROUP BY ALL),
+c AS (SELECT sum((o - x) * (o - x) / x) AS chi2 FROM b WHERE x > 0)
+SELECT round(chi2, 4) AS chi2, round(1 - (SELECT sum(exp((4.5 + k) * ln(chi2 / 2) - chi2 / 2 - lgamma(5.5 + k))) FROM (SELECT unnest(generate_series(0, 2000)) AS k)), 6) + 0.0 AS p FROM c""")
 def calibration_test(spark, sf_dir):
     bins = metrics.calibration(a.predictions(spark, sf_dir))
     found = metrics.calibration_test(bins)
-    return bins.agg(F.lit(found.get("chi2")).cast("double").alias("chi2"), F.lit(found.get("p")).cast("double").alias("p"))
+    return bins.agg(F.round(F.lit(found.get("chi2")).cast("double"), 4).alias("chi2"), (F.round(F.lit(found.get("p")).cast("double"), 6) + 0.0).alias("p"))
 
 
 @query(f"WITH {LOSS} SELECT round(nll, 6) AS nll, round(ranking, 4) AS ranking, n_pairs, round((nll + ranking) / 2, 4) AS combined FROM n, r")
@@ -100,13 +105,18 @@ def event_free_curve(spark, sf_dir):
     return metrics.event_free_curve(rows, ["arm"]).filter("survival > 1e-9").withColumns({c: F.round(c, 6) for c in ("survival", "low", "high")})
 
 
-@query(f"""WITH {LOSS}, u AS (SELECT vec_id, e, t, round(sum(p), 12) AS risk FROM p WHERE cause = 1 AND bin <= least((SELECT max(t) FROM s), {B - 1}) GROUP BY ALL)
-SELECT round((SELECT avg(CASE WHEN i.risk > j.risk THEN 1.0 WHEN i.risk = j.risk THEN 0.5 ELSE 0 END) FROM u i JOIN u j ON i.e = 1 AND j.t > i.t), 4) AS c_index, round(nll, 4) AS nll, round(ranking, 4) AS ranking FROM n, r""")
+@query(f"""WITH {LOSS}, {BRIER.removeprefix(PMF + ", ")}, z AS (SELECT tau, (tau - lag(tau) OVER (ORDER BY tau)) * (brier + lag(brier) OVER (ORDER BY tau)) / 2 AS part FROM b),
+u AS (SELECT vec_id, e, t, round(sum(p), 12) AS risk FROM p WHERE cause = 1 AND bin <= least((SELECT max(t) FROM s), {B - 1}) GROUP BY ALL)
+SELECT round((SELECT avg(CASE WHEN i.risk > j.risk THEN 1.0 WHEN i.risk = j.risk THEN 0.5 ELSE 0 END) FROM u i JOIN u j ON i.e = 1 AND j.t > i.t), 4) AS c_index,
+round((SELECT sum(part) / (max(tau) - min(tau)) FROM z), 4) AS ibs, round((SELECT nll FROM n), 4) AS nll, round(ranking, 4) AS ranking, round(((SELECT nll FROM n) + ranking) / 2, 4) AS combined FROM r""")
 def evaluation_report(spark, sf_dir):
-    return metrics.evaluation_report(a.predictions(spark, sf_dir)).select("c_index", "nll", "ranking")
+    """The report, read back from its JSON."""
+    names = ["c_index", "ibs", "nll", "ranking", "combined"]
+    found = metrics.evaluation_report(a.predictions(spark, sf_dir))
+    return found.select(F.from_json("report", ", ".join(f"{n} double" for n in names)).alias("r")).select(*(F.col("r")[n].alias(n) for n in names))
 
 
-_FEATURES = [f"f{i}" for i in range(6)]
+_FEATURES = [f"f{i}" for i in range(8)]
 
 
 @query()
@@ -124,10 +134,26 @@ def sweep(spark, sf_dir):
     return test.select(F.lit(best).alias("regularisation"), *(F.lit(t["c_index"]).alias(f"val_{i}") for i, t in enumerate(tried)), F.col("c_index").alias("test_c_index"))
 
 
+def _background(rows):
+    return rows.orderBy("vec_id").limit(8)  # the sample is the feature: a fixed background
+
+
 @query()
-def shapley(spark, sf_dir):
+def shapley_risk(spark, sf_dir):
     rows = a.survival_rows(spark, sf_dir)
     model = hazard.fit_hazards(rows, _FEATURES, 12, 2)
     score = lambda df: model.score(df).withColumn("score", curves.horizon_risk(F.col("pmf"), 1, 4))
-    background = rows.orderBy(F.xxhash64("vec_id")).limit(8)  # the sample is the feature: a fixed background
-    return attribution.shapley(rows, background, "vec_id", _FEATURES, score, 8).groupBy("feature").agg(F.avg(F.abs("phi")).alias("mean_abs"))
+    return attribution.shapley(rows, _background(rows), "vec_id", _FEATURES, score).groupBy("feature").agg(F.avg(F.abs("phi")).alias("mean_abs"))
+
+
+_PARTS = [f"{' + '.join(f'CAST(embedding[{8 * i + j}] AS DOUBLE)' for j in range(1, 9))}" for i in range(8)]
+_LONG = " UNION ALL ".join(f"SELECT vec_id, {i} AS i, {p} AS x FROM embeddings" for i, p in enumerate(_PARTS))
+
+
+# of a linear score a feature's part is its weight times what it differs from the background's mean
+@query(f"""WITH x AS ({_LONG}), b AS (SELECT i, avg(x) AS m FROM x WHERE vec_id IN (SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT 8) GROUP BY i)
+SELECT vec_id, 'f' || i AS feature, round((i - 2.5) * (x - m), 6) + 0.0 AS phi FROM x JOIN b USING (i)""")
+def shapley(spark, sf_dir):
+    rows = a.survival_rows(spark, sf_dir)
+    score = lambda df: df.withColumn("score", sum(((i - 2.5) * F.col(f) for i, f in enumerate(_FEATURES)), F.lit(0.25)))
+    return attribution.shapley(rows, _background(rows), "vec_id", _FEATURES, score).withColumn("phi", F.round("phi", 6) + 0.0)

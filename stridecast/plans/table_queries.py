@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stridecast.functions import scalars as sc
 from stridecast.operators import cohort, entities, prep, profile
+from stridecast.operators import filters as filters_
 from stridecast.plans import adapters as a
 from stridecast.plans.features import case_control_matrix, refresh_loads
 from stridecast.plans.registry import query
@@ -93,13 +94,13 @@ UNION ALL SELECT 'past', count(*) FROM orders WHERE CAST(o_orderdate AS DATE) <=
 def filters(spark, sf_dir):
     count = lambda what, df: df.agg(F.lit(what).alias("what"), F.count("*").alias("n"))
     t = lambda n: a.table(spark, sf_dir, n)
-    open_end = F.when(F.col("c_nationkey") != 0, F.col("c_nationkey"))
+    people = t("customer").withColumn("last", F.when(F.col("c_nationkey") != 0, F.col("c_nationkey")))
     return profile.union_aligned(
-        count("primary", t("orders").filter(F.col("o_orderpriority") == "1-URGENT")),
-        count("active", t("customer").filter(open_end.isNull() | (open_end >= 10))),
-        count("known", t("documents").join(t("labels"), "doc_id", "left").dropna(subset=["quality", "text"])),
-        count("decided", t("embeddings").filter(F.when(F.col("label") % 3 == 0, -1).otherwise(F.col("label")) >= 0)),
-        count("past", a.orders_dated(spark, sf_dir).filter(F.col("day") <= F.lit(a.STUDY_END).cast("date"))),
+        count("primary", filters_.primary_events(t("orders"), "o_orderpriority", "1-URGENT")),
+        count("active", filters_.active_since(people, "last", 10)),
+        count("known", filters_.complete(t("documents").join(t("labels"), "doc_id", "left"), "quality", "text")),
+        count("decided", filters_.decided(t("embeddings").withColumn("label", F.when(F.col("label") % 3 == 0, -1).otherwise(F.col("label"))), "label")),
+        count("past", filters_.known_by(a.orders_dated(spark, sf_dir), "day", F.lit(a.STUDY_END).cast("date"))),
     )
 
 
@@ -142,7 +143,8 @@ def resolve_names(spark, sf_dir):
 
 _COHORT = f"""{PRIMARY}, c AS (SELECT o_custkey AS entity, min(day) AS day FROM p GROUP BY o_custkey), s AS (SELECT c.*, {SEASON.format("day")} AS season, c_mktsegment AS position FROM c JOIN customer ON entity = c_custkey),
 r AS (SELECT DISTINCT o_custkey AS entity, {SEASON.format("CAST(o_orderdate AS DATE)")} AS season FROM orders), q AS (SELECT r.*, c_mktsegment AS position FROM r JOIN customer ON entity = c_custkey WHERE entity NOT IN (SELECT entity FROM c)),
-m AS (SELECT s.entity AS case_id, q.entity AS control, s.season, s.day, row_number() OVER (PARTITION BY s.entity ORDER BY md5('42|' || s.entity || '|' || q.entity), q.entity) AS draw FROM s JOIN q USING (season, position))"""
+o AS (SELECT entity, season, position, row_number() OVER (PARTITION BY season, position ORDER BY md5('42|' || entity), entity) - 1 AS place, count(*) OVER (PARTITION BY season, position) AS n FROM (SELECT DISTINCT entity, season, position FROM q)),
+m AS (SELECT s.entity AS case_id, o.entity AS control, s.season, s.day, j + 1 AS draw FROM s CROSS JOIN (SELECT unnest([0, 1, 2]) AS j) JOIN o USING (season, position) WHERE j < n AND place = (CAST('0x' || substr(md5('42|' || s.entity), 1, 8) AS BIGINT) + j) % n)"""
 
 
 @query(f"WITH {_COHORT} SELECT case_id, control, CAST(draw AS INTEGER) AS draw FROM m WHERE draw <= 3")
@@ -158,11 +160,14 @@ def match_tiers(spark, sf_dir):
     return cohort.match_tiers(a.cases(spark, sf_dir).select(F.col("entity").alias("case_id")), match_controls(spark, sf_dir), "case_id")
 
 
-@query(f"""WITH {_COHORT} SELECT entity FROM s WHERE (season, position) NOT IN (SELECT (season, position) FROM q WHERE entity % 400 = 0)""")
+@query(f"""WITH {_COHORT}, x AS (SELECT s.entity, season, position, c_nationkey, floor(c_acctbal / 500) AS band FROM s JOIN customer ON s.entity = c_custkey)
+SELECT entity FROM x WHERE (season, position, c_nationkey, band) NOT IN (SELECT (season, position, c_nationkey, floor(c_acctbal / 500)) FROM q JOIN customer ON q.entity = c_custkey)""")
 def unmatched_cases(spark, sf_dir):
+    """Cases without a control of the season, position, nation and band of balances."""
     found = a.cases(spark, sf_dir)
-    pool = entities.without(a.roster(spark, sf_dir), found.select("entity").distinct(), ["entity"]).filter("entity % 400 = 0")
-    return cohort.unmatched(found, pool, ["season", "position"]).select("entity")
+    nations = a.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity"), "c_nationkey", F.floor(F.col("c_acctbal") / 500).alias("band"))
+    pool = entities.without(a.roster(spark, sf_dir), found.select("entity").distinct(), ["entity"])
+    return cohort.unmatched(found.join(nations, "entity"), pool.join(nations, "entity"), ["season", "position", "c_nationkey", "band"]).select("entity")
 
 
 @query(f"""WITH {_COHORT}, u AS (SELECT entity, entity AS case_id, 1 AS event, day AS observation_date FROM s UNION ALL SELECT control, case_id, 0, CAST(make_date(CAST(season AS INTEGER), 6, 15) AS DATE) FROM m WHERE draw <= 3)
@@ -303,8 +308,8 @@ def stratified(spark, sf_dir):
 
 @query()
 def pca(spark, sf_dir):
-    rows = a.table(spark, sf_dir, "embeddings").select("vec_id", *(F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(11)))
-    out, _ = prep.principal_components(rows, [f"f{i}" for i in range(11)])
+    rows = a.table(spark, sf_dir, "embeddings").select("vec_id", *(F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(64)))
+    out, _ = prep.principal_components(rows, [f"f{i}" for i in range(64)])
     return out.select("vec_id", *(F.round(f"ps_dim_{i}", 6).alias(f"ps_dim_{i}") for i in range(8)))
 
 

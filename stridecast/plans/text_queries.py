@@ -56,17 +56,17 @@ def majority(spark, sf_dir):
 def _row(k: int) -> str:
     hit, said, real = (f"count(*) FILTER (WHERE {c})" for c in (f"l = {k} AND p = {k}", f"p = {k}", f"l = {k}"))
     ratio = lambda x, y: f"round(coalesce(CAST({x} AS DOUBLE) / nullif({y}, 0), 0), 6)"
-    return f"SELECT {k} AS class, {ratio(hit, said)} AS precision, {ratio(hit, real)} AS recall, {ratio('2 * ' + hit, f'({said} + {real})')} AS f1, {real} AS support, {ratio('count(*) FILTER (WHERE l = p)', 'count(*)')} AS accuracy FROM t"
+    return f"SELECT {k} AS class, {ratio(hit, said)} AS precision, {ratio(hit, real)} AS recall, {ratio('2 * ' + hit, f'({said} + {real})')} AS f1, coalesce(CAST(2 * {hit} AS DOUBLE) / nullif({said} + {real}, 0), 0) AS exact_f1, {real} AS support, {ratio('count(*) FILTER (WHERE l = p)', 'count(*)')} AS accuracy FROM t"
 
 
 _REPORT = f"WITH {VOTES}, {MAJORITY}, t AS (SELECT quality AS l, CASE WHEN label = 2 THEN 0 ELSE 1 END AS p FROM j JOIN labels USING (doc_id) WHERE quality IS NOT NULL), r AS ({_row(0)} UNION ALL {_row(1)})"
 
 
-@query(f"{_REPORT} SELECT r.* FROM r")
+@query(f"{_REPORT} SELECT r.* EXCLUDE (exact_f1), (SELECT round(avg(exact_f1), 6) FROM r) AS macro_f1 FROM r")
 def label_report(spark, sf_dir):
     said = weaklabel.majority(_voted(spark, sf_dir)).select("doc_id", F.when(F.col("label") == 2, 0).otherwise(1).alias("said"))
     found = weaklabel.classification_report(said.join(a.table(spark, sf_dir, "labels"), "doc_id"), "quality", "said", [0, 1])
-    return found.drop("macro_f1").withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1", "accuracy")})
+    return found.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1", "accuracy", "macro_f1")})
 
 
 @query()
@@ -86,7 +86,7 @@ def text_score(spark, sf_dir):
 
 @query(r"""SELECT page_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS place, unnest(l) AS href FROM (SELECT page_id, regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1) AS l FROM pages)""")
 def page_links(spark, sf_dir):
-    return a.table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r'<a[^>]*href="([^"]*)"'), F.lit(1))).alias("place", "href"))
+    return pg.links(a.table(spark, sf_dir, "pages"), "page_id")
 
 
 @query(r"""SELECT page_id, replace(replace(replace(coalesce(trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)), ''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title, CAST(coalesce(TRY_CAST(nullif(regexp_extract(url, '[?&]start=(\d+)', 1), '') AS INTEGER), 0) AS INTEGER) AS current_start,
@@ -97,7 +97,16 @@ def page_facts(spark, sf_dir):
     return pages.join(facts, F.col("url") == F.col("u")).select("page_id", pg.text_of(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)).alias("title"), "current_start", "apparent_total")
 
 
-@query()
+_SPACE = r"[\s\p{Z}\x1c-\x1f\x85\v]+"
+_BARE = "html"
+for _tag in ("script", "style"):
+    _BARE = f"regexp_replace({_BARE}, '(?is)<{_tag}\\b.*?</{_tag}>', ' ', 'g')"
+_BARE = f"regexp_replace({_BARE}, '<[^>]*>', ' ', 'g')"
+for _from, _to in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    _BARE = f"replace({_BARE}, '{_from}', '{_to}')"
+
+
+@query(f"SELECT page_id, CAST(length(t) AS INTEGER) AS n_chars, sha256(t) AS text_sha256 FROM (SELECT page_id, trim(regexp_replace({_BARE}, '{_SPACE}', ' ', 'g')) AS t FROM pages)")
 def page_texts(spark, sf_dir):
     pages = a.table(spark, sf_dir, "pages")
     return pages.select("page_id", F.length(pg.text_of(F.col("html"))).alias("n_chars"), F.sha2(pg.text_of(F.col("html")), 256).alias("text_sha256"))
@@ -105,40 +114,30 @@ def page_texts(spark, sf_dir):
 
 @query("SELECT o_custkey AS c_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY o_custkey")
 def page_tables(spark, sf_dir):
-    """Customers' orders written as HTML tables a nation, and read again by the tag parser."""
+    """Orders written as an HTML table for each customer and year, and read again by the tag parser."""
     rows = a.orders_dated(spark, sf_dir).join(a.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     cell = lambda n, c: F.concat(F.lit(f'<td data-stat="{n}">'), c.cast("string"), F.lit("</td>"))
     line = F.concat(F.lit("<tr>"), cell("ranker", F.col("o_orderkey")), cell("price", F.col("o_totalprice")), F.lit("</tr>"))
-    pages = rows.groupBy("c_custkey").agg(F.concat(F.lit('<table id="pgl_basic"><thead><tr><th>x</th></tr></thead><tbody>'), F.array_join(F.sort_array(F.collect_list(line)), ""), F.lit("</tbody></table>")).alias("html"))
+    pages = rows.groupBy("c_custkey", F.year("day").alias("year")).agg(F.concat(F.lit('<table id="pgl_basic"><thead><tr><th>x</th></tr></thead><tbody>'), F.array_join(F.sort_array(F.collect_list(line)), ""), F.lit("</tbody></table>")).alias("html"))
     records = pg.table_records(pg.tables(pages), "^pgl_basic$", ranked="ranker")
     return records.groupBy("c_custkey").agg(F.count("*").alias("n"), F.round(F.sum(F.col("record")["price"].try_cast("double")), 2).alias("total"))
 
 
-@query(r"""WITH o AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS day, o_orderkey FROM orders) SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN day END AS x, max(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS heading FROM o""", dates=("x",))
-def carry_forward(spark, sf_dir):
-    """Orders as a stream of headings and paragraphs: each carries its customer's last heading."""
-    from pyspark.sql import Window
-
-    over = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
-    heading = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey"))
-    return a.orders_dated(spark, sf_dir).select("o_custkey", "o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.col("day")).alias("x"), F.last(heading, ignorenulls=True).over(over).alias("heading"))
-
-
 @query("""SELECT user_id, ts, event_type, props FROM (SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, event_type, event_id AS props FROM events)""")
 def header_zip(spark, sf_dir):
-    """Events a user as a table of cells with a header, and as records again."""
+    """Events of a user and day as a table of cells with a header, and as records again."""
     cells = F.array(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "event_type", F.col("event_id").cast("string"))
-    sheets = a.table(spark, sf_dir, "events").groupBy("user_id").agg(F.concat(F.array(F.array(F.lit(" TS "), F.lit("Event"), F.lit("id"))), F.collect_list(cells)).alias("cells"))
+    sheets = a.table(spark, sf_dir, "events").groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(F.concat(F.array(F.array(F.lit(" TS "), F.lit("Event"), F.lit("id"))), F.collect_list(cells)).alias("cells"))
     r = F.col("record")
     return pg.zip_header(sheets, "cells", "user_id").select("user_id", r["ts"].alias("ts"), r["event"].alias("event_type"), r["id"].cast("long").alias("props"))
 
 
 @query("SELECT user_id, CAST(ts AS DATE) AS day, event_type AS kind, event_id AS id FROM events WHERE user_id IS NOT NULL", dates=("day",))
 def json_frames(spark, sf_dir):
-    """Events as a JSON object of day -> records for each user, flattened again."""
+    """Events as a JSON object of day -> records for each user and month, flattened again."""
     record = F.struct(F.col("event_type").alias("kind"), F.col("event_id").cast("string").alias("id"))
     days = a.table(spark, sf_dir, "events").filter("user_id IS NOT NULL").groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("d")).agg(F.collect_list(record).alias("r"))
-    users = days.groupBy("user_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("d", "r")))).alias("json"))
+    users = days.groupBy("user_id", F.substring("d", 1, 7).alias("month")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("d", "r")))).alias("json"))
     r = F.col("record")
     return src.flatten_frames(users, "json").select("user_id", F.col("frame").cast("date").alias("day"), r["kind"].alias("kind"), r["id"].cast("long").alias("id"))
 

@@ -68,7 +68,7 @@ def recency(spark, sf_dir):
     days = a.user_days(spark, sf_dir)
     span = days.agg(F.explode(F.sequence(F.min("day"), F.max("day"), F.expr("interval 7 days"))).alias("observed"))
     observed = days.select("user_id").distinct().crossJoin(F.broadcast(span))  # dates of a fixed range: a few rows
-    return workload.recency(observed.join(days.select("user_id", "day"), "user_id", "left"), ["user_id"], "observed", "day")
+    return workload.recency(observed, days, ["user_id"], "observed", "day")
 
 
 @query(f"""WITH {PRIMARY}, f AS (SELECT o_custkey, min(day) AS d FROM p WHERE day <= DATE '{a.STUDY_END}' GROUP BY o_custkey),
@@ -80,6 +80,18 @@ def spine(spark, sf_dir):
     return pit.observation_spine(a.profiles(spark, sf_dir), events, "entity", "debut", "day", a.STUDY_END)
 
 
+@query(f"""WITH {PRIMARY}, f AS (SELECT o_custkey, min(day) AS d FROM p WHERE day <= DATE '{a.STUDY_END}' GROUP BY o_custkey),
+s AS (SELECT c_custkey AS entity, make_date(coalesce(CASE WHEN c_custkey % 3 > 0 THEN 1995 + c_custkey % 4 END, CASE WHEN c_custkey % 2 > 0 THEN 1996 END, 1997), 10, 1) AS b, f.d IS NOT NULL AS ev, coalesce(f.d, DATE '{a.STUDY_END}') AS e FROM customer LEFT JOIN f ON c_custkey = o_custkey),
+r AS (SELECT entity, ev, e, CAST(unnest(generate_series(b, e, INTERVAL 90 DAY)) AS DATE) AS observation_date FROM s)
+SELECT entity, observation_date, CAST(ev AS INTEGER) AS event, CAST(e - observation_date AS INTEGER) AS time_remaining_days FROM r""", dates=("observation_date",))
+def spine_debuts(spark, sf_dir):
+    """Debuts follow from the draft, else the first year known, else a default."""
+    events = a.primary_events(spark, sf_dir).withColumnRenamed("o_custkey", "entity")
+    k = F.col("entity").cast("int")
+    people = a.profiles(spark, sf_dir).withColumn("debut", pit.debut_date(F.when(k % 3 > 0, 1995 + k % 4), F.when(k % 2 > 0, F.lit(1996)), 1997))
+    return pit.observation_spine(people, events, "entity", "debut", "day", a.STUDY_END, 90)
+
+
 @query(f"""WITH s AS (SELECT c_custkey AS entity, CAST(unnest(generate_series(DATE '1996-01-01', DATE '2001-01-01', INTERVAL 90 DAY)) AS DATE) AS observed FROM customer),
 f AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS day, arg_max(o_orderkey, o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY ALL)
 SELECT s.entity, s.observed, f.day AS last_day, f.o_orderkey AS last_order, f.o_totalprice AS last_price FROM s ASOF LEFT JOIN f ON s.entity = f.o_custkey AND s.observed >= f.day""", dates=("observed", "last_day"))

@@ -57,31 +57,42 @@ class _Tables(HTMLParser):
 
 
 def tables(pages: DataFrame, html: str = "html") -> DataFrame:
-    """The pages' other columns with a row for each table: table_id, table_classes, table_rows. Texts are trimmed.
+    """The pages' other columns with a row for each table: table_no (in the page, from 0), table_id, table_classes, table_rows.
+    Texts are trimmed.
 
     The tag parser is Python, in batches by Arrow, and only for pages that have a table; a page without one, or
     with a null text, has no row.
     """
     others = [c for c in pages.columns if c != html]
-    schema = T.StructType([*pages.select(*others).schema, *T.StructType.fromDDL(f"table_id string, table_classes string, table_rows array<{ROW}>")])
+    schema = T.StructType([*pages.select(*others).schema, *T.StructType.fromDDL(f"table_no int, table_id string, table_classes string, table_rows array<{ROW}>")])
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
 
-        for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
+        kind = to_arrow_type(schema["table_rows"].dataType)
+        for batch in batches:
+            page, found = [], []
+            for k, text in enumerate(batch.column(len(others)).to_pylist()):
                 parser = _Tables()
-                parser.feed(row.pop("_html"))
-                for t in parser.tables:
+                parser.feed(text)
+                for no, t in enumerate(parser.tables):
                     for r in t["rows"]:
                         for c in r["cells"]:
                             c["text"] = " ".join(c["text"].replace("\xa0", " ").split())
-                    out.append(row | {"table_id": t["id"], "table_classes": t["classes"], "table_rows": t["rows"]})
-            if out:
-                yield pd.DataFrame(out, columns=[f.name for f in schema])
+                    page.append(k)
+                    found.append((no, t["id"], t["classes"], t["rows"]))
+            if found:
+                own = [c.take(pa.array(page)) for c in batch.columns[:-1]]
+                new = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int32(), pa.string(), pa.string(), kind))]
+                yield pa.RecordBatch.from_arrays([*own, *new], [f.name for f in schema])
 
-    return pages.filter(F.lower(html).contains("<table")).select(*others, F.col(html).alias("_html")).mapInPandas(run, schema)
+    return pages.filter(F.lower(html).contains("<table")).select(*others, F.col(html).alias("_html")).mapInArrow(run, schema)
+
+
+def links(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """key, place (from 0), href of each link in a page's order."""
+    return pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(r'<a[^>]*href="([^"]*)"'), F.lit(1))).alias("place", "href"))
 
 
 def _cells(c: str | Column = "row") -> Column:
@@ -101,6 +112,17 @@ def table_records(found: DataFrame, table_id: str, ranked: str | None = None, pa
     return rows.drop("row")
 
 
+# How tables of injuries are named.
+INJURY_TABLES = "(?i)injur|transaction"
+
+
+def injury_log(found: DataFrame, key: str) -> DataFrame:
+    """The rows with any named cell of the first table of each page (by key) that is named as one of injuries or transactions."""
+    first = F.row_number().over(Window.partitionBy(key).orderBy("table_no"))
+    named = found.filter(F.rlike("table_id", F.lit(INJURY_TABLES))).withColumn("table_first", first).filter("table_first = 1")
+    return table_records(named, "")
+
+
 def entity_index(found: DataFrame, base: str) -> DataFrame:
     """name, url, year_min, year_max from the index table `players`; rows without a link go."""
     rows = found.filter(F.col("table_id") == "players").select(F.explode("table_rows").alias("row")).filter("row.part = 'tbody'")
@@ -121,21 +143,26 @@ def some(c: Column) -> Column:
     return F.when(c != "", c)
 
 
+# What a bio page and a draft line look like. The content of the div of id meta, with divs in divs.
+_TEXT = r"(?:[^<]++|<(?!/?div\b))"
+META = rf'(?is)<div\b[^>]*\bid="meta"[^>]*>((?:{_TEXT}|<div\b(?:{_TEXT}|<div\b{_TEXT}*</div>)*</div>)*)'
+SIZE = r"(\d+)-(\d+),\s*(\d+)lb"
+PICK = r"(\d{4}).*?(\d+)(?:st|nd|rd|th) pick"
+
+
 def entity_bio(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """player_url, height_inches, weight_lbs, birth_date, position, college, draft_year, draft_pick by patterns of a page."""
-    h = F.regexp_extract(html, r'(?s)<div[^>]*id="meta"[^>]*>(.*)', 1)
-    size = r"(\d+)-(\d+),\s*(\d+)lb"
+    h = F.regexp_extract(html, META, 1)
     t = text_of(h)
-    feet, inches, lbs = (F.regexp_extract(t, size, k).try_cast("int") for k in (1, 2, 3))
+    feet, inches, lbs = (F.regexp_extract(t, SIZE, k).try_cast("int") for k in (1, 2, 3))
     paragraph = lambda word: F.regexp_extract(h, rf"(?s)<p[^>]*>((?:(?!</p>).)*?{word}(?:(?!</p>).)*)", 1)
     place = F.trim(F.get(F.split(F.regexp_replace(text_of(paragraph("Position:")), "Position:", ""), "▪"), F.lit(0)))
     draft = text_of(paragraph("Draft:"))
-    pick = r"(\d{4}).*?(\d+)(?:st|nd|rd|th) pick"
     return pages.select(
         F.col(url).alias("player_url"), (feet * 12 + inches).alias("height_inches"), lbs.alias("weight_lbs"),
         F.regexp_extract(h, r'id="necro-birth"[^>]*data-birth="([^"]*)"', 1).try_cast("date").alias("birth_date"),
         some(place).alias("position"), some(text_of(F.regexp_extract(paragraph("College:"), r"(?s)<a[^>]*>(.*?)</a>", 1))).alias("college"),
-        F.regexp_extract(draft, pick, 1).try_cast("int").alias("draft_year"), F.regexp_extract(draft, pick, 2).try_cast("int").alias("draft_pick"),
+        F.regexp_extract(draft, PICK, 1).try_cast("int").alias("draft_year"), F.regexp_extract(draft, PICK, 2).try_cast("int").alias("draft_pick"),
     )
 
 
@@ -148,17 +175,24 @@ def career_totals(found: DataFrame) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c != "row"], career.alias("career")).withColumn("numbers", F.map_filter(F.transform_values("career", lambda k, v: v.try_cast("double")), lambda k, v: v.isNotNull()))
 
 
+# How the columns of transaction tables are found by parts of their names, and their usual places.
+MOVES = {"date": ("date", 0), "team": ("team", 1), "acquired": ("acquir|placed", 2), "relinquished": ("relinquish", 3), "notes": ("note|reason", 4)}
+
+
 def transactions(found: DataFrame, url: str = "url", keyword: str = "achilles") -> DataFrame:
-    """Rows of the first transaction table of a page: player_name, date, team, transaction_type, reason, source_url.
+    """Rows of the first transaction table of a page (by url): the first of class datatable, else the first that has a date
+    and moves in its first row. player_name, date, team, transaction_type, reason, source_url.
 
     Columns are found by parts of their names, else by their usual place; rows of fewer than four cells go; who is
     relinquished is placed on the list, who is only acquired is activated from it; the keyword must be in notes or name.
     """
     names = F.transform(F.get("table_rows", F.lit(0))["cells"], lambda c: F.lower(c["text"]))
-    looks = F.contains("table_classes", F.lit("datatable")) | (F.exists(names, lambda n: n == "date") & F.exists(names, lambda n: F.contains(n, F.lit("relinquish")) | F.contains(n, F.lit("acquir"))))
+    marked = F.array_contains(F.split("table_classes", r"\s+"), "datatable")
+    looks = marked | (F.exists(names, lambda n: n == "date") & F.exists(names, lambda n: F.contains(n, F.lit("relinquish")) | F.contains(n, F.lit("acquir"))))
+    first = F.row_number().over(Window.partitionBy(url).orderBy(~marked, "table_no"))
     place = lambda words, default: F.coalesce(F.array_min(F.filter(F.transform(names, lambda n, i: F.when(F.rlike(n, F.lit(words)), i)), lambda i: i.isNotNull())), F.lit(default))
-    wanted = {"date": ("date", 0), "team": ("team", 1), "acquired": ("acquir|placed", 2), "relinquished": ("relinquish", 3), "notes": ("note|reason", 4)}
-    rows = found.filter(looks).select(F.col(url).alias("source_url"), *(place(*w).alias(f"_{k}") for k, w in wanted.items()), F.posexplode(F.slice("table_rows", 2, 1 << 30)).alias("position", "row"))
+    wanted = MOVES
+    rows = found.filter(looks).withColumn("table_first", first).filter("table_first = 1").select(F.col(url).alias("source_url"), *(place(*w).alias(f"_{k}") for k, w in wanted.items()), F.posexplode(F.slice("table_rows", 2, 1 << 30)).alias("position", "row"))
     rows = rows.withColumn("_cells", F.transform(F.filter("row.cells", lambda c: ~c["header"]), lambda c: c["text"])).filter(F.size("_cells") >= 4)
     rows = rows.select("source_url", "position", *(F.coalesce(F.get("_cells", F.col(f"_{k}")), F.lit("")).alias(k) for k in wanted))
     gone = F.col("relinquished") != ""
@@ -167,10 +201,14 @@ def transactions(found: DataFrame, url: str = "url", keyword: str = "achilles")
     return rows.select("player_name", "date", "team", F.when(gone, "placed_on_IL").otherwise("activated_from_IL").alias("transaction_type"), F.col("notes").alias("reason"), "source_url")
 
 
+# Fixed value: where an address tells the first row of its page.
+START = r"[?&]start=(\d+)"
+
+
 def pagination(pages: DataFrame, url: str = "url", html: str = "html", page_size: int = 25) -> DataFrame:
     """url, current_start, apparent_total, has_next."""
-    start = F.coalesce(F.regexp_extract(url, r"[?&]start=(\d+)", 1).try_cast("int"), F.lit(0))
-    seen = F.array_max(F.transform(F.regexp_extract_all(html, F.lit(r"[?&]start=(\d+)"), F.lit(1)), lambda x: x.try_cast("int")))
+    start = F.coalesce(F.regexp_extract(url, START, 1).try_cast("int"), F.lit(0))
+    seen = F.array_max(F.transform(F.regexp_extract_all(html, F.lit(START), F.lit(1)), lambda x: x.try_cast("int")))
     return pages.select(url, start.alias("current_start"), F.coalesce(seen + page_size, F.lit(0)).alias("apparent_total"), F.contains(html, F.concat(F.lit("start="), (start + page_size).cast("string"))).alias("has_next"))
 
 

@@ -41,8 +41,10 @@ def append_csv(rows: DataFrame, path: str) -> None:
     align(rows, columns).write.mode("append").option("header", True).csv(path)
 
 
-def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """JSON of declared types: a file is an array of records, or one record a line, which Spark can split and which overwrite
+    writes; ISO dates."""
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
 def flatten_frames(rows: DataFrame, column: str, record: str = "map<string,string>") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stridecast.functions import curves
 from stridecast.functions import scalars as sc
-from stridecast.operators import attribution, entities, metrics, pit, prep, profile, weaklabel, workload
+from stridecast.operators import attribution, cohort, entities, filters, metrics, pit, prep, profile, weaklabel, workload
 from stridecast.sources import pages as pg
 from stridecast.sources import tables as src
 
@@ -146,6 +146,68 @@ def test_shapley_adds_up(spark):
     assert got == {1: pytest.approx(4 - 1.5), 2: pytest.approx(-2.5 - 1.5)}
 
 
+def test_shapley_uses_the_whole_background(spark):
+    rows = spark.createDataFrame([(1, 9.0, 1.0)], "k int, a double, b double")
+    back = spark.createDataFrame([(float(i), float(i * i)) for i in range(8)], "a double, b double")
+    score = lambda df: df.withColumn("score", F.col("a") * F.col("b"))
+    for samples in (2, 8, 40):  # raised to a multiple of twice the background
+        phi = {r.feature: r.phi for r in attribution.shapley(rows, back, "k", ["a", "b"], score, samples).collect()}
+        assert sum(phi.values()) == pytest.approx(9 - sum(i**3 for i in range(8)) / 8)
+        # the mean of both orders, which antithetic pairs give exactly for two features
+        assert phi["a"] == pytest.approx(sum((9 - i) * (1 + i * i) / 2 for i in range(8)) / 8)
+    with pytest.raises(ValueError):
+        attribution.shapley(rows, back, "k", ["a", "b"], score, 8, most_background=7)
+
+
+def test_quantiles_against_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    columns = {"few": rng.normal(size=3), "one": np.array([4.0]), "ties": rng.integers(0, 4, 1001).astype(float), "many": rng.exponential(size=60_000), "flat": np.zeros(500)}
+    rows = [(k, float(x)) for k, xs in columns.items() for x in xs] + [("few", None), ("none", None)]
+    shares = [0.0, 0.1, 0.25, 0.5, 0.9, 0.999, 1.0]
+    got = {(r.feature, r.i): (r.value, r.n) for r in profile.quantiles(spark.createDataFrame(rows, "feature string, value double").repartition(4), shares).collect()}
+    assert set(got) == {(k, i) for k in columns for i in range(len(shares))}
+    for k, xs in columns.items():
+        assert [got[k, i][0] for i in range(len(shares))] == pytest.approx(np.quantile(xs, shares).tolist()) and got[k, 0][1] == len(xs)
+    assert profile.percentiles(spark.createDataFrame([], "x double"), "x", [0.5]).count() == 0
+
+
+def test_controls_are_drawn_within_strata(spark):
+    pool = spark.createDataFrame([(i, i % 5) for i in range(1000, 1500)] + [(1, 7), (2, 7)], "c int, s int").repartition(3)
+    cases = spark.createDataFrame([(i, i % 5) for i in range(200)] + [(900, 7), (901, 8), (902, None)], "k int, s int")
+    rows = cohort.match_controls(cases, pool.union(pool), ["s"], "k", "c").collect()
+    taken = {}
+    for r in rows:
+        taken.setdefault(r.k, []).append((r.draw, r.c))
+        assert r.s == (r.c % 5 if r.c >= 1000 else 7)
+    assert all(sorted(d for d, _ in taken[k]) == [1, 2, 3] and len({c for _, c in taken[k]}) == 3 for k in range(200))
+    assert sorted(c for _, c in taken[900]) == [1, 2] and 901 not in taken and 902 not in taken
+    assert len({c for x in taken.values() for _, c in x}) > 300  # spread over the pool
+
+
+def test_containment_of_short_names(spark):
+    inner = spark.createDataFrame([("a", 1), ("bo", 2), ("kim", 3), ("", 4), ("zz", 5)], "_in string, i int")
+    outer = spark.createDataFrame([("bob kim", 1), ("a", 2), ("bo", 3), ("", 4)], "_out string, o int")
+    got = {(r.i, r.o) for r in entities.containing(inner, outer).collect()}
+    assert got == {(1, 2), (2, 1), (2, 3), (3, 1)}
+
+
+def test_profiles_fan_out(spark):
+    spine = spark.createDataFrame([(1,), (2,), (None,)], "k int")
+    people = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c")], "k int, p string")
+    assert sorted(map(tuple, pit.static_join(spine, people, "k").collect()), key=repr) == sorted([(1, "a"), (1, "b"), (2, None), (None, None)], key=repr)
+
+
+def test_filters(spark):
+    df = spark.createDataFrame([("rupture", 2000, 1, D(2020, 1, 1)), ("tear", None, -1, D(2020, 1, 2)), (None, 1990, None, None)], "s string, y int, l int, d date")
+    assert filters.primary_events(df, "s").count() == 1
+    assert filters.active_since(df, "y", 1995).count() == 2
+    assert filters.complete(df, "l", "d").count() == 2
+    assert filters.decided(df, "l").count() == 1
+    assert filters.known_by(df, "d", F.lit(D(2020, 1, 1))).count() == 1
+
+
 def test_pages(spark):
     game = '<table id="pgl_basic"><thead><tr><th>R</th></tr></thead><tbody><tr><td data-stat="ranker">1</td><td data-stat="mp">35:42</td></tr><tr class="thead"><td data-stat="ranker">2</td></tr><tr><td data-stat="ranker">Rk</td></tr></tbody></table>'
     moves = '<table class="datatable center"><tr><td>&nbsp;Date </td><td>Team</td><td>Acquired</td><td>Relinquished</td><td>Notes</td></tr><tr><td>2020-01-01</td><td>X</td><td></td><td>• Al Bo</td><td>torn Achilles</td></tr><tr><td>2020-01-02</td><td>X</td><td>Cy</td><td></td><td>achilles healed</td></tr><tr><td>a</td><td>b</td><td>c</td></tr></table>'
@@ -176,6 +238,8 @@ def test_files(spark, tmp_path):
     spark.createDataFrame([("a", "2020-01-02"), ("b", "bad")], "n string, d string").write.option("header", True).csv(path)
     rows = {r.n: r.d for r in src.read_csv(spark, path, "n string, d date", ["d"]).collect()}
     assert rows == {"a": D(2020, 1, 2), "b": None}
+    (tmp_path / "r.json").write_text('[{"n": "a", "d": "2020-01-02"},\n {"n": "b", "d": null}]')
+    assert {r.n: r.d for r in src.read_json(spark, str(tmp_path / "r.json"), "n string, d date").collect()} == rows
     src.append_csv(spark.createDataFrame([("c", 1)], "n string, extra int"), path)
     assert spark.read.option("header", True).csv(path).count() == 3
     with pytest.raises(ValueError):
