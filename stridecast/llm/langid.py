@@ -17,6 +17,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 #: Piece probabilities are scaled by so much a character, so that words of usual length neither under- nor overflow.
 SCALE = 12.0
 REMEMBERED = 300_000
+#: Letters of a run that the fit takes together; a run of a language without spaces seldom is longer.
+LETTERS = 64
 
 
 def word_pieces(path: str) -> list[str]:
@@ -125,7 +127,8 @@ def expected_counts(pieces: Pieces, table: np.ndarray, words: list[str], counts:
 
 def fit_languages(docs: DataFrame, path: str, sample: int = 400, longest: int = 32_768, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Fit on about sample documents of each language at most (chosen by a hash of the id), texts of longest characters
-    at most: that bounds what the driver gathers. Held-out rows and null languages are never learned from."""
+    at most: that bounds what the driver gathers for a language. Held-out rows and null languages are never learned from. Runs
+    of more than LETTERS letters are learned from in parts as long; texts are scored by whole runs."""
     import regex
     from collections import Counter
 
@@ -141,7 +144,7 @@ def fit_languages(docs: DataFrame, path: str, sample: int = 400, longest: int =
     seen = {k: Counter() for k in names}
     words = regex.compile(r"\p{L}+").findall
     for r in sorted(chosen, key=lambda r: (r.doc_id, r.lang, r.text)):
-        seen[r.lang].update(w for w in words(r.text.lower()) if len(w) <= 48)
+        seen[r.lang].update(w[at : at + LETTERS] for w in words(r.text.lower()) for at in range(0, len(w), LETTERS))
     made, probs = Pieces(pieces), np.zeros((len(pieces) + 2, len(names)))
     for k, name in enumerate(names):
         table = np.append(np.full(len(pieces) + 1, 1 / (len(pieces) + 1)), 0.0)

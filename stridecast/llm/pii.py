@@ -12,7 +12,9 @@ from stridecast.llm.common import keyed_texts, slices
 
 ROUNDS = 10
 DIGITS, HEX, LOWER, UPPER = "0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-KINDS = ("email", "phone", "ip", "card", "ssn", "date", "secret")
+KINDS = ("email", "phone", "ip", "card", "ssn", "date", "iban", "secret")
+#: Symbols that are permuted together; longer values in parts.
+PART = 64
 #: Dates are permuted within these years.
 FIRST, LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
@@ -34,7 +36,8 @@ NAMED = re.compile(
     rf"|(?P<m2>{_NAMES})(?P<g2>\.? )(?P<d2>\d{{1,2}})(?P<o2>st|nd|rd|th)?(?P<h2>,? )(?P<y2>\d{{4}}))(?![\w/\-])",
     re.IGNORECASE,
 )
-SECRET = re.compile(r"""(?P<name>\b(?:token|secret|password|passwd|api[_-]?key)\b\s*[=:]\s*)(?:(?P<quote>["'])(?P<secret>[A-Za-z0-9_\-+/=]{8,256})(?P=quote)|(?P<open>(?:[A-Za-z0-9_\-+/=]|[.!#$%^*~](?=[A-Za-z0-9])){8,256}))""", re.IGNORECASE)
+SECRET = re.compile(r"""(?P<name>\b(?:token|secret|password|passwd|api[_-]?key)\b\s*[=:]\s*)(?:(?P<quote>["'])(?P<secret>[A-Za-z0-9_\-+/=]{8,})(?P=quote)|(?P<open>(?:[A-Za-z0-9_\-+/=]|[.!#$%^*~](?=[A-Za-z0-9])){8,}))""", re.IGNORECASE)
+IBAN = re.compile(r"(?<![\w\-])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![\w\-])")
 
 
 class Feistel:
@@ -74,6 +77,8 @@ class Feistel:
                 return value
 
     def string(self, text: str, alphabet: str, tweak: str, back: bool = False) -> str:
+        if len(text) > PART:
+            return "".join(self.string(text[at : at + PART], alphabet, f"{tweak}|{at}", back) for at in range(0, len(text), PART))
         value = 0
         for c in text:
             value = value * len(alphabet) + alphabet.index(c)
@@ -159,22 +164,19 @@ def _date(found: str, net: Feistel, back: bool) -> str | None:
             return None
         return value if FIRST <= value <= LAST else None
 
-    if "." in found or found[4:5] == "/":
+    if "." in found or re.match(r"\d{4}/", found):
         return _in_format(re.split(r"[./]", found), found, made, net, back)
     if "-" in found:
         value = made(*map(int, found.split("-")))
         return value and datetime.date.fromordinal(net.within(value, FIRST, LAST, "date", back)).isoformat()
-    a, b, y = map(int, found.split("/"))
-    if (value := made(y, a, b)) is not None:  # month first
-        new = datetime.date.fromordinal(net.within(value, FIRST, LAST, "m/d", back))
-        return f"{new.month:02d}/{new.day:02d}/{new.year}"
-    if (value := made(y, b, a)) is not None:  # day first, and so the day is over 12
-        new = datetime.date.fromordinal(net.within(value, FIRST, LAST, "d/m", back, lambda v: datetime.date.fromordinal(v).day > 12))
-        return f"{new.day:02d}/{new.month:02d}/{new.year}"
-    return None
+    a, b, y = parts = found.split("/")
+    if made(int(y), int(a), int(b)) is not None:  # month first
+        return _in_format([b, a, y], "/m", made, net, back, lambda said: f"{said[1]}/{said[2]}/{said[0]}")
+    # day first, and so the day is over 12
+    return _in_format(parts, "/d", made, net, back, lambda said: "/".join(said[::-1]), least_day=13)
 
 
-def _in_format(parts: list[str], found: str, made, net: Feistel, back: bool) -> str | None:
+def _in_format(parts: list[str], found: str, made, net: Feistel, back: bool, written=None, least_day: int = 1) -> str | None:
     """A date of parts year, month, day or day, month, year; a part of one digit stays one, of two two."""
     order = parts if len(parts[0]) == 4 else parts[::-1]
     value = made(*map(int, order))
@@ -184,11 +186,27 @@ def _in_format(parts: list[str], found: str, made, net: Feistel, back: bool) ->
 
     def fits(v: int) -> bool:
         new = datetime.date.fromordinal(v)
-        return all(w == 2 or x < 10 for w, x in zip(widths, (new.month, new.day)))
+        return new.day >= least_day and all(w == 2 or x < 10 for w, x in zip(widths, (new.month, new.day)))
 
-    new = datetime.date.fromordinal(net.within(value, FIRST, LAST, f"{found[len(parts[0])]}{widths}", back, fits))
+    sign = found if written else found[len(parts[0])]
+    new = datetime.date.fromordinal(net.within(value, FIRST, LAST, f"{sign}{widths}", back, fits))
     said = [str(new.year), f"{new.month:0{widths[0]}d}", f"{new.day:0{widths[1]}d}"]
-    return found[len(parts[0])].join(said if order is parts else said[::-1])
+    return written(said) if written else sign.join(said if order is parts else said[::-1])
+
+
+def iban(found: str, net: Feistel, back: bool = False) -> str | None:
+    """The pseudonym of an account number with valid check digits: its country, and where letters and digits stand, stay."""
+    bare = found.replace(" ", "")
+
+    def check(account: str) -> str:
+        number = int("".join(str(int(c, 36)) for c in account + bare[:2] + "00"))
+        return f"{98 - number % 97:02d}"
+
+    if not 15 <= len(bare) <= 34 or check(bare[4:]) != bare[2:4]:
+        return None
+    account = net.symbols(bare[4:], f"iban{bare[:2]}", (DIGITS, UPPER), back)
+    rest = iter(bare[:2] + check(account) + account)
+    return "".join(c if c == " " else next(rest) for c in found)
 
 
 def _suffix(day: int) -> str:
@@ -252,6 +270,11 @@ def pseudonymise_text(text: str, net: Feistel, back: bool = False) -> tuple[str,
         counts["date"] += new is not None
         return m[0] if new is None else new
 
+    def account(m: re.Match) -> str:
+        new = iban(m[0], net, back)
+        counts["iban"] += new is not None
+        return m[0] if new is None else new
+
     def number(m: re.Match) -> str:
         kind = "plain" if m["plain"] else m.lastgroup
         new = replace_number(kind, m[0], net, back)
@@ -266,6 +289,7 @@ def pseudonymise_text(text: str, net: Feistel, back: bool = False) -> tuple[str,
     spans = [(m.start(), m.end(), m, email) for m in EMAIL.finditer(text)] if "@" in text else []
     if "=" in text or ":" in text:
         spans += [(m.start(), m.end(), m, secret) for m in SECRET.finditer(text)]
+    spans += [(m.start(), m.end(), m, account) for m in IBAN.finditer(text)]
     spans += [(m.start(), m.end(), m, named) for m in NAMED.finditer(text)]
     spans += [(m.start(), m.end(), m, number) for m in NUMBERS.finditer(text)]
     for start, end, m, made in sorted(spans, key=lambda s: (s[0], -s[1])):
@@ -280,8 +304,9 @@ def pseudonymise_text(text: str, net: Feistel, back: bool = False) -> tuple[str,
 def pseudonymise(docs: DataFrame, key: bytes, back: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text with pseudonyms, n_found and n_<kind> for each kind of private value.
 
-    Equal values become equal pseudonyms in all documents, under one key. A null text stays null with zero counts.
-    Each row is treated alone, over its whole text, so repeated rows come out alike. No shuffle. back undoes it.
+    Equal values become equal pseudonyms in all documents, under one key. A null text stays null with zero counts, an empty one
+    empty; an empty table has no rows. Each row is treated alone, over its whole text however long, so repeated rows come out
+    alike, rows without an id too. No shuffle. back undoes it.
     """
 
     def run(batches):
