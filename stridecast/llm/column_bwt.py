@@ -28,9 +28,11 @@ class Column:
 
 
 def sorted_by(symbols: np.ndarray, term: int) -> np.ndarray:
-    """A stable order by symbol; 16 bits are sorted at a time, which numpy does by counting."""
+    """A stable order by symbol, term being the largest; 16 bits are sorted at a time, which numpy does by counting."""
     order = np.argsort(symbols.astype(np.uint16), kind="stable")
-    return order if term < 1 << 16 else order[np.argsort((symbols >> 16).astype(np.uint16)[order], kind="stable")]
+    for shift in range(16, int(term).bit_length(), 16):
+        order = order[np.argsort((symbols >> np.uint64(shift)).astype(np.uint16)[order], kind="stable")]
+    return order
 
 
 def range_min(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -55,19 +57,22 @@ def build(flat: np.ndarray, term: int, starts: np.ndarray, lengths: np.ndarray,
     """
     n = len(starts)
     # one column holds the transform's symbol and, in the low byte, the common prefix with the row above
-    column, ids = Column(folder, "bwt-lcp", np.uint32), Column(folder, "ids", np.int32)
+    if term >= 1 << 56 or length > 255:
+        raise ValueError("symbols have 56 bits at most, and windows 255 symbols")
+    eight = np.uint64(8)
+    column, ids = Column(folder, "bwt-lcp", np.uint64), Column(folder, "ids", np.int64)
     ends = starts + lengths
     windows = lengths - length + 1
     first_window = np.cumsum(windows) - windows
-    column.write(flat[ends - 1].astype(np.uint32) << 8)
+    column.write(flat[ends - 1].astype(np.uint64) << eight)
     row, string = np.arange(n), np.arange(n, dtype=np.int32)  # of the suffixes inserted last, by row
     owner = np.zeros(int(lengths.sum()) + n, np.int32)
     for depth in range(1, int(lengths.max(initial=0)) + 1):
         both = column.read()
-        symbols = both >> 8
+        symbols = both >> eight
         common = both.astype(np.uint8)
         if depth == length:
-            ids.write(np.full(len(symbols), -1, np.int32))
+            ids.write(np.full(len(symbols), -1, np.int64))
         order = sorted_by(symbols, term)
         order = order[: len(symbols) - np.count_nonzero(symbols == term)]
         live = lengths[string] >= depth
@@ -81,29 +86,29 @@ def build(flat: np.ndarray, term: int, starts: np.ndarray, lengths: np.ndarray,
         above, below = order[np.maximum(place - 1, 0)], order[np.minimum(place + 1, len(order) - 1)]
         has_above = (place > 0) & (symbols[above] == symbol)
         has_below = (place < len(order) - 1) & (symbols[below] == symbol)
-        own, after = np.zeros(len(place), np.uint32), np.zeros(len(place), np.uint32)
+        own, after = np.zeros(len(place), np.uint64), np.zeros(len(place), np.uint64)
         for values, has, low, high in ((own, has_above, above, old), (after, has_below, old, below)):
-            values[has] = np.minimum(range_min(common, low[has] + 1, high[has]).astype(np.uint32) + 1, length)
-        before = np.where(lengths[string] > depth, flat[np.maximum(ends[string] - depth - 1, 0)], term).astype(np.uint32)
+            values[has] = np.minimum(range_min(common, low[has] + 1, high[has]).astype(np.uint64) + np.uint64(1), np.uint64(length))
+        before = np.where(lengths[string] > depth, flat[np.maximum(ends[string] - depth - 1, 0)], term).astype(np.uint64)
         at = row - np.arange(len(row))
-        both = np.insert(both, at, before << 8 | own)
+        both = np.insert(both, at, before << eight | own)
         follows = row + 1 < len(both)
         next_row = row[follows] + 1
-        both[next_row] = both[next_row] >> 8 << 8 | after[follows]
+        both[next_row] = both[next_row] >> eight << eight | after[follows]
         column.write(both)
         if depth >= length:
             ids.write(np.insert(ids.read(), at, first_window[string] + lengths[string] - depth))
-    return (ids.read() if ids.n else np.full(n, -1, np.int32)), column.read().astype(np.uint8)
+    return (ids.read() if ids.n else np.full(n, -1, np.int64)), column.read().astype(np.uint8)
 
 
 def wide_symbols(flat: np.ndarray, wide: int) -> tuple[np.ndarray, int]:
-    """(the rank of the `wide` bytes at each place among all that occur, their number)."""
+    """(the rank of the `wide` bytes at each place among all that occur, their number); any number of ranks fits."""
     padded = np.append(flat, np.zeros(wide, np.uint8)).astype(np.uint64)
     value = np.zeros(len(flat), np.uint64)
     for k in range(wide):
         value = value << np.uint64(8) | padded[k : k + len(flat)]
     order = np.argsort(value, kind="stable")
-    rank = np.empty(len(flat), np.uint32)
+    rank = np.empty(len(flat), np.uint64)
     rank[order] = np.cumsum(np.concatenate(([0], value[order][1:] != value[order][:-1])))
     return rank, int(rank.max()) + 1
 

@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stridecast.llm.column_bwt import least_of_equal
-from stridecast.llm.common import keyed_texts, ragged, slices, text_buffers
+from stridecast.llm.common import broadcast_if_small, ensure_checkpoint_dir, keyed_texts, ragged, slices, text_buffers
 
 GRAM = 20
 #: Windows of one segment at most.
 MOST = 64
-#: Bytes of distinct segments that are sorted together, unless one anchor alone has more.
+#: Bytes of distinct segments that are sorted together, unless one key (an anchor in a context) alone has more.
 COLLECTION = 1 << 20
+#: Bytes of text of a group of documents, about; and documents that a text of many copies has at least.
+GROUP, COPIES = 32 << 20, 1000
 #: Odd numbers that mix bits.
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9)]
 
@@ -57,11 +59,37 @@ def group_of(ids, n: int):
     return F.pmod(ids.bitwiseXOR(F.shiftright(ids, 17)).bitwiseXOR(F.shiftright(ids, 34)), F.lit(n)).cast("int")
 
 
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    k = a * MIX[0] + b * MIX[1]
+    k ^= k >> np.uint64(29)
+    k *= MIX[3]
+    return k ^ (k >> np.uint64(32))
+
+
+def window_keys(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, least gram hash) of the window of `length` bytes from each place on; there must be one.
+
+    A window's anchor is its 20-byte string of the least hash, the first of equals. The key is a hash of the anchor together with
+    what stands before it, if there is room for half of the rest of the window, else with what stands after it. So
+    equal windows have equal keys wherever they are, and an anchor that very many texts hold is split by its context.
+    """
+    h = gram_hashes(data)
+    room = length - GRAM
+    least, at, span = h, np.arange(len(h)), 1
+    for step in [*(1 << k for k in range((room + 1).bit_length() - 1)), room + 1 - (1 << (room + 1).bit_length() - 1)]:
+        if step:
+            n = len(least) - step
+            later = least[step:] < least[:n]
+            least, at = np.where(later, least[step:], least[:n]), np.where(later, at[step:], at[:n])
+    half = room // 2
+    from_ = at - half * (at - np.arange(len(at)) >= half)
+    return mixed(h[from_], h[from_ + half]), least
+
+
 def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, windows, anchor) of the runs of windows of `length` bytes that share an anchor.
+    """(row, start, windows, key) of the runs of windows of `length` bytes that share a key (window_keys).
 
-    A window's anchor is the least hash of its 20-byte strings, so equal windows have equal anchors wherever they are.
-    Windows never cross rows. A run has MOST windows at most.
+    Windows never cross rows. A run has MOST windows at most, and one anchor.
     """
     sizes = np.diff(offsets)
     n = int(offsets[-1] - offsets[0])
@@ -69,21 +97,14 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray
     if n < length:
         none = np.zeros(0, np.int64)
         return none, none, none, none.astype(np.uint64)
-    h = gram_hashes(data)
-    wide, span = length - GRAM + 1, 1
-    while span * 2 <= wide:
-        h = np.minimum(h[:-span], h[span:])
-        span *= 2
-    if span < wide:
-        h = np.minimum(h[: span - wide], h[wide - span :])
-    # h[i] is now the anchor of the window at i
+    key, least = window_keys(data, length)
     row = np.flatnonzero(sizes >= length)
     base = (offsets[:-1] - offsets[0])[row]
     count = sizes[row] - length + 1
     window = ragged(np.arange(n), base, count)
-    anchors = h[window]
+    keys, least = key[window], least[window]
     new = np.ones(len(window), bool)
-    new[1:] = anchors[1:] != anchors[:-1]
+    new[1:] = (keys[1:] != keys[:-1]) | (least[1:] != least[:-1])
     firsts = np.cumsum(count) - count
     new[firsts] = True
     at = np.flatnonzero(new)
@@ -93,7 +114,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray
         at = np.repeat(at, parts) + MOST * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
         size = np.diff(np.append(at, len(window)))
     owner = np.searchsorted(firsts, at, side="right") - 1
-    return row[owner], window[at] - base[owner], size, anchors[at]
+    return row[owner], window[at] - base[owner], size, keys[at]
 
 
 def _low(anchor: np.ndarray) -> np.ndarray:
@@ -141,23 +162,29 @@ def remove_repeats(docs: DataFrame, length: int = 50, buckets: int | None = None
     on the input, overlaps count, matches never cross documents; a null text is empty. Rows that repeat an id are
     each judged against smaller ids only, so they keep alike; rows without an id keep all and remove nothing elsewhere.
 
-    1. Windows are grouped into runs by anchors; the anchors of all documents are dealt to buckets, which tell the documents'
-       groups which anchors two ids share. 2. Runs with shared anchors are sent, once for all equal ones of a group,
-       to the bucket of their anchor. 3. There distinct segments are suffix-sorted column by column (column_bwt), and
+    1. Windows are grouped into runs by keys, an anchor in a context (window_keys); the keys of all documents are dealt to
+       buckets, which tell the documents' groups which keys two ids share. 2. Runs with shared keys are sent, once for all equal
+       ones of a group, to the bucket of their key. 3. There distinct segments are suffix-sorted column by column (column_bwt), and
        each occurrence learns which of its windows a smaller id holds. 4. The documents' groups cut their texts.
        Documents that equal one with a smaller id are removed whole and take no part in 1 to 3.
-    Texts move once and are read in 2 and 4; what else moves are hashes, runs and spans. Buckets are as many as twice the
-    shuffle partitions unless given, and bound a task's memory: set spark.sql.shuffle.partitions to suit the data.
+    Texts move once and are read in 2 and 4; what else moves are hashes, runs and spans. Unless given, buckets and groups are as many as
+    twice the shuffle partitions, and more where a group would have over about GROUP bytes of text, so that a task's memory
+    doesn't grow with the table (rows that repeat one id are one group).
     """
     spark = docs.sparkSession
-    n = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) + 1
     texts = keyed_texts(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = buckets or max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")) + 1, -(-size // GROUP))
     without_id = texts.filter(F.col("doc_id").isNull())
     texts = texts.filter(F.col("doc_id").isNotNull()).select(group_of(F.col("doc_id"), n).alias("g"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
 
     known = texts.select("g", "doc_id", "text_hash", F.xxhash64(F.lit("whole"), "text").alias("h2"), F.octet_length("text").alias("size")).filter(F.col("size") >= length)
-    first = known.groupBy("text_hash", "h2", "size").agg(F.min("doc_id").alias("first_id"))
-    later = known.join(first, ["text_hash", "h2", "size"]).filter(F.col("doc_id") > F.col("first_id"))
+    same = ["text_hash", "h2", "size"]
+    ensure_checkpoint_dir(spark)
+    first = known.groupBy(*same).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").checkpoint()
+    # texts of very many copies are few, and their copies aren't gathered by text
+    many = broadcast_if_small(first.filter(F.col("n") > COPIES))
+    later = known.join(many, same, "left_anti").join(first.filter(F.col("n") <= COPIES), same).unionByName(known.join(many, same)).filter(F.col("doc_id") > F.col("first_id"))
     later = later.select("g", "doc_id", "text_hash", F.lit(None).cast("binary").alias("blob"))
 
     def post(batches):
@@ -252,8 +279,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, buckets: int | None = None
         per_row = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[np.append(base, total)])
         removed, spans = per_row(covered), per_row(rises)
         kept = data[~covered]
-        ends = np.concatenate(([0], np.cumsum(size - removed))).astype(np.int32)
-        binary = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends), pa.py_buffer(kept.tobytes())])
+        ends = np.concatenate(([0], np.cumsum(size - removed))).astype(np.int64)
+        # the cast fails, and doesn't wrap, if a group of one id keeps more than Arrow's binary holds
+        binary = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends), pa.py_buffer(kept.tobytes())]).cast(pa.binary())
         return pa.table([pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), binary], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     told = "g int, doc_id long, text_hash long, blob binary"
@@ -307,8 +335,8 @@ def _segments(g: int, ids, data, offsets, row, start, size, anchor, length: int)
     return pack(np.array([g]), lengths[kept].astype(np.uint16), ragged(data, at[kept], lengths[kept]), np.diff(np.append(first, len(order))).astype(np.uint32), row[order].astype(np.uint32), start[order].astype(np.uint32), ids[row[order]])
 
 
-def _anchors(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, its first place, whether it occurs again) of each segment."""
+def _anchors(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, its first place, whether it occurs again, key) of each segment; its windows share both."""
     h = gram_hashes(np.append(flat, np.zeros(MOST + length, np.uint8)))
     low = h[: len(flat)]
     anchor = np.minimum.reduceat(np.append(low, low[-1:]), np.stack((starts, starts + length - GRAM + 1), 1).ravel())[::2]
@@ -317,7 +345,10 @@ def _anchors(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, length:
     ends = np.cumsum(n)
     owner = np.searchsorted(ends, hit, side="right")
     first = np.searchsorted(owner, np.arange(len(starts)))
-    return anchor, hit[first] - (ends - n), np.bincount(owner, minlength=len(starts)) > 1
+    place = hit[first] - (ends - n)
+    half = (length - GRAM) // 2
+    from_ = starts + place - half * (place >= half)
+    return anchor, place, np.bincount(owner, minlength=len(starts)) > 1, mixed(h[from_], h[from_ + half])
 
 
 def promising(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, anchor: np.ndarray, place: np.ndarray, again: np.ndarray, length: int, step: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -379,13 +410,13 @@ def _judge(blobs: list[bytes], length: int) -> list[tuple[int, bytes]]:
     windows = lengths - length + 1
     ends = np.cumsum(windows)
     smallest = np.repeat(least, windows)
-    # what may be shared, in collections of whole anchors
-    anchor, place, again = _anchors(flat, starts, lengths, length)
+    # what may be shared, in collections of whole keys
+    anchor, place, again, key = _anchors(flat, starts, lengths, length)
     low, high = promising(flat, starts, lengths, anchor, place, again, length)
     some = np.flatnonzero(low <= high)
-    some = some[np.argsort(anchor[some], kind="stable")]
+    some = some[np.argsort(key[some], kind="stable")]
     size = np.cumsum(high[some] - low[some] + length)
-    heads = np.flatnonzero(np.concatenate(([True], anchor[some[1:]] != anchor[some[:-1]]))) if len(some) else some
+    heads = np.flatnonzero(np.concatenate(([True], key[some[1:]] != key[some[:-1]]))) if len(some) else some
     at = 0
     while at < len(some):
         done = size[at - 1] if at else 0

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tempfile
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from stridecast.llm import ann, bpe, decontaminate, langid, line_dedup, pii, quality, queries, simhash, suffix_dedup
-from stridecast.llm.column_bwt import least_of_equal
+from stridecast.llm.column_bwt import build, least_of_equal, sorted_by
 from stridecast.llm.components import connected_components
 from stridecast.llm.lexicon import Lexicon
 from tests.compare import same_rows
@@ -83,12 +84,54 @@ def test_column_bwt_against_brute_force(tmp_path):
 
 
 def test_suffix_dedup(spark, odd):
-    for df in (odd, spark.read.parquet("/root/testdata/sf0.001/documents.parquet")):
+    for df in (odd, spark.read.parquet("/root/testdata/sf0.01/documents.parquet")):
         got = sorted((tuple(r) for r in suffix_dedup.digest(suffix_dedup.remove_repeats(df)).collect()), key=repr)
         assert got == brute_repeats(rows_of(df))
     assert suffix_dedup.remove_repeats(odd.limit(0)).count() == 0
 
 
+def test_symbols_of_any_width():
+    r = np.random.default_rng(0)
+    for bits in (8, 17, 24, 25, 33, 50):
+        x = r.integers(0, 1 << bits, 500, dtype=np.uint64)
+        x[::7] = x[0]
+        assert (x[sorted_by(x, 1 << bits)] == np.sort(x)).all() and (sorted_by(x, 1 << bits) == np.argsort(x, kind="stable")).all()
+    # ranks spread over 2 ** 40 instead of being next to one another
+    s = [bytes(r.choice([97, 98], r.integers(4, 12)).astype(np.uint8)) for _ in range(40)]
+    size = np.array([len(x) for x in s])
+    flat, starts = np.frombuffer(b"".join(s), np.uint8).astype(np.uint64) << np.uint64(34), np.cumsum(size) - size
+    with tempfile.TemporaryDirectory() as folder:
+        windows, lcp = build(flat, 1 << 41, starts, size, 4, folder)
+    whole = [x[i : i + 4] for x in s for i in range(len(x) - 3)]
+    got = [whole[w] for w in windows if w >= 0]
+    assert got == sorted(whole)
+    group = np.cumsum(lcp < 4)[windows >= 0]
+    assert [a == b for a, b in zip(got, got[1:])] == (np.diff(group) == 0).tolist()
+
+
+def test_one_anchor_in_very_many_contexts(spark, monkeypatch):
+    """A phrase that all documents hold, periodic texts, and passages that some share; small collections and groups."""
+    r = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    noise = lambda n: "".join(r.choice(letters) for _ in range(n))
+    phrase, passages = "the very same phrase everywhere", [noise(r.randint(48, 90)) for _ in range(30)]
+    texts = []
+    for i in range(2500):
+        parts = [noise(r.randint(0, 60)), phrase, noise(r.randint(0, 40))]
+        if i % 3 == 0:
+            parts[r.randrange(3)] += r.choice(passages)
+        if i % 50 == 0:
+            parts.append((noise(r.choice([1, 2, 14, 15, 16, 31])) * 80)[: r.randint(60, 200)])
+        texts.append((i, "".join(parts)))
+    texts += [(5000 + i, "ab" * r.randint(20, 60)) for i in range(30)] + [(6000 + i, texts[7][1]) for i in range(40)]
+    monkeypatch.setattr(suffix_dedup, "COLLECTION", 4000)
+    monkeypatch.setattr(suffix_dedup, "GROUP", 30_000)
+    monkeypatch.setattr(suffix_dedup, "COPIES", 20)
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(x) for x in suffix_dedup.digest(suffix_dedup.remove_repeats(df)).collect()), key=repr)
+    assert got == brute_repeats(texts)
+
+
 # 2 decontamination
 
 
