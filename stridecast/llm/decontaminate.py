@@ -16,6 +16,8 @@ RARE = 1.0
 #: Each item keeps so many of its rarest seeds even if none is rare.
 LEAST_SEEDS = 12
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Cells of the windows that are aligned with an item at once (one window at least), and the length of a piece in items.
+CELLS, PIECE = 1 << 18, 4
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9)]
 
 
@@ -65,16 +67,15 @@ class Items:
     ids: list[int]
     words: list[np.ndarray]
     vocabulary: np.ndarray
-    seeds: np.ndarray | None = None
-    seed_item: np.ndarray | None = None
-    seed_place: np.ndarray | None = None
+    #: By their number of words: hashes in order, the item and the place in it of each.
+    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None
 
     @staticmethod
     def of(rows, n: int) -> Items:
         ids, words = [], []
         for item_id, text in rows:
             h, _ = word_hashes([text])
-            if len(h) >= n:
+            if len(h):
                 ids.append(item_id)
                 words.append(h)
         return Items(ids, words, np.unique(np.concatenate([*words, np.zeros(0, np.uint64)])))
@@ -82,19 +83,22 @@ class Items:
     def choose_seeds(self, counts: np.ndarray, total: int, n: int) -> None:
         """counts: of the vocabulary's words over all documents; total: of all words there."""
         share = np.log((counts + 1.0) / (total + len(counts) + 1.0))
-        seeds, item, place = [], [], []
+        found: dict[int, list] = {}
         for k, words in enumerate(self.words):
-            h, at = grams(words, np.zeros(len(words), np.int64), n)
+            size = min(n, len(words))
+            h, at = grams(words, np.zeros(len(words), np.int64), size)
             p = share[np.searchsorted(self.vocabulary, words)]
-            expected = sum(p[j : len(p) - n + 1 + j] for j in range(n)) + math.log(max(1, total))
+            expected = sum(p[j : len(p) - size + 1 + j] for j in range(size)) + math.log(max(1, total))
             order = np.argsort(expected, kind="stable")
-            keep = order[(expected[order] <= math.log(RARE)) | (np.arange(len(order)) < LEAST_SEEDS)]
-            seeds.append(h[keep])
-            item.append(np.full(len(keep), k))
-            place.append(at[keep])
-        seeds, item, place = np.concatenate(seeds), np.concatenate(item), np.concatenate(place)
-        order = np.lexsort((place, item, seeds))
-        self.seeds, self.seed_item, self.seed_place = seeds[order], item[order], place[order]
+            # an item shorter than a seed is one, and says nothing where it isn't rare
+            keep = order[(expected[order] <= math.log(RARE)) | ((np.arange(len(order)) < LEAST_SEEDS) & (size == n))]
+            found.setdefault(size, []).append((h[keep], np.full(len(keep), k), at[keep]))
+        self.seeds = {}
+        for size, parts in found.items():
+            seeds, item, place = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((place, item, seeds))
+            if len(order):
+                self.seeds[size] = seeds[order], item[order], place[order]
 
 
 def align(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,22 +120,39 @@ def align(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return best, end
 
 
-def matches(items: Items, words: np.ndarray, text: np.ndarray, n: int, least: float):
-    """(text, item, score, seeds, first word, last word) of the alignments that score at least `least` of a full match."""
-    h, place = grams(words, text, n)
-    left = np.searchsorted(items.seeds, h)
-    found = np.flatnonzero(items.seeds[np.minimum(left, len(items.seeds) - 1)] == h) if len(items.seeds) else np.zeros(0, np.int64)
-    if not len(found):
-        return []
-    left, right = left[found], np.searchsorted(items.seeds, h[found], side="right")
-    seed = ragged(np.arange(len(items.seeds)), left, right - left)
-    at = np.repeat(place[found], right - left)
-    item, diagonal, owner = items.seed_item[seed], at - items.seed_place[seed], text[at]
+def seeded(items: Items, words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, diagonal, text) of each seed in the texts: the join of their n-grams with those of the items."""
+    out = []
+    for n, (seeds, item, place_in) in items.seeds.items():
+        h, place = grams(words, text, n)
+        left = np.searchsorted(seeds, h)
+        found = np.flatnonzero(seeds[np.minimum(left, len(seeds) - 1)] == h)
+        count = np.searchsorted(seeds, h[found], side="right") - left[found]
+        seed = ragged(np.arange(len(seeds)), left[found], count)
+        at = np.repeat(place[found], count)
+        out.append((item[seed], at - place_in[seed], text[at]))
+    if not out:
+        return (np.zeros(0, np.int64),) * 3
+    item, diagonal, owner = (np.concatenate(x) for x in zip(*out))
     order = np.lexsort((diagonal, item, owner))
-    item, diagonal, owner = item[order], diagonal[order], owner[order]
+    return item[order], diagonal[order], owner[order]
+
+
+def matches(items: Items, words: np.ndarray, text: np.ndarray, least: float):
+    """(text, item, score, seeds, first word, last word) of the alignments that score at least `least` of a full match.
+
+    Seeds of an item on neighbouring diagonals share a window; where they go on for long (a text that repeats an item) it is
+    cut into pieces of PIECE items, with room on both sides, so that an alignment around a seed lies within a piece.
+    """
+    item, diagonal, owner = seeded(items, words, text)
+    if not len(item):
+        return []
     size = np.array([len(w) for w in items.words])
     new = np.ones(len(item), bool)
     new[1:] = (item[1:] != item[:-1]) | (owner[1:] != owner[:-1]) | (diagonal[1:] - diagonal[:-1] > size[item[1:]])
+    start = diagonal[np.flatnonzero(new)][np.cumsum(new) - 1]
+    piece = (diagonal - start) // (PIECE * size[item])
+    new[1:] |= piece[1:] != piece[:-1]
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(item)) - 1
     begin_of, end_of = np.searchsorted(text, owner[first]), np.searchsorted(text, owner[first], side="right")
@@ -142,10 +163,15 @@ def matches(items: Items, words: np.ndarray, text: np.ndarray, n: int, least: fl
     for k in np.unique(item[first]):
         group = np.flatnonzero(item[first] == k)
         group = group[np.argsort(end[group] - begin[group], kind="stable")]
-        for at in range(0, len(group), 256):
-            part = group[at : at + 256]
-            width = int((end[part] - begin[part]).max())
-            cells = begin[part][:, None] + np.arange(width)
+        widths = (end - begin)[group]
+        at = 0
+        while at < len(group):
+            # as many windows as fit: the widest of a part is its last
+            n = np.arange(1, min(len(group) - at, CELLS // int(widths[at]) + 1) + 1)
+            n = max(1, int(np.count_nonzero(n * widths[at : at + len(n)] <= CELLS)))
+            part = group[at : at + n]
+            at += n
+            cells = begin[part][:, None] + np.arange(int((end[part] - begin[part]).max()))
             inside = cells < end[part][:, None]
             windows = np.where(inside, words[np.minimum(cells, len(words) - 1)], np.uint64(0))
             score, stop = align(items.words[k], windows)
@@ -162,8 +188,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 3, least: f
     expected by chance at most once in the corpus. (How often the n-gram itself occurs isn't asked, so a passage
     copied into a third of the documents is still found.) Around seeds on neighbouring diagonals the item is aligned with
     the text; score is the alignment's share of a full match, `least` of it makes a pair. A pair appears once a
-    document row, with its best score. Items of fewer words than a seed, null texts and null item ids take no part;
-    rows that repeat a document id are each searched, and pairs that are equal appear once.
+    document row, with its best score. Items of fewer words than a seed are sought by all their words, if these are rare
+    together (a lone word never is). Texts and items without a word, null texts and null item ids take no part; rows that
+    repeat a document id are each searched, and pairs that are equal appear once.
 
     The items are sent to the workers in blocks of most_bytes at most: where the test tables are larger, there are
     more passes over the documents instead of larger blocks. Documents aren't shuffled.
@@ -214,7 +241,7 @@ def _pass(texts: DataFrame, items: Items, n: int, least: float, schema: str) ->
 
         own = sent.value
         for batch in slices(batches, 2 << 20):
-            rows = matches(own, *word_hashes(batch.column(1).to_pylist()), n, least)
+            rows = matches(own, *word_hashes(batch.column(1).to_pylist()), least)
             ids = batch.column(0).to_pylist()
             columns = [[ids[r[0]] for r in rows], [own.ids[r[1]] for r in rows], [r[2] for r in rows], [r[3] for r in rows], [r[5] for r in rows]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "score", "n_seeds", "end_word"])
