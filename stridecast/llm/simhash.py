@@ -16,8 +16,8 @@ from stridecast.llm.components import connected_components
 
 SEED = 42
 SEGMENTS = 16
-#: Fingerprints that share a chain are compared pair by pair up to so many; larger groups are linked through
-#: the fingerprints one bit away from them, exactly too and without pairs.
+#: Fingerprints that share a chain are compared pair by pair up to so many; larger groups are first divided by further
+#: segments of the ring, exactly too.
 PAIRED = 24
 
 
@@ -77,40 +77,69 @@ def _rotated(value: Column, by: int) -> Column:
     return value if by == 0 else F.shiftrightunsigned(value, by).bitwiseOR(F.shiftleft(value, 64 - by))
 
 
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
 def _ones(n: int) -> int:
-    return -1 if n == 64 else (1 << n) - 1
+    return _signed((1 << n) - 1)
+
+
+def _further(zero: int, segments: int, bits: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """(segments that must match as a bit set, [(number, bit set) of its children]) of a chain of `zero` segments and what may
+    extend it: of the segments left, parted into bits + 1 runs, one run matches if `bits` bits differ at most."""
+    out: list[tuple[int, list[tuple[int, int]]]] = [((1 << zero) - 1, [])]
+    for at in range(segments**segments):
+        if at == len(out):
+            break
+        held, children = out[at]
+        left = [i for i in range(segments) if not held >> i & 1]
+        if len(left) > bits:
+            for part in np.array_split(left, bits + 1):
+                more = held | sum(1 << int(i) for i in part)
+                children.append((len(out), more))
+                out.append((more, []))
+    return out
 
 
 def similar_links(fps: DataFrame, bits: int = 2, segments: int = SEGMENTS, paired: int = PAIRED) -> DataFrame:
-    """Links a < b (as longs) between distinct fingerprints at most `bits` bits apart: enough of them to join all that any
-    such link joins. fps: one distinct column fp, cheap to read again.
+    """Links a < b (as longs) between distinct fingerprints at most `bits` bits apart, all of them. fps: one distinct column
+    fp, cheap to read again.
 
     A fingerprint is posted under each chain of the ring that must match whole. Of fingerprints with a common chain the
     longer chains are checked against their budgets, then all 64 bits. A chain shared by more than `paired`
-    fingerprints makes no pairs: each of its members is posted under all fingerprints within bits // 2 of it
-    (needs bits = 2: two that are 2 apart share a neighbour 1 from both), and each post links to the least there.
+    fingerprints is extended: its members are posted again under the chain with one of bits + 1 runs of the segments left, one of which
+    must match too; and so on while a group is large and segments are left for it. What is left then differs in fewer than
+    bits + 1 segments, so a last group has no more members than these have values.
     """
-    if bits != 2 or 64 % segments:
-        raise ValueError("2 bits and a number of segments that divides 64 are supported")
+    if 64 % segments or not 0 < bits < segments:
+        raise ValueError("the number of segments must divide 64 and be over bits")
     width = 64 // segments
     zero, steps = _chains(bits, segments)
-    fp = F.col("fp")
-    posts = F.array(*(F.struct(F.lit(i).alias("start"), _rotated(fp, i * width).bitwiseAND(F.lit(_ones(zero * width))).alias("chain")) for i in range(segments)))
-    posted = fps.select("fp", F.inline(posts))
-    shared = posted.groupBy("start", "chain").agg(F.count("*").alias("n")).filter("n > 1")
-    met = posted.join(shared, ["start", "chain"]).checkpoint()
-    few = met.filter(F.col("n") <= paired)
-    pairs = few.select("start", "chain", F.col("fp").alias("a")).join(few.select("start", "chain", F.col("fp").alias("b")), ["start", "chain"]).filter("a < b")
-    differ = F.col("a").bitwiseXOR(F.col("b"))
-    turned = reduce(lambda out, i: F.when(F.col("start") == i, _rotated(differ, i * width)).otherwise(out), range(segments), F.lit(0).cast("long"))
-    pairs = pairs.withColumn("turned", turned)
+    held = _further(zero, segments, bits)
+    mask = lambda k: F.lit(_signed(sum(((1 << width) - 1) << (i * width) for i in range(segments) if held[k][0] >> i & 1)))
+    turn = lambda c: reduce(lambda out, i: F.when(F.col("start") == i, _rotated(c, i * width)).otherwise(out), range(segments), F.lit(0).cast("long"))
+    fp, keys = F.col("fp"), ["start", "path", "value"]
+    starts = F.array(*(F.struct(F.lit(i).alias("start"), F.lit(0).alias("path"), _rotated(fp, i * width).bitwiseAND(mask(0)).alias("value")) for i in range(segments)))
+    posted, level, pairs = fps.select("fp", F.inline(starts)), [0], []
+    while level:
+        shared = posted.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+        met = posted.join(shared, keys).checkpoint()
+        last = [k for k in level if not held[k][1]]
+        few = met.filter((F.col("n") <= paired) | F.col("path").isin(last))
+        pairs.append(few.select(*keys, F.col("fp").alias("a")).join(few.select(*keys, F.col("fp").alias("b")), keys).filter("a < b").select("start", "a", "b"))
+        many = met.filter((F.col("n") > paired) & ~F.col("path").isin(last))
+        level = [] if many.isEmpty() else [c for k in level for c, _ in held[k][1]]
+        if level:
+            whole = many.withColumn("turned", turn(fp))
+            child = lambda k: F.array(*(F.struct(F.lit(c).alias("path"), F.col("turned").bitwiseAND(mask(c)).alias("value")) for c, _ in held[k][1]))
+            parents = sorted({k for k, (_, cs) in enumerate(held) for c, _ in cs if c in level})
+            posts = reduce(lambda out, k: F.when(F.col("path") == k, child(k)).otherwise(out), parents[1:], child(parents[0]))
+            posted = whole.select("fp", "start", F.inline(posts)).distinct()
+    found = reduce(DataFrame.union, pairs).withColumn("turned", turn(F.col("a").bitwiseXOR(F.col("b"))))
     for length, budget in steps:
-        pairs = pairs.filter(F.bit_count(F.col("turned").bitwiseAND(F.lit(_ones(length * width)))) <= budget)
-    many = met.filter(F.col("n") > paired).select("fp").distinct()
-    near = F.array(fp, *(fp.bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)))
-    near = many.select(fp, F.explode(near).alias("post"))
-    stars = near.join(near.groupBy("post").agg(F.min("fp").alias("least")), "post").filter("fp != least").select(F.col("least").alias("a"), fp.alias("b"))
-    return pairs.select("a", "b").union(stars).distinct()
+        found = found.filter(F.bit_count(F.col("turned").bitwiseAND(F.lit(_ones(length * width)))) <= budget)
+    return found.select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -172,6 +172,44 @@ def test_alignment_against_brute_force():
             assert best == h.max()
 
 
+def test_short_items_and_long_repeats(spark, monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(decontaminate, "CELLS", 20_000)
+    common = "the and of to"
+    docs = [(1, f"{common} zyx qwv {common}"), (2, f"{common} " * 300), (3, f"{common} zyx"), (4, "qwv zyx"), (5, "rare"), (6, "one two three four " * 5000)]
+    docs += [(10 + i, "one two three four") for i in range(255)]
+    tests = spark.createDataFrame([(1, "zyx qwv"), (2, "of to"), (3, "rare"), (4, "one two three four"), (5, "")], "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    # two words that are rare together count, in their order; two common ones or a lone word say nothing
+    got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(df, tests).collect()}
+    assert got == {(1, 1), (6, 4)} | {(10 + i, 4) for i in range(255)}
+    items = decontaminate.Items.of([(4, "one two three four")], 3)
+    items.choose_seeds(np.ones(4), 10**6, 3)
+    tracemalloc.start()
+    decontaminate.matches(items, *decontaminate.word_hashes([t for i, t in docs if i > 5]), 0.5)
+    assert tracemalloc.get_traced_memory()[1] < 20 << 20
+    tracemalloc.stop()
+
+
+def test_decontamination_against_brute_force(spark, sf_dir):
+    """Every item against every whole text of the given tables, without seeds."""
+    docs, tests = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    texts = [(r.doc_id, decontaminate.word_hashes([r.text or ""])[0]) for r in docs.collect()]
+    want = set()
+    width = max(len(w) for _, w in texts)
+    windows = np.zeros((len(texts), width), np.uint64)
+    for row, (_, w) in zip(windows, texts):
+        row[: len(w)] = w
+    for r in tests.collect():
+        item = decontaminate.word_hashes([r.text])[0]
+        some = np.isin(windows, item).sum(1) >= len(item) // 3  # fewer common words can't score a half
+        score, _ = decontaminate.align(item, windows[some])
+        want |= {(texts[k][0], r.item_id) for k, s in zip(np.flatnonzero(some).tolist(), score) if s >= len(item)}
+    got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(docs, tests).collect()}
+    assert want and got == want
+
+
 # 3 simhash
 
 
@@ -210,22 +248,23 @@ def test_simhash(spark, odd, sf_dir):
     assert 1 in kept and 2 not in kept and None in kept
 
 
-def test_dense_groups_are_linked_exactly(spark):
+def test_all_links_whatever_the_groups(spark):
+    """Dense clusters, random fingerprints, every number of bits: the links are those of all pairs."""
     r = random.Random(3)
-    base = r.getrandbits(64)
-    found = {base}
-    while len(found) < 300:
-        x = r.choice(sorted(found)) if r.random() < 0.5 else base
-        for _ in range(r.randint(1, 3)):
-            x ^= 1 << r.randrange(64)
-        found.add(x)
-    fps = sorted(found)
-    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    links = simhash.similar_links(spark.createDataFrame([(x,) for x in signed], "fp long"))
-    part = {x.node: x.component for x in connected_components(links).collect()}
-    want = brute_components(fps, signed)
-    got = [part.get(x, x) for x in signed]
-    assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
+    for bits, paired in ((2, 24), (2, 1), (1, 2), (3, 2)):
+        base = r.getrandbits(64)
+        found = {base} | {r.getrandbits(64) for _ in range(40)}
+        while len(found) < 300:
+            x = r.choice(sorted(found)) if r.random() < 0.5 else base
+            for _ in range(r.randint(1, 3)):
+                x ^= 1 << r.randrange(64)
+            found.add(x)
+        signed = [x - (1 << 64) if x >> 63 else x for x in found]
+        links = simhash.similar_links(spark.createDataFrame([(x,) for x in signed], "fp long"), bits, paired=paired)
+        fps = np.array(signed, np.int64).view(np.uint64)
+        near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= bits
+        want = {(min(signed[i], signed[j]), max(signed[i], signed[j])) for i, j in zip(*np.nonzero(near)) if i != j}
+        assert {tuple(x) for x in links.collect()} == want
 
 
 def test_components_of_a_chain(spark):
@@ -355,6 +394,45 @@ def test_language(spark, odd):
     assert langid.predict_language(odd, langid.fit_languages(docs.limit(0), path)).filter("lang_pred != 'und'").count() == 0
 
 
+def test_queries_against_plain_versions(spark, sf_dir):
+    """op6, op8 and op10 row by row, without batches, memory of words or vectors."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = dict(rows_of(docs))
+    model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    import zstandard as zstd
+
+    bad, good = (zstd.ZstdCompressor(level=3, dict_data=zstd.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False) for d in model.dictionaries)
+    for r in queries.op6_quality(spark, sf_dir).collect():
+        raw = (texts[r.doc_id] or "").encode()
+        parts = [raw[at : at + 1024] for at in range(0, len(raw), 1024)]
+        gap = (sum(len(bad.compress(p)) for p in parts) - sum(len(good.compress(p)) for p in parts)) / (len(raw) + 32)
+        want = 1 / (1 + np.exp(-(model.weights[0] + model.weights[1] * gap)))
+        assert r.score == pytest.approx(want, abs=0.02) and r.held_out == held(r.doc_id) and r.predicted == (r.score >= 0.5)
+    net = pii.Feistel(queries.PSEUDONYM_KEY)
+    assert {r.doc_id: (r.text, r.n_found) for r in queries.op8_pii(spark, sf_dir).collect()} == {i: (x, sum(c.values())) for i, t in texts.items() for x, c in [pii.pseudonymise_text(t, net)]}
+    langs = langid.fit_languages(docs, queries.tokenizer_path("piece_bpe_32k.model"))
+    at = {p: k for k, p in enumerate(langs.pieces)}
+    import regex
+
+    def plain(text):
+        words = regex.findall(r"\p{L}+", text.lower())
+        total = langs.log_prior.copy()
+        for w in words:
+            marked = "▁" + w
+            alpha = [np.ones(len(langs.languages))]
+            for end in range(1, len(marked) + 1):
+                alpha.append(sum(alpha[b] * langs.probs[at[marked[b:end]]] if marked[b:end] in at else alpha[b] * langs.probs[-2] * (end - b == 1) for b in range(end)))
+            total = total + np.log(alpha[-1])
+        return (langs.languages[int(total.argmax())], 1 / np.exp(total - total.max()).sum()) if words else ("und", 0.0)
+
+    got = {r.doc_id: (r.lang_pred, r.score) for r in queries.op10_language(spark, sf_dir).collect()}
+    assert set(got) == set(texts)
+    for i in sorted(texts)[::25]:
+        lang, score = plain(texts[i][:1500])
+        own = langid.predict_language(spark.createDataFrame([(i, texts[i][:1500])], "doc_id long, text string"), langs).first()
+        assert (own.lang_pred, own.score) == (lang, pytest.approx(score, rel=1e-6))
+
+
 def test_forward_sums_all_segmentations():
     vocabulary = sorted(["▁", "▁a", "a", "b", "ab", "ba", "aba", "▁ab"])
     made = langid.Pieces(vocabulary)
