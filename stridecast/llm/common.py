@@ -19,10 +19,13 @@ def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; only where none is set (tests) a local one."""
+    """Use the folder the cluster names in spark.checkpoint.dir; where none is set, a local one on a local master (tests), and
+    else an error, as executors would not share it."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", "")
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
