@@ -22,16 +22,25 @@ GROUP, COPIES = 32 << 20, 1000
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9)]
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    return np.array([a.nbytes for a in arrays], np.int64).tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+WIDTHS = [np.dtype(x) for x in ("u1", "u2", "u4", "u8", "i8")]
 
 
-def unpack(raw: bytes, *dtypes) -> list[np.ndarray]:
-    sizes = np.frombuffer(raw, np.int64, len(dtypes))
-    at, out = 8 * len(dtypes), []
-    for n, d in zip(sizes.tolist(), dtypes):
-        out.append(np.frombuffer(raw, d, n // np.dtype(d).itemsize, at))
-        at += n
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of integers in one string, each in the fewest bytes that hold its values."""
+    kept = []
+    for a in arrays:
+        least, most = (int(a.min()), int(a.max())) if len(a) else (0, 0)
+        kept.append(a.astype(next(w for w in WIDTHS if least >= np.iinfo(w).min and most <= np.iinfo(w).max)))
+    head = [(WIDTHS.index(a.dtype), a.nbytes) for a in kept]
+    return np.array(head, np.int64).tobytes() + b"".join(a.tobytes() for a in kept)
+
+
+def unpack(raw: bytes, n: int) -> list[np.ndarray]:
+    """The n packed arrays, in the widths that they were packed in."""
+    at, out = 16 * n, []
+    for code, size in np.frombuffer(raw, np.int64, 2 * n).reshape(n, 2).tolist():
+        out.append(np.frombuffer(raw, WIDTHS[code], size // WIDTHS[code].itemsize, at))
+        at += size
     return out
 
 
@@ -70,8 +79,8 @@ def window_keys(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(key, least gram hash) of the window of `length` bytes from each place on; there must be one.
 
     A window's anchor is its 20-byte string of the least hash, the first of equals. The key is a hash of the anchor together with
-    what stands before it, if there is room for half of the rest of the window, else with what stands after it. So
-    equal windows have equal keys wherever they are, and an anchor that very many texts hold is split by its context.
+    the third of the rest of the window that stands before it, if there is room for that, else after it. So equal windows have
+    equal keys wherever they are, and an anchor that very many texts hold is split by its context.
     """
     h = gram_hashes(data)
     room = length - GRAM
@@ -81,9 +90,9 @@ def window_keys(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
             n = len(least) - step
             later = least[step:] < least[:n]
             least, at = np.where(later, least[step:], least[:n]), np.where(later, at[step:], at[:n])
-    half = room // 2
-    from_ = at - half * (at - np.arange(len(at)) >= half)
-    return mixed(h[from_], h[from_ + half]), least
+    near = room // 3
+    from_ = at - near * (at - np.arange(len(at)) >= near)
+    return mixed(h[from_], h[from_ + near]), least
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -196,21 +205,19 @@ def remove_repeats(docs: DataFrame, length: int = 50, buckets: int | None = None
             anchor = _low(anchor)
             out = []
             for b, at in _dealt(_bucket(anchor, n), n):
-                low = int(ids[row[at]].min())
-                far = ids[row[at]] - low
-                narrow = far.max() < 1 << 32
-                out.append((b, pack(np.array([low]), anchor[at].astype(np.uint32), (anchor[at] >> np.uint64(32)).astype(np.uint16), far.astype(np.uint32 if narrow else np.int64)), narrow))
+                low = ids[row[at]].min()
+                out.append((b, pack(np.array([low]), anchor[at].astype(np.uint32), anchor[at] >> np.uint64(32), ids[row[at]] - low)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out])], ["b", "blob", "narrow"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["b", "blob"])
 
     def reply(key, table):
         import pyarrow as pa
 
         keys, ids = [], []
-        for blob, narrow in zip(table["blob"].to_pylist(), table["narrow"].to_pylist()):
-            low, lo, hi, far = unpack(blob, np.int64, np.uint32, np.uint16, np.uint32 if narrow else np.int64)
+        for blob in table["blob"].to_pylist():
+            low, lo, hi, far = unpack(blob, 4)
             keys.append(lo.astype(np.uint64) | hi.astype(np.uint64) << np.uint64(32))
-            ids.append(far.astype(np.int64) + low[0])
+            ids.append(far.astype(np.int64) + int(low[0]))
         keys, ids = np.concatenate(keys), np.concatenate(ids)
         order = np.argsort(keys, kind="stable")
         keys, ids = keys[order], ids[order]
@@ -226,7 +233,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, buckets: int | None = None
         import pyarrow as pa
 
         ids, hashes, data, offsets = _text_rows(texts)
-        blobs = [unpack(x, np.uint64)[0] for x in told["blob"].to_pylist() if x is not None]
+        blobs = [unpack(x, 1)[0].astype(np.uint64) for x in told["blob"].to_pylist() if x is not None]
         out = []
         if blobs and len(ids):
             shared = np.unique(np.concatenate(blobs))
@@ -260,7 +267,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, buckets: int | None = None
         total = int(offsets[-1] - offsets[0]) if len(ids) else 0
         base = offsets[:-1] - (offsets[0] if len(ids) else 0)
         data = data[offsets[0] : offsets[-1]] if len(ids) else data
-        blobs = [unpack(x, np.uint32, np.uint32, np.uint32) for x in told["blob"].to_pylist() if x is not None]
+        blobs = [[c.astype(np.int64) for c in unpack(x, 3)] for x in told["blob"].to_pylist() if x is not None]
         step = np.zeros(total + 1, np.int32)
         if blobs:
             row, start, end = map(np.concatenate, zip(*blobs))
@@ -285,7 +292,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, buckets: int | None = None
         return pa.table([pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), binary], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     told = "g int, doc_id long, text_hash long, blob binary"
-    posted = texts.select("doc_id", "text").mapInArrow(post, "b int, blob binary, narrow boolean")
+    posted = texts.select("doc_id", "text").mapInArrow(post, "b int, blob binary")
     shared = posted.groupBy("b").applyInArrow(reply, told)
     segments = texts.groupBy("g").cogroup(shared.unionByName(later).groupBy("g")).applyInArrow(cut, "b int, blob binary")
     spans = segments.groupBy("b").applyInArrow(judge, told)
@@ -304,9 +311,6 @@ def _whole(told) -> set[tuple[int, int]]:
     return {(d, h) for d, h in zip(told["doc_id"].to_pylist(), told["text_hash"].to_pylist()) if d is not None}
 
 
-SEGMENT = (np.int64, np.uint16, np.uint8, np.uint32, np.uint32, np.uint32, np.int64)
-
-
 def _hash_segments(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """128 bits for each segment, as two columns, from sums of its mixed bytes and places."""
     place = ragged(np.arange(int(lengths.max(initial=0))), np.zeros(len(starts), np.int64), lengths)
@@ -332,7 +336,8 @@ def _segments(g: int, ids, data, offsets, row, start, size, anchor, length: int)
     new[1:] = (h[order[1:]] != h[order[:-1]]).any(1) | (anchor[order[1:]] != anchor[order[:-1]])
     first = np.flatnonzero(new)
     kept = order[first]
-    return pack(np.array([g]), lengths[kept].astype(np.uint16), ragged(data, at[kept], lengths[kept]), np.diff(np.append(first, len(order))).astype(np.uint32), row[order].astype(np.uint32), start[order].astype(np.uint32), ids[row[order]])
+    low = ids[row].min()
+    return pack(np.array([g]), np.array([low]), lengths[kept], ragged(data, at[kept], lengths[kept]), np.diff(np.append(first, len(order))), row[order], start[order], ids[row[order]] - low)
 
 
 def _anchors(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -346,9 +351,9 @@ def _anchors(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, length:
     owner = np.searchsorted(ends, hit, side="right")
     first = np.searchsorted(owner, np.arange(len(starts)))
     place = hit[first] - (ends - n)
-    half = (length - GRAM) // 2
-    from_ = starts + place - half * (place >= half)
-    return anchor, place, np.bincount(owner, minlength=len(starts)) > 1, mixed(h[from_], h[from_ + half])
+    near = (length - GRAM) // 3
+    from_ = starts + place - near * (place >= near)
+    return anchor, place, np.bincount(owner, minlength=len(starts)) > 1, mixed(h[from_], h[from_ + near])
 
 
 def promising(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, anchor: np.ndarray, place: np.ndarray, again: np.ndarray, length: int, step: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -390,12 +395,15 @@ def promising(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, anchor:
 
 def _judge(blobs: list[bytes], length: int) -> list[tuple[int, bytes]]:
     """Distinct segments over all blobs are sorted by suffixes; then each blob's occurrences are judged in turn."""
-    parts = [unpack(b, *SEGMENT) for b in blobs]
-    lengths = np.concatenate([p[1] for p in parts]).astype(np.int64)
+    parts = []
+    for g, low, sizes, data, *others in (unpack(b, 8) for b in blobs):
+        repeats, rows, begins, far = (x.astype(np.int64) for x in others)
+        parts.append((int(g[0]), sizes.astype(np.int64), data.astype(np.uint8), repeats, rows, begins, far + int(low[0])))
+    lengths = np.concatenate([p[1] for p in parts])
     flat = np.concatenate([p[2] for p in parts])
     starts = np.cumsum(lengths) - lengths
     h = _hash_segments(flat, starts, lengths)
-    least = np.concatenate([np.minimum.reduceat(p[6], np.cumsum(p[3], dtype=np.int64) - p[3]) for p in parts])
+    least = np.concatenate([np.minimum.reduceat(p[6], np.cumsum(p[3]) - p[3]) for p in parts])
     order = np.lexsort((h[:, 1], h[:, 0]))
     new = np.ones(len(order), bool)
     new[1:] = (h[order[1:]] != h[order[:-1]]).any(1)
@@ -444,5 +452,5 @@ def _judge(blobs: list[bytes], length: int) -> list[tuple[int, bytes]]:
         if len(edge):
             who = occurrence[edge]
             begin = begins[who] + offset[edge]
-            out.append((int(g[0]), pack(rows[who], begin.astype(np.uint32), (begin + size_of + length - 1).astype(np.uint32))))
+            out.append((g, pack(rows[who], begin, begin + size_of + length - 1)))
     return out
