@@ -14,8 +14,10 @@ from stridecast.llm.common import broadcast_if_small, ensure_checkpoint_dir, key
 GRAM = 20
 #: Windows of one segment at most.
 MOST = 64
-#: Bytes of distinct segments that are sorted together, unless one key (an anchor in a context) alone has more.
+#: Bytes of distinct segments that are sorted together, unless one anchor alone has more in its bucket.
 COLLECTION = 1 << 20
+#: Runs of an anchor that is divided by its context. The results don't depend on it.
+OFTEN = 4096
 #: Bytes of text of a group of documents, about; and documents that a text of many copies has at least.
 GROUP, COPIES = 32 << 20, 1000
 #: Odd numbers that mix bits.
@@ -79,7 +81,7 @@ def window_keys(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(key, least gram hash) of the window of `length` bytes from each place on; there must be one.
 
     A window's anchor is its 20-byte string of the least hash, the first of equals. The key is a hash of the anchor together with
-    the third of the rest of the window that stands before it, if there is room for that, else after it. So equal windows have
+    the half of the rest of the window that stands before it, if there is room for that, else after it. So equal windows have
     equal keys wherever they are, and an anchor that very many texts hold is split by its context.
     """
     h = gram_hashes(data)
@@ -90,30 +92,46 @@ def window_keys(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
             n = len(least) - step
             later = least[step:] < least[:n]
             least, at = np.where(later, least[step:], least[:n]), np.where(later, at[step:], at[:n])
-    near = room // 3
+    near = room // 2
     from_ = at - near * (at - np.arange(len(at)) >= near)
     return mixed(h[from_], h[from_ + near]), least
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, windows, key) of the runs of windows of `length` bytes that share a key (window_keys).
+def least_hashes(data: np.ndarray, length: int) -> np.ndarray:
+    """The least gram hash of the window of `length` bytes from each place on."""
+    h = gram_hashes(data)
+    wide, span = length - GRAM + 1, 1
+    while span * 2 <= wide:
+        h = np.minimum(h[:-span], h[span:])
+        span *= 2
+    return np.minimum(h[: span - wide], h[wide - span :]) if span < wide else h
+
+
+def runs(data: np.ndarray, offsets: np.ndarray, length: int, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, windows, anchor, key) of the runs of windows of `length` bytes that share an anchor, the least hash of
+    their 20-byte strings; of those whose anchor is hot (low bits, ascending) the runs that share a key (window_keys).
 
-    Windows never cross rows. A run has MOST windows at most, and one anchor.
+    Else the key is the anchor. Windows never cross rows. A run has MOST windows at most.
     """
     sizes = np.diff(offsets)
     n = int(offsets[-1] - offsets[0])
     data = data[offsets[0] : offsets[-1]]
     if n < length:
         none = np.zeros(0, np.int64)
-        return none, none, none, none.astype(np.uint64)
-    key, least = window_keys(data, length)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+    some_hot = hot is not None and len(hot) > 0
+    key, anchors = window_keys(data, length) if some_hot else (None, least_hashes(data, length))
     row = np.flatnonzero(sizes >= length)
     base = (offsets[:-1] - offsets[0])[row]
     count = sizes[row] - length + 1
     window = ragged(np.arange(n), base, count)
-    keys, least = key[window], least[window]
+    anchors = anchors[window]
     new = np.ones(len(window), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (least[1:] != least[:-1])
+    new[1:] = anchors[1:] != anchors[:-1]
+    keys = anchors
+    if some_hot:
+        keys = np.where(_among(_low(anchors), hot), key[window], anchors)
+        new[1:] |= keys[1:] != keys[:-1]
     firsts = np.cumsum(count) - count
     new[firsts] = True
     at = np.flatnonzero(new)
@@ -123,7 +141,14 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray
         at = np.repeat(at, parts) + MOST * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
         size = np.diff(np.append(at, len(window)))
     owner = np.searchsorted(firsts, at, side="right") - 1
-    return row[owner], window[at] - base[owner], size, keys[at]
+    return row[owner], window[at] - base[owner], size, anchors[at], keys[at]
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each value is known; known is ascending."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
 def _low(anchor: np.ndarray) -> np.ndarray:
@@ -171,9 +196,10 @@ def remove_repeats(docs: DataFrame, length: int = 50, buckets: int | None = None
     on the input, overlaps count, matches never cross documents; a null text is empty. Rows that repeat an id are
     each judged against smaller ids only, so they keep alike; rows without an id keep all and remove nothing elsewhere.
 
-    1. Windows are grouped into runs by keys, an anchor in a context (window_keys); the keys of all documents are dealt to
-       buckets, which tell the documents' groups which keys two ids share. 2. Runs with shared keys are sent, once for all equal
-       ones of a group, to the bucket of their key. 3. There distinct segments are suffix-sorted column by column (column_bwt), and
+    1. Windows are grouped into runs by anchors; the anchors of all documents are dealt to buckets, which tell the documents'
+       groups which anchors two ids share, and which occur more than OFTEN times. 2. Runs with shared anchors are sent, once for all
+       equal ones of a group, to the bucket of their anchor; those of frequent anchors are cut by the anchor's context, and sent to
+       the bucket of both (window_keys), so no task gets a frequent anchor whole. 3. There distinct segments are suffix-sorted column by column (column_bwt), and
        each occurrence learns which of its windows a smaller id holds. 4. The documents' groups cut their texts.
        Documents that equal one with a smaller id are removed whole and take no part in 1 to 3.
     Texts move once and are read in 2 and 4; what else moves are hashes, runs and spans. Unless given, buckets and groups are as many as
@@ -201,7 +227,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, buckets: int | None = None
 
         for batch in slices(batches, 2 << 20):
             ids = np.asarray(batch.column(0)).astype(np.int64)
-            row, _, _, anchor = runs(*text_buffers(batch.column(1)), length)
+            row, _, _, anchor, _ = runs(*text_buffers(batch.column(1)), length)
             anchor = _low(anchor)
             out = []
             for b, at in _dealt(_bucket(anchor, n), n):
@@ -223,32 +249,31 @@ def remove_repeats(docs: DataFrame, length: int = 50, buckets: int | None = None
         keys, ids = keys[order], ids[order]
         at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         shared = np.minimum.reduceat(ids, at) != np.maximum.reduceat(ids, at)
-        mask = np.repeat(shared, np.diff(np.append(at, len(keys))))
-        keys, groups = keys[mask], group_of(ids[mask], n)
-        out = [(g, pack(np.unique(keys[p]))) for g, p in _dealt(groups, n)]
+        size = np.diff(np.append(at, len(keys)))
+        mask, hot = np.repeat(shared, size), np.repeat(size > OFTEN, size)
+        keys, hot, groups = keys[mask], hot[mask], group_of(ids[mask], n)
+        out = [(g, pack(np.unique(keys[p]), np.unique(keys[p[hot[p]]]))) for g, p in _dealt(groups, n)]
         return pa.table([pa.array([x[0] for x in out], pa.int32()), pa.nulls(len(out), pa.int64()), pa.nulls(len(out), pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["g", "doc_id", "text_hash", "blob"])
 
     def cut(texts, told):
-        """The runs of a group's documents that have shared anchors, equal ones together, by the buckets of their anchors."""
+        """The runs of a group's documents that have shared anchors, equal ones together, by the buckets of their keys."""
         import pyarrow as pa
 
         ids, hashes, data, offsets = _text_rows(texts)
-        blobs = [unpack(x, 1)[0].astype(np.uint64) for x in told["blob"].to_pylist() if x is not None]
+        blobs = [[k.astype(np.uint64) for k in unpack(x, 2)] for x in told["blob"].to_pylist() if x is not None]
         out = []
         if blobs and len(ids):
-            shared = np.unique(np.concatenate(blobs))
+            shared, hot = (np.unique(np.concatenate(k)) for k in zip(*blobs))
             gone = _whole(told)
             alive = np.array([(d, h) not in gone for d, h in zip(ids.tolist(), hashes.tolist())])
             kept = []
             for a, z in _row_slices(offsets):
-                row, start, size, anchor = runs(data, offsets[a : z + 1], length)
-                at = np.searchsorted(shared, _low(anchor))
-                at[at == len(shared)] = 0
-                ok = (shared[at] == _low(anchor)) & alive[row + a]
-                kept.append((row[ok] + a, start[ok], size[ok], anchor[ok]))
-            row, start, size, anchor = map(np.concatenate, zip(*kept))
+                row, start, size, anchor, key = runs(data, offsets[a : z + 1], length, hot)
+                ok = _among(_low(anchor), shared) & alive[row + a]
+                kept.append((row[ok] + a, start[ok], size[ok], anchor[ok], key[ok]))
+            row, start, size, anchor, key = map(np.concatenate, zip(*kept))
             g = texts["g"][0].as_py()
-            for b, p in _dealt(_bucket(_low(anchor), n), n):
+            for b, p in _dealt(_bucket(_low(key), n), n):
                 out.append((b, _segments(g, ids, data, offsets, row[p], start[p], size[p], anchor[p], length)))
         return pa.table([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["b", "blob"])
 
@@ -340,8 +365,8 @@ def _segments(g: int, ids, data, offsets, row, start, size, anchor, length: int)
     return pack(np.array([g]), np.array([low]), lengths[kept], ragged(data, at[kept], lengths[kept]), np.diff(np.append(first, len(order))), row[order], start[order], ids[row[order]] - low)
 
 
-def _anchors(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, its first place, whether it occurs again, key) of each segment; its windows share both."""
+def _anchors(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, its first place, whether it occurs again) of each segment."""
     h = gram_hashes(np.append(flat, np.zeros(MOST + length, np.uint8)))
     low = h[: len(flat)]
     anchor = np.minimum.reduceat(np.append(low, low[-1:]), np.stack((starts, starts + length - GRAM + 1), 1).ravel())[::2]
@@ -350,10 +375,7 @@ def _anchors(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, length:
     ends = np.cumsum(n)
     owner = np.searchsorted(ends, hit, side="right")
     first = np.searchsorted(owner, np.arange(len(starts)))
-    place = hit[first] - (ends - n)
-    near = (length - GRAM) // 3
-    from_ = starts + place - near * (place >= near)
-    return anchor, place, np.bincount(owner, minlength=len(starts)) > 1, mixed(h[from_], h[from_ + near])
+    return anchor, hit[first] - (ends - n), np.bincount(owner, minlength=len(starts)) > 1
 
 
 def promising(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, anchor: np.ndarray, place: np.ndarray, again: np.ndarray, length: int, step: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -418,13 +440,13 @@ def _judge(blobs: list[bytes], length: int) -> list[tuple[int, bytes]]:
     windows = lengths - length + 1
     ends = np.cumsum(windows)
     smallest = np.repeat(least, windows)
-    # what may be shared, in collections of whole keys
-    anchor, place, again, key = _anchors(flat, starts, lengths, length)
+    # what may be shared, in collections of whole anchors
+    anchor, place, again = _anchors(flat, starts, lengths, length)
     low, high = promising(flat, starts, lengths, anchor, place, again, length)
     some = np.flatnonzero(low <= high)
-    some = some[np.argsort(key[some], kind="stable")]
+    some = some[np.argsort(anchor[some], kind="stable")]
     size = np.cumsum(high[some] - low[some] + length)
-    heads = np.flatnonzero(np.concatenate(([True], key[some[1:]] != key[some[:-1]]))) if len(some) else some
+    heads = np.flatnonzero(np.concatenate(([True], anchor[some[1:]] != anchor[some[:-1]]))) if len(some) else some
     at = 0
     while at < len(some):
         done = size[at - 1] if at else 0

@@ -127,6 +127,7 @@ def test_one_anchor_in_very_many_contexts(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "COLLECTION", 4000)
     monkeypatch.setattr(suffix_dedup, "GROUP", 30_000)
     monkeypatch.setattr(suffix_dedup, "COPIES", 20)
+    monkeypatch.setattr(suffix_dedup, "OFTEN", 25)
     df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
     got = sorted((tuple(x) for x in suffix_dedup.digest(suffix_dedup.remove_repeats(df)).collect()), key=repr)
     assert got == brute_repeats(texts)
@@ -276,7 +277,10 @@ def test_components_of_a_chain(spark):
 # 4 line dedup
 
 
-def test_line_dedup(spark, odd):
+@pytest.mark.parametrize("hot", [1000, 3])
+def test_line_dedup(spark, odd, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    odd = odd.union(odd.select((F.col("doc_id") + 100).alias("doc_id"), *odd.columns[1:]))
     texts = rows_of(odd)
     key = lambda s: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s.strip(" \t\n\x0b\x0c\r"))
     held = {}
