@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stridecast.llm.common import broadcast_if_small, ensure_checkpoint_dir
+
+#: Documents of a hash that is broadcast; only the plan depends on it.
+HOT = 1000
 #: The white space that is stripped, and the letters that are lower-cased.
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -24,9 +28,11 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_length: int = 20, id_col
     keeps its own lines. Rows without an id take no part in the counts and keep all their lines. Keys are compared
     by 128 bits of hash.
 
-    Only hashes are exploded and dealt; text moves once, to meet the positions dropped from it. A hash that many
-    documents hold is summed before the shuffle, and the join by hash may be split by Spark where it is skewed.
+    Only hashes are exploded and dealt; text moves once, to meet the positions dropped from it. A hash that many documents hold
+    is summed before the shuffle; those of over HOT documents are few (so many lines are behind each), and their lines meet
+    them by broadcast and are dealt by document, so that no task gathers the lines of one hash.
     """
+    ensure_checkpoint_dir(docs.sparkSession)
     whole = F.struct(*(docs[c] for c in docs.columns)) if carry else F.lit(None).cast("string")
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), whole.alias("row"))
     texts = texts.withColumn("row_hash", F.xxhash64("text"))
@@ -41,11 +47,17 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_length: int = 20, id_col
         lines.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
         .groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
         .filter(F.col("n_docs") >= min_docs)
-        .select("h1", "h2", "keeper")
+        .checkpoint()
     )
+    hot = broadcast_if_small(common.filter(F.col("n_docs") > HOT).select("h1", "h2", F.col("keeper").alias("hot_keeper")))
+    rest = common.filter(F.col("n_docs") <= HOT).select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "keeper")
+    # a hot line has its keeper by now; what it is dealt by then only spreads it
+    dealt = F.when(F.col("hot_keeper").isNotNull(), F.xxhash64("doc_id", "pos")).otherwise(F.col("h1"))
+    keeper = F.coalesce("hot_keeper", "keeper")
     dropped = (
-        lines.join(common, ["h1", "h2"])
-        .filter(F.col("doc_id") != F.col("keeper"))
+        lines.join(hot, ["h1", "h2"], "left").withColumn("dealt", dealt)
+        .join(rest, (F.col("dealt") == F.col("k1")) & (F.col("h2") == F.col("k2")), "left")
+        .filter(keeper.isNotNull() & (F.col("doc_id") != keeper))
         .groupBy("doc_id", "row_hash").agg(F.collect_set("pos").alias("dropped"))
         .withColumnsRenamed({"doc_id": "d_id", "row_hash": "d_hash"})
     )
