@@ -74,7 +74,9 @@ def history(observations: DataFrame, loads: DataFrame, entity: str, observed: st
 def ratio_snapshot(observations: DataFrame, loads: DataFrame, entity: str, observed: str, day: str, load: str, event: str, threshold: float = 1.5) -> DataFrame:
     """The ratios at the last load day on or before each observation (not decayed to it), with recency.
 
-    Cases look back three seasons and controls two, so an observation has a history of its own.
+    Cases look back three seasons and controls two, so an observation has a history of its own: up to that many seasons of days are
+    copied for each, which suits case-control cohorts (a few observations an entity) and not a dense panel. An observation's
+    history is one window, a thousand days at most; a hot entity's observations are dealt by (entity, observation).
     """
     keys = [entity, observed]
     rows = history(observations.select(entity, observed, event), loads, entity, observed, day, load, F.when(F.col(event) == 1, 3).otherwise(2))

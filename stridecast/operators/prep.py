@@ -76,5 +76,8 @@ def principal_components(rows: DataFrame, columns: list[str], k: int = 8, prefix
         model = scaler, [[s * x for x in c] for s, c in zip(signs, loadings.T.tolist())]
     scaler, components = model
     unit = {c: F.coalesce((F.col(c) - m) / s, F.lit(0.0)) for c, (m, s) in scaler.items()}
-    out = rows.withColumns({f"{prefix}{i}": sum((unit[c] * F.lit(float(x)) for c, x in zip(columns, loading)), F.lit(0.0)) for i, loading in enumerate(components)})
-    return out, model
+    # arrays instead of a term for each column and component, whose code would grow with their product
+    weights = F.lit([[float(x) for x in loading] for loading in components])
+    total = lambda loading: F.aggregate(F.zip_with("_unit", loading, lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
+    out = rows.withColumn("_unit", F.array(*(unit[c] for c in columns))).withColumn("_dims", F.transform(weights, total))
+    return out.select(*rows.columns, *(F.get("_dims", F.lit(i)).alias(f"{prefix}{i}") for i in range(len(components)))), model

@@ -119,6 +119,14 @@ def evaluation_report(spark, sf_dir):
 _FEATURES = [f"f{i}" for i in range(8)]
 
 
+@query("""WITH s AS (SELECT CAST(vec_id * 7 % 12 AS INTEGER) AS t, CAST(label % 3 AS INTEGER) AS e, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings), r AS (SELECT t, e, x, CAST(unnest(generate_series(0, least(t, 9))) AS INTEGER) AS b FROM s)
+SELECT b, CAST(CASE WHEN b = t AND e BETWEEN 1 AND 2 THEN e ELSE 0 END AS DOUBLE) AS y, count(*) AS n, round(sum(x), 4) + 0.0 AS x FROM r GROUP BY ALL""")
+def person_periods(spark, sf_dir):
+    """The rows that hazards are fitted on, over ten bins, counted by bin and outcome."""
+    rows = a.survival_rows(spark, sf_dir).join(a.table(spark, sf_dir, "embeddings").select("vec_id", F.get("embedding", F.lit(0)).cast("double").alias("x")), "vec_id")
+    return hazard.person_periods(rows, ["x"], 10, 2).groupBy("b", "y").agg(F.count("*").alias("n"), (F.round(F.sum("x"), 4) + 0.0).alias("x"))
+
+
 @query()
 def hazard_pmf(spark, sf_dir):
     rows = a.survival_rows(spark, sf_dir)

@@ -313,6 +313,16 @@ def pca(spark, sf_dir):
     return out.select("vec_id", *(F.round(f"ps_dim_{i}", 6).alias(f"ps_dim_{i}") for i in range(8)))
 
 
+@query("""WITH x AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), s AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM x GROUP BY i)
+SELECT vec_id, round(sum(((x - m) / s) * ((x - m) / s)), 6) AS norm FROM x JOIN s USING (i) GROUP BY vec_id""")
+def pca_norms(spark, sf_dir):
+    """All components of a row are as long together as its standardised values: the components are a rotation."""
+    names = [f"f{i}" for i in range(64)]
+    rows = a.table(spark, sf_dir, "embeddings").select("vec_id", *(F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)))
+    out, _ = prep.principal_components(rows, names, 64)
+    return out.select("vec_id", F.round(sum((F.pow(f"ps_dim_{i}", F.lit(2.0)) for i in range(64)), F.lit(0.0)), 6).alias("norm"))
+
+
 @query("SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 7 > 0 THEN CAST(o_orderdate AS DATE) END AS day FROM orders", dates=("day",))
 def sorted_rows(spark, sf_dir):
     rows = a.orders_dated(spark, sf_dir).select("o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 7 > 0, F.col("day")).alias("day"))

@@ -33,12 +33,15 @@ def sessions(stream: DataFrame, ts: str, entity: str, gap: str = "2 days", late:
 def append_new(stream: DataFrame, path: str, checkpoint: str, name: str, day: str):
     """Append to a Parquet table the rows of each micro-batch whose (name, day) it doesn't hold; returns the writer.
 
-    A batch that runs again finds its rows stored and appends none of them twice.
+    A batch that runs again finds its rows stored and appends none of them twice. Of the table only the batch's days are read.
     """
 
     def store(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
+        days = batch.agg(F.min(F.col(day).cast("date")).alias("a"), F.max(F.col(day).cast("date")).alias("b")).first()
         stored = spark.read.schema(batch.schema).option("recursiveFileLookup", True).parquet(path)
+        if days["a"] is not None:
+            stored = stored.filter(F.col(day).cast("date").between(days["a"], days["b"]))
         new_rows(batch, stored, name, day).write.mode("append").parquet(path)
 
     return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
