@@ -175,6 +175,8 @@ def career_totals(found: DataFrame) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c != "row"], career.alias("career")).withColumn("numbers", F.map_filter(F.transform_values("career", lambda k, v: v.try_cast("double")), lambda k, v: v.isNotNull()))
 
 
+# The types of moves.
+PLACED, ACTIVATED = "placed_on_IL", "activated_from_IL"
 # How the columns of transaction tables are found by parts of their names, and their usual places.
 MOVES = {"date": ("date", 0), "team": ("team", 1), "acquired": ("acquir|placed", 2), "relinquished": ("relinquish", 3), "notes": ("note|reason", 4)}
 
@@ -198,7 +200,7 @@ def transactions(found: DataFrame, url: str = "url", keyword: str = "achilles")
     gone = F.col("relinquished") != ""
     rows = rows.filter(gone | (F.col("acquired") != "")).withColumn("player_name", F.when(gone, F.col("relinquished")).otherwise(F.col("acquired")))
     rows = rows.filter(F.contains(F.lower(F.concat_ws(" ", "notes", "player_name")), F.lit(keyword)))
-    return rows.select("player_name", "date", "team", F.when(gone, "placed_on_IL").otherwise("activated_from_IL").alias("transaction_type"), F.col("notes").alias("reason"), "source_url")
+    return rows.select("player_name", "date", "team", F.when(gone, PLACED).otherwise(ACTIVATED).alias("transaction_type"), F.col("notes").alias("reason"), "source_url")
 
 
 # Fixed value: where an address tells the first row of its page.
