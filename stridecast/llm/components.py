@@ -13,7 +13,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", most_roun
 
     Each round replaces the links by stars around smaller nodes, which keeps the components and needs about log n
     rounds; a round is two aggregations and two joins by node and ends in a checkpoint, so that lost executors only
-    cost the round. The minimum is aggregated before the join: a node with very many links is never gathered in one task.
+    cost the round. The minimum is aggregated before the join, so the links of a node are never gathered in one row; those of
+    a node with very many links meet it in one sorted run, which Spark's adaptive plan may split.
     """
     ensure_checkpoint_dir(links.sparkSession)
     edges = links.select(F.least(a, b).alias("low"), F.greatest(a, b).alias("high"))
