@@ -58,10 +58,10 @@ def containing(inner: DataFrame, outer: DataFrame, n: int = 3, by: list[str] = [
     asked = inner.filter(F.length("_in") >= n).select(*by, "_in").distinct().withColumn("_gram", F.explode(_grams(F.col("_in"), n))).join(counts, [*by, "_gram"], "left")
     rarest = asked.groupBy(*by, "_in").agg(F.min_by("_gram", F.struct(F.coalesce("_count", F.lit(0)), "_gram")).alias("_gram"))
     found = inner.join(rarest, [*by, "_in"]).join(posts, [*by, "_gram"]).filter(F.contains("_out", F.col("_in"))).drop("_gram")
-    for k in range(1, n):
-        short = inner.filter(F.length("_in") == k).withColumn("_gram", F.col("_in"))
-        found = found.unionByName(short.join(outer.filter(F.length("_out") >= k).withColumn("_gram", F.explode(_grams(F.col("_out"), k))), [*by, "_gram"]).drop("_gram"))
-    return found
+    none = F.array().cast("array<string>")
+    parts = F.flatten(F.array(*(F.when(F.length("_out") >= k, _grams(F.col("_out"), k)).otherwise(none) for k in range(1, n))))
+    short = inner.filter(F.length("_in").between(1, n - 1)).withColumn("_gram", F.col("_in"))
+    return found.unionByName(short.join(outer.withColumn("_gram", F.explode(parts)), [*by, "_gram"]).drop("_gram"))
 
 
 def resolve_names(names: DataFrame, directory: DataFrame, name: str, key: str, full_name: str, rank: str) -> DataFrame:

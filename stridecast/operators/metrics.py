@@ -144,7 +144,7 @@ def calibration(rows: DataFrame, cause: int = 1, n_bins: int = 10) -> DataFrame:
     last = F.least(F.col("t"), F.size(F.get("pmf", F.lit(0))) - 1)
     scored = rows.select((F.col("e") == cause).cast("int").alias("hit"), own_time_risk(F.col("pmf"), cause, last).alias("risk"))
     inner = quantiles(scored.select(F.lit("risk").alias("feature"), F.col("risk").alias("value")), [i / n_bins for i in range(1, n_bins)])
-    edges = inner.agg(F.collect_list("value").alias("edges")).crossJoin(scored.agg(F.sum("hit").alias("all")))
+    edges = inner.agg(F.collect_list("value").alias("edges")).crossJoin(F.broadcast(scored.agg(F.sum("hit").alias("all"))))  # one row each
     joined = scored.crossJoin(F.broadcast(edges)).filter(F.col("all") > 0)
     place = F.size(F.filter("edges", lambda x: F.col("risk") > x))
     counted = joined.groupBy(place.alias("bin"), "all").agg(F.count("*").alias("n"), F.sum("hit").alias("observed"), F.sum("risk").alias("expected"))
