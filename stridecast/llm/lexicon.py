@@ -14,19 +14,19 @@ class Lexicon:
     """Each state has at most one arc a byte; an arc adds the number of words before it, so that a word's path sums to
     its place in sorted order, and the place gives its ids (a minimal perfect hash).
 
-    The file: a header of five numbers, then the column of each byte (0 for bytes that no word has), next states and
-    outputs (a row of all columns for each state), final states, ends of the words' ids, ids.
+    The file: a header of five numbers, then of each arc its place (256 times the state and the byte, ascending), next state and
+    output, then final states, ends of the words' ids, ids. It is as large as the arcs and ids: some 2 MB for 60,000 words.
     """
 
     def __init__(self, raw):
-        states, words, n_ids, first, wide = (int(x) for x in np.frombuffer(raw, np.int32, 5))
+        states, words, n_ids, first, arcs = (int(x) for x in np.frombuffer(raw, np.int32, 5))
         at = 20
         parts = []
-        for n in (256, states * wide, states * wide, states, words + 1, n_ids):
+        for n in (arcs, arcs, arcs, states, words + 1, n_ids):
             parts.append(np.frombuffer(raw, np.int32, n, at))
             at += 4 * n
-        self.column, self.next, self.out, self.final, self.ends, self.flat = parts
-        self.first, self.wide = first, wide
+        self.arc, self.next, self.out, self.final, self.ends, self.flat = parts
+        self.first = first
 
     @staticmethod
     def compile(words: list[bytes], ids: np.ndarray, counts: np.ndarray) -> bytes:
@@ -69,19 +69,19 @@ class Lexicon:
         order = Lexicon._children_first(arcs)
         number = {s: k for k, s in enumerate(order)}
         below = np.zeros(len(order), np.int64)
-        column, used = np.zeros(256, np.int32), sorted({b for s in order for b in arcs[s]})
-        column[used] = np.arange(1, len(used) + 1)
-        shape = (len(order), len(used) + 1)
-        step, out, ends = np.full(shape, -1, np.int32), np.zeros(shape, np.int32), np.zeros(len(order), np.int32)
+        if len(order) >= 1 << 23:
+            raise ValueError("the automaton has too many states for its file")
+        rows, ends = [], np.zeros(len(order), np.int32)
         for k, s in enumerate(order):
             n = int(final[s])
             ends[k] = final[s]
             for byte, child in sorted(arcs[s].items()):
-                step[k, column[byte]], out[k, column[byte]] = number[child], n
+                rows.append((k << 8 | byte, number[child], n))
                 n += below[number[child]]
             below[k] = n
-        head = np.array([len(order), len(words), len(ids), number[0], shape[1]], np.int32)
-        parts = (head, column, step, out, ends, np.concatenate(([0], np.cumsum(counts))), ids)
+        arc, step, out = np.array(rows, np.int64).reshape(-1, 3).T
+        head = np.array([len(order), len(words), len(ids), number[0], len(rows)], np.int32)
+        parts = (head, arc, step, out, ends, np.concatenate(([0], np.cumsum(counts))), ids)
         return b"".join(np.ascontiguousarray(p, np.int32).tobytes() for p in parts)
 
     @staticmethod
@@ -116,11 +116,13 @@ class Lexicon:
         starts = np.cumsum(lengths) - lengths
         state = np.where(lengths <= longest, np.int64(self.first), -1)
         place = np.zeros(len(words), np.int64)
-        for depth in range(int(min(lengths.max(initial=0), longest))):
+        for depth in range(int(min(lengths.max(initial=0), longest)) if len(self.arc) else 0):
             live = np.flatnonzero((state >= 0) & (lengths > depth))
-            arc = state[live] * self.wide + self.column[flat[starts[live] + depth]]
+            wanted = state[live] << 8 | flat[starts[live] + depth]
+            arc = np.minimum(np.searchsorted(self.arc, wanted), len(self.arc) - 1)
+            known = self.arc[arc] == wanted
             place[live] += self.out[arc]
-            state[live] = self.next[arc]
+            state[live] = np.where(known, self.next[arc], -1)
         ok = state >= 0
         ok[ok] = self.final[state[ok]] > 0
         return np.where(ok, place, -1)
