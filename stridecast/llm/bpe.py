@@ -22,7 +22,7 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{
 #: Longer pre-tokens are merged one by one with a heap, in n log n.
 LONG = 64
 #: Pre-tokens that a worker remembers between slices.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 def byte_letters() -> list[str]:
@@ -352,7 +352,7 @@ def _sha_text(raw: bytes) -> str:
     return hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest()
 
 
-def _id_slices(batches, most: int = 1 << 20):
+def _id_slices(batches, most: int = 1 << 18):
     """((flat ids, ends), rows) of about so many ids each."""
     for batch in batches:
         column = batch.column(1).fill_null([]) if batch.column(1).null_count else batch.column(1)

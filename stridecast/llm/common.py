@@ -74,7 +74,7 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8), offsets
 
 
-def slices(batches, max_bytes: int = 4 << 20):
+def slices(batches, max_bytes: int = 1 << 20):
     """Cut Arrow batches whose second column is text into slices of about max_bytes of text, one row at least."""
     for batch in batches:
         if not batch.num_rows:
