@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridecast.llm.common import broadcast_if_small, held_out, keyed_texts, slices
+from stridecast.llm.common import broadcast_if_small, held_out, keyed_texts, slices, small_batches
 
 CHUNK = 1024
 
@@ -114,6 +114,7 @@ def keep_good(docs: DataFrame, model: QualityModel, least: float = 0.5, text_col
     an empty one is judged by the score of no evidence; each row is judged alone, so repeated rows stay or go together.
     Texts are taken one at a time, so a batch of long ones isn't copied whole."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
