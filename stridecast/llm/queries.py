@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stridecast.llm import ann, bpe, decontaminate, langid, line_dedup, pii, quality, simhash, suffix_dedup
+from stridecast.llm import ann, bpe, centroids, decontaminate, infill, langid, line_dedup, pii, quality, simhash, suffix_dedup
 from stridecast.llm.common import table
 
 
@@ -61,9 +61,17 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_language(docs, langid.fit_languages(docs, tokenizer_path("piece_bpe_32k.model")))
 
 
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest(infill.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k[:2] == "op" and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": line_dedup.ORACLE}
+    return {"op4_line_dedup": line_dedup.ORACLE, "op12_infill": infill.ORACLE, "op13_centroids": centroids.oracle()}
