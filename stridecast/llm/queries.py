@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stridecast.llm import ann, bpe, centroids, decontaminate, infill, langid, line_dedup, pii, quality, simhash, suffix_dedup
+from stridecast.llm import ann, bpe, centroids, decontaminate, infill, langid, line_dedup, pii, quality, range_join, simhash, suffix_dedup
 from stridecast.llm.common import table
 
 
@@ -61,6 +61,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_language(docs, langid.fit_languages(docs, tokenizer_path("piece_bpe_32k.model")))
 
 
+def op11_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return range_join.similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digest(infill.fill_in_middle(table(spark, sf_dir, "documents")))
 
@@ -74,4 +78,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": line_dedup.ORACLE, "op12_infill": infill.ORACLE, "op13_centroids": centroids.oracle()}
+    return {"op4_line_dedup": line_dedup.ORACLE, "op11_range_join": range_join.ORACLE, "op12_infill": infill.ORACLE, "op13_centroids": centroids.oracle()}
