@@ -165,6 +165,8 @@ SAMPLED, COMMON = 16, 200_000
 #: Members of a shingle's group meet in blocks of so many, one pair of blocks a key; and groups that the sampled documents
 #: show to be larger than RUN are dealt to runs of about so many.
 BLOCK, RUN = 256, 1024
+#: Sets that are checked against one are gathered up to about so many shingles.
+GATHERED = 250_000
 
 
 def shingle_set(text: str, words: int) -> np.ndarray:
@@ -267,7 +269,9 @@ def _close(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def _alike(docs: DataFrame, links: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The links a, b whose sets of shingles have the similarity. Of rows that repeat an id the largest set_key is meant."""
+    """The links a, b (in either order) whose sets of shingles have the similarity. Of rows that repeat an id the largest set_key
+    is meant. A document with very many links is sent once for each group of about GATHERED shingles of those it is linked with, and each
+    of these once a link."""
 
     def sets(batches):
         import pyarrow as pa
@@ -281,9 +285,33 @@ def _alike(docs: DataFrame, links: DataFrame, words: int, similarity: float) ->
     texts = _with_words(docs).join(broadcast_if_small(asked), "doc_id", "left_semi")
     meant = texts.mapInArrow(sets, "doc_id long, set_key binary, shingles array<long>").groupBy("doc_id").agg(F.max(F.struct("set_key", "shingles")).alias("meant"))
     shingles = meant.select("doc_id", F.col("meant.shingles").alias("shingles")).checkpoint()
-    pairs = links.join(shingles.withColumnsRenamed({"doc_id": "a", "shingles": "sa"}), "a").join(shingles.withColumnsRenamed({"doc_id": "b", "shingles": "sb"}), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.filter(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    # of a link's ends the one with more links is the centre, whose set is sent once for each of its groups and not for each link
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    end = lambda c: degree.select(F.col("node").alias(c), F.col("degree").alias(f"d{c}"))
+    ends = links.join(end("a"), "a").join(end("b"), "b").withColumn("swap", F.col("db") > F.col("da"))
+    ends = ends.select(F.when(F.col("swap"), F.col("b")).otherwise(F.col("a")).alias("centre"), F.when(F.col("swap"), F.col("a")).otherwise(F.col("b")).alias("leaf"))
+    ends = ends.join(shingles.select(F.col("doc_id").alias("leaf"), F.size("shingles").alias("n")), "leaf").checkpoint()
+    groups = ends.groupBy("centre").agg(F.ceil(F.sum("n") / GATHERED).cast("int").alias("parts"))
+    dealt = ends.join(groups, "centre").select("centre", F.pmod(F.xxhash64("leaf"), F.col("parts")).cast("int").alias("part"), "leaf")
+    leaves = dealt.join(shingles.withColumnRenamed("doc_id", "leaf"), "leaf").select(F.col("centre").alias("of"), F.col("part").alias("run"), "leaf", F.col("shingles").alias("theirs"))
+    centres = groups.join(shingles.withColumnRenamed("doc_id", "centre"), "centre").select("centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "shingles")
+
+    def check(key, centre, leaves):
+        import pyarrow as pa
+
+        mine = np.asarray(centre["shingles"].combine_chunks().flatten()).view(np.uint64)
+        found = leaves["theirs"].combine_chunks()
+        values, offsets = np.asarray(found.values).view(np.uint64), np.asarray(found.offsets)
+        close = []
+        for start, end_ in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            theirs = values[start:end_]
+            at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+            both = int((mine[at] == theirs).sum())
+            close.append(both >= similarity * (len(mine) + len(theirs) - both))
+        leaf = leaves["leaf"].combine_chunks().filter(pa.array(close, pa.bool_()))
+        return pa.table([pa.array(np.full(len(leaf), key[0].as_py()), pa.int64()), leaf], names=["a", "b"])
+
+    return centres.groupBy("centre", "part").cogroup(leaves.groupBy("of", "run")).applyInArrow(check, "a long, b long")
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
