@@ -6,6 +6,9 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from stridecast.operators.scan import with_earlier_rows
 
 #: The acute and chronic days of each scale.
 SCALES = {"3_21": (3, 21), "7_28": (7, 28), "14_56": (14, 56)}
@@ -69,14 +72,22 @@ def add_spikes(rows: DataFrame, threshold: float = 1.5, scales: dict[str, tuple[
     return rows.withColumns(flags).withColumn("spike_any", F.greatest(*(F.col(f) for f in flags)) if len(flags) > 1 else F.col(next(iter(flags))))
 
 
-def rolling(rows: DataFrame, keys: list[str], day: str, load: str, windows: tuple[int, ...] = (7, 14, 30, 60), by_day: bool = False) -> DataFrame:
-    """load_sum_W and load_mean_W over the last W rows (by_day: the last W days)."""
-    base = Window.partitionBy(*keys).orderBy(F.unix_date(F.col(day)) if by_day else F.col(day))
-    out = rows
+def rolling(rows: DataFrame, keys: list[str], day: str, load: str, windows: tuple[int, ...] = (7, 14, 30, 60), by_day: bool = False, most: int | None = None) -> DataFrame:
+    """load_sum_W and load_mean_W over the last W rows (by_day: the last W days, or units of a number).
+
+    A key's rows are one sorted run: at most a row a day after daily(). Where rows are finer, keys of more than `most` rows are cut in
+    ranges that take along the earlier rows that their frames reach (scan.with_earlier_rows).
+    """
+    place = F.unix_date(F.col(day)) if by_day and isinstance(rows.schema[day].dataType, T.DateType) else F.col(day)
+    out, parts = rows, keys
+    if most is not None:
+        out = with_earlier_rows(rows.withColumn("_place", place), keys, "_place", max(windows), most, by_day)
+        place, parts = F.col("_place"), [*keys, "_range"]
+    base = Window.partitionBy(*parts).orderBy(place)
     for n in windows:
         frame = base.rangeBetween(-(n - 1), 0) if by_day else base.rowsBetween(-(n - 1), 0)
         out = out.withColumn(f"load_sum_{n}", F.sum(load).over(frame)).withColumn(f"load_mean_{n}", F.avg(load).over(frame))
-    return out
+    return out if most is None else out.filter("not _copy").drop("_copy", "_hot", "_range", "_place")
 
 
 def recency(observed: DataFrame, events: DataFrame, keys: list[str], at: str, day: str) -> DataFrame:

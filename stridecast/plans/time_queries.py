@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stridecast.operators import pit, workload
+from stridecast.operators import pit, scan, workload
 from stridecast.operators.workload import SCALES
 from stridecast.plans import adapters as a
 from stridecast.plans.features import panel_matrix
@@ -101,6 +101,43 @@ def asof_features(spark, sf_dir):
     return pit.asof_join(observed, orders, "entity", "observed", "day", tie=F.col("last_order"))
 
 
+#: A third of all users as one entity.
+_HOT = "CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id END"
+
+
+def _one_hot(events):
+    return events.withColumn("entity", F.expr(_HOT))
+
+
+@query(f"""WITH e AS (SELECT *, {_HOT} AS entity, CAST(ts AS DATE) AS day FROM events), f AS (SELECT entity, day, max(event_id) AS last_event FROM e WHERE event_type = 'purchase' AND entity IS NOT NULL GROUP BY ALL)
+SELECT e.event_id, f.last_event FROM e ASOF LEFT JOIN f ON e.entity = f.entity AND e.day >= f.day""")
+def asof_hot(spark, sf_dir):
+    """Each event with the last purchase of its entity up to its day; an entity has a third of all rows."""
+    rows = _one_hot(a.table(spark, sf_dir, "events")).withColumn("day", F.col("ts").cast("date"))
+    bought = rows.filter("event_type = 'purchase'").select("entity", F.col("day").alias("bought"), F.col("event_id").alias("last_event"))
+    return pit.asof_join(rows.select("event_id", "entity", "day"), bought, "entity", "day", "bought", by_dates=True).select("event_id", "last_event")
+
+
+@query(f"""WITH e AS (SELECT event_id, {_HOT} AS entity, coalesce(value, 0) AS value FROM events)
+SELECT event_id, {", ".join(f"round(sum(value) OVER (PARTITION BY entity ORDER BY event_id ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), 4) AS load_sum_{n}" for n in (7, 60))},
+round(sum(value) OVER (PARTITION BY entity ORDER BY event_id RANGE BETWEEN 999 PRECEDING AND CURRENT ROW), 4) AS near FROM e""")
+def rolling_hot(spark, sf_dir):
+    """Rolling sums over the last rows, and over the last thousand event numbers, of entities of which one has a third of all rows."""
+    rows = _one_hot(a.table(spark, sf_dir, "events")).select("event_id", "entity", F.coalesce("value", F.lit(0.0)).alias("value"))
+    last = workload.rolling(rows, ["entity"], "event_id", "value", (7, 60), most=1000)
+    near = workload.rolling(last, ["entity"], "event_id", "value", (1000,), by_day=True, most=1000)
+    return near.select("event_id", *(F.round(f"load_sum_{n}", 4).alias(f"load_sum_{n}") for n in (7, 60)), F.round("load_sum_1000", 4).alias("near"))
+
+
+@query(f"""WITH e AS (SELECT event_id, {_HOT} AS entity, CASE WHEN event_type = 'purchase' THEN value END AS v FROM events)
+SELECT event_id, round(last_value(v IGNORE NULLS) OVER (PARTITION BY entity ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS last_value FROM e""")
+def carry_hot(spark, sf_dir):
+    """The last purchase's value carried forward; an entity has a third of all rows."""
+    rows = _one_hot(a.table(spark, sf_dir, "events"))
+    found = scan.carry_forward(rows, ["entity"], "event_id", F.when(F.col("event_type") == "purchase", F.col("value")), "last_value", most=1000)
+    return found.select("event_id", F.round("last_value", 6).alias("last_value"))
+
+
 @query("SELECT o_orderkey, c_name, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
 def static_join(spark, sf_dir):
     people = a.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment")
@@ -115,16 +152,21 @@ def composite_join(spark, sf_dir):
 
 
 _OBS = "o AS (SELECT s_suppkey AS player_id, CAST(s_suppkey % 2 AS INTEGER) AS event, CAST(unnest([DATE '1995-01-20', DATE '1999-03-15', DATE '2000-12-20']) AS DATE) AS observed FROM supplier)"
+_PANEL = "o AS (SELECT s_suppkey AS player_id, CAST(s_suppkey % 2 AS INTEGER) AS event, CAST(unnest(generate_series(DATE '1992-01-06', DATE '1999-01-06', INTERVAL 28 DAY)) AS DATE) AS observed FROM supplier)"
 
 
-@query(f"""WITH {DENSE}, {_OBS},
+def _snapshot_sql(observed: str) -> str:
+    return f"""WITH {DENSE}, {observed},
 h AS (SELECT o.player_id, o.observed, o.event, d.game_date AS day, d.load FROM o JOIN d ON o.player_id = d.player_id AND d.game_date <= observed
   AND {SEASON.format("d.game_date")} <= {SEASON.format("observed")} AND {SEASON.format("d.game_date")} > {SEASON.format("observed")} - CASE WHEN event = 1 THEN 3 ELSE 2 END),
 n AS (SELECT *, day - min(day) OVER w AS n, max(day) OVER w - min(day) OVER w AS m FROM h WINDOW w AS (PARTITION BY player_id, observed)),
 e AS (SELECT player_id, observed, max(day) AS last, count(*) FILTER (WHERE day >= observed - 7) AS w7, count(*) FILTER (WHERE day >= observed - 14) AS w14, {", ".join(_mean(d, "load", "any_value(m)", "n").replace("sum(load * pow(", "sum(load * pow(").replace("any_value(m) - n", "m - n").replace("any_value(m) + 1", "max(m) + 1") + f" AS e{d}" for pair in SCALES.values() for d in pair)} FROM n GROUP BY player_id, observed),
 r AS (SELECT *, {_RATIOS} FROM e)
 SELECT o.player_id, o.observed, o.event, {", ".join(f"round(r_{s}, 4) AS acwr_{s}" for s in SCALES)}, CAST({" OR ".join(f"coalesce(r_{s} > 1.5, FALSE)" for s in SCALES)} AS INTEGER) AS spike_flag,
-CAST(o.observed - last AS INTEGER) AS days_since_last, CAST(coalesce(w7, 0) AS INTEGER) AS events_last_7, CAST(coalesce(w14, 0) AS INTEGER) AS events_last_14 FROM o LEFT JOIN r ON o.player_id = r.player_id AND o.observed = r.observed""", dates=("observed",))
+CAST(o.observed - last AS INTEGER) AS days_since_last, CAST(coalesce(w7, 0) AS INTEGER) AS events_last_7, CAST(coalesce(w14, 0) AS INTEGER) AS events_last_14 FROM o LEFT JOIN r ON o.player_id = r.player_id AND o.observed = r.observed"""
+
+
+@query(_snapshot_sql(_OBS), dates=("observed",))
 def ratio_snapshot(spark, sf_dir):
     days = F.array(*(F.lit(d).cast("date") for d in ("1995-01-20", "1999-03-15", "2000-12-20")))
     observed = a.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("player_id"), F.explode(days).alias("observed"), (F.col("s_suppkey") % 2).cast("int").alias("event"))
@@ -132,6 +174,15 @@ def ratio_snapshot(spark, sf_dir):
     return found.withColumns({f"acwr_{s}": F.round(f"acwr_{s}", 4) for s in SCALES})
 
 
+@query(_snapshot_sql(_PANEL), dates=("observed",))
+def ratio_panel(spark, sf_dir):
+    """A dense panel: every entity every four weeks."""
+    days = F.expr("sequence(date'1992-01-06', date'1999-01-06', interval 28 days)")
+    observed = a.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("player_id"), F.explode(days).alias("observed"), (F.col("s_suppkey") % 2).cast("int").alias("event"))
+    found = pit.ratio_snapshot(observed, a.dense_loads(spark, sf_dir), "player_id", "observed", "game_date", "load", "event")
+    return found.withColumns({f"acwr_{s}": F.round(f"acwr_{s}", 4) for s in SCALES})
+
+
 @query(f"""WITH {PRIMARY}, f AS (SELECT o_custkey, min(day) AS d FROM p WHERE day <= DATE '{a.STUDY_END}' GROUP BY o_custkey),
 s AS (SELECT c_custkey AS entity, c_mktsegment, c_acctbal, f.d IS NOT NULL AS ev, coalesce(f.d, DATE '{a.STUDY_END}') AS e FROM customer LEFT JOIN f ON c_custkey = o_custkey),
 r AS (SELECT *, CAST(unnest(generate_series(DATE '1995-10-01', e, INTERVAL 120 DAY)) AS DATE) AS observation_date FROM s),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stridecast.functions.scalars import first_date, on_topic, severity_by_keyword
+from stridecast.operators.scan import carry_forward
 
 CELL = "struct<name:string,text:string,href:string,header:boolean>"
 ROW = f"struct<part:string,classes:string,cells:array<{CELL}>>"
@@ -222,13 +223,13 @@ def injuries(found: DataFrame, year: int) -> DataFrame:
     return rows.select(F.trim(F.ltrim(F.get("c", F.lit(0)), F.lit("•"))).alias("player_name"), F.coalesce(first_date(F.get("c", F.lit(2))), F.make_date(F.lit(year), F.lit(6), F.lit(15))).alias("date"), F.get("c", F.lit(1)).alias("team"), F.substring("d", 1, 400).alias("reason"), severity_by_keyword(F.col("d")).alias("severity"))
 
 
-def dated_paragraphs(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """key, position, date, paragraph (its html): each <p> with the date of the last <strong> heading that had one."""
+def dated_paragraphs(pages: DataFrame, key: str, html: str = "html", most: int | None = None) -> DataFrame:
+    """key, position, date, paragraph (its html): each <p> with the date of the last <strong> heading that had one. Pages of more than
+    `most` paragraphs are scanned by ranges (scan.carry_forward)."""
     parts = F.regexp_extract_all(html, F.lit(r"(?s)(<strong\b[^>]*>.*?</strong>|<p\b[^>]*>.*?</p>)"), F.lit(1))
     stream = pages.select(key, F.posexplode(parts).alias("position", "part"))
     heading = F.when(F.startswith("part", F.lit("<strong")), first_date(text_of(F.col("part"))))
-    over = Window.partitionBy(key).orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    dated = stream.withColumn("date", F.last(heading, ignorenulls=True).over(over))
+    dated = carry_forward(stream, [key], "position", heading, "date", most)
     return dated.filter(F.startswith("part", F.lit("<p"))).select(key, "position", "date", F.col("part").alias("paragraph"))
 
 
