@@ -14,8 +14,8 @@ from stridecast.llm.ann import clean_vectors
 from stridecast.llm.common import ensure_checkpoint_dir
 from stridecast.llm.components import connected_components
 
-#: Rows that pivots are drawn from, pivots of one length of vectors, and rows of a side of one comparison, at most.
-SAMPLE, PIVOTS, BLOCK = 4096, 1024, 4096
+#: Rows that pivots are drawn from, and pivots of one length of vectors, at most; numbers of a side of one comparison.
+SAMPLE, PIVOTS, SIDE = 4096, 1024, 1 << 19
 #: Numbers of a matrix that a task or the driver holds at once.
 CELLS = 2_000_000
 #: Angles are rounded up or down by so much where a bound decides.
@@ -221,7 +221,7 @@ def compare(x: np.ndarray, y: np.ndarray, rings_x: np.ndarray, rings_y: np.ndarr
 KEYS = ["size", "cell", "fx", "px", "fy", "py", "visitors"]
 
 
-def similar_vectors(vectors: DataFrame, similarity: float = 0.95, sample: int = SAMPLE, most_pivots: int = PIVOTS, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def similar_vectors(vectors: DataFrame, similarity: float = 0.95, sample: int = SAMPLE, most_pivots: int = PIVOTS, block: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept: for each id how many other vectors have a cosine of `similarity` or more with its own, in
     double precision, and the smallest id reachable by such links. All links are found, and no others.
 
@@ -229,7 +229,7 @@ def similar_vectors(vectors: DataFrame, similarity: float = 0.95, sample: int =
     `block` nodes; the cell of a vector is that of its nearest pivot. 3. Vectors that may have a link into another cell visit
     it (Cells.visits). 4. In a cell vectors lie on rings by their angle to the pivot. The sum and the difference of two rings
     decide most pairs of a dense group: such links are counted from the numbers of vectors by ring and connected through the
-    innermost one, without any pair. Other rings meet in blocks of `block` rows a side, one group each; a group returns
+    innermost one, without any pair. Other rings meet in blocks of `block` rows a side (SIDE numbers, unless given), one group each; a group returns
     counts and labels, so the links of a hot group are never rows. 5. Components come from the labels.
 
     The driver holds the sample, the pivots and counts by cell and ring, none of which grows with the rows; lengths of vectors
@@ -248,6 +248,7 @@ def similar_vectors(vectors: DataFrame, similarity: float = 0.95, sample: int =
     facts = nodes.agg(F.count("*").alias("n")).first()
     share = min(1.0, 1.2 * sample / max(1, facts.n))
     longest = clean.agg(F.max(F.size("vector"))).first()[0] or 1
+    block = block or max(64, SIDE // longest)
     drawn = own.filter(F.pmod(F.xxhash64("node", F.lit("pivot")), F.lit(1 << 20)) <= F.lit(int(share * (1 << 20))))
     drawn = sorted(drawn.limit(max(64, min(2 * sample, 4 * CELLS // longest))).select("node", "vector").collect(), key=lambda r: r.node)
     by_size: dict[int, list] = {}
@@ -358,11 +359,13 @@ def similar_vectors(vectors: DataFrame, similarity: float = 0.95, sample: int =
 
     dealt = placed.mapInArrow(deal, f"size int, node long, copies long, vector {kind}, cell int, ring int, fx int, px int, fy int, py int, visitors boolean, second boolean")
 
-    def join(key, left, right):
+    def join(key, rows):
         import pyarrow as pa
 
         size, _, fx, px, fy, py, visitors = (k.as_py() for k in key)
         same = (fx, px) == (fy, py) and not visitors
+        second = np.asarray(rows["second"])
+        left, right = rows.filter(pa.array(~second)), rows.filter(pa.array(second))
         if not left.num_rows or not (same or right.num_rows):
             return pa.table([pa.array([], pa.int64())] * 3, names=["node", "links", "label"])
         right = left if same else right
@@ -376,9 +379,8 @@ def similar_vectors(vectors: DataFrame, similarity: float = 0.95, sample: int =
         some = np.flatnonzero(links)
         return pa.table([pa.array(ids[some]), pa.array(links[some]), pa.array(ids[labels[some]])], names=["node", "links", "label"])
 
-    sides = [dealt.filter("not second"), dealt.filter("second")]
-    met = sides[0].groupBy(*KEYS).cogroup(sides[1].groupBy(*KEYS)).applyInArrow(join, "node long, links long, label long")
-    links = placed.filter(F.col("size") > 0).mapInArrow(sure_links, "node long, links long, label long").union(met).checkpoint()
+    met = dealt.groupBy(*KEYS).applyInArrow(join, "node long, links long, label long")
+    links = placed.mapInArrow(sure_links, "node long, links long, label long").union(met).checkpoint()
     components = connected_components(links.filter("node != label"), "node", "label")
     per_node = links.groupBy("node").agg(F.sum("links").alias("links"))
     known = nodes.join(per_node, "node", "left").join(components, "node", "left")
