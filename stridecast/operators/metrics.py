@@ -4,47 +4,95 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridecast.functions.curves import horizon_risk, over_causes, sum_of
 from stridecast.operators.profile import quantiles
+from stridecast.sources.shared import written
 
 
 #: Ranges that risks are cut into.
 RANGES = 64
 
 
+def last_bin(rows: DataFrame) -> tuple[int, int] | None:
+    """(largest t, bins of the predictions); reads t and the size of one row of each pmf."""
+    found = rows.agg(F.max("t").alias("m"), F.max(F.size(F.get("pmf", F.lit(0)))).alias("bins")).first()
+    return None if found is None or found["m"] is None or found["bins"] is None else (found["m"], found["bins"])
+
+
 def own_time_risk(pmf: Column, cause: int, last: Column) -> Column:
     """The cause's probability up to bin `last`, itself included."""
     return horizon_risk(pmf, cause, last + 1)
 
 
+def earlier_and_lower(t: np.ndarray, risk: np.ndarray, members: np.ndarray, asking: np.ndarray) -> float:
+    """Over all pairs of an asking row and a member of a later t: the number of those with a lower risk, and half of those of the same.
+    Rows count `members` and `asking` times. A merge by the bits of t, so n log n however many values it has."""
+    place = np.unique(t, return_inverse=True)[1].ravel()
+    good = 0.0
+    for bit in range(int(place.max()).bit_length() if len(place) else 0):
+        group, upper = place >> (bit + 1), place >> bit & 1
+        order = np.lexsort((risk, group))
+        g, r, weight = group[order], risk[order], np.where(upper[order] == 1, members[order], 0)
+        below = np.concatenate([[0], np.cumsum(weight)])
+        new_group = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+        new_run = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (r[1:] != r[:-1])))
+        run = np.cumsum(np.append(True, (g[1:] != g[:-1]) | (r[1:] != r[:-1]))) - 1
+        ends = np.append(new_run[1:], len(g))
+        less = below[new_run[run]] - below[new_group[np.searchsorted(new_group, np.arange(len(g)), side="right") - 1]]
+        same = below[ends[run]] - below[new_run[run]]
+        good += float(np.where(upper[order] == 0, asking[order] * (less + same / 2), 0).sum())
+    return good
+
+
+def rank_counts(counts: DataFrame, ranges: int = RANGES) -> tuple[int, float]:
+    """(pairs, concordant) of counts: t, risk, members, cases, a row for each t and risk.
+
+    Risks are cut into ranges of about equal numbers of rows. What lies in different ranges follows from a matrix of counts by t and
+    range, which alone reaches the driver; what shares a range is merged there, one group a range.
+    """
+    cuts = counts.agg(F.percentile_approx("risk", [k / ranges for k in range(1, ranges)], 10_000).alias("cuts")).first()["cuts"] or []
+    place = F.size(F.filter(F.lit([float(c) for c in sorted(set(cuts))]).cast("array<double>"), lambda c: c < F.col("risk")))
+    dealt = counts.withColumn("range", place)
+    cells = dealt.groupBy("t", "range").agg(F.sum("members").alias("members"), F.sum("cases").alias("cases")).collect()
+    if not cells:
+        return 0, 0.0
+    times = sorted({c.t for c in cells})
+    at = {t: i for i, t in enumerate(times)}
+    members, cases = np.zeros((2, len(times), len(cuts) + 1))
+    for c in cells:
+        members[at[c.t], c.range], cases[at[c.t], c.range] = c.members, c.cases
+    later = np.vstack([members[::-1].cumsum(axis=0)[::-1][1:], np.zeros((1, members.shape[1]))])
+    lower = np.hstack([np.zeros((len(times), 1)), later.cumsum(axis=1)[:, :-1]])
+    pairs = sum(int(a) * int(b) for a, b in zip(cases.sum(axis=1), later.sum(axis=1)))
+
+    def inside(key, rows):
+        column = lambda c: np.asarray(rows[c].combine_chunks())
+        return pa.table({"good": [earlier_and_lower(column("t"), column("risk"), column("members"), column("cases"))]})
+
+    within = dealt.groupBy("range").applyInArrow(inside, "good double").agg(F.sum("good").alias("good")).first()["good"] or 0.0
+    return pairs, float((cases * lower).sum()) + within
+
+
 def concordance(rows: DataFrame, cause: int = 1) -> DataFrame:
     """n_pairs, concordant, c_index: of the pairs of a case and anyone whose time is later, the share in which the
     case's risk is higher, ties half; 0.5 without pairs.
 
-    No pair is made: risks are rounded to 12 digits; each case is a query to every later bin, where running counts
-    of members by risk give how many are less and equal. Work grows with rows times bins. Counts are summed by
-    (bin, risk), and by ranges of the risk: a window holds one range of a bin, or one row a range.
+    No pair is made: risks are rounded to 12 digits, counted by (t, risk) in one scan of the predictions, written, and ranked from
+    there (rank_counts).
     """
-    last = rows.agg(F.max("t").alias("m"), F.max(F.size(F.get("pmf", F.lit(0)))).alias("bins")).withColumn("h", F.least("m", F.col("bins") - 1))
-    scored = rows.crossJoin(F.broadcast(last)).select("t", "e", F.round(own_time_risk(F.col("pmf"), cause, F.col("h")), 12).alias("risk"), F.col("m"))
-    members = scored.groupBy(F.col("t").alias("b"), "risk").agg(F.count("*").alias("members")).withColumn("queries", F.lit(0).cast("long"))
-    cases = scored.filter((F.col("e") == cause) & (F.col("t") < F.col("m"))).groupBy("t", "risk", "m").agg(F.count("*").alias("queries"))
-    asked = cases.select(F.explode(F.sequence(F.col("t") + 1, F.col("m"))).alias("b"), "risk", F.lit(0).cast("long").alias("members"), "queries")
-    both = members.select("b", "risk", "members", "queries").unionByName(asked).groupBy("b", "risk").agg(F.sum("members").alias("members"), F.sum("queries").alias("queries"))
-    # risks are cut into ranges of about equal numbers; sums by range, then the order within a range
-    cuts = scored.agg(F.percentile_approx("risk", [k / RANGES for k in range(1, RANGES)], 10_000).alias("cuts"))
-    both = both.crossJoin(F.broadcast(cuts)).withColumn("range", F.size(F.filter("cuts", lambda x: x < F.col("risk")))).drop("cuts")
-    before = F.sum("n").over(Window.partitionBy("b").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
-    ranges = both.groupBy("b", "range").agg(F.sum("members").alias("n"))
-    ranges = ranges.select("b", "range", F.coalesce(before, F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy("b")).alias("whole"))
-    inside = F.sum("members").over(Window.partitionBy("b", "range").orderBy("risk").rowsBetween(Window.unboundedPreceding, -1))
-    below = F.col("before") + F.coalesce("inside", F.lit(0))
-    counted = both.withColumn("inside", inside).join(ranges, ["b", "range"]).select((F.col("queries") * F.col("whole")).alias("pairs"), (F.col("queries") * (below + F.col("members") / 2)).alias("good"))
-    n, good = F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0.0))
-    return counted.agg(n.alias("n_pairs"), good.alias("concordant"), F.when(n > 0, good / n).otherwise(0.5).alias("c_index"))
+    spark, last = rows.sparkSession, last_bin(rows)
+    pairs, good = 0, 0.0
+    if last is not None:
+        risk = F.round(own_time_risk(F.col("pmf"), cause, F.lit(min(last[0], last[1] - 1))), 12)
+        case = ((F.col("e") == cause) & (F.col("t") < last[0])).cast("long")
+        counts = rows.select("t", case.alias("case"), risk.alias("risk")).filter("t is not null and risk is not null")
+        pairs, good = rank_counts(written(counts.groupBy("t", "risk").agg(F.count("*").alias("members"), F.sum("case").alias("cases"))))
+    return spark.createDataFrame([(pairs, good, good / pairs if pairs else 0.5)], "n_pairs long, concordant double, c_index double")
 
 
 def kaplan_meier(rows: DataFrame, event: Column, floor: float = 0.0, strata: list[str] = ()) -> DataFrame:
@@ -72,34 +120,72 @@ def event_free_curve(rows: DataFrame, strata: list[str] = (), z: float = 1.95996
     return curve.withColumn("low", F.when(s == 1, 1.0).otherwise(F.pow(s, F.exp(width)))).withColumn("high", F.when(s == 1, 1.0).otherwise(F.pow(s, F.exp(-width))))
 
 
-def step_at(curve: DataFrame, at: Column, value: str) -> Column:
-    """An aggregate for a group of (query, curve) rows: the curve's last value at or before the query's time, else 1."""
-    return F.coalesce(F.max_by(F.when(F.col("t") <= at, F.col(value)), F.when(F.col("t") <= at, F.col("t"))), F.lit(1.0))
+def by_time(rows: DataFrame, sigma: float = 0.1) -> list:
+    """One row a time: t, n, censored, events and sums for the losses, and the largest size of the predictions. One scan."""
+    last = F.least(F.col("t"), F.size(F.get("pmf", F.lit(0))) - 1)
+    own = sum_of(F.slice(over_causes(F.col("pmf")), F.lit(1), last + 1))
+    at = F.get(F.get("pmf", F.col("e") - 1), last)
+    event = F.col("e") > 0
+    scored = rows.select("t", "e", own.alias("f"), F.when(event, -F.log(at + 1e-7)).otherwise(0.0).alias("nll"), F.size(F.get("pmf", F.lit(0))).alias("bins"))
+    sums = scored.filter("t is not null").groupBy("t").agg(
+        F.count("*").alias("n"), F.sum(F.when(F.col("e") == 0, 1).otherwise(0)).alias("censored"), F.sum(F.when(event, 1).otherwise(0)).alias("events"), F.max("bins").alias("bins"),
+        F.sum("nll").alias("nll"), F.sum(F.when(event, F.exp(-F.col("f") / sigma)).otherwise(0.0)).alias("falls"), F.sum(F.exp(F.col("f") / sigma)).alias("rises"),
+    )
+    return sorted(sums.collect(), key=lambda r: r.t)
+
+
+def _survivals(times: list, floor: float = 1e-6) -> list[float]:
+    """The probability of not being censored up to each time."""
+    left, curve, out = sum(r.n for r in times), 1.0, []
+    for r in times:
+        curve *= 1 - r.censored / left
+        left -= r.n
+        out.append(max(curve, floor))
+    return out
 
 
-def evaluation_times(rows: DataFrame, n_bins: int) -> DataFrame:
-    """tau: the distinct deciles of t, as whole bins within the prediction."""
-    shares = [F.lit(s / 10) for s in range(1, 10)]
-    found = rows.agg(F.percentile("t", F.array(*shares)).alias("v")).select(F.explode("v").alias("v"))
-    return found.select(F.least(F.greatest(F.col("v").cast("int"), F.lit(0)), F.lit(n_bins - 1)).alias("tau")).distinct()
+def _deciles(times: list, n_bins: int) -> list[int]:
+    """The distinct deciles of t, as whole bins within the prediction."""
+    n = sum(r.n for r in times)
+    ends = np.cumsum([r.n for r in times])
+    rank = lambda k: times[int(np.searchsorted(ends, k, side="right"))].t
+    found = set()
+    for s in range(1, 10):
+        at = s / 10 * (n - 1)
+        low, high = rank(math.floor(at)), rank(math.ceil(at))
+        found.add(min(max(int(low + (high - low) * (at - math.floor(at))), 0), n_bins - 1))
+    return sorted(found)
+
+
+def _weighted_losses(times: list, cause: int, n_bins: int) -> list[tuple[int, Column]]:
+    """(tau, a row's loss at it, null where it is left out)."""
+    survivals = _survivals(times)
+    g_at = F.create_map(*(F.lit(x) for r, g in zip(times, survivals) for x in (r.t, g)))
+    out = []
+    for tau in _deciles(times, n_bins):
+        upto = [g for r, g in zip(times, survivals) if r.t <= tau]
+        risk = own_time_risk(F.col("pmf"), cause, F.lit(tau))
+        loss = F.when((F.col("t") <= tau) & (F.col("e") == cause), F.pow(1 - risk, F.lit(2.0)) / g_at[F.col("t")]).when(F.col("t") > tau, F.pow(risk, F.lit(2.0)) / (upto[-1] if upto else 1.0))
+        out.append((tau, loss))
+    return out
+
+
+def _brier_rows(spark, sums: dict[int, tuple[int, float]]) -> DataFrame:
+    return spark.createDataFrame([(tau, n, total / n) for tau, (n, total) in sums.items() if n], "tau int, n long, brier double")
 
 
 def brier(rows: DataFrame, cause: int = 1, n_bins: int | None = None) -> DataFrame:
     """tau, n, brier: inverse-probability-weighted squared error at each decile of t.
 
     An event of the cause by tau weighs 1 / G(its time), a later time 1 / G(tau); others are left out; the sum is divided by
-    the number of rows taken. The curve G and the times are a few rows (bins, deciles) and joined by broadcast.
+    the number of rows taken. Two scans: counts by time, from which curve and times follow on the driver, and one aggregate of the losses.
     """
-    n_bins = n_bins or rows.select(F.size(F.get("pmf", F.lit(0))).alias("n")).first()["n"]
-    g = censoring_curve(rows)
-    taus = evaluation_times(rows, n_bins)
-    at_tau = taus.crossJoin(F.broadcast(g)).groupBy("tau").agg(step_at(g, F.col("tau"), "g").alias("g_tau"))
-    joined = rows.crossJoin(F.broadcast(at_tau)).join(F.broadcast(g), "t")
-    happened = (F.col("t") <= F.col("tau")) & (F.col("e") == cause)
-    later = F.col("t") > F.col("tau")
-    risk = own_time_risk(F.col("pmf"), cause, F.col("tau"))
-    loss = F.when(happened, F.pow(1 - risk, F.lit(2.0)) / F.col("g")).when(later, F.pow(risk, F.lit(2.0)) / F.col("g_tau"))
-    return joined.withColumn("_loss", loss).filter(F.col("_loss").isNotNull()).groupBy("tau").agg(F.count("*").alias("n"), F.avg("_loss").alias("brier"))
+    times = by_time(rows)
+    if not times:
+        return _brier_rows(rows.sparkSession, {})
+    parts = _weighted_losses(times, cause, n_bins or max(r.bins for r in times))
+    found = rows.agg(*(f(loss).alias(f"{n}{tau}") for tau, loss in parts for n, f in (("n", F.count), ("s", F.sum)))).first()
+    return _brier_rows(rows.sparkSession, {tau: (found[f"n{tau}"], found[f"s{tau}"]) for tau, _ in parts})
 
 
 def integrated(scores: DataFrame, x: str = "tau", y: str = "brier") -> DataFrame:
@@ -142,7 +228,7 @@ def calibration(rows: DataFrame, cause: int = 1, n_bins: int = 10) -> DataFrame:
     """bin, n, observed, expected, observed_rate, expected_rate: bins of the risk at a row's own time, cut at its
     percentiles (left open, the outer edges widened by 1e-6). Rates are shares of all observed events; empty without any."""
     last = F.least(F.col("t"), F.size(F.get("pmf", F.lit(0))) - 1)
-    scored = rows.select((F.col("e") == cause).cast("int").alias("hit"), own_time_risk(F.col("pmf"), cause, last).alias("risk"))
+    scored = written(rows.select((F.col("e") == cause).cast("int").alias("hit"), own_time_risk(F.col("pmf"), cause, last).alias("risk")))
     inner = quantiles(scored.select(F.lit("risk").alias("feature"), F.col("risk").alias("value")), [i / n_bins for i in range(1, n_bins)])
     edges = inner.agg(F.collect_list("value").alias("edges")).crossJoin(F.broadcast(scored.agg(F.sum("hit").alias("all"))))  # one row each
     joined = scored.crossJoin(F.broadcast(edges)).filter(F.col("all") > 0)
@@ -157,6 +243,18 @@ def calibration_test(bins: DataFrame, df: int = 9) -> dict[str, float]:
     return {} if chi2 is None else {"chi2": chi2, "p": chi_square_tail(chi2, df)}
 
 
+def _losses(times: list, alpha: float = 0.5) -> tuple[float | None, float, float | None, int]:
+    n, after, members, nll, ranking, pairs = sum(r.n for r in times), 0.0, 0, 0.0, 0.0, 0
+    for r in reversed(times):
+        ranking += r.falls * after
+        pairs += r.events * members
+        after += r.rises
+        members += r.n
+        nll += r.nll
+    nll, ranking = nll / n if n else None, ranking / pairs if pairs else 0.0
+    return nll, ranking, None if nll is None else alpha * nll + (1 - alpha) * ranking, pairs
+
+
 def losses(rows: DataFrame, sigma: float = 0.1, alpha: float = 0.5) -> DataFrame:
     """nll, ranking, combined, n_pairs.
 
@@ -164,26 +262,26 @@ def losses(rows: DataFrame, sigma: float = 0.1, alpha: float = 0.5) -> DataFrame
     later j) of exp(-(F_i - F_j) / sigma), F being the incidence of any cause at a row's own time; it factorises
     into sums by time, so a suffix over the bins takes the place of the pairs.
     """
-    last = F.least(F.col("t"), F.size(F.get("pmf", F.lit(0))) - 1)
-    own = sum_of(F.slice(over_causes(F.col("pmf")), F.lit(1), last + 1))
-    at = F.get(F.get("pmf", F.col("e") - 1), last)
-    scored = rows.select("t", "e", own.alias("f"), F.when(F.col("e") > 0, -F.log(at + 1e-7)).otherwise(0.0).alias("nll"))
-    event = F.col("e") > 0
-    sums = scored.groupBy("t").agg(
-        F.sum("nll").alias("nll"), F.count("*").alias("n"), F.sum(F.when(event, 1).otherwise(0)).alias("n_events"),
-        F.sum(F.when(event, F.exp(-F.col("f") / sigma)).otherwise(0.0)).alias("falls"), F.sum(F.exp(F.col("f") / sigma)).alias("rises"),
-    )
-    after = Window.orderBy("t").rowsBetween(1, Window.unboundedFollowing)
-    paired = sums.select("nll", "n", (F.col("falls") * F.coalesce(F.sum("rises").over(after), F.lit(0.0))).alias("r"), (F.col("n_events") * F.coalesce(F.sum("n").over(after), F.lit(0))).alias("p"))
-    out = paired.agg((F.sum("nll") / F.sum("n")).alias("nll"), (F.sum("r") / F.when(F.sum("p") > 0, F.sum("p"))).alias("ranking"), F.sum("p").alias("n_pairs"))
-    ranking = F.coalesce("ranking", F.lit(0.0))
-    return out.select("nll", ranking.alias("ranking"), (alpha * F.col("nll") + (1 - alpha) * ranking).alias("combined"), "n_pairs")
+    return rows.sparkSession.createDataFrame([_losses(by_time(rows, sigma), alpha)], "nll double, ranking double, combined double, n_pairs long")
 
 
 def evaluation_report(rows: DataFrame, cause: int = 1) -> DataFrame:
-    """One row of all metrics, rounded to 4 digits, and the same as JSON."""
-    scores = brier(rows, cause)
-    joined = concordance(rows, cause).crossJoin(integrated(scores)).crossJoin(losses(rows))
+    """One row of all metrics, rounded to 4 digits, and the same as JSON. Two scans of the predictions: sums by time, which give losses,
+    the curve and the times; then the Brier sums along with the counts by (t, risk) that concordance is ranked from."""
+    spark, times = rows.sparkSession, by_time(rows)
     names = ["c_index", "ibs", "nll", "ranking", "combined"]
-    out = joined.select(*(F.round(n, 4).alias(n) for n in names))
-    return out.withColumn("report", F.to_json(F.struct(*names)))
+    c_index, scores = 0.5, _brier_rows(spark, {})
+    if times:
+        n_bins, last = max(r.bins for r in times), times[-1].t
+        parts = _weighted_losses(times, cause, n_bins)
+        risk = F.round(own_time_risk(F.col("pmf"), cause, F.lit(min(last, n_bins - 1))), 12)
+        case = ((F.col("e") == cause) & (F.col("t") < last)).cast("long")
+        scored = rows.filter("t is not null").select("t", case.alias("case"), risk.alias("risk"), *(loss.alias(f"l{tau}") for tau, loss in parts))
+        counts = written(scored.groupBy("t", "risk").agg(F.count("*").alias("members"), F.sum("case").alias("cases"), *(f(f"l{tau}").alias(f"{n}{tau}") for tau, _ in parts for n, f in (("n", F.count), ("s", F.sum)))))
+        found = counts.agg(*(F.sum(f"{n}{tau}").alias(f"{n}{tau}") for tau, _ in parts for n in "ns")).first()
+        scores = _brier_rows(spark, {tau: (found[f"n{tau}"], found[f"s{tau}"]) for tau, _ in parts})
+        pairs, good = rank_counts(counts.filter("risk is not null").select("t", "risk", "members", "cases"))
+        c_index = good / pairs if pairs else 0.5
+    nll, ranking, combined, _ = _losses(times)
+    out = integrated(scores).select(F.lit(c_index).alias("c_index"), "ibs", *(F.lit(v).cast("double").alias(n) for n, v in (("nll", nll), ("ranking", ranking), ("combined", combined))))
+    return out.select(*(F.round(n, 4).alias(n) for n in names)).withColumn("report", F.to_json(F.struct(*names)))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from stridecast.plans import adapters as a
 from stridecast.plans.registry import query
+from stridecast.sources.shared import shared_folder
 from stridecast.sources import pages as pg
 from stridecast.sources import tables as src
 
@@ -32,9 +32,8 @@ def body(line, order) -> F.Column:
 
 
 def scratch(spark, name: str) -> str:
-    """A new folder where the cluster shares files, else (in tests) a local one."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="stridecast-")
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
+    """A new folder where the cluster shares files."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("""SELECT c_name AS name, 'https://example.org/players/c' || c_custkey || '.html' AS url, CAST(1990 + c_custkey % 12 AS INTEGER) AS year_min, CAST(CASE WHEN c_custkey % 4 > 0 THEN 1995 + c_custkey % 12 END AS INTEGER) AS year_max FROM customer WHERE c_custkey % 10 > 0""")
