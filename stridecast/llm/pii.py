@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import re
 
 from pyspark.sql import DataFrame
@@ -21,7 +22,7 @@ FIRST, LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31)
 EMAIL = re.compile(r"(?<![A-Za-z0-9._%+\-])([A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}|[^\W\d_][\w.%+\-]{0,63})@((?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24})(?![A-Za-z0-9\-])")
 NUMBERS = re.compile(
     r"(?<![\w.])(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?!\.?\d|\w)"
-    r"|(?<![\w.\-/])(?P<date>\d{4}-\d{2}-\d{2}(?=T\d)|(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{4}/\d{1,2}/\d{1,2}|\d{4}\.\d{1,2}\.\d{1,2}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/\-]|\.\d))"
+    r"|(?<![\w.\-/])(?P<date>\d{4}-\d{2}-\d{2}(?=T\d)|(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/(?:\d{4}|\d{2})|\d{1,2}-\d{1,2}-\d{4}|\d{4}/\d{1,2}/\d{1,2}|\d{4}\.\d{1,2}\.\d{1,2}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/\-]|\.\d))"
     r"|(?<![\w\-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w\-])"
     r"|(?<!\w)(?P<phone>\+\d{1,3} ?\(\d{3}\) ?\d{3}-\d{4}|\+\d{1,3}[ \-]\d{3}[ \-]\d{3}[ \-]\d{4}|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\+\d{8,15}|\+\d{1,3}(?:[ .\-]?\(\d{1,4}\))?(?:[ .\-]\d{1,8}){1,5}(?![\-/]\d))(?!\w)"
     r"|(?<![\w\-])(?P<card>\d(?:[ \-]?\d){12,18})(?![\w\-])"
@@ -30,13 +31,17 @@ NUMBERS = re.compile(
 FULL = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 #: Of English month names; the same spelling is kept, so "may" and "sept", which tell no other month's, keep their month.
 SHORT = tuple(m[:3] for m in FULL)
-_NAMES = "(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept(?:ember)?|sep|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+_NAMES = "(?ai:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept(?:ember)?|sep|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+_ORDINAL = "(?ai:st|nd|rd|th)"
+#: ASCII letters and digits only: others that count as equal without regard to case couldn't be written back.
 NAMED = re.compile(
-    rf"(?<![\w.\-/])(?:(?P<d1>\d{{1,2}})(?P<o1>st|nd|rd|th)?(?P<g1>\.? |-| of )(?P<m1>{_NAMES})(?P<h1>\.?,? |-)(?P<y1>\d{{4}})"
-    rf"|(?P<m2>{_NAMES})(?P<g2>\.? )(?P<d2>\d{{1,2}})(?P<o2>st|nd|rd|th)?(?P<h2>,? )(?P<y2>\d{{4}}))(?![\w/\-])",
-    re.IGNORECASE,
+    rf"(?<![\w.\-/])(?:(?P<d1>[0-9]{{1,2}})(?P<o1>{_ORDINAL})?(?P<g1>\.? |-| of )(?P<m1>{_NAMES})(?P<h1>\.?,? |-)(?P<y1>[0-9]{{4}})"
+    rf"|(?P<m2>{_NAMES})(?P<g2>\.? )(?P<d2>[0-9]{{1,2}})(?P<o2>{_ORDINAL})?(?P<h2>,? )(?P<y2>[0-9]{{4}}))(?![\w/\-])"
 )
-SECRET = re.compile(r"""(?P<name>\b(?:token|secret|password|passwd|api[_-]?key)\b\s*[=:]\s*)(?:(?P<quote>["'])(?P<secret>[A-Za-z0-9_\-+/=]{8,})(?P=quote)|(?P<open>(?:[A-Za-z0-9_\-+/=]|[.!#$%^*~](?=[A-Za-z0-9])){8,}))""", re.IGNORECASE)
+SECRET = re.compile(r"""(?P<name>\b(?:token|secret|password|passwd|api[_-]?key)\b\s*[=:]\s*|\bBearer\s+)(?:(?P<quote>["'])(?P<secret>[A-Za-z0-9_\-+/=]{8,})(?P=quote)|(?P<open>(?:[A-Za-z0-9_\-+/=]|[.!#$%^*~](?=[A-Za-z0-9])){8,}))""", re.IGNORECASE)
+#: Keys that their first letters tell.
+CLOUD = re.compile(r"(?<![A-Za-z0-9_\-])(AKIA|ASIA|gh[pousr]_|github_pat_|sk-|xox[abprs]-|AIza)([A-Z0-9]{16}|[A-Za-z0-9_\-]{20,255})(?![A-Za-z0-9_\-])")
+IPV6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){3,8}(?![\w:]|\.\d)")
 IBAN = re.compile(r"(?<![\w\-])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![\w\-])")
 
 
@@ -90,10 +95,10 @@ class Feistel:
         return "".join(reversed(out))
 
     def symbols(self, text: str, tweak: str, alphabets: tuple[str, ...], back: bool = False) -> str:
-        """Permute the symbols of each alphabet among themselves; every other character stays. The shape, which stays,
+        """Permute the symbols of each alphabet among themselves; every other character stays. A hash of the shape, which stays,
         is part of the tweak."""
         kind = [next((k for k, a in enumerate(alphabets) if c in a), -1) for c in text]
-        shape = f"{tweak}|{''.join('?' if k < 0 else str(k) for k in kind)}"
+        shape = f"{tweak}|{hashlib.blake2b(bytes(k + 1 for k in kind), digest_size=16).hexdigest()}"
         out = list(text)
         for k, alphabet in enumerate(alphabets):
             at = [i for i, x in enumerate(kind) if x == k]
@@ -115,6 +120,18 @@ def _refill(shape: str, digits: str) -> str:
     return "".join(next(rest) if c.isdigit() else c for c in shape)
 
 
+def north_american(value: int) -> bool:
+    """Whether ten digits have an area code and an exchange, each from 200 on and not ending in 11."""
+    return all(c > 199 and c % 100 != 11 for c in (value // 10**7, value // 10**4 % 1000))
+
+
+def ten_digits(value: int, net: Feistel, back: bool, ok=lambda v: True) -> str:
+    """Numbers with area code and exchange are permuted among themselves, however they are written; others that are ok among those."""
+    valid = north_american(value)
+    fits = north_american if valid else lambda v: ok(v) and not north_american(v)
+    return f"{net.within(value, 0, 10**10 - 1, 'ten' if valid else f'ten{ok(0)}', back, fits):010d}"
+
+
 def replace_number(kind: str, found: str, net: Feistel, back: bool = False) -> str | None:
     """The pseudonym of a matched number, or None if it isn't valid."""
     digits = "".join(c for c in found if c.isdigit())
@@ -135,11 +152,10 @@ def replace_number(kind: str, found: str, net: Feistel, back: bool = False) -> s
         return _refill(found, f"{net.within(int(digits), 0, 10**9 - 1, 'ssn', back, ok):09d}")
     if kind == "plain":
         # without a sign of a phone, the area code must be one; a bare run of digits needs an exchange too
-        bare = found.isdigit()
-        code = lambda v: v // 100 > 1 and v % 100 != 11
-        ok = lambda v: v // 10**9 > 1 and (not bare or code(v // 10**7) and code(v // 10**4 % 1000))
         value = int(digits[-10:])
-        return _refill(found, f"{digits[:-10]}{net.within(value, 0, 10**10 - 1, 'plain', back, ok):010d}") if ok(value) else None
+        if value // 10**9 < 2 or found.isdigit() and not north_american(value):
+            return None
+        return _refill(found, digits[:-10] + ten_digits(value, net, back, lambda v: v // 10**9 > 1))
     if kind == "phone":
         # the country's code stays: digits before the first separator, or all but ten of a run
         groups = re.findall(r"\d+", found)
@@ -149,7 +165,9 @@ def replace_number(kind: str, found: str, net: Feistel, back: bool = False) -> s
         if len(used) < 8:
             return None
         kept = 0 if found[0] != "+" else len(groups[0]) if len(groups) > 1 else max(1, len(used) - 10)
-        return _refill(found, used[:kept] + net.string(used[kept:], DIGITS, "phone", back) + digits[len(used) :])
+        code, own = used[:kept], used[kept:]
+        new = ten_digits(int(own), net, back) if code in ("", "1") and len(own) == 10 else net.string(own, DIGITS, "phone", back)
+        return _refill(found, code + new + digits[len(used) :])
     if not luhn(digits):
         return None
     body = net.string(digits[:-1], DIGITS, "card", back)
@@ -166,31 +184,39 @@ def _date(found: str, net: Feistel, back: bool) -> str | None:
 
     if "." in found or re.match(r"\d{4}/", found):
         return _in_format(re.split(r"[./]", found), found, made, net, back)
-    if "-" in found:
+    if re.match(r"\d{4}-", found):
         value = made(*map(int, found.split("-")))
         return value and datetime.date.fromordinal(net.within(value, FIRST, LAST, "date", back)).isoformat()
-    a, b, y = parts = found.split("/")
-    if made(int(y), int(a), int(b)) is not None:  # month first
-        return _in_format([b, a, y], "/m", made, net, back, lambda said: f"{said[1]}/{said[2]}/{said[0]}")
+    sign = "/" if "/" in found else "-"
+    a, b, y = parts = found.split(sign)
+    year = _century(y) if len(y) == 2 else int(y)
+    if made(year, int(a), int(b)) is not None:  # month first
+        return _in_format([b, a, y], f"{sign}m", made, net, back, lambda said: sign.join((said[1], said[2], said[0])))
     # day first, and so the day is over 12
-    return _in_format(parts, "/d", made, net, back, lambda said: "/".join(said[::-1]), least_day=13)
+    return _in_format(parts, f"{sign}d", made, net, back, lambda said: sign.join(said[::-1]), least_day=13)
+
+
+def _century(year: str) -> int:
+    """A year of two digits is one of 1970 to 2069."""
+    return int(year) + (1900 if int(year) >= 70 else 2000)
 
 
 def _in_format(parts: list[str], found: str, made, net: Feistel, back: bool, written=None, least_day: int = 1) -> str | None:
     """A date of parts year, month, day or day, month, year; a part of one digit stays one, of two two."""
     order = parts if len(parts[0]) == 4 else parts[::-1]
-    value = made(*map(int, order))
+    short = len(order[0]) == 2
+    value = made(_century(order[0]) if short else int(order[0]), *map(int, order[1:]))
     if value is None:
         return None
     widths = [len(x) for x in order[1:]]
 
     def fits(v: int) -> bool:
         new = datetime.date.fromordinal(v)
-        return new.day >= least_day and all(w == 2 or x < 10 for w, x in zip(widths, (new.month, new.day)))
+        return new.day >= least_day and all(w == 2 or x < 10 for w, x in zip(widths, (new.month, new.day))) and (not short or 1970 <= new.year < 2070)
 
     sign = found if written else found[len(parts[0])]
-    new = datetime.date.fromordinal(net.within(value, FIRST, LAST, f"{sign}{widths}", back, fits))
-    said = [str(new.year), f"{new.month:0{widths[0]}d}", f"{new.day:0{widths[1]}d}"]
+    new = datetime.date.fromordinal(net.within(value, FIRST, LAST, f"{sign}{widths}{'y' * short}", back, fits))
+    said = [f"{new.year % 100:02d}" if short else str(new.year), f"{new.month:0{widths[0]}d}", f"{new.day:0{widths[1]}d}"]
     return written(said) if written else sign.join(said if order is parts else said[::-1])
 
 
@@ -275,6 +301,19 @@ def pseudonymise_text(text: str, net: Feistel, back: bool = False) -> tuple[str,
         counts["iban"] += new is not None
         return m[0] if new is None else new
 
+    def cloud(m: re.Match) -> str:
+        counts["secret"] += 1
+        return m[1] + net.symbols(m[2], f"key{m[1]}", (DIGITS, LOWER, UPPER), back)
+
+    def address(m: re.Match) -> str:
+        try:
+            ipaddress.IPv6Address(m[0])
+        except ValueError:
+            return m[0]
+        counts["ip"] += 1
+        # digits change within their places, so that what is left out stays so
+        return net.symbols(m[0], "ip6", (DIGITS, HEX[10:], HEX[10:].upper()), back)
+
     def number(m: re.Match) -> str:
         kind = "plain" if m["plain"] else m.lastgroup
         new = replace_number(kind, m[0], net, back)
@@ -287,8 +326,11 @@ def pseudonymise_text(text: str, net: Feistel, back: bool = False) -> tuple[str,
     done: list[tuple[int, int]] = []
     out, at = [], 0
     spans = [(m.start(), m.end(), m, email) for m in EMAIL.finditer(text)] if "@" in text else []
-    if "=" in text or ":" in text:
+    if "=" in text or ":" in text or "earer" in text or "EARER" in text:
         spans += [(m.start(), m.end(), m, secret) for m in SECRET.finditer(text)]
+    spans += [(m.start(), m.end(), m, cloud) for m in CLOUD.finditer(text)]
+    if "::" in text or text.count(":") > 6:
+        spans += [(m.start(), m.end(), m, address) for m in IPV6.finditer(text)]
     spans += [(m.start(), m.end(), m, account) for m in IBAN.finditer(text)]
     spans += [(m.start(), m.end(), m, named) for m in NAMED.finditer(text)]
     spans += [(m.start(), m.end(), m, number) for m in NUMBERS.finditer(text)]
