@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stridecast.sources.shared import written
+
 ABSTAIN, HEALTHY, PRODROMAL, RUPTURE = -1, 0, 1, 2
 
 
@@ -82,47 +85,87 @@ def majority(voted: DataFrame, classes: int = 3) -> DataFrame:
     return voted.withColumn("label", hard_label(counts))
 
 
-def label_model(voted: DataFrame, classes: int = 3, rounds: int = 15, smoothing: float = 0.1, tolerance: float = 1e-3) -> DataFrame:
-    """voted with probs (array, null where all rules abstain) and label, by EM over rules that err independently.
+@dataclass
+class LabelModel:
+    """balance: of the classes; hit[i, v] and miss[i, v]: how often rule i votes v where the class is v and where it isn't; accuracy[i]: the share
+    of rule i's votes that are right. Rules vote independently of each other given whether the class is v."""
 
-    Rows are collapsed to distinct vote patterns with their counts, which are cached; each round is one job over the
-    patterns with the current accuracies as literals, and only a table of rules by classes reaches the driver.
-    """
-    patterns = voted.groupBy("votes").agg(F.count("*").alias("n")).filter(F.exists("votes", lambda x: x != ABSTAIN)).cache()
-    first = patterns.select(F.size("votes").alias("k")).first()
-    if first is None:
-        return voted.withColumn("probs", F.lit(None).cast("array<double>")).withColumn("label", F.lit(ABSTAIN))
-    k = first["k"]
-    prior, accuracy = [1 / classes] * classes, [0.7] * k
+    balance: list[float]
+    hit: dict[tuple[int, int], float]
+    miss: dict[tuple[int, int], float]
+    accuracy: dict[int, float]
 
-    def posterior() -> Column:
-        import math
+    def weights(self, rules: int) -> Column:
+        """An array of unnormalised class probabilities of a row's votes."""
 
         def weight(c: int) -> Column:
-            logs = F.lit(math.log(prior[c]))
-            for i in range(k):
-                own = F.get("votes", F.lit(i))
-                logs = logs + F.when(own == ABSTAIN, 0.0).when(own == c, math.log(accuracy[i])).otherwise(math.log((1 - accuracy[i]) / (classes - 1)))
+            logs = F.lit(math.log(self.balance[c]))
+            for i in range(rules):
+                said = F.get("votes", F.lit(i))
+                for v in range(len(self.balance)):
+                    if (i, v) in self.hit:
+                        logs = logs + F.when(said == v, math.log((self.hit if v == c else self.miss)[i, v])).otherwise(0.0)
             return F.exp(logs)
 
-        return F.get(F.transform(F.array(F.array(*(weight(c) for c in range(classes)))), lambda w: F.transform(w, lambda x: x / F.aggregate(w, F.lit(0.0), lambda a, y: a + y))), F.lit(0))
-
-    for _ in range(rounds):
-        scored = patterns.withColumn("p", posterior())
-        sums = [F.sum(F.col("n") * F.get("p", F.lit(c))).alias(f"c{c}") for c in range(classes)]
-        for i in range(k):
-            own = F.get("votes", F.lit(i))
-            sums += [F.sum(F.when(own != ABSTAIN, F.col("n") * F.get("p", own))).alias(f"r{i}"), F.sum(F.when(own != ABSTAIN, F.col("n"))).alias(f"v{i}")]
-        row = scored.agg(*sums).first()
-        total = sum(row[f"c{c}"] for c in range(classes))
-        prior = [(row[f"c{c}"] + smoothing) / (total + classes * smoothing) for c in range(classes)]
-        before = accuracy
-        accuracy = [min(0.999, max(0.001, ((row[f"r{i}"] or 0) + 0.7 * smoothing) / ((row[f"v{i}"] or 0) + smoothing))) for i in range(k)]
-        if max(abs(x - y) for x, y in zip(before, accuracy)) < tolerance:
-            break
-    patterns.unpersist()
-    some = F.exists("votes", lambda x: x != ABSTAIN)
-    return voted.withColumn("probs", F.when(some, posterior())).withColumn("label", F.when(some, hard_label(F.col("probs"))).otherwise(ABSTAIN))
+        return F.array(*(weight(c) for c in range(len(self.balance))))
+
+
+def fit_label_model(voted: DataFrame, classes: int = 3, balance: list[float] | None = None, accuracy: float = 0.7) -> LabelModel | None:
+    """A label model from moments, without iterations; None without a vote.
+
+    Whether rules i and j vote v has a covariance u_i u_j, as they err independently; so of three rules u_i^2 = C_ij C_ik / C_jk, and of all
+    pairs by least squares the sum of C_ij C_ik C_jk over that of C_jk^2. With the balance of the classes (unless given,
+    the shares of the majority's labels), u tells how often a rule votes v where that is right. A label that fewer than three rules
+    vote for takes votes for other labels as evidence against it; where no three rules meet, votes are right with `accuracy`.
+    Rows are counted by distinct votes once, written, and counted by pairs of votes; that table, of at most (rules * classes)^2
+    rows, and sums by class reach the driver.
+    """
+    patterns = written(voted.groupBy("votes").agg(F.count("*").alias("n")))
+    cast = F.filter(F.transform("votes", lambda x, i: F.struct(i.alias("i"), x.alias("v"))), lambda x: x["v"] != ABSTAIN)
+    pairs = patterns.select("n", F.explode(cast).alias("a"), cast.alias("b")).select("n", "a", F.explode("b").alias("b"))
+    counts = {(r.i, r.v, r.j, r.w): r.n for r in pairs.groupBy(F.col("a.i").alias("i"), F.col("a.v").alias("v"), F.col("b.i").alias("j"), F.col("b.v").alias("w")).agg(F.sum("n").alias("n")).collect()}
+    if not counts:
+        return None
+    sums = majority(patterns, classes).groupBy("label").agg(F.sum("n").alias("n")).collect()
+    total = sum(r.n for r in sums)
+    by_label = {r.label: r.n for r in sums if r.label != ABSTAIN}
+    balance = balance or [(by_label.get(c, 0) + 1) / (sum(by_label.values()) + classes) for c in range(classes)]
+    single = {(i, v): n for (i, v, j, w), n in counts.items() if (i, v) == (j, w)}
+    model = LabelModel(balance, {}, {}, {})
+    for v in range(classes):
+        # a rule's view of the label: the votes that speak for it or, where rules for it are few, against it
+        views = {i: {v} for i, w in single if w == v}
+        if len(views) < 3:
+            for i, w in single:
+                if (i, v) not in single:
+                    views.setdefault(i, set()).add(w)
+        mean = {i: sum(single[i, w] for w in ws) / total for i, ws in views.items()}
+        covariance = {(i, j): sum(counts.get((i, x, j, y), 0) for x in views[i] for y in views[j]) / total - mean[i] * mean[j] for i in views for j in views if i != j}
+        p = balance[v]
+        for i in (i for i in views if views[i] == {v} and (i, v) in single):
+            others = [j for j in views if j != i]
+            three = [(covariance[i, j] * covariance[i, k] * covariance[j, k], covariance[j, k] ** 2) for j in others for k in others if j < k]
+            top, bottom = sum(t for t, _ in three), sum(b for _, b in three)
+            u = math.sqrt(top / bottom) if top > 0 and bottom > 0 else max(0.0, accuracy - p) * mean[i] / math.sqrt(p * (1 - p))
+            hit = min(mean[i] + u * math.sqrt((1 - p) / p), 0.999, 0.999 * mean[i] / p)
+            model.hit[i, v], model.miss[i, v] = hit, (mean[i] - p * hit) / (1 - p)
+    for i in {i for i, _ in single}:
+        right = sum(balance[v] * h for (r, v), h in model.hit.items() if r == i)
+        model.accuracy[i] = right * total / sum(n for (r, v), n in single.items() if r == i)
+    return model
+
+
+def label_model(voted: DataFrame, classes: int = 3, balance: list[float] | None = None) -> DataFrame:
+    """voted with probs (array, null where all rules abstain) and label, by fit_label_model; ties abstain. Votes outside the classes
+    count as abstains."""
+    known = voted.withColumn("votes", F.transform("votes", lambda x: F.when(x.between(0, classes - 1), x).otherwise(ABSTAIN)))
+    model = fit_label_model(known, classes, balance)
+    if model is None:
+        return voted.withColumn("probs", F.lit(None).cast("array<double>")).withColumn("label", F.lit(ABSTAIN))
+    rules = 1 + max(i for i, _ in model.hit)
+    shares = F.get(F.transform(F.array(model.weights(rules)), lambda w: F.transform(w, lambda x: x / F.aggregate(w, F.lit(0.0), lambda a, y: a + y))), F.lit(0))
+    some = F.exists("votes", lambda x: x.between(0, classes - 1))
+    return voted.withColumn("probs", F.when(some, shares)).withColumn("label", F.when(some, hard_label(F.col("probs"))).otherwise(ABSTAIN))
 
 
 def fit_text_classifier(labelled: DataFrame, text: str, label: str, features: int = 1 << 14):

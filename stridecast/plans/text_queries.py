@@ -69,7 +69,23 @@ def label_report(spark, sf_dir):
     return found.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1", "accuracy", "macro_f1")})
 
 
-@query()
+_LONG = " UNION ALL ".join(f"SELECT doc_id, {i} AS i, v{i} AS v FROM v WHERE v{i} >= 0" for i in range(N))
+_MODEL = f"""WITH {VOTES}, {MAJORITY}, l AS ({_LONG}), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM v), k AS (SELECT unnest([0, 1, 2]) AS c),
+b AS (SELECT c, ((SELECT count(*) FROM j WHERE label = c) + 1) / CAST((SELECT count(*) FROM j WHERE label >= 0) + 3 AS DOUBLE) AS p FROM k),
+f AS (SELECT DISTINCT v AS c, i FROM l), few AS (SELECT c FROM k WHERE (SELECT count(*) FROM f WHERE f.c = k.c) < 3),
+y AS (SELECT doc_id, k.c, i FROM l, k WHERE v = k.c OR (k.c IN (SELECT c FROM few) AND (k.c, i) NOT IN (SELECT (c, i) FROM f))),
+mu AS (SELECT c, i, count(*) / (SELECT n FROM n) AS m FROM y GROUP BY ALL), d AS (SELECT x.c, x.i, z.i AS j, count(*) / (SELECT n FROM n) AS m FROM y x JOIN y z ON x.doc_id = z.doc_id AND x.c = z.c AND x.i <> z.i GROUP BY ALL),
+w AS (SELECT x.c, x.i, z.i AS j, coalesce(d.m, 0) - x.m * z.m AS v FROM mu x JOIN mu z ON x.c = z.c AND x.i <> z.i LEFT JOIN d ON d.c = x.c AND d.i = x.i AND d.j = z.i),
+t AS (SELECT ij.c, ij.i, sum(ij.v * ik.v * jk.v) AS top, sum(jk.v * jk.v) AS bottom FROM w ij JOIN w ik ON ij.c = ik.c AND ij.i = ik.i AND ij.j < ik.j JOIN w jk ON jk.c = ij.c AND jk.i = ij.j AND jk.j = ik.j GROUP BY ALL),
+u AS (SELECT mu.c, mu.i, mu.m, b.p, CASE WHEN top > 0 AND bottom > 0 THEN sqrt(top / bottom) ELSE greatest(0, 0.7 - b.p) * mu.m / sqrt(b.p * (1 - b.p)) END AS u FROM mu JOIN f USING (c, i) JOIN b USING (c) LEFT JOIN t USING (c, i)),
+h AS (SELECT c, i, m, p, least(m + u * sqrt((1 - p) / p), 0.999, 0.999 * m / p) AS hit FROM u),
+s AS (SELECT l.doc_id, b.c, any_value(b.p) * exp(sum(ln(CASE WHEN l.v = b.c THEN hit ELSE (m - h.p * hit) / (1 - h.p) END))) AS w FROM l JOIN h ON h.i = l.i AND h.c = l.v, b GROUP BY ALL),
+q AS (SELECT doc_id, max(w) FILTER (WHERE c = 0) / sum(w) AS p0, max(w) FILTER (WHERE c = 1) / sum(w) AS p1, max(w) FILTER (WHERE c = 2) / sum(w) AS p2 FROM s GROUP BY doc_id)
+SELECT v.doc_id, CAST(CASE WHEN p0 > p1 + 1e-9 AND p0 > p2 + 1e-9 THEN 0 WHEN p1 > p0 + 1e-9 AND p1 > p2 + 1e-9 THEN 1 WHEN p2 > p0 + 1e-9 AND p2 > p1 + 1e-9 THEN 2 ELSE -1 END AS INTEGER) AS label,
+round(p0, 4) AS prob_0, round(p1, 4) AS prob_1, round(p2, 4) AS prob_2 FROM v LEFT JOIN q USING (doc_id)"""
+
+
+@query(_MODEL)
 def label_model(spark, sf_dir):
     found = weaklabel.label_model(_voted(spark, sf_dir))
     return found.select("doc_id", "label", *(F.round(F.get("probs", F.lit(k)), 4).alias(f"prob_{k}") for k in range(3)))
