@@ -252,26 +252,27 @@ def shingle_prefixes(docs: DataFrame, words: int, similarity: float) -> DataFram
 
 
 def _close(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The links a, b but for those whose sketches rule the similarity out; few of the sets' bytes move for that."""
+    """The links a, b but for those whose sketches rule the similarity out, with the size of b's set as n; few of the sets' bytes move
+    for that."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            a, b, n, x, y = batch.columns
+            a, b, n, size, x, y = batch.columns
             allowed = n.to_numpy() * (1 - similarity) / (1 + similarity) + 1e-9
             ok = [least_difference(np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)) <= most for p, q, most in zip(x.to_pylist(), y.to_pylist(), allowed.tolist())]
-            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([a, b, size], ["a", "b", "n"]).filter(pa.array(ok, pa.bool_()))
 
     side = lambda c: sets.select(F.col("node").alias(c), F.col("size").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-    both = links.join(side("a"), "a").join(side("b"), "b").select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "sa", "sb")
-    return both.mapInArrow(run, "a long, b long").checkpoint()
+    both = links.join(side("a"), "a").join(side("b"), "b").select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "nb", "sa", "sb")
+    return both.mapInArrow(run, "a long, b long, n int").checkpoint()
 
 
 def _alike(docs: DataFrame, links: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The links a, b (in either order) whose sets of shingles have the similarity. Of rows that repeat an id the largest set_key
-    is meant. A document with very many links is sent once for each group of about GATHERED shingles of those it is linked with, and each
-    of these once a link."""
+    """The links a, b whose sets of shingles have the similarity; n is the size of b's. Of rows that repeat an id the largest set_key
+    is meant. A document a with very many links, the first of a group, is sent once for each part of about GATHERED shingles of those it is
+    linked with, and each of these once a link."""
 
     def sets(batches):
         import pyarrow as pa
@@ -285,16 +286,11 @@ def _alike(docs: DataFrame, links: DataFrame, words: int, similarity: float) ->
     texts = _with_words(docs).join(broadcast_if_small(asked), "doc_id", "left_semi")
     meant = texts.mapInArrow(sets, "doc_id long, set_key binary, shingles array<long>").groupBy("doc_id").agg(F.max(F.struct("set_key", "shingles")).alias("meant"))
     shingles = meant.select("doc_id", F.col("meant.shingles").alias("shingles")).checkpoint()
-    # of a link's ends the one with more links is the centre, whose set is sent once for each of its groups and not for each link
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-    end = lambda c: degree.select(F.col("node").alias(c), F.col("degree").alias(f"d{c}"))
-    ends = links.join(end("a"), "a").join(end("b"), "b").withColumn("swap", F.col("db") > F.col("da"))
-    ends = ends.select(F.when(F.col("swap"), F.col("b")).otherwise(F.col("a")).alias("centre"), F.when(F.col("swap"), F.col("a")).otherwise(F.col("b")).alias("leaf"))
-    ends = ends.join(shingles.select(F.col("doc_id").alias("leaf"), F.size("shingles").alias("n")), "leaf").checkpoint()
-    groups = ends.groupBy("centre").agg(F.ceil(F.sum("n") / GATHERED).cast("int").alias("parts"))
-    dealt = ends.join(groups, "centre").select("centre", F.pmod(F.xxhash64("leaf"), F.col("parts")).cast("int").alias("part"), "leaf")
-    leaves = dealt.join(shingles.withColumnRenamed("doc_id", "leaf"), "leaf").select(F.col("centre").alias("of"), F.col("part").alias("run"), "leaf", F.col("shingles").alias("theirs"))
-    centres = groups.join(shingles.withColumnRenamed("doc_id", "centre"), "centre").select("centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "shingles")
+    # a is the centre of its links, whose set is sent once for each of its groups and not for each link
+    groups = links.groupBy("a").agg(F.ceil(F.sum("n") / GATHERED).cast("int").alias("parts"))
+    dealt = links.join(groups, "a").select(F.col("a").alias("of"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("run"), F.col("b").alias("leaf"))
+    leaves = dealt.join(shingles.withColumnsRenamed({"doc_id": "leaf", "shingles": "theirs"}), "leaf")
+    centres = groups.join(shingles.withColumnRenamed("doc_id", "a"), "a").select(F.col("a").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "shingles")
 
     def check(key, centre, leaves):
         import pyarrow as pa
