@@ -134,12 +134,74 @@ def hazard_pmf(spark, sf_dir):
     return model.score(rows).select("vec_id", "t", "e", F.round(curves.horizon_risk(F.col("pmf"), 1, 12), 4).alias("risk"), F.round(curves.sum_of(curves.over_causes(F.col("pmf"))), 4).alias("any_risk"))
 
 
-@query()
+_SURVIVAL = "o AS (SELECT vec_id, CAST(vec_id * 7 % 12 AS INTEGER) AS t, CAST(label % 3 AS INTEGER) AS e, " + ", ".join(f"{' + '.join(f'CAST(embedding[{8 * i + j}] AS DOUBLE)' for j in range(1, 9))} AS x{i}" for i in range(2)) + " FROM embeddings)"
+
+
+def _fit_sql(name: str, rows: str, regularisation: float, steps: int) -> str:
+    """Newton steps of two features on the rows, each a CTE: NAMEw0, ... of weights, NAMEr0, ... of sums over risk sets, NAMEn0, ... of gradient,
+    curvature and log-likelihood."""
+    z = f"""{name}m AS (SELECT avg(x0) AS m0, stddev_pop(x0) AS d0, avg(x1) AS m1, stddev_pop(x1) AS d1, count(*) * {regularisation!r} AS reg FROM {rows}),
+{name}z AS MATERIALIZED (SELECT vec_id, least(t, 11) AS last, CASE WHEN t < 12 AND e BETWEEN 1 AND 2 THEN e ELSE 0 END AS y, (x0 - m0) / d0 AS x0, (x1 - m1) / d1 AS x1 FROM {rows}, {name}m),
+{name}d AS (SELECT y AS c, last AS b, count(*) AS k FROM {name}z WHERE y > 0 GROUP BY ALL), {name}g AS (SELECT y AS c, sum(x0) AS g0, sum(x1) AS g1 FROM {name}z WHERE y > 0 GROUP BY y),
+{name}w0 AS (SELECT c, CAST(0 AS DOUBLE) AS a0, CAST(0 AS DOUBLE) AS a1 FROM (SELECT unnest([1, 2]) AS c))"""
+    for k in range(steps):
+        z += f""",
+{name}r{k} AS MATERIALIZED (SELECT c, b, k, sum(h) AS s, sum(h * x0) AS s0, sum(h * x1) AS s1, sum(h * x0 * x0) AS s00, sum(h * x0 * x1) AS s01, sum(h * x1 * x1) AS s11
+  FROM (SELECT w.c, d.b, d.k, x0, x1, exp(a0 * x0 + a1 * x1) AS h FROM {name}w{k} w JOIN {name}d d ON d.c = w.c JOIN {name}z z ON z.last >= d.b) GROUP BY c, b, k),
+{name}n{k} AS MATERIALIZED (SELECT r.c, any_value(a0) AS a0, any_value(a1) AS a1, any_value(g0) - sum(k * s0 / s) - any_value(reg * a0) AS q0, any_value(g1) - sum(k * s1 / s) - any_value(reg * a1) AS q1,
+  sum(k * (s00 / s - s0 * s0 / s / s)) + any_value(reg) AS h00, sum(k * (s01 / s - s0 * s1 / s / s)) AS h01, sum(k * (s11 / s - s1 * s1 / s / s)) + any_value(reg) AS h11,
+  any_value(g0 * a0 + g1 * a1) - sum(k * ln(s)) - any_value(reg / 2 * (a0 * a0 + a1 * a1)) AS value FROM {name}r{k} r JOIN {name}w{k} w USING (c) JOIN {name}g USING (c), {name}m GROUP BY r.c),
+{name}w{k + 1} AS MATERIALIZED (SELECT c, a0 + (h11 * q0 - h01 * q1) / (h00 * h11 - h01 * h01) AS a0, a1 + (h00 * q1 - h01 * q0) / (h00 * h11 - h01 * h01) AS a1 FROM {name}n{k})"""
+    return z
+
+
+def _risk_sql(name: str, fit: str, steps: int, rows: str) -> str:
+    """NAMEp: vec_id, c, b, p of rows, by the fit's last evaluation."""
+    last = steps - 1
+    return f"""{name}s AS (SELECT vec_id, c, exp(a0 * (x0 - m0) / d0 + a1 * (x1 - m1) / d1) AS score FROM {rows}, {fit}m, {fit}w{last}),
+{name}h AS (SELECT vec_id, c, b, coalesce(k / r.s, 0) * score AS h FROM {name}s CROSS JOIN (SELECT unnest(generate_series(0, 11)) AS b) LEFT JOIN {fit}r{last} r USING (c, b)),
+{name}t AS (SELECT vec_id, b, sum(h) AS h, sum(sum(h)) OVER (PARTITION BY vec_id ORDER BY b) - sum(h) AS before FROM {name}h GROUP BY vec_id, b),
+{name}p AS (SELECT x.vec_id, x.c, x.b, CASE WHEN t.h > 0 THEN exp(-before) * (1 - exp(-t.h)) / t.h * x.h ELSE 0 END AS p FROM {name}h x JOIN {name}t t USING (vec_id, b))"""
+
+
+_STEPS = 6
+
+
+@query(f"WITH {_SURVIVAL}, {_fit_sql('f', 'o', 0.01, 4)} " + " UNION ALL ".join(f"SELECT {k} AS step, c AS cause, round(a0, 6) + 0.0 AS w0, round(a1, 6) + 0.0 AS w1, round((SELECT sum(value) FROM fn{k}), 4) AS value FROM fn{k}" for k in range(4)))
+def hazard_fit(spark, sf_dir):
+    """Four evaluations of a fit of two features: weights and penalised log-likelihood before and after each Newton step."""
+    model = hazard.fit_grid(a.survival_rows(spark, sf_dir), _FEATURES[:2], 12, 2, (0.01,), 4, 0.0)[0]
+    rows = [(step, c + 1, w[0], w[1], value) for step, (value, weights) in enumerate(model.steps) for c, w in enumerate(weights)]
+    found = spark.createDataFrame(rows, "step int, cause int, w0 double, w1 double, value double")
+    return found.select("step", "cause", *((F.round(w, 6) + 0.0).alias(w) for w in ("w0", "w1")), F.round("value", 4).alias("value"))
+
+
+@query(f"WITH {_SURVIVAL}, {_fit_sql('f', 'o', 0.001, _STEPS)}, {_risk_sql('q', 'f', _STEPS, 'o')} SELECT vec_id, round(sum(p) FILTER (WHERE c = 1), 5) AS risk, round(sum(p), 5) AS any_risk FROM qp GROUP BY vec_id")
+def hazard_risk(spark, sf_dir):
+    """Risks by a fit of two features."""
+    rows = a.survival_rows(spark, sf_dir)
+    model = hazard.fit_hazards(rows, _FEATURES[:2], 12, 2)
+    return model.score(rows).select("vec_id", F.round(curves.horizon_risk(F.col("pmf"), 1, 12), 5).alias("risk"), F.round(curves.sum_of(curves.over_causes(F.col("pmf"))), 5).alias("any_risk"))
+
+
+_GRID = [1e-3, 1.0]
+_SPLIT = {k: f"{k} AS (SELECT * FROM o WHERE vec_id // 12 % 4 {c})" for k, c in (("tr", "> 1"), ("va", "= 1"), ("te", "= 0"))}
+
+
+def _index_sql(name: str, risk: str, rows: str) -> str:
+    return f"""{name}u AS (SELECT o.vec_id, o.t, o.e, round(sum(p), 12) AS risk FROM {risk}p p JOIN {rows} o USING (vec_id) WHERE c = 1 AND b <= least((SELECT max(t) FROM {rows}), 11) GROUP BY ALL),
+{name}c AS (SELECT coalesce(avg(CASE WHEN i.risk > j.risk THEN 1.0 WHEN i.risk = j.risk THEN 0.5 ELSE 0 END), 0.5) AS c_index FROM {name}u i JOIN {name}u j ON i.e = 1 AND j.t > i.t)"""
+
+
+@query(f"""WITH {_SURVIVAL}, {", ".join(_SPLIT.values())}, {", ".join(f"{_fit_sql(f'f{i}x', 'tr', g, _STEPS)}, {_risk_sql(f'q{i}x', f'f{i}x', _STEPS, 'va')}, {_index_sql(f'v{i}x', f'q{i}x', 'va')}, {_risk_sql(f't{i}x', f'f{i}x', _STEPS, 'te')}, {_index_sql(f'z{i}x', f't{i}x', 'te')}" for i, g in enumerate(_GRID))},
+b AS (SELECT v0xc.c_index AS v0, v1xc.c_index AS v1 FROM v0xc, v1xc)
+SELECT CAST(CASE WHEN v0 >= v1 THEN {_GRID[0]!r} ELSE {_GRID[1]!r} END AS DOUBLE) AS regularisation, round(v0, 6) AS val_0, round(v1, 6) AS val_1, round(CASE WHEN v0 >= v1 THEN (SELECT c_index FROM z0xc) ELSE (SELECT c_index FROM z1xc) END, 6) AS test_c_index FROM b""")
 def sweep(spark, sf_dir):
-    rows = a.survival_rows(spark, sf_dir).withColumn("split", F.pmod(F.xxhash64("vec_id"), F.lit(4)))
-    best, tried, model = hazard.sweep(rows.filter("split > 1"), rows.filter("split = 1"), _FEATURES, [1e-3, 1e-1], 12)
+    """Two points of a grid, fitted together on half of the rows, chosen on a quarter and tested on the last one."""
+    rows = a.survival_rows(spark, sf_dir).withColumn("split", F.floor(F.col("vec_id") / 12) % 4)
+    best, tried, model = hazard.sweep(rows.filter("split > 1"), rows.filter("split = 1"), _FEATURES[:2], _GRID, 12)
     test = metrics.concordance(model.score(rows.filter("split = 0")))
-    return test.select(F.lit(best).alias("regularisation"), *(F.lit(t["c_index"]).alias(f"val_{i}") for i, t in enumerate(tried)), F.col("c_index").alias("test_c_index"))
+    return test.select(F.lit(best).alias("regularisation"), *(F.lit(round(t["c_index"], 6)).alias(f"val_{i}") for i, t in enumerate(tried)), F.round("c_index", 6).alias("test_c_index"))
 
 
 def _background(rows):

@@ -306,11 +306,30 @@ def stratified(spark, sf_dir):
     return prep.stratified_holdout(a.table(spark, sf_dir, "embeddings"), "vec_id", "label").select("vec_id", "label", "holdout")
 
 
-@query()
+def _components_sql(k: int = 8, squarings: int = 18) -> str:
+    """Principal components one by one: the Gram matrix squared again and again leaves its first direction, which is taken off for the next."""
+    parts = ["""x AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)""",
+             "z AS MATERIALIZED (SELECT vec_id, i, coalesce((x - m) / s, 0) AS x FROM x JOIN (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM x GROUP BY i) USING (i))",
+             "g0 AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.x * b.x) AS v FROM z a JOIN z b USING (vec_id) GROUP BY ALL)"]
+    for c in range(k):
+        before = f"g{c}"
+        for n in range(squarings):
+            parts.append(f"s{c}_{n} AS MATERIALIZED (SELECT i, j, v / (SELECT max(abs(v)) FROM {before}) AS v FROM {before})")
+            before = f"p{c}_{n}"
+            parts.append(f"{before} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM s{c}_{n} a JOIN s{c}_{n} b ON a.j = b.i GROUP BY ALL)")
+        parts.append(f"u{c} AS (SELECT i, v FROM {before} WHERE j = (SELECT arg_max(i, v) FROM {before} WHERE i = j))")
+        parts.append(f"v{c} AS MATERIALIZED (SELECT i, v / (SELECT sqrt(sum(v * v)) * sign(arg_max(v, abs(v))) FROM u{c}) AS v FROM u{c})")
+        parts.append(f"l{c} AS MATERIALIZED (SELECT sum(a.v * g.v * b.v) AS l FROM g{c} g JOIN v{c} a ON a.i = g.i JOIN v{c} b ON b.i = g.j)")
+        parts.append(f"g{c + 1} AS MATERIALIZED (SELECT g.i, g.j, g.v - l * a.v * b.v AS v FROM g{c} g JOIN v{c} a ON a.i = g.i JOIN v{c} b ON b.i = g.j, l{c})")
+    shares = ", ".join(f"round(sum(x * v{c}.v), 5) + 0.0 AS ps_dim_{c}" for c in range(k))
+    return f"WITH {', '.join(parts)} SELECT vec_id, {shares} FROM z " + " ".join(f"JOIN v{c} ON v{c}.i = z.i" for c in range(k)) + " GROUP BY vec_id"
+
+
+@query(_components_sql())
 def pca(spark, sf_dir):
     rows = a.table(spark, sf_dir, "embeddings").select("vec_id", *(F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(64)))
     out, _ = prep.principal_components(rows, [f"f{i}" for i in range(64)])
-    return out.select("vec_id", *(F.round(f"ps_dim_{i}", 6).alias(f"ps_dim_{i}") for i in range(8)))
+    return out.select("vec_id", *((F.round(f"ps_dim_{i}", 5) + 0.0).alias(f"ps_dim_{i}") for i in range(8)))
 
 
 @query("""WITH x AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), s AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM x GROUP BY i)
