@@ -144,19 +144,44 @@ def some(c: Column) -> Column:
     return F.when(c != "", c)
 
 
-# What a bio page and a draft line look like. The content of the div of id meta, with divs in divs.
-_TEXT = r"(?:[^<]++|<(?!/?div\b))"
-META = rf'(?is)<div\b[^>]*\bid="meta"[^>]*>((?:{_TEXT}|<div\b(?:{_TEXT}|<div\b{_TEXT}*</div>)*</div>)*)'
+# What a bio page and a draft line look like.
+META = r'(?is)<div\b[^>]*\bid="meta"[^>]*>'
 SIZE = r"(\d+)-(\d+),\s*(\d+)lb"
 PICK = r"(\d{4}).*?(\d+)(?:st|nd|rd|th) pick"
 
 
+def inner_html(html: Column, opening: str, tag: str = "div") -> Column:
+    """What stands between the first tag that matches and the one that closes it, tags of its kind in between included; up to the end
+    where none closes it, empty where none matches. The page is cut at tags of the kind, and a fold over the parts counts how
+    many are open, so depth and length don't matter."""
+    rest = F.get(F.split(html, opening, 2), F.lit(1))
+    parts = F.split(rest, rf"(?i)(?=<{tag}\b|</{tag}\s*>)")
+    start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("taken"))
+    closes = lambda part: F.rlike(part, F.lit(rf"^(?i)</{tag}\s*>"))
+    opens = lambda part: F.rlike(part, F.lit(rf"^(?i)<{tag}\b"))
+
+    def step(state: Column, part: Column) -> Column:
+        now = state["open"] + F.when(closes(part), -1).when(opens(part), 1).otherwise(0)
+        # once closed it stays so
+        return F.when(state["open"] < 0, state).otherwise(F.struct(now.alias("open"), (state["taken"] + F.when(now < 0, 0).otherwise(1)).alias("taken")))
+
+    counted = F.transform(F.array(parts), lambda p: F.array_join(F.slice(p, F.lit(1), F.aggregate(p, start, step, lambda state: state["taken"])), ""))
+    return F.coalesce(F.get(counted, F.lit(0)), F.lit(""))
+
+
+def paragraph_with(html: Column, word: str) -> Column:
+    """The inside of the first <p> that holds the word, else empty."""
+    parts = F.transform(F.slice(F.split(html, r"<p\b[^>]*>"), 2, 1 << 30), lambda x: F.substring_index(x, "</p>", 1))
+    return F.coalesce(F.get(F.filter(parts, lambda x: F.contains(x, F.lit(word))), F.lit(0)), F.lit(""))
+
+
 def entity_bio(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """player_url, height_inches, weight_lbs, birth_date, position, college, draft_year, draft_pick by patterns of a page."""
-    h = F.regexp_extract(html, META, 1)
+    pages = pages.withColumn("_meta", inner_html(F.col(html), META))
+    h = F.col("_meta")
     t = text_of(h)
     feet, inches, lbs = (F.regexp_extract(t, SIZE, k).try_cast("int") for k in (1, 2, 3))
-    paragraph = lambda word: F.regexp_extract(h, rf"(?s)<p[^>]*>((?:(?!</p>).)*?{word}(?:(?!</p>).)*)", 1)
+    paragraph = lambda word: paragraph_with(h, word)
     place = F.trim(F.get(F.split(F.regexp_replace(text_of(paragraph("Position:")), "Position:", ""), "▪"), F.lit(0)))
     draft = text_of(paragraph("Draft:"))
     return pages.select(
