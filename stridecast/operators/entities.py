@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stridecast.sources.shared import written
+
 
 def first_values(rows: DataFrame, key: str, order: Column) -> DataFrame:
     """The first non-null value of each column of an entity, column by column; order must not tie."""
@@ -64,23 +66,41 @@ def containing(inner: DataFrame, outer: DataFrame, n: int = 3, by: list[str] = [
     return found.unionByName(short.join(outer.withColumn("_gram", F.explode(parts)), [*by, "_gram"]).drop("_gram"))
 
 
+#: Directory names up to so many characters are posted under all their parts of the lengths asked; longer ones are looked up by containing().
+LONGEST = 64
+
+
+def parts_of(c: str, lengths: list[int]) -> Column:
+    """The distinct parts of a text that have one of the lengths."""
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.flatten(F.array(*(F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i, n=n: F.substring(c, i, F.lit(n)))).otherwise(none) for n in lengths))))
+
+
 def resolve_names(names: DataFrame, directory: DataFrame, name: str, key: str, full_name: str, rank: str) -> DataFrame:
     """name, key, tier of each distinct name: 1 equal when lower-cased; 2 one contains the other, the first by rank;
     3 the only entry with the last name in it and the same first letter; else null and 0.
 
-    The first tier is an equi-join. The later tiers take only the names left over, and look up containment by the rarest three
-    characters (see containing): of the name or the entry for the second, of the last name with the first letter for the third.
+    The first tier is an equi-join. The later tiers take only the names left over. Entries are posted under their parts of the lengths that
+    are asked for, each with how many entries have it and the first by rank; so a name meets one row, however common it is,
+    and no pair of names is made. An entry within a name is looked up by its rarest three characters (see containing), and so are
+    names within entries of more than LONGEST characters. Names, entries and names left over are written once.
     """
-    asked = names.select(F.col(name)).filter(F.col(name).isNotNull()).distinct().withColumn("_k", name_key(F.col(name)))
+    asked = written(names.select(F.col(name)).filter(F.col(name).isNotNull()).distinct().withColumn("_k", name_key(F.col(name))))
     known = directory.filter(F.col(full_name).isNotNull()).select(F.col(key), F.col(rank).alias("_rank"), name_key(F.col(full_name)).alias("_full"))
-    full = known.filter(F.col("_full") != "").select("_full", F.struct("_rank", key).alias("_hit"))
-    exact = asked.join(full, F.col("_k") == F.col("_full")).select(name, F.lit(1).alias("_tier"), "_hit")
-    rest = asked.filter(F.col("_k") != "").join(full.select(F.col("_full").alias("_k")).distinct(), "_k", "left_anti")
-    asking, listed = rest.select(name, F.col("_k").alias("_in")), full.withColumnRenamed("_full", "_out")
-    within = containing(asking, listed).select(name, F.lit(2).alias("_tier"), "_hit")
-    around = containing(listed.withColumnRenamed("_out", "_in"), asking.withColumnRenamed("_in", "_out")).select(name, F.lit(2).alias("_tier"), "_hit")
-    last = rest.select(name, F.element_at(F.split("_k", r"\s+"), -1).alias("_in"), F.substring("_k", 1, 1).alias("_first"))
-    alike = containing(last, listed.withColumn("_first", F.substring("_out", 1, 1)), by=["_first"])
-    alone = alike.groupBy(name).agg(F.count("*").alias("_n"), F.min("_hit").alias("_hit")).filter("_n = 1").select(name, F.lit(3).alias("_tier"), "_hit")
-    best = exact.union(within).union(around).union(alone).groupBy(name).agg(F.min(F.struct("_tier", "_hit")).alias("_best"))
-    return asked.join(best, name, "left").select(name, F.col("_best._hit")[key].alias(key), F.coalesce(F.col("_best._tier"), F.lit(0)).alias("tier"))
+    full = written(known.filter(F.col("_full") != "").select(F.col("_full").alias("_out"), F.struct("_rank", key).alias("_hit"), F.substring("_full", 1, 1).alias("_first")))
+    exact = asked.join(full.groupBy(F.col("_out").alias("_k")).agg(F.min("_hit").alias("_hit")), "_k", "left").withColumn("_tier", F.when(F.col("_hit").isNotNull(), 1))
+    exact = written(exact.select(name, "_k", "_tier", "_hit"))
+    rest = exact.filter("_tier is null and _k != ''").select(name, "_k", F.element_at(F.split("_k", r"\s+"), -1).alias("_last"), F.substring("_k", 1, 1).alias("_first"))
+    lengths = sorted(r.n for r in rest.select(F.explode(F.array(F.length("_k"), F.length("_last"))).alias("n")).filter(F.col("n").between(1, LONGEST)).distinct().collect())
+    listed = full.filter(F.length("_out") <= LONGEST).select("_hit", "_first", F.explode(parts_of("_out", lengths)).alias("_part")) if lengths else full.limit(0).withColumn("_part", F.lit(""))
+    posted = listed.groupBy("_part", "_first").agg(F.count("*").alias("_n"), F.min("_hit").alias("_hit"))
+    within = rest.join(posted.groupBy("_part").agg(F.min("_hit").alias("_hit")), F.col("_k") == F.col("_part")).select(name, F.lit(2).alias("_tier"), "_hit")
+    alike = rest.join(posted.withColumnRenamed("_first", "_letter"), (F.col("_last") == F.col("_part")) & (F.col("_first") == F.col("_letter"))).select(name, "_n", "_hit")
+    longer = full.filter(F.length("_out") > LONGEST)
+    if not longer.isEmpty():
+        within = within.union(containing(rest.select(name, F.col("_k").alias("_in")), longer.select("_out", "_hit")).select(name, F.lit(2), "_hit"))
+        alike = alike.union(containing(rest.select(name, F.col("_last").alias("_in"), "_first"), longer, by=["_first"]).select(name, F.lit(1).cast("long"), "_hit"))
+    around = containing(full.select(F.col("_out").alias("_in"), "_hit"), rest.select(name, F.col("_k").alias("_out"))).select(name, F.lit(2).alias("_tier"), "_hit")
+    alone = alike.groupBy(name).agg(F.sum("_n").alias("_n"), F.min("_hit").alias("_hit")).filter("_n = 1").select(name, F.lit(3).alias("_tier"), "_hit")
+    best = exact.filter("_tier = 1").select(name, "_tier", "_hit").union(within).union(around).union(alone).groupBy(name).agg(F.min(F.struct("_tier", "_hit")).alias("_best"))
+    return asked.select(name).join(best, name, "left").select(name, F.col("_best._hit")[key].alias(key), F.coalesce(F.col("_best._tier"), F.lit(0)).alias("tier"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stridecast.plans import adapters as a
 from stridecast.plans.registry import query
-from stridecast.sources.shared import shared_folder
+from stridecast.sources.shared import shared_folder, written
 from stridecast.sources import pages as pg
 from stridecast.sources import tables as src
 
@@ -165,6 +165,20 @@ def csv_files(spark, sf_dir):
     return src.read_csv(spark, path, "o_orderkey long, o_orderstatus string, day date, o_totalprice double, note string", ["day"]).withColumn("note", F.coalesce("note", F.lit("")))
 
 
+@query("SELECT page_id, sha256(html || CASE WHEN page_id % 5 = 0 THEN '<p>new</p>' ELSE '' END || chr(10)) AS sha256 FROM pages WHERE html IS NOT NULL AND (page_id % 5 = 0 OR page_id % 7 = 0)")
+def page_scan(spark, sf_dir):
+    """Pages written as files and scanned; then a fifth of them is changed, some that were missing are added, and only those are read."""
+    path = scratch(spark, "pages")
+    pages = a.table(spark, sf_dir, "pages").filter("html is not null").select("page_id", "html")
+    save = lambda rows, mode: rows.repartition(8, "page_id").write.partitionBy("page_id").option("partitionOverwriteMode", "dynamic").mode(mode).text(path)
+    key = r"page_id=([^/]+)/[^/]+$"
+    save(pages.filter("page_id % 7 > 0"), "error")
+    seen = written(src.scan_pages(spark, path, key).select("key", "modified", "sha256"))
+    save(pages.filter("page_id % 5 = 0 or page_id % 7 = 0").withColumn("html", F.concat("html", F.when(F.col("page_id") % 5 == 0, "<p>new</p>").otherwise(""))), "overwrite")
+    found = src.changed_pages(spark, path, seen, key)
+    return found.select(F.col("key").cast("long").alias("page_id"), F.sha2(F.col("html").cast("binary"), 256).alias("sha256"))
+
+
 @query("SELECT event_id, CAST(ts AS DATE) AS day, event_type FROM events", dates=("day",))
 def json_files(spark, sf_dir):
     """Events written as JSON records with ISO dates, and read again."""

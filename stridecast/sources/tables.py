@@ -54,10 +54,52 @@ def flatten_frames(rows: DataFrame, column: str, record: str = "map<string,strin
     return frames.select(*others, "frame", F.posexplode("_records").alias("position", "record"))
 
 
+def page_files(spark: SparkSession, path: str, key: str = r"([^/]+?)(?:\.\w+)?$") -> DataFrame:
+    """key (from the file's path, its name unless another pattern is given), modified, length and content of each file under the path.
+    Spark lists the files; contents are read only where they are used, and filters of modified and length before that."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.regexp_extract("path", key, 1).alias("key"), F.col("modificationTime").alias("modified"), "length", "content")
+
+
+def decoded(content: Column) -> Column:
+    """The text of a page's bytes, by the charset that its first kilobyte names: UTF-8 unless that is a Latin one; bytes that don't fit
+    are replaced."""
+    head = F.decode(F.substring(content, 1, 1024), "ISO-8859-1")
+    latin = F.rlike(head, F.lit(r"(?i)charset=[\"']?\s*(iso-8859-1|latin-?1|windows-1252|us-ascii)\b"))
+    return F.when(latin, F.decode(content, "ISO-8859-1")).otherwise(F.make_valid_utf8(content.cast("string")))
+
+
+def scan_pages(spark: SparkSession, path: str, key: str = r"([^/]+?)(?:\.\w+)?$") -> DataFrame:
+    """key, html, modified, sha256 (of the bytes): one row a cached file."""
+    return page_files(spark, path, key).select("key", decoded(F.col("content")).alias("html"), "modified", F.sha2("content", 256).alias("sha256"))
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """key (the file's name, the md5 of its address), html: one row a cached file."""
-    pages = spark.read.text(path, wholetext=True).withColumnRenamed("value", "html")
-    return pages.select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.\w+)?$", 1).alias("key"), "html")
+    return scan_pages(spark, path).select("key", "html")
+
+
+def changed_pages(spark: SparkSession, path: str, seen: DataFrame, key: str = r"([^/]+?)(?:\.\w+)?$") -> DataFrame:
+    """scan_pages of the files that are new, or changed, since the run whose key, modified and sha256 are in seen.
+
+    Contents are read of the files not older than the last one seen, a filter that the file source applies; files that came late, with an
+    older time but an unknown key, are found from the listing alone, and read within their range of times. A file that was
+    written again with the same bytes isn't changed.
+    """
+    last = seen.agg(F.max("modified").alias("m")).first()["m"]
+    if last is None:
+        return scan_pages(spark, path, key)
+    known = seen.select(F.col("key").alias("_key"), F.col("sha256").alias("_sha"))
+    listed = page_files(spark, path, key)
+    late = listed.filter(F.col("modified") < F.lit(last)).select("key", "modified").join(known, F.col("key") == F.col("_key"), "left_anti")
+    span = late.agg(F.min("modified").alias("a"), F.max("modified").alias("b")).first()
+    fresh = listed.filter(F.col("modified") >= F.lit(last))
+    if span["a"] is not None:
+        older = listed.filter((F.col("modified") >= F.lit(span["a"])) & (F.col("modified") <= F.lit(span["b"])) & (F.col("modified") < F.lit(last)))
+        fresh = fresh.union(older.join(known, F.col("key") == F.col("_key"), "left_anti"))
+    rows = fresh.withColumn("sha256", F.sha2("content", 256))
+    rows = rows.join(known, (F.col("key") == F.col("_key")) & (F.col("sha256") == F.col("_sha")), "left_anti")
+    return rows.select("key", decoded(F.col("content")).alias("html"), "modified", "sha256")
 
 
 def page_key(url: Column) -> Column:
