@@ -73,7 +73,7 @@ LONGEST = 64
 def parts_of(c: str, lengths: list[int]) -> Column:
     """The distinct parts of a text that have one of the lengths."""
     none = F.array().cast("array<string>")
-    return F.array_distinct(F.flatten(F.array(*(F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i, n=n: F.substring(c, i, F.lit(n)))).otherwise(none) for n in lengths))))
+    return F.array_distinct(F.flatten(F.array(*(F.when(F.length(c) >= n, _grams(F.col(c), n)).otherwise(none) for n in lengths))))
 
 
 def resolve_names(names: DataFrame, directory: DataFrame, name: str, key: str, full_name: str, rank: str) -> DataFrame:
