@@ -4,10 +4,46 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stridecast.sources.shared import written
+
+
+def _orders(features: int, pairs: int, n: int, rng: random.Random, first: int = 0) -> list[tuple[int, int, int, list[int]]]:
+    """(pair, way, background row, permutation): each drawn permutation and its reverse, background rows in turn."""
+    out = []
+    for p in range(first, first + pairs):
+        order = list(range(features))
+        rng.shuffle(order)
+        out += [(p, 0, p % n, order), (p, 1, p % n, order[::-1])]
+    return out
+
+
+def _contributions(rows: DataFrame, background: DataFrame, key: str, features: list[str], score: Callable[[DataFrame], DataFrame], orders: list) -> DataFrame:
+    """key, pair, i, v: what feature i adds to the score, or takes from it, along the permutations; to be summed by pair and feature."""
+    plan = rows.sparkSession.createDataFrame(orders, "pair int, way int, b int, perm array<int>")
+    numbered = background.select(F.struct(*(F.col(f).cast("double").alias(f) for f in features)).alias("_back"), F.row_number().over(_order(features)).alias("_b"))
+    drawn = F.broadcast(plan.join(numbered, F.col("b") == F.col("_b") - 1).select("pair", "perm", "_back"))
+    own = rows.select(key, F.struct(*(F.col(f).cast("double").alias(f) for f in features)).alias("_own"))
+    steps = own.crossJoin(drawn).select(key, "pair", "perm", "_own", "_back", F.explode(F.sequence(F.lit(0), F.lit(len(features)))).alias("step"))
+    taken = lambda i: F.array_contains(F.slice("perm", F.lit(1), F.col("step")), F.lit(i))
+    mixed = steps.select(key, "pair", "perm", "step", *(F.when(taken(i), F.col("_own")[f]).otherwise(F.col("_back")[f]).alias(f) for i, f in enumerate(features)))
+    scored = score(mixed).select(key, "pair", "perm", "step", "score")
+    # the difference of neighbouring steps, without a self-join: each score adds to one feature and takes from the next
+    adds = F.struct(F.get("perm", F.col("step") - 1).alias("i"), F.col("score").alias("v"))
+    takes = F.struct(F.get("perm", F.col("step")).alias("i"), (-F.col("score")).alias("v"))
+    return scored.select(key, "pair", F.inline(F.array(adds, takes))).filter(F.col("i").isNotNull())
+
+
+def _rows_of(background: DataFrame, most: int) -> int:
+    n = background.limit(most + 1).count()
+    if not 0 < n <= most:
+        raise ValueError(f"the background must have 1 to {most} rows")
+    return n
+
 
 def shapley(rows: DataFrame, background: DataFrame, key: str, features: list[str], score: Callable[[DataFrame], DataFrame], samples: int = 16, seed: int = 42, most_background: int = 1000) -> DataFrame:
     """key, feature, phi: the mean over sampled permutations and background rows of what a feature adds to the score.
@@ -18,32 +54,48 @@ def shapley(rows: DataFrame, background: DataFrame, key: str, features: list[str
     permutations and its reverse: samples is raised to a multiple of twice their number, so that the differences add up to
     score(row) - mean score(background). Work is rows x samples x (features + 1), scored in one job.
     """
-    n = background.limit(most_background + 1).count()
-    if not 0 < n <= most_background:
-        raise ValueError(f"the background must have 1 to {most_background} rows")
-    rng, samples = random.Random(seed), 2 * n * -(-samples // (2 * n))
-    orders = []
-    for s in range(0, samples, 2):
-        order = list(range(len(features)))
-        rng.shuffle(order)
-        orders += [(s, s // 2 % n, order), (s + 1, s // 2 % n, order[::-1])]
-    plan = rows.sparkSession.createDataFrame(orders, "s int, b long, perm array<int>")
-    numbered = background.select(F.struct(*(F.col(f).cast("double").alias(f) for f in features)).alias("_back"), F.row_number().over(_order(features)).alias("_b"))
-    drawn = F.broadcast(plan.join(numbered, F.col("b") == F.col("_b") - 1).select("s", "perm", "_back"))
-    own = rows.select(key, F.struct(*(F.col(f).cast("double").alias(f) for f in features)).alias("_own"))
-    steps = own.crossJoin(drawn).select(key, "s", "perm", "_own", "_back", F.explode(F.sequence(F.lit(0), F.lit(len(features)))).alias("step"))
-    taken = lambda i: F.array_contains(F.slice("perm", F.lit(1), F.col("step")), F.lit(i))
-    mixed = steps.select(key, "s", "perm", "step", *(F.when(taken(i), F.col("_own")[f]).otherwise(F.col("_back")[f]).alias(f) for i, f in enumerate(features)))
-    scored = score(mixed).select(key, "s", "perm", "step", "score")
-    # the difference of neighbouring steps, without a self-join: each score adds to one feature and takes from the next
-    adds = F.struct(F.get("perm", F.col("step") - 1).alias("i"), F.col("score").alias("v"))
-    takes = F.struct(F.get("perm", F.col("step")).alias("i"), (-F.col("score")).alias("v"))
-    parts = scored.select(key, F.inline(F.array(adds, takes))).filter(F.col("i").isNotNull())
-    summed = parts.groupBy(key, "i").agg((F.sum("v") / samples).alias("phi"))
+    n = _rows_of(background, most_background)
+    pairs = n * -(-samples // (2 * n))
+    parts = _contributions(rows, background, key, features, score, _orders(len(features), pairs, n, random.Random(seed)))
+    summed = parts.groupBy(key, "i").agg((F.sum("v") / (2 * pairs)).alias("phi"))
     return summed.select(key, F.get(F.array(*(F.lit(f) for f in features)), F.col("i")).alias("feature"), "phi")
 
 
-def _order(features: list[str]):
-    from pyspark.sql import Window
+def bounded_shapley(rows: DataFrame, background: DataFrame, key: str, features: list[str], score: Callable[[DataFrame], DataFrame], tolerance: float, rounds: int = 6, z: float = 1.959963984540054, seed: int = 42, most_background: int = 1000) -> DataFrame:
+    """key, feature, phi, error, n_pairs: shapley by sequential sampling. error is the half-width of the normal interval (z) of phi.
+
+    A round draws a permutation and its reverse for each background row, as many in the first round, twice as many in each later one. A
+    pair's mean is one sample of a feature, of which number, sum and sum of squares are kept by row and feature. A row leaves
+    once the errors of all its features are within the tolerance, so later rounds score only the rows that need them; what is
+    left after the last round keeps the error it has. Keys are unique. Each round's sums are written, so a lost executor
+    costs a round at most.
+    """
+    n = _rows_of(background, most_background)
+    rng, drawn, left, done = random.Random(seed), 0, rows, []
+    state = None
+    for turn in range(rounds):
+        pairs = n << turn
+        parts = _contributions(left, background, key, features, score, _orders(len(features), pairs, n, rng, drawn))
+        drawn += pairs
+        each = parts.groupBy(key, "i", "pair").agg((F.sum("v") / 2).alias("v"))
+        sums = each.groupBy(key, "i").agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("ss"))
+        if state is not None:
+            sums = sums.union(state).groupBy(key, "i").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
+        spread = F.greatest(F.col("ss") - F.col("s") * F.col("s") / F.col("n"), F.lit(0.0)) / F.greatest(F.col("n") - 1, F.lit(1))
+        error = F.when(F.col("n") > 1, z * F.sqrt(spread / F.col("n")))
+        sums = sums.withColumn("error", error)
+        widest = F.max(F.coalesce("error", F.lit(float("inf")))).over(Window.partitionBy(key))
+        sums = written(sums.withColumn("_stays", widest > tolerance))
+        last = turn == rounds - 1
+        done.append(sums if last else sums.filter("not _stays"))
+        if last or not (going := sums.filter("_stays")).take(1):
+            break
+        state = going.select(key, "i", "n", "s", "ss")
+        named = going.select(F.col(key).alias("_key")).distinct()
+        left = written(rows.select(key, *features).join(named, F.col(key) == F.col("_key"), "left_semi"))
+    out = reduce(DataFrame.union, done)
+    return out.select(key, F.get(F.array(*(F.lit(f) for f in features)), F.col("i")).alias("feature"), (F.col("s") / F.col("n")).alias("phi"), "error", F.col("n").alias("n_pairs"))
+
 
+def _order(features: list[str]):
     return Window.orderBy(*features)
