@@ -287,8 +287,10 @@ def _alike(docs: DataFrame, links: DataFrame, words: int, similarity: float) ->
     meant = texts.mapInArrow(sets, "doc_id long, set_key binary, shingles array<long>").groupBy("doc_id").agg(F.max(F.struct("set_key", "shingles")).alias("meant"))
     shingles = meant.select("doc_id", F.col("meant.shingles").alias("shingles")).checkpoint()
     # a is the centre of its links, whose set is sent once for each of its groups and not for each link
-    groups = links.groupBy("a").agg(F.ceil(F.sum("n") / GATHERED).cast("int").alias("parts"))
-    dealt = links.join(groups, "a").select(F.col("a").alias("of"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("run"), F.col("b").alias("leaf"))
+    groups = links.groupBy("a").agg(F.ceil(F.sum("n") / GATHERED).cast("int").alias("parts")).checkpoint()
+    # only centres of several parts, which are few, need a join
+    large = broadcast_if_small(groups.filter("parts > 1"))
+    dealt = links.join(large, "a", "left").select(F.col("a").alias("of"), F.when(F.col("parts") > 1, F.pmod(F.xxhash64("b"), F.col("parts"))).otherwise(0).cast("int").alias("run"), F.col("b").alias("leaf"))
     leaves = dealt.join(shingles.withColumnsRenamed({"doc_id": "leaf", "shingles": "theirs"}), "leaf")
     centres = groups.join(shingles.withColumnRenamed("doc_id", "a"), "a").select(F.col("a").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "shingles")
 
