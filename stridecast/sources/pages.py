@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from stridecast.functions.scalars import first_date, on_topic, severity_by_keyword
 from stridecast.operators.scan import carry_forward
@@ -15,80 +14,97 @@ CELL = "struct<name:string,text:string,href:string,header:boolean>"
 ROW = f"struct<part:string,classes:string,cells:array<{CELL}>>"
 
 
-class _Tables(HTMLParser):
-    """All tables of a page, outermost first, as (id, classes, rows of cells). One small pass a page."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.tables: list[dict] = []
-        self.open: list[dict] = []
-        self.part, self.row, self.cell = "tbody", None, None
-
-    def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
-        if tag == "table":
-            self.open.append({"id": a.get("id") or "", "classes": a.get("class") or "", "rows": []})
-            self.tables.append(self.open[-1])
-            self.part, self.row, self.cell = "tbody", None, None
-        elif not self.open:
-            return
-        elif tag in ("thead", "tbody", "tfoot"):
-            self.part = tag
-        elif tag == "tr":
-            self.row = {"part": self.part, "classes": a.get("class") or "", "cells": []}
-            self.open[-1]["rows"].append(self.row)
-        elif tag in ("td", "th") and self.row is not None:
-            self.cell = {"name": a.get("data-stat") or "", "text": "", "href": None, "header": tag == "th"}
-            self.row["cells"].append(self.cell)
-        elif tag == "a" and self.cell is not None and self.cell["href"] is None:
-            self.cell["href"] = a.get("href")
-
-    def handle_endtag(self, tag):
-        if tag == "table" and self.open:
-            self.open.pop()
-            self.row = self.cell = None
-        elif tag in ("td", "th"):
-            self.cell = None
-        elif tag in ("thead", "tfoot"):
-            self.part = "tbody"
-
-    def handle_data(self, data):
-        if self.cell is not None:
-            self.cell["text"] += data
+def let(value: Column, f) -> Column:
+    """f(value), value being made once; expressions within lambdas are made again wherever they stand."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def unescaped(text: Column) -> Column:
+    """Character references in: numbers, and the names of HTML 4; others stay."""
+    named = F.create_map(*(F.lit(x) for n, c in (*name2codepoint.items(), ("apos", 39)) for x in (n, chr(c))))
+
+    def character(ref: Column) -> Column:
+        code = F.when(F.rlike(ref, F.lit("^#[xX]")), F.conv(F.substring(ref, 3, 8), 16, 10).cast("int")).otherwise(F.substring(ref, 2, 8).try_cast("int"))
+        number = let(code, lambda n: F.when(n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("\ufffd"))
+        return F.when(F.startswith(ref, F.lit("#")), number).otherwise(F.try_element_at(named, ref))
+
+    def piece(x: Column, i: Column) -> Column:
+        def joined(ref: Column) -> Column:
+            return let(character(ref), lambda c: F.when(c.isNull(), F.concat(F.lit("&"), x)).otherwise(F.concat(c, F.substr(x, F.length(ref) + 2))))
+
+        return F.when(i == 0, x).otherwise(let(F.regexp_extract(x, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});", 1), joined))
+
+    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), F.array_join(F.transform(F.split(t, "&"), piece), "")).otherwise(t))
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute in a tag, quoted or not, the last one where it is repeated; null where it isn't there."""
+    each = F.regexp_extract_all(tag, F.lit(r"""[^\s=>"'/<]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+)"""), F.lit(0))
+    found = F.filter(each, lambda x: F.rlike(x, F.lit(rf"^(?i){name}\s*=")))
+    return unescaped(F.regexp_replace(F.try_element_at(found, F.lit(-1)), r"""^[^=]*=\s*["']?|["']$""", ""))
+
+
+#: A tag's attributes; a > within quotes doesn't end it.
+_ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+
+
+def _before(c: str) -> str:
+    return rf"(?i)(?={c})"
+
+
+def _table_cells(row: Column) -> Column:
+    def content(tag: Column, inside: Column) -> Column:
+        href = _attribute(F.regexp_extract(inside, rf"(?i)<a(?=\s){_ATTRIBUTES}>", 0), "href")
+        text = F.trim(F.regexp_replace(unescaped(F.regexp_replace(inside, rf"<[/!?a-zA-Z]{_ATTRIBUTES}>", "")), r"(?U)[\s\x1c-\x1f]+", " "))
+        return F.struct(F.coalesce(_attribute(tag, "data-stat"), F.lit("")).alias("name"), text.alias("text"), href.alias("href"), F.rlike(tag, F.lit("^(?i)<th")).alias("header"))
+
+    def cell(c: Column) -> Column:
+        return let(F.regexp_extract(c, rf"^(?i)<t[dh]{_ATTRIBUTES}>", 0), lambda tag: let(F.get(F.split(F.substr(c, F.length(tag) + 1), r"(?i)</t[dh]\s*>", 2), F.lit(0)), lambda inside: content(tag, inside)))
+
+    return F.transform(F.slice(F.split(row, _before(r"<t[dh]\b")), 2, 1 << 30), cell)
+
+
+def _table_rows(segments: Column) -> Column:
+    """The rows of a table's own segments of html. Thead, tbody and tfoot tags cut a segment, what follows the end of one is a body."""
+
+    def rows(piece: Column) -> Column:
+        part = F.regexp_extract(piece, r"^(?i)<(thead|tfoot)\b", 1)
+        made = lambda name: lambda r: F.struct(name.alias("part"), F.coalesce(_attribute(F.regexp_extract(r, rf"^<{_ATTRIBUTES}>", 0), "class"), F.lit("")).alias("classes"), _table_cells(r).alias("cells"))
+        return let(F.when(part == "", "tbody").otherwise(F.lower(part)), lambda name: F.transform(F.slice(F.split(piece, _before(r"<tr\b")), 2, 1 << 30), made(name)))
+
+    pieces = lambda s: F.split(s, _before(r"</?(?:thead|tbody|tfoot)\b"))
+    return F.flatten(F.transform(F.flatten(F.transform(segments, pieces)), rows))
 
 
 def tables(pages: DataFrame, html: str = "html") -> DataFrame:
-    """The pages' other columns with a row for each table: table_no (in the page, from 0), table_id, table_classes, table_rows.
-    Texts are trimmed.
+    """The pages' other columns with a row for each table, outermost first: table_no (in the page, from 0), table_id, table_classes,
+    table_rows. Texts are trimmed.
 
-    The tag parser is Python, in batches by Arrow, and only for pages that have a table; a page without one, or
-    with a null text, has no row.
+    A page is cut at table tags, and a fold over the parts tells which table each belongs to, so that tables in tables have their own
+    rows; then a table is cut at parts, rows and cells. All by SQL functions, without a Python worker. Comments, scripts and styles
+    are left out. A row or cell ends where the next begins, or at its end tag. A page without a table, or with a null text, has no row.
     """
     others = [c for c in pages.columns if c != html]
-    schema = T.StructType([*pages.select(*others).schema, *T.StructType.fromDDL(f"table_no int, table_id string, table_classes string, table_rows array<{ROW}>")])
-
-    def run(batches):
-        import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        kind = to_arrow_type(schema["table_rows"].dataType)
-        for batch in batches:
-            page, found = [], []
-            for k, text in enumerate(batch.column(len(others)).to_pylist()):
-                parser = _Tables()
-                parser.feed(text)
-                for no, t in enumerate(parser.tables):
-                    for r in t["rows"]:
-                        for c in r["cells"]:
-                            c["text"] = " ".join(c["text"].replace("\xa0", " ").split())
-                    page.append(k)
-                    found.append((no, t["id"], t["classes"], t["rows"]))
-            if found:
-                own = [c.take(pa.array(page)) for c in batch.columns[:-1]]
-                new = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int32(), pa.string(), pa.string(), kind))]
-                yield pa.RecordBatch.from_arrays([*own, *new], [f.name for f in schema])
-
-    return pages.filter(F.lower(html).contains("<table")).select(*others, F.col(html).alias("_html")).mapInArrow(run, schema)
+    bare = F.regexp_replace(F.regexp_replace(html, r"(?s)<!--.*?-->", ""), r"(?is)<(script|style)\b.*?</\1\s*>", "")
+    parts = pages.filter(F.lower(html).contains("<table")).select(*others, F.split(bare, _before(r"<table\b|</table\s*>")).alias("_parts"))
+    opens = lambda p: F.rlike(p, F.lit(r"^(?i)<table\b"))
+    closes = lambda p: F.rlike(p, F.lit(r"^(?i)</table\s*>"))
+    none = F.expr("cast(array() as array<int>)")
+    start = F.struct(none.alias("stack"), F.lit(0).alias("next"), none.alias("owners"))
+
+    def step(state: Column, part: Column) -> Column:
+        inner = F.slice(state["stack"], F.lit(1), F.greatest(F.size(state["stack"]) - 1, F.lit(0)))
+        stack = F.when(opens(part), F.concat(state["stack"], F.array(state["next"]))).when(closes(part), inner).otherwise(state["stack"])
+        # the parts' owners so far; lambdas hold the stack, so that it is made once
+        held = F.transform(F.array(stack), lambda x: F.struct(x.alias("stack"), (state["next"] + F.when(opens(part), 1).otherwise(0)).alias("next"), F.concat(state["owners"], F.array(F.coalesce(F.get(x, F.size(x) - 1), F.lit(-1)))).alias("owners")))
+        return F.get(held, F.lit(0))
+
+    owned = parts.withColumn("_fold", F.aggregate("_parts", start, step))
+    each = F.transform(F.sequence(F.lit(0), F.col("_fold")["next"] - 1), lambda no: F.transform(F.filter(F.arrays_zip("_parts", F.col("_fold")["owners"].alias("_owner")), lambda x: x["_owner"] == no), lambda x: x["_parts"]))
+    found = owned.filter(F.col("_fold")["next"] > 0).select(*others, F.posexplode(each).alias("table_no", "_own"))
+    tag = F.regexp_extract(F.get("_own", F.lit(0)), rf"^<{_ATTRIBUTES}>", 0)
+    text = lambda name: F.coalesce(_attribute(tag, name), F.lit(""))
+    return found.select(*others, "table_no", text("id").alias("table_id"), text("class").alias("table_classes"), _table_rows(F.col("_own")).cast(f"array<{ROW}>").alias("table_rows"))
 
 
 def links(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
