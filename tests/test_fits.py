@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from stridecast.operators import entities, hazard, metrics, profile, weaklabel
+from stridecast.operators import attribution, entities, hazard, metrics, profile, weaklabel
 from stridecast.sources import pages as pg
 from stridecast.sources import tables as src
 
@@ -117,6 +117,35 @@ def test_concordance(spark):
     assert report.ibs == round(metrics.integrated(metrics.brier(df)).first().ibs, 4)
 
 
+def test_bounded_attributions(spark):
+    """Against exact Shapley values of a score with interactions: rows that vary little leave early, and errors hold."""
+    r = np.random.default_rng(2)
+    back = r.normal(size=(10, 3))
+    rows = np.vstack([r.normal(size=(12, 3)) * 3, back.mean(axis=0)[None, :] + np.zeros((3, 3))])
+    as_df = lambda m: spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(m)], "id int, a double, b double, c double")
+    value = lambda a, b, c: a * b + 0.5 * c + 0.1 * a * b * c
+    score = lambda df: df.withColumn("score", value(F.col("a"), F.col("b"), F.col("c")))
+
+    def exact(x):
+        phi = np.zeros(3)
+        for order in itertools.permutations(range(3)):
+            for z in back:
+                now = z.copy()
+                for k in order:
+                    before = value(*now)
+                    now[k] = x[k]
+                    phi[k] += value(*now) - before
+        return phi / 60
+
+    got = attribution.bounded_shapley(as_df(rows), as_df(back), "id", ["a", "b", "c"], score, 0.4, rounds=5).collect()
+    assert len(got) == 45 and len({x.n_pairs for x in got}) > 1 and max(x.n_pairs for x in got) <= 310
+    for x in got:
+        want = exact(rows[x.id])["abc".index(x.feature)]
+        assert abs(x.phi - want) <= 3 * x.error + 1e-9 and (x.error <= 0.4 or x.n_pairs == 310)
+    with pytest.raises(ValueError):
+        attribution.bounded_shapley(as_df(rows), as_df(back).limit(0), "id", ["a"], score, 0.1)
+
+
 def test_quantiles_of_many_values(spark):
     r = np.random.default_rng(1)
     x = np.concatenate([r.normal(size=40_000), np.zeros(20_000)])
