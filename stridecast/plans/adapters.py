@@ -12,7 +12,7 @@ from stridecast.operators.workload import daily
 
 STUDY_END = "2001-08-01"
 CAUSES, BINS = 2, 32
-#: Rules on words that occur in the given documents.
+#: Rules on words that occur in the given documents.
 WORD_RULES = [
     Rule("license", 0, (r"all\s+rights\s+reserved|licen[cs]e",)),
     Rule("mail", 1, (r"\w@\w",)),

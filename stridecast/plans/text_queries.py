@@ -158,7 +158,7 @@ def json_frames(spark, sf_dir):
     return src.flatten_frames(users, "json").select("user_id", F.col("frame").cast("date").alias("day"), r["kind"].alias("kind"), r["id"].cast("long").alias("id"))
 
 
-# Sentences that the medical rules vote on.
+# Sentences that the medical rules vote on.
 _SAID = ["he ruptured his achilles", "torn achilles, out for the season", "Achilles soreness", "tightness in his achilles", "tendinosis again", "achilles: did not play", "cleared for full practice", "activated from the IL", "no achilles issue", "achilles is fine", "load management", "cleared, achilles"]
 
 
