@@ -13,8 +13,8 @@ from stridecast.llm.common import keyed_texts, ragged, slices, without_ids
 
 #: Seeds that are expected by chance, from the words' shares, at most so often in the whole corpus count as rare.
 RARE = 1.0
-#: Each item keeps so many of its rarest seeds even if none is rare.
-LEAST_SEEDS = 12
+#: Of so many neighbouring seeds the rarest is kept even if none is rare, so that a copy with edits elsewhere shares one.
+NEIGHBOURS = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Cells of the windows that are aligned with an item at once (one window at least), and the length of a piece in items.
 CELLS, PIECE = 1 << 18, 4
@@ -89,9 +89,11 @@ class Items:
             h, at = grams(words, np.zeros(len(words), np.int64), size)
             p = share[np.searchsorted(self.vocabulary, words)]
             expected = sum(p[j : len(p) - size + 1 + j] for j in range(size)) + math.log(max(1, total))
-            order = np.argsort(expected, kind="stable")
-            # an item shorter than a seed is one, and says nothing where it isn't rare
-            keep = order[(expected[order] <= math.log(RARE)) | ((np.arange(len(order)) < LEAST_SEEDS) & (size == n))]
+            # the rarest of each few neighbours; an item shorter than a seed is one, and says nothing where it isn't rare
+            order = np.lexsort((expected, np.arange(len(expected)) // NEIGHBOURS))
+            chosen = np.zeros(len(expected), bool)
+            chosen[order[::NEIGHBOURS]] = size == n
+            keep = np.flatnonzero(chosen | (expected <= math.log(RARE)))
             found.setdefault(size, []).append((h[keep], np.full(len(keep), k), at[keep]))
         self.seeds = {}
         for size, parts in found.items():
@@ -185,7 +187,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 3, least: f
     """doc_id, item_id, score, n_seeds, end_word: documents that hold a test item, or an edited copy of one.
 
     Seeds are n-grams of `words` words of the items that are rare: by the words' counts over all documents they are
-    expected by chance at most once in the corpus. (How often the n-gram itself occurs isn't asked, so a passage
+    expected by chance at most once in the corpus, and the rarest of each NEIGHBOURS neighbouring ones, so that also an item of common
+    words has seeds all along: a copy is found that leaves NEIGHBOURS + words - 1 words in a row as they were. (How often the n-gram itself occurs isn't asked, so a passage
     copied into a third of the documents is still found.) Around seeds on neighbouring diagonals the item is aligned with
     the text; score is the alignment's share of a full match, `least` of it makes a pair. A pair appears once a
     document row, with its best score. Items of fewer words than a seed are sought by all their words, if these are rare
