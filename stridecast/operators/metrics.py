@@ -16,6 +16,8 @@ from stridecast.sources.shared import written
 
 #: Ranges that risks are cut into.
 RANGES = 64
+#: Up to so many counts (32 bytes each) are merged on the driver, more in tasks; the results are the same.
+FEW = 50_000
 
 
 def last_bin(rows: DataFrame) -> tuple[int, int] | None:
@@ -53,8 +55,13 @@ def rank_counts(counts: DataFrame, ranges: int = RANGES) -> tuple[int, float]:
     """(pairs, concordant) of counts: t, risk, members, cases, a row for each t and risk.
 
     Risks are cut into ranges of about equal numbers of rows. What lies in different ranges follows from a matrix of counts by t and
-    range, which alone reaches the driver; what shares a range is merged there, one group a range.
+    range, which alone reaches the driver; what shares a range is merged there, one group a range. Few counts (FEW) are merged at once.
     """
+    if counts.count() <= FEW:
+        rows = counts.toArrow()
+        t, risk, members, cases = (rows[c].to_numpy() for c in ("t", "risk", "members", "cases"))
+        later = np.concatenate([[0], np.cumsum(members[np.argsort(t)])])
+        return sum(int(k) * int(later[-1] - n) for k, n in zip(cases, later[np.searchsorted(np.sort(t), t, side="right")])), earlier_and_lower(t, risk, members, cases)
     cuts = counts.agg(F.percentile_approx("risk", [k / ranges for k in range(1, ranges)], 10_000).alias("cuts")).first()["cuts"] or []
     place = F.size(F.filter(F.lit([float(c) for c in sorted(set(cuts))]).cast("array<double>"), lambda c: c < F.col("risk")))
     dealt = counts.withColumn("range", place)

@@ -44,12 +44,16 @@ def _attribute(tag: Column, name: str) -> Column:
     return unescaped(F.regexp_replace(F.try_element_at(found, F.lit(-1)), r"""^[^=]*=\s*["']?|["']$""", ""))
 
 
+#: A control character that texts lose, to cut them at.
+CUT = "\x01"
 #: A tag's attributes; a > within quotes doesn't end it.
 _ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 
 
-def _before(c: str) -> str:
-    return rf"(?i)(?={c})"
+def _cut(text: Column, before: str) -> Column:
+    """The text in parts, each but the first beginning where the pattern matches. Spark compiles a pattern of split() for each value,
+    but one of regexp_replace() once, so that puts in a sign to split at."""
+    return F.split(F.regexp_replace(text, rf"(?i)(?={before})", CUT), CUT)
 
 
 def _table_cells(row: Column) -> Column:
@@ -59,9 +63,9 @@ def _table_cells(row: Column) -> Column:
         return F.struct(F.coalesce(_attribute(tag, "data-stat"), F.lit("")).alias("name"), text.alias("text"), href.alias("href"), F.rlike(tag, F.lit("^(?i)<th")).alias("header"))
 
     def cell(c: Column) -> Column:
-        return let(F.regexp_extract(c, rf"^(?i)<t[dh]{_ATTRIBUTES}>", 0), lambda tag: let(F.get(F.split(F.substr(c, F.length(tag) + 1), r"(?i)</t[dh]\s*>", 2), F.lit(0)), lambda inside: content(tag, inside)))
+        return let(F.regexp_extract(c, rf"^(?i)<t[dh]{_ATTRIBUTES}>", 0), lambda tag: let(F.substring_index(F.regexp_replace(F.substr(c, F.length(tag) + 1), r"(?i)</t[dh]\s*>", CUT), CUT, 1), lambda inside: content(tag, inside)))
 
-    return F.transform(F.slice(F.split(row, _before(r"<t[dh]\b")), 2, 1 << 30), cell)
+    return F.transform(F.slice(_cut(row, r"<t[dh]\b"), 2, 1 << 30), cell)
 
 
 def _table_rows(segments: Column) -> Column:
@@ -70,9 +74,9 @@ def _table_rows(segments: Column) -> Column:
     def rows(piece: Column) -> Column:
         part = F.regexp_extract(piece, r"^(?i)<(thead|tfoot)\b", 1)
         made = lambda name: lambda r: F.struct(name.alias("part"), F.coalesce(_attribute(F.regexp_extract(r, rf"^<{_ATTRIBUTES}>", 0), "class"), F.lit("")).alias("classes"), _table_cells(r).alias("cells"))
-        return let(F.when(part == "", "tbody").otherwise(F.lower(part)), lambda name: F.transform(F.slice(F.split(piece, _before(r"<tr\b")), 2, 1 << 30), made(name)))
+        return let(F.when(part == "", "tbody").otherwise(F.lower(part)), lambda name: F.transform(F.slice(_cut(piece, r"<tr\b"), 2, 1 << 30), made(name)))
 
-    pieces = lambda s: F.split(s, _before(r"</?(?:thead|tbody|tfoot)\b"))
+    pieces = lambda s: _cut(s, r"</?(?:thead|tbody|tfoot)\b")
     return F.flatten(F.transform(F.flatten(F.transform(segments, pieces)), rows))
 
 
@@ -85,8 +89,8 @@ def tables(pages: DataFrame, html: str = "html") -> DataFrame:
     are left out. A row or cell ends where the next begins, or at its end tag. A page without a table, or with a null text, has no row.
     """
     others = [c for c in pages.columns if c != html]
-    bare = F.regexp_replace(F.regexp_replace(html, r"(?s)<!--.*?-->", ""), r"(?is)<(script|style)\b.*?</\1\s*>", "")
-    parts = pages.filter(F.lower(html).contains("<table")).select(*others, F.split(bare, _before(r"<table\b|</table\s*>")).alias("_parts"))
+    bare = F.regexp_replace(F.regexp_replace(F.translate(html, CUT, ""), r"(?s)<!--.*?-->", ""), r"(?is)<(script|style)\b.*?</\1\s*>", "")
+    parts = pages.filter(F.lower(html).contains("<table")).select(*others, _cut(bare, r"<table\b|</table\s*>").alias("_parts"))
     opens = lambda p: F.rlike(p, F.lit(r"^(?i)<table\b"))
     closes = lambda p: F.rlike(p, F.lit(r"^(?i)</table\s*>"))
     none = F.expr("cast(array() as array<int>)")
@@ -101,7 +105,8 @@ def tables(pages: DataFrame, html: str = "html") -> DataFrame:
 
     owned = parts.withColumn("_fold", F.aggregate("_parts", start, step))
     each = F.transform(F.sequence(F.lit(0), F.col("_fold")["next"] - 1), lambda no: F.transform(F.filter(F.arrays_zip("_parts", F.col("_fold")["owners"].alias("_owner")), lambda x: x["_owner"] == no), lambda x: x["_parts"]))
-    found = owned.filter(F.col("_fold")["next"] > 0).select(*others, F.posexplode(each).alias("table_no", "_own"))
+    # for an inner one Spark would add filters that make the arrays twice more
+    found = owned.filter(F.col("_fold")["next"] > 0).select(*others, F.posexplode_outer(each).alias("table_no", "_own")).filter("table_no is not null")
     tag = F.regexp_extract(F.get("_own", F.lit(0)), rf"^<{_ATTRIBUTES}>", 0)
     text = lambda name: F.coalesce(_attribute(tag, name), F.lit(""))
     return found.select(*others, "table_no", text("id").alias("table_id"), text("class").alias("table_classes"), _table_rows(F.col("_own")).cast(f"array<{ROW}>").alias("table_rows"))
@@ -122,10 +127,13 @@ def table_records(found: DataFrame, table_id: str, ranked: str | None = None, pa
 
     With ranked only rows whose cell of that name is a whole number, and no repeated header rows; else any row with a cell.
     """
-    rows = found.filter(F.rlike("table_id", F.lit(table_id))).select(*[c for c in found.columns if not c.startswith("table_")], F.posexplode("table_rows").alias("position", "row"))
-    rows = rows.filter(F.col("row.part") == part).withColumn("record", _cells()).filter(F.size("record") > 0)
+    rows = found.filter(F.rlike("table_id", F.lit(table_id))).select(*[c for c in found.columns if not c.startswith("table_")], F.posexplode_outer("table_rows").alias("position", "row"))
+    # judged by the cells, so that records are made once
+    rows = rows.filter((F.col("row.part") == part) & F.exists("row.cells", lambda x: x["name"] != ""))
     if ranked:
-        rows = rows.filter(~F.coalesce(F.contains("row.classes", F.lit("thead")), F.lit(False)) & F.rlike(F.coalesce(F.col("record")[ranked], F.lit("")), F.lit(r"^\d+$")))
+        rank = F.try_element_at(F.filter("row.cells", lambda x: x["name"] == ranked), F.lit(-1))["text"]
+        rows = rows.filter(~F.coalesce(F.contains("row.classes", F.lit("thead")), F.lit(False)) & F.rlike(F.coalesce(rank, F.lit("")), F.lit(r"^\d+$")))
+    rows = rows.withColumn("record", _cells())
     return rows.drop("row")
 
 
