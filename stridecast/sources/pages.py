@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,7 +22,7 @@ def let(value: Column, f) -> Column:
 
 def unescaped(text: Column) -> Column:
     """Character references in: numbers, and the names of HTML 4; others stay."""
-    named = F.create_map(*(F.lit(x) for n, c in (*name2codepoint.items(), ("apos", 39)) for x in (n, chr(c))))
+    named = F.from_json(F.lit(json.dumps({n: chr(c) for n, c in (*name2codepoint.items(), ("apos", 39))})), "map<string,string>")
 
     def character(ref: Column) -> Column:
         code = F.when(F.rlike(ref, F.lit("^#[xX]")), F.conv(F.substring(ref, 3, 8), 16, 10).cast("int")).otherwise(F.substring(ref, 2, 8).try_cast("int"))
