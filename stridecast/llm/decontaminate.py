@@ -188,7 +188,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 3, least: f
 
     Seeds are n-grams of `words` words of the items that are rare: by the words' counts over all documents they are
     expected by chance at most once in the corpus, and the rarest of each NEIGHBOURS neighbouring ones, so that also an item of common
-    words has seeds all along: a copy is found that leaves NEIGHBOURS + words - 1 words in a row as they were. (How often the n-gram itself occurs isn't asked, so a passage
+    words has seeds all along: a copy is found that leaves 2 * NEIGHBOURS + words - 2 words in a row as they were. (How often the n-gram itself occurs isn't asked, so a passage
     copied into a third of the documents is still found.) Around seeds on neighbouring diagonals the item is aligned with
     the text; score is the alignment's share of a full match, `least` of it makes a pair. A pair appears once a
     document row, with its best score. Items of fewer words than a seed are sought by all their words, if these are rare
