@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stridecast.sources.shared import written
+
 #: Ranges that a hot key is cut into.
 PIECES = 256
 
@@ -20,10 +22,11 @@ def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left"
 
 def in_ranges(rows: DataFrame, keys: list[str], order: str, most: int, pieces: int = PIECES) -> DataFrame:
     """rows with _range: 0 for keys of at most `most` rows, else the number of the range of `order` values (about equal numbers of
-    rows each; rows of one value stay together), and _hot. Three passes over the keys and the order's column."""
+    rows each; rows of one value stay together), and _hot. Three passes over the keys and the order's column. The cuts come from a sketch,
+    which depends on the order in which its parts arrive, so they are written: all that is made from the ranges must see the same."""
     hot = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > most).drop("_n")
     theirs = joined(rows.select(*keys, order), hot, keys, "left_semi") if keys else rows
-    cuts = theirs.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(order, [i / pieces for i in range(1, pieces)], 100 * pieces)).alias("_cuts"))
+    cuts = written(theirs.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(order, [i / pieces for i in range(1, pieces)], 100 * pieces)).alias("_cuts")))
     place = F.size(F.filter("_cuts", lambda c: c < F.col(order)))
     return joined(rows, cuts, keys).withColumns({"_hot": F.col("_cuts").isNotNull(), "_range": F.when(F.col("_cuts").isNotNull() & F.col(order).isNotNull(), place).otherwise(0)}).drop("_cuts")
 

@@ -103,3 +103,12 @@ def test_asof_by_dates(spark):
     dated = pit.asof_join(spine, feats, "k", "obs", "fday", ["n", "v"], tie=F.col("n"), prefix="f_", by_dates=True)
     assert dated.columns == plain.columns
     assert sorted(map(repr, dated.collect())) == sorted(map(repr, plain.collect()))
+
+
+def test_ranges_are_the_same_wherever_they_are_used(spark):
+    """A sketch made anew for each use of the ranges may give other cuts, and then copies and edges that don't fit the rows."""
+    rows = spark.range(5000).select(F.lit("a").alias("k"), F.col("id").alias("o"))
+    for found in (scan.in_ranges(rows, ["k"], "o", 10), scan.with_earlier_rows(rows, ["k"], "o", 5, 10)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "percentile" not in plan.lower()
+        assert found.filter("_range > 0").count() > 0
