@@ -28,10 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """player_id, game_date, load: quantities shipped by a supplier, a row a line."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("player_id"), F.col("l_shipdate").cast("date").alias("game_date"), F.col("l_quantity").alias("load"))
+
+
 def dense_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """player_id, game_date, load: quantities shipped by a supplier a day."""
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("player_id"), F.col("l_shipdate").cast("date").alias("game_date"), F.col("l_quantity").alias("load"))
-    return daily(rows, "player_id", "game_date", "load")
+    return daily(shipments(spark, sf_dir), "player_id", "game_date", "load")
 
 
 def user_days(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -358,5 +358,5 @@ SELECT m.player_id, m.observed, event, CAST(m.observed - max(game_date) AS INTEG
 FROM m LEFT JOIN d ON m.player_id = d.player_id AND game_date <= m.observed AND {SEASON.format("game_date")} > {SEASON.format("m.observed")} - 3 GROUP BY m.player_id, m.observed, event""", dates=("observed",))
 def refreshed_matrix(spark, sf_dir):
     stale = a.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("player_id"), F.lit("2000-12-20").cast("date").alias("observed"), F.lit(1).alias("event"), F.lit(-1).alias("days_since_last"))
-    fresh = refresh_loads(stale, a.dense_loads(spark, sf_dir), "player_id", "observed", "game_date", "load", "event")
+    fresh = refresh_loads(stale, a.shipments(spark, sf_dir), "player_id", "observed", "game_date", "load", "event")
     return fresh.select("player_id", "observed", "event", "days_since_last", "events_last_7")

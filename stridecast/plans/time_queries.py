@@ -170,7 +170,7 @@ CAST(o.observed - last AS INTEGER) AS days_since_last, CAST(coalesce(w7, 0) AS I
 def ratio_snapshot(spark, sf_dir):
     days = F.array(*(F.lit(d).cast("date") for d in ("1995-01-20", "1999-03-15", "2000-12-20")))
     observed = a.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("player_id"), F.explode(days).alias("observed"), (F.col("s_suppkey") % 2).cast("int").alias("event"))
-    found = pit.ratio_snapshot(observed, a.dense_loads(spark, sf_dir), "player_id", "observed", "game_date", "load", "event")
+    found = pit.ratio_snapshot(observed, a.shipments(spark, sf_dir), "player_id", "observed", "game_date", "load", "event")
     return found.withColumns({f"acwr_{s}": F.round(f"acwr_{s}", 4) for s in SCALES})
 
 
@@ -179,7 +179,7 @@ def ratio_panel(spark, sf_dir):
     """A dense panel: every entity every four weeks."""
     days = F.expr("sequence(date'1992-01-06', date'1999-01-06', interval 28 days)")
     observed = a.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("player_id"), F.explode(days).alias("observed"), (F.col("s_suppkey") % 2).cast("int").alias("event"))
-    found = pit.ratio_snapshot(observed, a.dense_loads(spark, sf_dir), "player_id", "observed", "game_date", "load", "event")
+    found = pit.ratio_snapshot(observed, a.shipments(spark, sf_dir), "player_id", "observed", "game_date", "load", "event")
     return found.withColumns({f"acwr_{s}": F.round(f"acwr_{s}", 4) for s in SCALES})
 
 

@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,3 +113,12 @@ def test_ranges_are_the_same_wherever_they_are_used(spark):
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert "percentile" not in plan.lower()
         assert found.filter("_range > 0").count() > 0
+
+
+@pytest.mark.parametrize("name", ["ratio_snapshot", "ratio_panel", "refreshed_matrix"])
+def test_loads_are_summed_once(spark, sf_dir, name):
+    """A second sum by entity and day holds all of a task's groups again."""
+    from stridecast.plans import catalog
+
+    plan = catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"sum\(load#\d+\)", plan) and not re.search(r"sum\(load#\d+\) AS load#", plan)
