@@ -14,7 +14,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", most_roun
     Each round replaces the links by stars around smaller nodes, which keeps the components and needs about log n
     rounds; a round is two aggregations and two joins by node and ends in a checkpoint, so that lost executors only
     cost the round. The minimum is aggregated before the join, so the links of a node are never gathered in one row; those of
-    a node with very many links meet it in one sorted run, which Spark's adaptive plan may split.
+    a node with very many links meet it in one sorted run, which Spark's adaptive plan may split. Joins are merges, also of small
+    tables: a broadcast takes some megabytes of the driver, and there would be two a round.
     """
     ensure_checkpoint_dir(links.sparkSession)
     edges = links.select(F.least(a, b).alias("low"), F.greatest(a, b).alias("high"))
@@ -22,10 +23,10 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", most_roun
     for _ in range(most_rounds):
         both = edges.select(F.col("low").alias("u"), F.col("high").alias("v")).union(edges.select(F.col("high").alias("u"), F.col("low").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("high"), F.col("m").alias("low"))
+        large = both.join(least.hint("merge"), "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("high"), F.col("m").alias("low"))
         large = large.filter(F.col("low") < F.col("high")).distinct()
         least = large.groupBy("high").agg(F.min("low").alias("m"))
-        small = large.join(least, "high")
+        small = large.join(least.hint("merge"), "high")
         small = small.select(F.col("m").alias("low"), "high").union(small.select(F.col("m").alias("low"), F.col("low").alias("high")))
         edges = small.filter(F.col("low") < F.col("high")).distinct().checkpoint()
         # done when no node has two smaller ones and none is both a smaller and a larger one
