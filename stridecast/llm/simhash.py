@@ -214,7 +214,8 @@ def least_difference(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def shingle_prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """doc_id, set_key, size, sketch and prefix (shingle, runs) of the set of shingles of each text that has a word.
+    """doc_id, set_key, fp (the SimHash fingerprint), size, sketch and prefix (shingle, runs) of the set of shingles of each text that has
+    a word.
 
     In an order common to all documents, rare shingles first, the prefix is as long as it must be for two sets of the
     similarity or more to have a shingle of both prefixes in common, whatever the order. runs: of a shingle's group, 1 but for
@@ -226,13 +227,14 @@ def shingle_prefixes(docs: DataFrame, words: int, similarity: float) -> DataFram
         import pyarrow as pa
 
         for batch in slices(batches):
-            ids, keys, sizes, sketches, prefixes, runs = [], [], [], [], [], []
+            ids, keys, fps, sizes, sketches, prefixes, runs = [], [], [], [], [], [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = shingle_set(t, words)
                 n = len(found)
                 if n:
                     ids.append(i)
                     keys.append(set_key(found))
+                    fps.append(majority_bits(found))
                     sizes.append(n)
                     sketches.append(sketch_of(found).tobytes())
                     often = np.zeros(n, np.int64)
@@ -246,9 +248,19 @@ def shingle_prefixes(docs: DataFrame, words: int, similarity: float) -> DataFram
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])])
                 pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(prefixes), pa.int64()), pa.array(np.concatenate(runs), pa.int32())], ["shingle", "runs"])
                 prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), prefix], ["doc_id", "set_key", "size", "sketch", "prefix"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), prefix], ["doc_id", "set_key", "fp", "size", "sketch", "prefix"])
 
-    return _with_words(docs).mapInArrow(run, "doc_id long, set_key binary, size int, sketch binary, prefix array<struct<shingle:long,runs:int>>")
+    return _with_words(docs).mapInArrow(run, "doc_id long, set_key binary, fp long, size int, sketch binary, prefix array<struct<shingle:long,runs:int>>")
+
+
+def fingerprint_pairs(marks: DataFrame, bits: int = 2) -> DataFrame:
+    """Pairs a, b of nodes (node, fp) by their SimHash fingerprints: each node with the first of its fingerprint, and the first ones of
+    fingerprints at most `bits` bits apart. All groups that fingerprints link are held together by these pairs."""
+    firsts = marks.groupBy("fp").agg(F.min("node").alias("first")).checkpoint()
+    same = marks.join(firsts.hint("merge"), "fp").filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    side = lambda c: firsts.select(F.col("fp").alias(c), F.col("first").alias(f"of_{c}")).hint("merge")
+    linked = similar_links(firsts.select("fp"), bits).join(side("a"), "a").join(side("b"), "b")
+    return same.union(linked.select(F.least("of_a", "of_b"), F.greatest("of_a", "of_b")))
 
 
 def _close(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -315,8 +327,9 @@ def _alike(docs: DataFrame, links: DataFrame, words: int, similarity: float) ->
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id: documents linked by a Jaccard similarity of their word shingles of `similarity` or more. Exact.
 
-    Equal sets of shingles are one node. Two nodes of the similarity share a shingle of both prefixes (shingle_prefixes), so
-    nodes are posted under the shingles of theirs. The first round compares each member of a shingle's group with the next one and
+    Equal sets of shingles are one node. The first round's pairs are those of SimHash fingerprints of the sets (fingerprint_pairs), and
+    those that fingerprints can't tell: two nodes of the similarity share a shingle of both prefixes (shingle_prefixes), so
+    nodes are posted under the shingles of theirs. It compares each member of a shingle's group with the next one and
     the first, which is all pairs of up to three members; a large group is dealt to runs for that. The second compares all
     pairs of the larger groups but those that the first round's components hold already: the members outside a group's
     largest component with all others, in pairs of blocks; so a large group of copies costs no pairs among its
@@ -346,7 +359,8 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     me = F.struct("node", "size", "pos")
     others = F.array(F.lead(me).over(along), F.when(F.row_number().over(along) > 2, F.first(me).over(along)))
     first = met.select(me.alias("x"), others.alias("others")).select("x", F.explode("others").alias("y")).filter(possible(F.col("x"), F.col("y")))
-    first = first.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().checkpoint()
+    first = first.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    first = first.union(fingerprint_pairs(own.select("node", "fp"))).distinct().checkpoint()
     groups = connected_components(_alike(docs, _close(first, sets, similarity), words, similarity))
 
     linked = groups.withColumnRenamed("node", "linked")

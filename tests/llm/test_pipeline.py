@@ -159,3 +159,25 @@ def test_repeats_do_not_hide_a_copy(spark):
     assert near_groups(texts) == {i: i % 1000 for i in texts}
     got = {r.doc_id: r.component_id for r in simhash.similar_documents(texts_frame(spark, texts)).collect()}
     assert got == {i: i % 1000 for i in texts}
+
+
+def test_fingerprints_give_candidates(spark):
+    """The near-copy stage takes the pairs of SimHash fingerprints: equal ones meet the first, near ones by their first nodes."""
+    near = [(1, 0), (2, 0), (3, 0b11), (4, 0b111), (5, -1), (6, 0b11), (7, -2)]
+    marks = spark.createDataFrame(near, "node long, fp long")
+    assert {(r.a, r.b) for r in simhash.fingerprint_pairs(marks).collect()} == {(1, 2), (3, 6), (1, 3), (3, 4), (5, 7)}
+    docs = texts_frame(spark, {1: " ".join(f"w{i}" for i in range(40)), 2: "a b"})
+    got = {r.doc_id: r.fp for r in simhash.shingle_prefixes(docs, 5, 0.8).collect()}
+    assert got == {r.doc_id: r.fp for r in simhash.fingerprints(docs, 5).collect()}
+
+
+def test_pairs_of_fingerprints_reach_the_exact_check(spark, monkeypatch):
+    """A pair of fingerprints is a candidate of the first round; it links only if the whole sets are alike."""
+    words = [f"w{i}" for i in range(400)]
+    texts = {1: " ".join(words), 2: " ".join([*words, "x"]), 3: " ".join(f"u{i}" for i in range(400))}
+    asked = []
+    close, plain = simhash._close, simhash.fingerprint_pairs
+    monkeypatch.setattr(simhash, "_close", lambda links, *args: asked.append({(r.a, r.b) for r in links.collect()}) or close(links, *args))
+    monkeypatch.setattr(simhash, "fingerprint_pairs", lambda marks: plain(marks).union(spark.createDataFrame([(1, 3)], "a long, b long")))
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(texts_frame(spark, texts)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3} and {(1, 2), (1, 3)} <= asked[0]
