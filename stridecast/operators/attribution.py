@@ -6,7 +6,7 @@ import random
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridecast.sources.shared import written
@@ -22,20 +22,26 @@ def _orders(features: int, pairs: int, n: int, rng: random.Random, first: int =
     return out
 
 
-def _contributions(rows: DataFrame, background: DataFrame, key: str, features: list[str], score: Callable[[DataFrame], DataFrame], orders: list) -> DataFrame:
-    """key, pair, i, v: what feature i adds to the score, or takes from it, along the permutations; to be summed by pair and feature."""
-    plan = rows.sparkSession.createDataFrame(orders, "pair int, way int, b int, perm array<int>")
+def _scored(rows: DataFrame, background: DataFrame, key: str, features: list[str], score: Callable[[DataFrame], DataFrame], orders: list) -> DataFrame:
+    """key, pair and a column for each feature (_part): what a scored row adds to the feature, or takes from it, along a permutation; to be
+    summed by key, or by key and pair. Rows are dealt out by the key before they are multiplied: a small file of them would be one task, and
+    the sums need no further shuffle."""
+    places = [(p, way, b, [order.index(i) for i in range(len(order))]) for p, way, b, order in orders]
+    plan = rows.sparkSession.createDataFrame(places, "pair int, way int, b int, place array<int>")
     numbered = background.select(F.struct(*(F.col(f).cast("double").alias(f) for f in features)).alias("_back"), F.row_number().over(_order(features)).alias("_b"))
-    drawn = F.broadcast(plan.join(numbered, F.col("b") == F.col("_b") - 1).select("pair", "perm", "_back"))
+    drawn = F.broadcast(plan.join(numbered, F.col("b") == F.col("_b") - 1).select("pair", "place", "_back"))
     own = rows.select(key, F.struct(*(F.col(f).cast("double").alias(f) for f in features)).alias("_own"))
-    steps = own.crossJoin(drawn).select(key, "pair", "perm", "_own", "_back", F.explode(F.sequence(F.lit(0), F.lit(len(features)))).alias("step"))
-    taken = lambda i: F.array_contains(F.slice("perm", F.lit(1), F.col("step")), F.lit(i))
-    mixed = steps.select(key, "pair", "perm", "step", *(F.when(taken(i), F.col("_own")[f]).otherwise(F.col("_back")[f]).alias(f) for i, f in enumerate(features)))
-    scored = score(mixed).select(key, "pair", "perm", "step", "score")
-    # the difference of neighbouring steps, without a self-join: each score adds to one feature and takes from the next
-    adds = F.struct(F.get("perm", F.col("step") - 1).alias("i"), F.col("score").alias("v"))
-    takes = F.struct(F.get("perm", F.col("step")).alias("i"), (-F.col("score")).alias("v"))
-    return scored.select(key, "pair", F.inline(F.array(adds, takes))).filter(F.col("i").isNotNull())
+    own = own.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    steps = own.crossJoin(drawn).select(key, "pair", "place", "_own", "_back", F.explode(F.sequence(F.lit(0), F.lit(len(features)))).alias("step"))
+    place = lambda i: F.get("place", F.lit(i))
+    mixed = steps.select(key, "pair", "place", "step", *(F.when(place(i) < F.col("step"), F.col("_own")[f]).otherwise(F.col("_back")[f]).alias(f) for i, f in enumerate(features)))
+    # the difference of neighbouring steps: each score adds to one feature and takes from the next
+    part = lambda i: F.when(place(i) == F.col("step") - 1, F.col("score")).when(place(i) == F.col("step"), -F.col("score"))
+    return score(mixed).select(key, "pair", *(part(i).alias(_part(i)) for i in range(len(features))))
+
+
+def _part(i: int, kind: str = "v") -> str:
+    return f"_{kind}_{i}"
 
 
 def _rows_of(background: DataFrame, most: int) -> int:
@@ -56,45 +62,50 @@ def shapley(rows: DataFrame, background: DataFrame, key: str, features: list[str
     """
     n = _rows_of(background, most_background)
     pairs = n * -(-samples // (2 * n))
-    parts = _contributions(rows, background, key, features, score, _orders(len(features), pairs, n, random.Random(seed)))
-    summed = parts.groupBy(key, "i").agg((F.sum("v") / (2 * pairs)).alias("phi"))
-    return summed.select(key, F.get(F.array(*(F.lit(f) for f in features)), F.col("i")).alias("feature"), "phi")
+    scored = _scored(rows, background, key, features, score, _orders(len(features), pairs, n, random.Random(seed)))
+    summed = scored.groupBy(key).agg(*((F.sum(_part(i)) / (2 * pairs)).alias(_part(i)) for i in range(len(features))))
+    return summed.select(key, F.inline(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(_part(i)).alias("phi")) for i, f in enumerate(features)))))
 
 
 def bounded_shapley(rows: DataFrame, background: DataFrame, key: str, features: list[str], score: Callable[[DataFrame], DataFrame], tolerance: float, rounds: int = 6, z: float = 1.959963984540054, seed: int = 42, most_background: int = 1000) -> DataFrame:
     """key, feature, phi, error, n_pairs: shapley by sequential sampling. error is the half-width of the normal interval (z) of phi.
 
     A round draws a permutation and its reverse for each background row, as many in the first round, twice as many in each later one. A
-    pair's mean is one sample of a feature, of which number, sum and sum of squares are kept by row and feature. A row leaves
+    pair's mean is one sample of a feature, of which number, sum and sum of squares are kept by row. A row leaves
     once the errors of all its features are within the tolerance, so later rounds score only the rows that need them; what is
     left after the last round keeps the error it has. Keys are unique. Each round's sums are written, so a lost executor
     costs a round at most.
     """
     n = _rows_of(background, most_background)
     rng, drawn, left, done = random.Random(seed), 0, rows, []
-    state = None
+    state, numbers = None, range(len(features))
     for turn in range(rounds):
         pairs = n << turn
-        parts = _contributions(left, background, key, features, score, _orders(len(features), pairs, n, rng, drawn))
+        scored = _scored(left, background, key, features, score, _orders(len(features), pairs, n, rng, drawn))
         drawn += pairs
-        each = parts.groupBy(key, "i", "pair").agg((F.sum("v") / 2).alias("v"))
-        sums = each.groupBy(key, "i").agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("ss"))
+        each = scored.groupBy(key, "pair").agg(*((F.sum(_part(i)) / 2).alias(_part(i)) for i in numbers))
+        sums = each.groupBy(key).agg(F.count("*").alias("n"), *(F.sum(_part(i)).alias(_part(i, "s")) for i in numbers), *(F.sum(F.col(_part(i)) * F.col(_part(i))).alias(_part(i, "ss")) for i in numbers))
         if state is not None:
-            sums = sums.union(state).groupBy(key, "i").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
-        spread = F.greatest(F.col("ss") - F.col("s") * F.col("s") / F.col("n"), F.lit(0.0)) / F.greatest(F.col("n") - 1, F.lit(1))
-        error = F.when(F.col("n") > 1, z * F.sqrt(spread / F.col("n")))
-        sums = sums.withColumn("error", error)
-        widest = F.max(F.coalesce("error", F.lit(float("inf")))).over(Window.partitionBy(key))
+            sums = sums.unionByName(state).groupBy(key).agg(*(F.sum(c).alias(c) for c in state.columns if c != key))
+        sums = sums.select("*", *(_error(i, z).alias(_part(i, "error")) for i in numbers))
+        widest = F.array_max(F.array(*(F.coalesce(_part(i, "error"), F.lit(float("inf"))) for i in numbers)))
         sums = written(sums.withColumn("_stays", widest > tolerance))
         last = turn == rounds - 1
         done.append(sums if last else sums.filter("not _stays"))
         if last or not (going := sums.filter("_stays")).take(1):
             break
-        state = going.select(key, "i", "n", "s", "ss")
-        named = going.select(F.col(key).alias("_key")).distinct()
-        left = written(rows.select(key, *features).join(named, F.col(key) == F.col("_key"), "left_semi"))
+        state = going.select(key, "n", *(_part(i, kind) for kind in ("s", "ss") for i in numbers))
+        left = written(rows.select(key, *features).join(going.select(F.col(key).alias("_key")), F.col(key) == F.col("_key"), "left_semi"))
+    of = lambda i, f: F.struct(F.lit(f).alias("feature"), (F.col(_part(i, "s")) / F.col("n")).alias("phi"), F.col(_part(i, "error")).alias("error"))
     out = reduce(DataFrame.union, done)
-    return out.select(key, F.get(F.array(*(F.lit(f) for f in features)), F.col("i")).alias("feature"), (F.col("s") / F.col("n")).alias("phi"), "error", F.col("n").alias("n_pairs"))
+    return out.select(key, F.inline(F.array(*(of(i, f) for i, f in enumerate(features)))), F.col("n").alias("n_pairs"))
+
+
+def _error(i: int, z: float) -> Column:
+    """The half-width of a feature's normal interval, from number, sum and sum of squares."""
+    n, s, ss = F.col("n"), F.col(_part(i, "s")), F.col(_part(i, "ss"))
+    spread = F.greatest(ss - s * s / n, F.lit(0.0)) / F.greatest(n - 1, F.lit(1))
+    return F.when(n > 1, z * F.sqrt(spread / n))
 
 
 def _order(features: list[str]):

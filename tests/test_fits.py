@@ -210,3 +210,18 @@ def test_changed_pages(spark, tmp_path):
     put("fresh.html", b"fresh", 1)
     assert {(r.key, r.html) for r in src.changed_pages(spark, str(folder), seen).collect()} == {("a", "new"), ("late", "late"), ("fresh", "fresh")}
     assert src.changed_pages(spark, str(folder), seen.limit(0)).count() == 5
+
+
+def test_attributions_of_a_small_file_are_many_tasks(spark):
+    """Rows are dealt out before they are multiplied by permutations, in each round; the sums aren't shuffled again."""
+    rows = spark.createDataFrame([(i, float(i % 7), float(i % 5)) for i in range(200)], "id int, a double, b double").coalesce(1)
+    seen = []
+
+    def score(df):
+        out = df.withColumn("score", F.col("a") * F.col("b"))
+        seen.append((df.rdd.getNumPartitions(), out.groupBy("id", "pair").count()._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")))
+        return out
+
+    got = attribution.bounded_shapley(rows, rows.orderBy("id").limit(4), "id", ["a", "b"], score, 1e-12, 2).collect()
+    assert len(got) == 400 and len(seen) == 2
+    assert seen == [(4, 1)] * 2
