@@ -39,17 +39,20 @@ def load_ratios(rows: DataFrame, keys: list[str], day: str, load: str, scales: d
     (1 - 1 / days) to the age. rows: one row a key and day. Without calendar, ages count rows and not days. Zeros add nothing to
     the weighted sum, and the weights of all days so far are a geometric series, so no row is made for a gap. Running sums are
     kept in blocks of so many days that rescaled weights stay finite; of earlier blocks as many count as can matter (down
-    to 1e-40 of a load). All means share one partitioning by the keys and two orders: by block and day, and by block.
+    to 1e-40 of a load). All means share one partitioning by the keys. With a calendar blocks are of fixed days, so that all share
+    one sort by block and day, too, made of the rows as they come: a task holds them once.
     """
-    over = Window.partitionBy(*keys)
-    first = F.datediff(F.col(day), F.min(day).over(over)) if calendar else F.row_number().over(over.orderBy(day)) - 1
     days = sorted({d for pair in scales.values() for d in pair if d > 1})
     digits = {d: -math.log10(1 - 1 / d) for d in days}  # that a day's weight loses
     length = int(250 / max(digits.values(), default=1))
-    place = (F.col("_index") % length).cast("double")
-    out = rows.withColumn("_index", first)
-    out = out.select("*", F.floor(F.col("_index") / length).cast("int").alias("_block"), *((F.col(load) * F.pow(F.lit(1 - 1 / d), -place)).alias(f"_scaled_{d}") for d in days))
-    within = Window.partitionBy(*keys, "_block").orderBy("_index").rangeBetween(Window.unboundedPreceding, 0)
+    place = (F.col("_at") - F.col("_block") * length).cast("double")
+    at = F.datediff(F.col(day), F.lit("1970-01-01").cast("date")) if calendar else F.row_number().over(Window.partitionBy(*keys).orderBy(day)) - 1
+    out = rows.withColumn("_at", at).withColumn("_block", F.floor(F.col("_at") / length).cast("int"))
+    # the first window deals by the keys, and its sort serves those that follow
+    along = Window.partitionBy(*keys).orderBy("_block", "_at")
+    out = out.withColumn("_index", F.col("_at") - F.first("_at").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    out = out.select("*", *((F.col(load) * F.pow(F.lit(1 - 1 / d), -place)).alias(f"_scaled_{d}") for d in days))
+    within = Window.partitionBy(*keys, "_block").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
     out = out.select("*", *(F.sum(f"_scaled_{d}").over(within).alias(f"_own_{d}") for d in days))
     earlier = {d: range(1, 1 + math.ceil(40 / (digits[d] * length))) for d in days}
     by_block = Window.partitionBy(*keys).orderBy("_block")

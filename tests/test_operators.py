@@ -52,6 +52,16 @@ def test_ewma_against_pandas(spark):
     assert values(workload.add_spikes(workload.load_ratios(df, ["k"], "day", "load")), "spike_any").count(None) == 0
 
 
+def test_load_ratios_sort_once(spark):
+    """All windows of a calendar's means share one shuffle and one sort, so that a task holds its rows once."""
+    df = spark.createDataFrame([(1, D(1950, 1, 1), 2.0), (1, D(2020, 1, 5), 3.0), (1, D(2020, 1, 6), 3.0)], "k int, day date, load double")
+    out = workload.load_ratios(df, ["k"], "day", "load")
+    plan = out._jdf.queryExecution().sparkPlan().toString(), out._jdf.queryExecution().executedPlan().toString()
+    assert plan[0].count("Window ") > 2 and plan[1].count("Sort [") == 1 and plan[1].count("Exchange ") == 1
+    got = out.orderBy("day").collect()
+    assert got[0].ewma_acute_7_28 == pytest.approx(2.0) and got[2].ewma_acute_3_21 == pytest.approx((3.0 * 2 / 3 + 3.0) / 3)
+
+
 def test_gap_fill_and_rolling(spark):
     df = spark.createDataFrame([(1, D(2020, 1, 1), 2.0, "a"), (1, D(2020, 1, 4), 3.0, "b"), (2, D(2020, 1, 1), 0.0, "c")], "k int, day date, load double, team string")
     rows = [tuple(r) for r in workload.fill_gaps(df, "k", "day", "load").orderBy("k", "day").select("k", "load", "team", "_gap_fill").collect()]
