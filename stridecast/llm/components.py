@@ -23,8 +23,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", most_roun
     for _ in range(most_rounds):
         both = edges.select(F.col("low").alias("u"), F.col("high").alias("v")).union(edges.select(F.col("high").alias("u"), F.col("low").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least.hint("merge"), "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("high"), F.col("m").alias("low"))
-        large = large.filter(F.col("low") < F.col("high")).distinct()
+        large = edges.withColumnRenamed("low", "u").join(least.hint("merge"), "u").select("high", F.col("m").alias("low")).distinct()
         least = large.groupBy("high").agg(F.min("low").alias("m"))
         small = large.join(least.hint("merge"), "high")
         small = small.select(F.col("m").alias("low"), "high").union(small.select(F.col("m").alias("low"), F.col("low").alias("high")))

@@ -103,8 +103,8 @@ def _further(zero: int, segments: int, bits: int) -> list[tuple[int, list[tuple[
 
 
 def similar_links(fps: DataFrame, bits: int = 2, segments: int = SEGMENTS, paired: int = PAIRED) -> DataFrame:
-    """Links a < b (as longs) between distinct fingerprints at most `bits` bits apart, all of them. fps: one distinct column
-    fp, cheap to read again.
+    """Links a < b (as longs) between distinct fingerprints at most `bits` bits apart, all of them. fps: distinct fp, cheap to read
+    again; what else it has of a fingerprint comes along for both ends, as a_* and b_*.
 
     A fingerprint is posted under each chain of the ring that must match whole. Of fingerprints with a common chain the
     longer chains are checked against their budgets, then all 64 bits. A chain shared by more than `paired`
@@ -119,15 +119,16 @@ def similar_links(fps: DataFrame, bits: int = 2, segments: int = SEGMENTS, paire
     held = _further(zero, segments, bits)
     mask = lambda k: F.lit(_signed(sum(((1 << width) - 1) << (i * width) for i in range(segments) if held[k][0] >> i & 1)))
     turn = lambda c: reduce(lambda out, i: F.when(F.col("start") == i, _rotated(c, i * width)).otherwise(out), range(segments), F.lit(0).cast("long"))
-    fp, keys = F.col("fp"), ["start", "path", "value"]
+    fp, keys, others = F.col("fp"), ["start", "path", "value"], [c for c in fps.columns if c != "fp"]
+    end = lambda few, x: few.select(*keys, F.col("fp").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in others))
     starts = F.array(*(F.struct(F.lit(i).alias("start"), F.lit(0).alias("path"), _rotated(fp, i * width).bitwiseAND(mask(0)).alias("value")) for i in range(segments)))
-    posted, level, pairs = fps.select("fp", F.inline(starts)), [0], []
+    posted, level, pairs = fps.select("fp", *others, F.inline(starts)), [0], []
     while level:
         shared = posted.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
         met = posted.join(shared, keys).checkpoint()
         last = [k for k in level if not held[k][1]]
         few = met.filter((F.col("n") <= paired) | F.col("path").isin(last))
-        pairs.append(few.select(*keys, F.col("fp").alias("a")).join(few.select(*keys, F.col("fp").alias("b")), keys).filter("a < b").select("start", "a", "b"))
+        pairs.append(end(few, "a").join(end(few, "b"), keys).filter("a < b").drop("path", "value"))
         many = met.filter((F.col("n") > paired) & ~F.col("path").isin(last))
         level = [] if many.isEmpty() else [c for k in level for c, _ in held[k][1]]
         if level:
@@ -135,11 +136,11 @@ def similar_links(fps: DataFrame, bits: int = 2, segments: int = SEGMENTS, paire
             child = lambda k: F.array(*(F.struct(F.lit(c).alias("path"), F.col("turned").bitwiseAND(mask(c)).alias("value")) for c, _ in held[k][1]))
             parents = sorted({k for k, (_, cs) in enumerate(held) for c, _ in cs if c in level})
             posts = reduce(lambda out, k: F.when(F.col("path") == k, child(k)).otherwise(out), parents[1:], child(parents[0]))
-            posted = whole.select("fp", "start", F.inline(posts)).distinct()
+            posted = whole.select("fp", *others, "start", F.inline(posts)).distinct()
     found = reduce(DataFrame.union, pairs).withColumn("turned", turn(F.col("a").bitwiseXOR(F.col("b"))))
     for length, budget in steps:
         found = found.filter(F.bit_count(F.col("turned").bitwiseAND(F.lit(_ones(length * width)))) <= budget)
-    return found.select("a", "b").distinct()
+    return found.drop("start", "turned").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,9 +259,8 @@ def fingerprint_pairs(marks: DataFrame, bits: int = 2) -> DataFrame:
     fingerprints at most `bits` bits apart. All groups that fingerprints link are held together by these pairs."""
     firsts = marks.groupBy("fp").agg(F.min("node").alias("first")).checkpoint()
     same = marks.join(firsts.hint("merge"), "fp").filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    side = lambda c: firsts.select(F.col("fp").alias(c), F.col("first").alias(f"of_{c}")).hint("merge")
-    linked = similar_links(firsts.select("fp"), bits).join(side("a"), "a").join(side("b"), "b")
-    return same.union(linked.select(F.least("of_a", "of_b"), F.greatest("of_a", "of_b")))
+    linked = similar_links(firsts, bits)
+    return same.union(linked.select(F.least("a_first", "b_first"), F.greatest("a_first", "b_first")))
 
 
 def _close(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -300,17 +300,23 @@ def _alike(docs: DataFrame, links: DataFrame, words: int, similarity: float) ->
     shingles = meant.select("doc_id", F.col("meant.shingles").alias("shingles")).checkpoint()
     # a is the centre of its links, whose set is sent once for each of its groups and not for each link
     groups = links.groupBy("a").agg(F.ceil(F.sum("n") / GATHERED).cast("int").alias("parts")).checkpoint()
-    # only centres of several parts, which are few, need a join
-    large = broadcast_if_small(groups.filter("parts > 1"))
+    # only centres of several parts need a join; there is one such row for more than GATHERED shingles of links, so they are few
+    large = F.broadcast(groups.filter("parts > 1"))
     dealt = links.join(large, "a", "left").select(F.col("a").alias("of"), F.when(F.col("parts") > 1, F.pmod(F.xxhash64("b"), F.col("parts"))).otherwise(0).cast("int").alias("run"), F.col("b").alias("leaf"))
-    leaves = dealt.join(shingles.withColumnsRenamed({"doc_id": "leaf", "shingles": "theirs"}), "leaf")
-    centres = groups.join(shingles.withColumnRenamed("doc_id", "a"), "a").select(F.col("a").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "shingles")
+    centres = groups.select(F.col("a").alias("of"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("run"), F.col("a").alias("leaf"))
+    # a centre is the row of its group that is itself; links have two ends, so no leaf is
+    sent = centres.union(dealt).join(shingles.withColumnRenamed("doc_id", "leaf"), "leaf").select("of", "run", "leaf", "shingles")
 
-    def check(key, centre, leaves):
+    def check(key, rows):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
+        is_centre = pc.equal(rows["leaf"], key[0])
+        centre, leaves = rows.filter(is_centre), rows.filter(pc.invert(is_centre))
+        if not leaves.num_rows:
+            return pa.table([pa.array([], pa.int64())] * 2, names=["a", "b"])
         mine = np.asarray(centre["shingles"].combine_chunks().flatten()).view(np.uint64)
-        found = leaves["theirs"].combine_chunks()
+        found = leaves["shingles"].combine_chunks()
         values, offsets = np.asarray(found.values).view(np.uint64), np.asarray(found.offsets)
         close = []
         for start, end_ in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
@@ -321,7 +327,7 @@ def _alike(docs: DataFrame, links: DataFrame, words: int, similarity: float) ->
         leaf = leaves["leaf"].combine_chunks().filter(pa.array(close, pa.bool_()))
         return pa.table([pa.array(np.full(len(leaf), key[0].as_py()), pa.int64()), leaf], names=["a", "b"])
 
-    return centres.groupBy("centre", "part").cogroup(leaves.groupBy("of", "run")).applyInArrow(check, "a long, b long")
+    return sent.groupBy("of", "run").applyInArrow(check, "a long, b long")
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -343,11 +349,11 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     nodes = meant.groupBy("set_key").agg(F.min("doc_id").alias("node"))
     member = meant.join(nodes, "set_key").select("doc_id", "set_key", "node", "rows").checkpoint()
     # only rows of repeated ids are shuffled with their prefixes
-    repeated = member.filter("rows > 1 and doc_id = node").select("doc_id", "set_key")
-    own = marked.join(broadcast_if_small(member.filter("rows > 1 or doc_id != node").select("doc_id")), "doc_id", "left_anti")
-    own = own.union(marked.join(broadcast_if_small(repeated), ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id"]).select(own.columns))
+    others = broadcast_if_small(member.filter("rows > 1 or doc_id != node").select("doc_id", "set_key", (F.col("doc_id") == F.col("node")).alias("repeated")))
+    own = marked.join(others.select("doc_id"), "doc_id", "left_anti")
+    own = own.union(marked.join(others.filter("repeated").select("doc_id", "set_key"), ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id"]).select(own.columns))
     own = own.withColumnRenamed("doc_id", "node")
-    sets = own.select("node", "size", "sketch")
+    sets = own.select("node", "fp", "size", "sketch").checkpoint()
     posted = own.select("node", "size", F.posexplode("prefix").alias("pos", "post")).select("node", "size", "pos", "post.shingle", "post.runs")
     along = Window.partitionBy("shingle", F.pmod(F.xxhash64("node", "shingle"), F.col("runs"))).orderBy("node")
     met = posted.withColumn("n", F.count("*").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).filter("n > 1 or runs > 1").checkpoint()
@@ -360,15 +366,15 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     others = F.array(F.lead(me).over(along), F.when(F.row_number().over(along) > 2, F.first(me).over(along)))
     first = met.select(me.alias("x"), others.alias("others")).select("x", F.explode("others").alias("y")).filter(possible(F.col("x"), F.col("y")))
     first = first.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-    first = first.union(fingerprint_pairs(own.select("node", "fp"))).distinct().checkpoint()
-    groups = connected_components(_alike(docs, _close(first, sets, similarity), words, similarity))
+    first = first.union(fingerprint_pairs(sets.select("node", "fp"))).distinct().checkpoint()
+    groups = connected_components(_alike(docs, _close(first, sets, similarity), words, similarity)).checkpoint()
 
     linked = groups.withColumnRenamed("node", "linked")
     larger = met.filter("n > 3 or runs > 1").join(linked, F.col("node") == F.col("linked"), "left").select("shingle", F.struct("node", "size", "pos", F.coalesce("component", "node").alias("component")).alias("x"))
     parts = larger.groupBy("shingle", "x.component").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("shingle").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("largest")).filter("parts > 1")
     mixed = mixed.select("shingle", F.col("largest.component").alias("main"), F.ceil((F.col("n") - F.col("largest.n")) / BLOCK).cast("int").alias("asking"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    larger = larger.join(mixed, "shingle")
+    larger = larger.join(mixed, "shingle").checkpoint()
     block = lambda n: F.pmod(F.xxhash64("x.node", "shingle"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     outside = larger.filter("x.component != main").select("shingle", block("asking").alias("i"), each("blocks").alias("j"), "x")

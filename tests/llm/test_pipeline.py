@@ -181,3 +181,17 @@ def test_pairs_of_fingerprints_reach_the_exact_check(spark, monkeypatch):
     monkeypatch.setattr(simhash, "fingerprint_pairs", lambda marks: plain(marks).union(spark.createDataFrame([(1, 3)], "a long, b long")))
     got = {r.doc_id: r.component_id for r in simhash.similar_documents(texts_frame(spark, texts)).collect()}
     assert got == {1: 1, 2: 1, 3: 3} and {(1, 2), (1, 3)} <= asked[0]
+
+
+def test_near_copies_take_few_jobs(spark):
+    """The driver plans each job, and what it holds of them and leaves as garbage counts as its memory."""
+    r = np.random.default_rng(9)
+    base = [[f"w{x}" for x in r.integers(0, 10**9, 200)] for _ in range(20)]
+    texts = {i: " ".join(base[i % 20][: 200 - i // 20] + [f"x{i}"]) for i in range(100)}
+    spark.sparkContext.setJobGroup("near copies", "")
+    try:
+        got = {r.doc_id: r.component_id for r in simhash.similar_documents(texts_frame(spark, texts)).collect()}
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("near copies")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {i: i % 20 for i in texts} and 0 < len(jobs) <= 90, len(jobs)
