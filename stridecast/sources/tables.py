@@ -61,6 +61,26 @@ def page_files(spark: SparkSession, path: str, key: str = r"([^/]+?)(?:\.\w+)?$"
     return files.select(F.regexp_extract("path", key, 1).alias("key"), F.col("modificationTime").alias("modified"), "length", "content")
 
 
+def archive_pages(rows: DataFrame, path: str) -> None:
+    """Append pages (key, content: bytes, a key once) to an archive, whose files hold many pages each. A file a page costs each page
+    the making of a file and a folder, and each listing a folder; here there are as many files as rows have parts, however many pages."""
+    rows.select(F.col("key").cast("string").alias("key"), F.col("content").cast("binary").alias("content")).write.mode("append").parquet(path)
+
+
+def archived_pages(spark: SparkSession, path: str) -> DataFrame:
+    """page_files of an archive: key, modified (of the file that holds the page), length, content of each page as often as it was archived.
+    Contents are read only where they are used, and of files within what modified is filtered to."""
+    files = spark.read.schema("key string, content binary").parquet(path)
+    return files.select("key", F.col("_metadata.file_modification_time").alias("modified"), F.octet_length("content").cast("long").alias("length"), "content")
+
+
+def _latest(rows: DataFrame) -> DataFrame:
+    """Of each key the row modified last; of equal times that of the largest sha256."""
+    columns = [c for c in rows.columns if c != "key"]
+    last = rows.groupBy("key").agg(F.max_by(F.struct(*columns), F.struct("modified", "sha256")).alias("_last"))
+    return last.select("key", *(F.col("_last")[c].alias(c) for c in columns))
+
+
 def decoded(content: Column) -> Column:
     """The text of a page's bytes, by the charset that its first kilobyte names: UTF-8 unless that is a Latin one; bytes that don't fit
     are replaced."""
@@ -86,11 +106,27 @@ def changed_pages(spark: SparkSession, path: str, seen: DataFrame, key: str = r"
     older time but an unknown key, are found from the listing alone, and read within their range of times. A file that was
     written again with the same bytes isn't changed.
     """
+    rows = _unseen(page_files(spark, path, key), seen)
+    return rows.select("key", decoded(F.col("content")).alias("html"), "modified", "sha256")
+
+
+def seen_in_archive(spark: SparkSession, path: str) -> DataFrame:
+    """key, modified, sha256 (of the bytes) of an archive's pages as they were archived last; contents don't move."""
+    return _latest(archived_pages(spark, path).select("key", "modified", F.sha2("content", 256).alias("sha256")))
+
+
+def changed_in_archive(spark: SparkSession, path: str, seen: DataFrame) -> DataFrame:
+    """changed_pages of an archive: key, html, modified, sha256 of the pages that are new or changed, as they were archived last."""
+    rows = _latest(_unseen(archived_pages(spark, path), seen).select("key", "modified", "content", "sha256"))
+    return rows.select("key", decoded(F.col("content")).alias("html"), "modified", "sha256")
+
+
+def _unseen(listed: DataFrame, seen: DataFrame) -> DataFrame:
+    """The pages listed whose key, with their sha256, isn't in seen; see changed_pages."""
     last = seen.agg(F.max("modified").alias("m")).first()["m"]
     if last is None:
-        return scan_pages(spark, path, key)
+        return listed.withColumn("sha256", F.sha2("content", 256))
     known = seen.select(F.col("key").alias("_key"), F.col("sha256").alias("_sha"))
-    listed = page_files(spark, path, key)
     late = listed.filter(F.col("modified") < F.lit(last)).select("key", "modified").join(known, F.col("key") == F.col("_key"), "left_anti")
     span = late.agg(F.min("modified").alias("a"), F.max("modified").alias("b")).first()
     fresh = listed.filter(F.col("modified") >= F.lit(last))
@@ -98,8 +134,7 @@ def changed_pages(spark: SparkSession, path: str, seen: DataFrame, key: str = r"
         older = listed.filter((F.col("modified") >= F.lit(span["a"])) & (F.col("modified") <= F.lit(span["b"])) & (F.col("modified") < F.lit(last)))
         fresh = fresh.union(older.join(known, F.col("key") == F.col("_key"), "left_anti"))
     rows = fresh.withColumn("sha256", F.sha2("content", 256))
-    rows = rows.join(known, (F.col("key") == F.col("_key")) & (F.col("sha256") == F.col("_sha")), "left_anti")
-    return rows.select("key", decoded(F.col("content")).alias("html"), "modified", "sha256")
+    return rows.join(known, (F.col("key") == F.col("_key")) & (F.col("sha256") == F.col("_sha")), "left_anti")
 
 
 def page_key(url: Column) -> Column:

@@ -128,3 +128,45 @@ def test_pages_are_dealt_out(spark, sf_dir, name):
 
     plan = catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "LogicalRDD [c_custkey" in plan and "parquet" not in plan
+
+
+def test_page_archives(spark, tmp_path):
+    """Of an archive the pages that are new, changed or came late, each as it was archived last; none seen, all."""
+    import os
+
+    from stridecast.sources import tables as src
+
+    path, at = str(tmp_path / "pages"), [1_700_000_000]
+
+    def save(when=None, **pages):
+        before = set(os.listdir(path)) if os.path.isdir(path) else set()
+        src.archive_pages(spark.createDataFrame(list(pages.items()), "key string, text string").select("key", F.encode("text", "UTF-8").alias("content")).coalesce(1), path)
+        at[0] += 10
+        for f in set(os.listdir(path)) - before:
+            os.utime(f"{path}/{f}", (when or at[0], when or at[0]))
+
+    found = lambda seen: sorted((r.key, r.html) for r in src.changed_in_archive(spark, path, seen).collect())
+    save(a="one", b="two", c="é")
+    save(a="one", b="new")
+    seen = src.seen_in_archive(spark, path).checkpoint() if spark.sparkContext.getCheckpointDir() else src.seen_in_archive(spark, path).localCheckpoint()
+    assert {r.key: r.modified.timestamp() for r in seen.collect()} == {"a": at[0], "b": at[0], "c": at[0] - 10}
+    assert found(seen) == [] and found(seen.limit(0)) == [("a", "one"), ("b", "new"), ("c", "é")]
+    save(a="one", c="later", d="fresh")
+    save(c="last")
+    save(when=1_600_000_000, e="late")
+    assert found(seen) == [("c", "last"), ("d", "fresh"), ("e", "late")]
+
+
+def test_page_scan_makes_few_files(spark, sf_dir):
+    """As many files as the pages have parts, not one for each page."""
+    import os
+    from urllib.parse import urlparse
+
+    from stridecast.plans import catalog
+    from stridecast.sources.shared import shared_folder
+
+    folder = urlparse(shared_folder(spark)).path
+    before = set(os.listdir(folder))
+    assert catalog.queries()["page_scan"](spark, sf_dir).count() > 0
+    made = [f"{d}/{x}" for n in set(os.listdir(folder)) - before if n.startswith("pages-") for d, _, names in os.walk(f"{folder}/{n}") for x in names if x.startswith("part-")]
+    assert 0 < len(made) <= 2 * spark.read.parquet(f"{sf_dir}/pages.parquet").rdd.getNumPartitions()
