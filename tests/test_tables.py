@@ -170,3 +170,9 @@ def test_page_scan_makes_few_files(spark, sf_dir):
     assert catalog.queries()["page_scan"](spark, sf_dir).count() > 0
     made = [f"{d}/{x}" for n in set(os.listdir(folder)) - before if n.startswith("pages-") for d, _, names in os.walk(f"{folder}/{n}") for x in names if x.startswith("part-")]
     assert 0 < len(made) <= 2 * spark.read.parquet(f"{sf_dir}/pages.parquet").rdd.getNumPartitions()
+
+
+def test_the_fold_is_made_once(spark):
+    """Which table a part belongs to is told once a page, not again for a filter below."""
+    plan = pg.tables(spark.createDataFrame([("<table>",)], "html string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1, plan[:2000]
