@@ -179,8 +179,14 @@ def set_key(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def _with_words(docs: DataFrame) -> DataFrame:
-    return keyed_texts(docs).filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+def _keyed_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text and row_key, which tells rows apart by both, of all rows but those of null texts."""
+    return keyed_texts(docs).filter("text is not null").withColumn("row_key", F.xxhash64("doc_id", "text"))
+
+
+def _set_part(key: bytes) -> int:
+    """64 bits of a set_key, as a long."""
+    return int.from_bytes(key[:8], "little", signed=True)
 
 
 def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +199,7 @@ def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
             found = np.concatenate([shingle_set(t, words) for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["shingle"])
 
-    sampled = _with_words(docs).filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0)
+    sampled = keyed_texts(docs).filter("text is not null").filter(F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(SAMPLED)) == 0)
     counted = sampled.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
     rows = counted.orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
     shingles, counts = rows.column(0).to_numpy().view(np.uint64), rows.column(1).to_numpy()
@@ -215,8 +221,8 @@ def least_difference(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def shingle_prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """doc_id, set_key, fp (the SimHash fingerprint), size, sketch and prefix (shingle, runs) of the set of shingles of each text that has
-    a word.
+    """doc_id, row_key, set_key, set_part, fp (the SimHash fingerprint), size, sketch and prefix (shingle, runs) of the set of shingles of
+    each row whose text has a word, with an id or not.
 
     In an order common to all documents, rare shingles first, the prefix is as long as it must be for two sets of the
     similarity or more to have a shingle of both prefixes in common, whatever the order. runs: of a shingle's group, 1 but for
@@ -228,12 +234,13 @@ def shingle_prefixes(docs: DataFrame, words: int, similarity: float) -> DataFram
         import pyarrow as pa
 
         for batch in slices(batches):
-            ids, keys, fps, sizes, sketches, prefixes, runs = [], [], [], [], [], [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            ids, rows, keys, fps, sizes, sketches, prefixes, runs = [], [], [], [], [], [], [], []
+            for i, t, row in zip(*(c.to_pylist() for c in batch.columns)):
                 found = shingle_set(t, words)
                 n = len(found)
                 if n:
                     ids.append(i)
+                    rows.append(row)
                     keys.append(set_key(found))
                     fps.append(majority_bits(found))
                     sizes.append(n)
@@ -245,13 +252,13 @@ def shingle_prefixes(docs: DataFrame, words: int, similarity: float) -> DataFram
                     first = np.argsort(often, kind="stable")[: n - math.ceil(similarity * n - 1e-9) + 1]
                     prefixes.append(found[first].view(np.int64))
                     runs.append(often[first] * SAMPLED // RUN + 1)
-            if ids:
+            if rows:
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])])
                 pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(prefixes), pa.int64()), pa.array(np.concatenate(runs), pa.int32())], ["shingle", "runs"])
                 prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), prefix], ["doc_id", "set_key", "fp", "size", "sketch", "prefix"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(keys, pa.binary()), pa.array([_set_part(k) for k in keys], pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), prefix], ["doc_id", "row_key", "set_key", "set_part", "fp", "size", "sketch", "prefix"])
 
-    return _with_words(docs).mapInArrow(run, "doc_id long, set_key binary, fp long, size int, sketch binary, prefix array<struct<shingle:long,runs:int>>")
+    return _keyed_rows(docs).mapInArrow(run, "doc_id long, row_key long, set_key binary, set_part long, fp long, size int, sketch binary, prefix array<struct<shingle:long,runs:int>>")
 
 
 def fingerprint_pairs(marks: DataFrame, bits: int = 2) -> DataFrame:
@@ -264,40 +271,41 @@ def fingerprint_pairs(marks: DataFrame, bits: int = 2) -> DataFrame:
 
 
 def _close(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The links a, b but for those whose sketches rule the similarity out, with the size of b's set as n; few of the sets' bytes move
-    for that."""
+    """The links a, b but for those whose sketches rule the similarity out, with the size of b's set as n, and the row_key and set_part of
+    both ends; few of the sets' bytes move for that."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            a, b, n, size, x, y = batch.columns
+            n, x, y, *out = batch.columns
             allowed = n.to_numpy() * (1 - similarity) / (1 + similarity) + 1e-9
             ok = [least_difference(np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)) <= most for p, q, most in zip(x.to_pylist(), y.to_pylist(), allowed.tolist())]
-            yield pa.RecordBatch.from_arrays([a, b, size], ["a", "b", "n"]).filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(out, names).filter(pa.array(ok, pa.bool_()))
 
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("size").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-    both = links.join(side("a"), "a").join(side("b"), "b").select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "nb", "sa", "sb")
-    return both.mapInArrow(run, "a long, b long, n int").checkpoint()
+    names = ["a", "b", "n", "row_a", "row_b", "part_a", "part_b"]
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("row_key").alias(f"row_{c}"), F.col("set_part").alias(f"part_{c}"), F.col("size").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    both = links.join(side("a"), "a").join(side("b"), "b").select((F.col("na") + F.col("nb")).alias("both"), "sa", "sb", "a", "b", F.col("nb").alias("n"), *names[3:])
+    return both.mapInArrow(run, "a long, b long, n int, row_a long, row_b long, part_a long, part_b long").checkpoint()
 
 
 def _alike(docs: DataFrame, links: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The links a, b whose sets of shingles have the similarity; n is the size of b's. Of rows that repeat an id the largest set_key
-    is meant. A document a with very many links, the first of a group, is sent once for each part of about GATHERED shingles of those it is
-    linked with, and each of these once a link."""
+    """The links a, b (of _close) whose sets of shingles have the similarity. A node's set is made again from the rows of its row_key,
+    of which set_part tells others that share the key by chance. A node a with very many links, the first of a group, is sent once for each part of about
+    GATHERED shingles of those it is linked with, and each of these once a link."""
 
     def sets(batches):
         import pyarrow as pa
 
         for batch in slices(batches):
             rows = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
+            meant = [_set_part(set_key(r)) == part for r, part in zip(rows, batch.column(2).to_pylist())]
             shingles = pa.array([r.view(np.int64).tolist() for r in rows], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_key(r) if len(r) else None for r in rows], pa.binary()), shingles], ["doc_id", "set_key", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), shingles], ["leaf", "shingles"]).filter(pa.array(meant, pa.bool_()))
 
-    asked = links.select(F.col("a").alias("doc_id")).union(links.select(F.col("b").alias("doc_id"))).distinct()
-    texts = _with_words(docs).join(broadcast_if_small(asked), "doc_id", "left_semi")
-    meant = texts.mapInArrow(sets, "doc_id long, set_key binary, shingles array<long>").groupBy("doc_id").agg(F.max(F.struct("set_key", "shingles")).alias("meant"))
-    shingles = meant.select("doc_id", F.col("meant.shingles").alias("shingles")).checkpoint()
+    end = lambda c: links.select(F.col(f"row_{c}").alias("row_key"), F.col(c).alias("leaf"), F.col(f"part_{c}").alias("part"))
+    texts = _keyed_rows(docs).join(broadcast_if_small(end("a").union(end("b")).distinct()), "row_key").select("leaf", "text", "part")
+    shingles = texts.mapInArrow(sets, "leaf long, shingles array<long>").groupBy("leaf").agg(F.any_value("shingles").alias("shingles")).checkpoint()
     # a is the centre of its links, whose set is sent once for each of its groups and not for each link
     groups = links.groupBy("a").agg(F.ceil(F.sum("n") / GATHERED).cast("int").alias("parts")).checkpoint()
     # only centres of several parts need a join; there is one such row for more than GATHERED shingles of links, so they are few
@@ -305,7 +313,7 @@ def _alike(docs: DataFrame, links: DataFrame, words: int, similarity: float) ->
     dealt = links.join(large, "a", "left").select(F.col("a").alias("of"), F.when(F.col("parts") > 1, F.pmod(F.xxhash64("b"), F.col("parts"))).otherwise(0).cast("int").alias("run"), F.col("b").alias("leaf"))
     centres = groups.select(F.col("a").alias("of"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("run"), F.col("a").alias("leaf"))
     # a centre is the row of its group that is itself; links have two ends, so no leaf is
-    sent = centres.union(dealt).join(shingles.withColumnRenamed("doc_id", "leaf"), "leaf").select("of", "run", "leaf", "shingles")
+    sent = centres.union(dealt).join(shingles, "leaf").select("of", "run", "leaf", "shingles")
 
     def check(key, rows):
         import pyarrow as pa
@@ -330,30 +338,27 @@ def _alike(docs: DataFrame, links: DataFrame, words: int, similarity: float) ->
     return sent.groupBy("of", "run").applyInArrow(check, "a long, b long")
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, component_id: documents linked by a Jaccard similarity of their word shingles of `similarity` or more. Exact.
+def _components(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """similar_documents of the rows whose text has a word.
 
-    Equal sets of shingles are one node. The first round's pairs are those of SimHash fingerprints of the sets (fingerprint_pairs), and
-    those that fingerprints can't tell: two nodes of the similarity share a shingle of both prefixes (shingle_prefixes), so
+    Rows of equal sets of shingles are one node. The first round's pairs are those of SimHash fingerprints of the sets (fingerprint_pairs),
+    and those that fingerprints can't tell: two nodes of the similarity share a shingle of both prefixes (shingle_prefixes), so
     nodes are posted under the shingles of theirs. It compares each member of a shingle's group with the next one and
     the first, which is all pairs of up to three members; a large group is dealt to runs for that. The second compares all
     pairs of the larger groups but those that the first round's components hold already: the members outside a group's
     largest component with all others, in pairs of blocks; so a large group of copies costs no pairs among its
     members. Both rounds drop pairs whose sizes and positions, then sketches, rule the similarity out, and check the rest
     by the whole sets.
-    Texts without a word, null texts and null ids are alone. Rows that repeat an id count as one document.
     """
     ensure_checkpoint_dir(docs.sparkSession)
-    marked = shingle_prefixes(docs, words, similarity).checkpoint()
-    meant = marked.groupBy("doc_id").agg(F.max("set_key").alias("set_key"), F.count("*").alias("rows"))
-    nodes = meant.groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    member = meant.join(nodes, "set_key").select("doc_id", "set_key", "node", "rows").checkpoint()
-    # only rows of repeated ids are shuffled with their prefixes
-    others = broadcast_if_small(member.filter("rows > 1 or doc_id != node").select("doc_id", "set_key", (F.col("doc_id") == F.col("node")).alias("repeated")))
-    own = marked.join(others.select("doc_id"), "doc_id", "left_anti")
-    own = own.union(marked.join(others.filter("repeated").select("doc_id", "set_key"), ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id"]).select(own.columns))
-    own = own.withColumnRenamed("doc_id", "node")
-    sets = own.select("node", "fp", "size", "sketch").checkpoint()
+    # where an id is null or repeats, perhaps with another text, rows go by numbers instead; these are written, so they stay
+    marked = shingle_prefixes(docs, words, similarity).withColumn("number", F.monotonically_increasing_id()).checkpoint()
+    by_id = marked.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty()
+    marked = marked.withColumn("row", F.col("doc_id" if by_id else "number"))
+    nodes = marked.groupBy("set_key").agg(F.min("row").alias("node"))
+    member = marked.select("doc_id", "row", "set_key").join(nodes, "set_key").select("doc_id", "row", "node").checkpoint()
+    own = marked.join(broadcast_if_small(member.filter("row != node").select("row")), "row", "left_anti").withColumnRenamed("row", "node")
+    sets = own.select("node", "row_key", "set_part", "fp", "size", "sketch").checkpoint()
     posted = own.select("node", "size", F.posexplode("prefix").alias("pos", "post")).select("node", "size", "pos", "post.shingle", "post.runs")
     along = Window.partitionBy("shingle", F.pmod(F.xxhash64("node", "shingle"), F.col("runs"))).orderBy("node")
     met = posted.withColumn("n", F.count("*").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).filter("n > 1 or runs > 1").checkpoint()
@@ -387,14 +392,30 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     if not second.isEmpty():
         joined = groups.select(F.col("component").alias("a"), F.col("node").alias("b"))
         groups = connected_components(joined.union(_alike(docs, second, words, similarity)))
-    named = member.select("doc_id", "node").join(groups.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
-    return named.select("doc_id", F.coalesce("component", "node").alias("component_id"))
+    named = member.join(groups.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("doc_id", F.coalesce("component", "node").alias("component"))
+    if by_id:
+        return named.withColumnRenamed("component", "component_id")
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return named.join(least, "component").select("doc_id", "component_id")
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, component_id for every row: the smallest id reachable over links, itself included; rows are linked by a Jaccard similarity of
+    their word shingles of `similarity` or more. Exact, for all rows whose text has a word (see _components).
+
+    Of rows that repeat an id each is compared by its own text. Rows with a null id link others, too, and get the smallest id of their
+    component, null if it has none. Texts without a word and null texts are alone.
+    """
+    alone = keyed_texts(docs).filter(~F.coalesce(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False)))
+    return _components(docs, words, similarity).union(alone.select("doc_id", F.col("doc_id").alias("component_id")))
 
 
 def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents with one of each group of near copies, that of the smallest id; columns as they were.
 
-    Of rows that share that id, all stay; rows without an id, without a text or without a word stay too.
+    Rows of one id all stay or go: they go if each of its texts that has a word is in a group with a smaller id. So the smallest
+    id of a group always stays. Rows without an id stay, as do ids without a word in their texts.
     """
-    later = similar_documents(docs, words, similarity).filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return without_ids(docs, later)
+    found = _components(docs, words, similarity).filter("doc_id is not null")
+    later = found.groupBy("doc_id").agg(F.bool_and(F.col("component_id") < F.col("doc_id")).alias("later")).filter("later")
+    return without_ids(docs, later.select("doc_id"))

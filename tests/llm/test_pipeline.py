@@ -195,3 +195,26 @@ def test_near_copies_take_few_jobs(spark):
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert got == {i: i % 20 for i in texts} and 0 < len(jobs) <= 90, len(jobs)
+
+
+def test_every_row_is_compared(spark):
+    """Rows that repeat an id are compared by their own texts, rows without an id link others; all rows have a result."""
+    rng = np.random.default_rng(11)
+    prose = lambda n=100: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    a, b, c, d, e, f, g, h = (prose() for _ in range(8))
+    rows = [(5, a), (5, b), (6, [*a, "x"]), (7, [*b, "y"]), (3, c), (8, [*c, "z"]), (8, [*c, "u", "v"]), (4, d), (9, [*d, "t"]), (9, e)]
+    rows += [(20, f[:92]), (None, f), (21, f[8:]), (None, g), (None, [*g, "s"]), (11, h), (11, h), (12, [*h, "r"])]  # f holds 20 and 21 together
+    rows = [(i, " ".join(t)) for i, t in rows] + [(30, ""), (31, None), (32, " \n"), (None, None), (3, "")]
+    by_row = dict(enumerate(t or "" for _, t in rows))
+    root = near_groups(by_row)
+    least = {}
+    for k, (i, t) in enumerate(rows):
+        if i is not None:
+            least[root[k]] = min(i, least.get(root[k], i))
+    want = sorted(((i, least.get(root[k])) for k, (i, _) in enumerate(rows)), key=repr)
+    assert {(5, 5), (6, 5), (7, 5), (8, 3), (9, 4), (9, 9), (20, 20), (21, 20), (12, 11)} <= set(want)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(((r.doc_id, r.component_id) for r in simhash.similar_documents(docs).collect()), key=repr) == want
+    # an id goes when all its texts are copies, and one of 9's isn't
+    kept = [(r.doc_id, r.text) for r in simhash.keep_first(docs).collect()]
+    assert sorted(kept, key=repr) == sorted((x for x in rows if x[0] not in (6, 7, 8, 21, 12)), key=repr)
